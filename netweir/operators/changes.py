@@ -71,7 +71,7 @@ def movers(tables, as_dim: DataFrame, dimension: str, p: QueryParams, limit: int
     return _labelled(page, as_dim, dimension).select(
         F.lit(dimension).alias("dimension"), F.col("entity").cast("string").alias("key"), "label",
         "current", "previous", "delta", pct.alias("pct"),
-    )
+    ).orderBy(F.desc(F.abs("delta")), "key")
 
 
 def split_movers(page: DataFrame) -> dict[str, DataFrame]:
@@ -91,7 +91,7 @@ def talkers(tables, as_dim: DataFrame, dimension: str, p: QueryParams, limit: in
     return _labelled(page, as_dim, dimension).select(
         F.lit(dimension).alias("dimension"), F.col("entity").cast("string").alias("key"), "label",
         F.when(cur > 0, "new").otherwise("gone").alias("status"), "bytes",
-    )
+    ).orderBy(F.desc("bytes"), "key")
 
 
 def merged_movers(parts: dict[str, DataFrame]) -> DataFrame:

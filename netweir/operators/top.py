@@ -35,6 +35,11 @@ def avg_packet() -> Column:
     return F.col("total_bytes") / F.greatest(F.col("total_packets"), F.lit(1))
 
 
+def ranked(page: DataFrame, metric: str, ties: list[str]) -> DataFrame:
+    """Order of a finished page (joins do not promise to keep it); a page is one small partition."""
+    return page.orderBy(F.desc(metric), *ties)
+
+
 def percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole * 100).otherwise(F.lit(0.0))
 
@@ -59,20 +64,22 @@ def top_as(rows: DataFrame, as_dim: DataFrame, p: QueryParams) -> DataFrame:
     )
     whole = base.agg(F.sum("bytes").alias("whole")).scalar()
     page = folded(top_k(grouped, p.order_column, ["as_num"], p.limit, p.offset), as_dim)
-    return page.select(
+    out = page.select(
         "as_num", "as_name", "country", "total_bytes", "total_packets", "total_flows",
         avg_packet().alias("avg_pkt_size"), "bytes_in", "bytes_out",
         asymmetry_ratio("bytes_in", "bytes_out").alias("ratio"),
         asymmetry_class("bytes_in", "bytes_out").alias("class"),
         percent(F.col("total_bytes"), whole).alias("percent"),
     )
+    return ranked(out, p.order_column, ["as_num"])
 
 
 def top_ip(rows: DataFrame, as_dim: DataFrame, p: QueryParams) -> DataFrame:
     base = scoped(rows, p).filter(in_scope("ip16", p.scope, p.local_prefixes))
     grouped = base.groupBy("ip", "as_number").agg(*totals())
     page = with_as_info(top_k(grouped, p.order_column, ["ip", "as_number"], p.limit, p.offset), as_dim)
-    return page.select("ip", "as_number", "as_name", *TOTALS, avg_packet().alias("avg_pkt_size"))
+    out = page.select("ip", "as_number", "as_name", *TOTALS, avg_packet().alias("avg_pkt_size"))
+    return ranked(out, p.order_column, ["ip", "as_number"])
 
 
 def prefix_group(prefix, p: QueryParams) -> tuple[Column, Column]:
@@ -100,7 +107,8 @@ def top_prefix(rows: DataFrame, as_dim: DataFrame, p: QueryParams) -> DataFrame:
         .agg(*[F.sum(c).alias(c) for c in TOTALS])
     )
     page = with_as_info(top_k(grouped, p.order_column, ["grouped_prefix", "as_number"], p.limit, p.offset), as_dim)
-    return page.select("grouped_prefix", "as_number", "as_name", *TOTALS, avg_packet().alias("avg_pkt_size"))
+    out = page.select("grouped_prefix", "as_number", "as_name", *TOTALS, avg_packet().alias("avg_pkt_size"))
+    return ranked(out, p.order_column, ["grouped_prefix", "as_number"])
 
 
 def country_or_unknown() -> Column:
@@ -136,7 +144,7 @@ def link_top_as(rows: DataFrame, as_dim: DataFrame, tag: str, p: QueryParams) ->
     base = scoped(rows, p.with_(link_tags=(tag,)))
     grouped = base.groupBy(grouped_as("as_number").alias("as_num")).agg(*totals())
     page = folded(top_k(grouped, "total_bytes", ["as_num"], p.limit), as_dim)
-    return page.select("as_num", "as_name", *TOTALS)
+    return ranked(page.select("as_num", "as_name", *TOTALS), "total_bytes", ["as_num"])
 
 
 def volumes(flows: DataFrame) -> DataFrame:
@@ -156,7 +164,7 @@ def as_peers(flows: DataFrame, as_dim: DataFrame, asn: int, p: QueryParams) -> D
     )
     grouped = peers.groupBy(F.col("dst_as").alias("as_number")).agg(*totals())
     page = with_as_info(top_k(grouped, "total_bytes", ["as_number"], p.limit), as_dim)
-    return page.select("as_number", "as_name", *TOTALS)
+    return ranked(page.select("as_number", "as_name", *TOTALS), "total_bytes", ["as_number"])
 
 
 def as_top_ips(rows: DataFrame, asn: int, p: QueryParams) -> DataFrame:
@@ -174,7 +182,7 @@ def as_remote_ips(flows: DataFrame, asn: int, p: QueryParams) -> DataFrame:
 def ip_top_as(rows: DataFrame, as_dim: DataFrame, ip: str, p: QueryParams) -> DataFrame:
     grouped = scoped(rows, p).filter(same_address("ip16", ip)).groupBy("as_number").agg(*totals())
     page = with_as_info(top_k(grouped, "total_bytes", ["as_number"], p.limit), as_dim)
-    return page.select("as_number", "as_name", *TOTALS)
+    return ranked(page.select("as_number", "as_name", *TOTALS), "total_bytes", ["as_number"])
 
 
 def ip_peers(flows: DataFrame, ip: str, p: QueryParams) -> DataFrame:

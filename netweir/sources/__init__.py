@@ -1 +1 @@
-
+"""Readers, writers and datagram decoders."""
