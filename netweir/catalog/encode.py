@@ -99,9 +99,9 @@ def sflow_datagrams(flows: DataFrame) -> DataFrame:
     ip = F.concat(be(0x45, 1), be(0, 8), be("protocol", 1), be(0, 2), v4("src_ip"), v4("dst_ip"))
     l4 = F.concat(be("src_port", 2), be("dst_port", 2), be(0, 8), be(0x50, 1), be("tcp_flags", 1), be(0, 2))
     frame = F.concat(ether, ip, l4)
-    padding = F.when(tagged, be(0, 2)).otherwise(be(0, 2))  # 50 or 54 header bytes -> next 4-byte boundary
     rec_len = F.lit(16) + F.octet_length(frame)
-    record = F.concat(be(1, 4), be(rec_len, 4), be(1, 4), be("bytes", 4), be(4, 4), be(F.octet_length(frame), 4), frame, padding)
+    # 50 or 54 header bytes: two bytes reach the 4-byte boundary.
+    record = F.concat(be(1, 4), be(rec_len, 4), be(1, 4), be("bytes", 4), be(4, 4), be(F.octet_length(frame), 4), frame, be(0, 2))
     sample = F.concat(
         be("flow_id", 4), be(0, 4), be("sampling_rate", 4), be(0, 8), be("in_interface", 4), be("out_interface", 4), be(1, 4), record
     )

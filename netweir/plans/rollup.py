@@ -148,13 +148,11 @@ ROLLUPS: dict[str, Rollup] = {
 }
 
 
-def partials(flows: DataFrame, spec: Rollup, ts: str = "timestamp") -> DataFrame:
+def partials(flows: DataFrame, spec: Rollup, ts: str = "timestamp", bucketed: bool = True) -> DataFrame:
     """Role projection only: one row per flow and role, no shuffle.
 
     A single pass over the flows; a two-role rollup explodes an array of structs.
     """
-    volume = dict(VOLUME)
-    volume["syn_count"] = None
     extra = [src for _, src in spec.sketches]
     names = [*spec.keys, *spec.sums, *extra]
 
@@ -168,7 +166,7 @@ def partials(flows: DataFrame, spec: Rollup, ts: str = "timestamp") -> DataFrame
     def projected(role: Role) -> list[Column]:
         return [value(role, n).alias(n) for n in dict.fromkeys(names)]
 
-    start = bucket(ts, spec.seconds).alias("ts")
+    start = (bucket(ts, spec.seconds) if bucketed else F.col(ts)).alias("ts")
     if len(spec.roles) == 1:
         role = spec.roles[0]
         kept = flows.filter(role.condition) if role.condition else flows
