@@ -18,7 +18,7 @@ from ..sources import netflow, sflow, tables
 from ..streaming import jobs
 from . import encode, fixtures as fx
 from .registry import query
-from .sql import AVG, LINK_SUMS, SUMS, TOTALS, gname, grouped, ip16, local, net24, plain, private, proto, service, sql, tb
+from .sql import LINK_SUMS, SERVICES, SUMS, TOTALS, grouped, ip16, local, net24, plain, proto, sql, tb
 
 EV_START, EV_END = datetime(2024, 1, 1), datetime(2024, 1, 31)
 LI_START, LI_END = datetime(1995, 1, 1), datetime(2001, 11, 5)
@@ -56,7 +56,7 @@ def _(c):
 
 
 def stream_of(c, name: str = "events") -> DataFrame:
-    return jobs.read_stream(c.spark, f"{c.dir}/{name}.parquet", c.table(name).schema)
+    return jobs.read_stream(c.spark, c.dir, c.table(name).schema, files=f"{name}.parquet")
 
 
 _V4 = "ip_version = 4 AND src_as < 65536 AND dst_as < 65536"
@@ -118,11 +118,7 @@ def _(c):
     mixed = encode.v5_datagrams(raw_v4(c, True))
     for part in (encode.templated_datagrams(v4), encode.templated_datagrams(v4, True), encode.sflow_datagrams(v4)):
         mixed = mixed.unionByName(part)
-    out = None
-    for kind, rows in netflow.route_datagrams(mixed).items():
-        n = rows.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
-        out = n if out is None else out.unionByName(n)
-    return out
+    return mixed.groupBy(netflow.export_kind().alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query("SRC-09_load_as_names", sql("ev", "SELECT as_number, as_name, country FROM an"))
@@ -162,12 +158,12 @@ def _(c):
 _AUDIT = f"({fx.AUDIT})"
 
 
-@query("SRC-13_append_audit", f"SELECT CAST(ts AS DATE) AS dt, action, count(*) AS n FROM {_AUDIT} GROUP BY 1, 2")
+@query("SRC-13_append_audit", f"SELECT CAST(date_trunc('month', ts) AS DATE) AS month, action, count(*) AS n FROM {_AUDIT} GROUP BY 1, 2")
 def _(c):
     path = scratch_dir(c.spark, "audit")
     blank = {n: F.lit("") for n in ("user_sub", "user_role", "params", "client_ip", "user_agent", "error_message")}
     tables.append_audit(c.audit.withColumns(blank), path)
-    return c.spark.read.parquet(path).groupBy("dt", "action").agg(F.count("*").alias("n"))
+    return c.spark.read.parquet(path).groupBy("month", "action").agg(F.count("*").alias("n"))
 
 
 @query("SRC-14_list_audit", f"""SELECT ts, user_email, action, resource FROM {_AUDIT}
@@ -262,7 +258,7 @@ _PORTS = "SELECT CASE WHEN l_linenumber % 2 = 0 THEN 6 ELSE 17 END AS protocol,
 
 
 @query("ENR-08_service_name", plain("SELECT protocol, port, coalesce(sname, '') AS service, n FROM p LEFT JOIN svc ON sp = protocol AND sport = port",
-                                    p=_PORTS, svc=__import__("netweir.catalog.sql", fromlist=["SERVICES"]).SERVICES))
+                                    p=_PORTS, svc=SERVICES))
 def _(c):
     counts = c.sql(_PORTS, "lineitem")
     return counts.select("protocol", "port", names.service_name("protocol", "port").alias("service"), "n")

@@ -129,7 +129,7 @@ CTES = {
 
 def sql(kind: str, body: str, *ctes: str) -> str:
     """Full statement: derived flows of a kind, enrichment and the named pieces, then the body."""
-    parts = [fx.FLOW_CTES[kind]] + [CTES[n] for n in ("lk", "an", "f")] + [CTES[n] for n in ctes]
+    parts = [fx.FLOW_CTES[kind]] + [CTES[n] for n in ("lk", "an", "f")] + [CTES[n] for n in ctes if n != "an"]
     return "WITH " + "\n, ".join(parts) + "\n" + body
 
 

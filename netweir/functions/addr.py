@@ -90,20 +90,33 @@ def uint_at(raw, offset: int, width: int) -> Column:
     return F.conv(F.hex(F.substring(_c(raw), offset + 1, width)), 16, 10).cast("long")
 
 
+def _dotted(number: Column) -> Column:
+    octets = [F.shiftright(number, shift).bitwiseAND(F.lit(255)).cast("string") for shift in (24, 16, 8, 0)]
+    return F.concat_ws(".", *octets)
+
+
+def let(value: Column, body) -> Column:
+    """Bind an expression to a variable: it is evaluated once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _compressed(full: Column) -> Column:
+    """Eight groups without leading zeros -> text with the first longest zero run as '::'."""
+    out = full
+    for run in range(2, 9):  # the outermost test is the longest run
+        pattern = f"^((?:[0-9a-f]+:)*?)0(?::0){{{run - 1}}}((?::[0-9a-f]+)*)$"
+        short = F.regexp_replace(F.regexp_replace(full, pattern, "$1X$2"), ":?X:?", "::")
+        out = F.when(full.rlike(pattern), short).otherwise(out)
+    return out
+
+
 def ip_text(col) -> Column:
     """16 bytes -> canonical text (dotted quad for mapped IPv4, longest zero run compressed)."""
+
     ip = _c(col)
-    v4 = F.concat_ws(".", *[F.conv(F.hex(F.substring(ip, i, 1)), 16, 10) for i in range(13, 17)])
-    full = F.concat_ws(
-        ":",
-        *[F.lower(F.conv(F.hex(F.substring(ip, i, 2)), 16, 16)) for i in range(1, 17, 2)],
-    )
-    v6 = full
-    for run in range(2, 9):  # outermost test is the longest run
-        pattern = f"^((?:[0-9a-f]+:)*?)0(?::0){{{run - 1}}}((?::[0-9a-f]+)*)$"
-        short = F.regexp_replace(F.regexp_replace(full, pattern, "$1X$2"), ":?X:?", "::")
-        v6 = F.when(full.rlike(pattern), short).otherwise(v6)
-    return F.when(is_v4(ip), v4).otherwise(v6)
+    digits = F.regexp_replace(F.lower(F.hex(ip)), "(.{4})(?!$)", "$1:")
+    groups = F.regexp_replace(digits, "(^|:)0{1,3}(?=[0-9a-f])", "$1")
+    return F.when(is_v4(ip), _dotted(uint_at(ip, 12, 4))).otherwise(let(groups, _compressed))
 
 
 def _word(ip: Column, i: int) -> Column:
@@ -127,19 +140,23 @@ def network_of(ip16, length) -> Column:
         if tail:
             pieces.append(binary(bytes(tail)))
         return F.concat(*pieces) if len(pieces) > 1 else pieces[0]
-    words = []
-    for i in range(4):
-        drop = F.lit(32) - F.least(F.greatest(length - 32 * i, F.lit(0)), F.lit(32)).cast("int")
+
+
+    def masked(i: int, bits: Column) -> Column:
+        drop = F.lit(32) - F.least(F.greatest(bits - 32 * i, F.lit(0)), F.lit(32)).cast("int")
         cut = F.call_function("shiftright", _word(ip, i), drop)
-        words.append(F.lpad(F.hex(F.call_function("shiftleft", cut, drop)), 8, "0"))
-    return F.unhex(F.concat(*words))
+        return F.lpad(F.hex(F.call_function("shiftleft", cut, drop)), 8, "0")
+
+    return let(length, lambda bits: F.unhex(F.concat(*[masked(i, bits) for i in range(4)])))
 
 
 def prefix_of(ip16, length) -> Column:
     """CIDR text from an address and its family's own mask length; 0 gives ''."""
     ip, n = _c(ip16), _c(length).cast("int")
-    bits = F.when(is_v4(ip), n + 96).otherwise(n)
-    return F.when(n > 0, F.concat(ip_text(network_of(ip, bits)), F.lit("/"), n.cast("string"))).otherwise("")
+    drop = F.lit(32) - n
+    v4 = _dotted(F.call_function("shiftleft", F.call_function("shiftright", uint_at(ip, 12, 4), drop), drop))
+    network = F.when(is_v4(ip), v4).otherwise(let(network_of(ip, n), ip_text))
+    return F.when(n > 0, F.concat(network, F.lit("/"), n.cast("string"))).otherwise("")
 
 
 def parse_networks(cidrs: Iterable[str]) -> list[tuple[bytes, int]]:

@@ -115,8 +115,8 @@ def match_prefixes(df: DataFrame, ip16: str, prefixes: DataFrame, out: str = "ma
 def prefix_table(df: DataFrame, column: str) -> DataFrame:
     """CIDR texts of a column -> distinct ``(prefix, net, length)``; native parsing, bad texts dropped."""
     text = F.col(column)
-    base = to_ip16(F.split(text, "/")[0])
-    bits = F.split(text, "/")[1].try_cast("int")
+    base = to_ip16(F.split_part(text, F.lit("/"), F.lit(1)))
+    bits = F.split_part(text, F.lit("/"), F.lit(2)).try_cast("int")
     length = F.when(text.contains("."), bits + 96).otherwise(bits)
     parsed = df.filter(text.contains("/")).select(text.alias("prefix"), base.alias("ip"), length.alias("length"))
     return (

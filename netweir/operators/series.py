@@ -133,26 +133,23 @@ def nearest_rank(column: str, q: float = 0.95) -> Column:
 
 
 def _top_as_raw(flows: DataFrame, p: QueryParams) -> tuple[DataFrame, DataFrame]:
-    rows = by_ip_version(in_range(flows, p.start, p.end, "timestamp"), p.ip_version)
-    volume = (F.col("bytes") * F.col("sampling_rate")).alias("bytes")
+    rows = by_ip_version(in_range(flows, p.start, p.end, "timestamp"), p.ip_version).select(
+        F.col("timestamp").alias("ts"), "link_tag", "src_as", "dst_as",
+        (F.col("bytes") * F.col("sampling_rate")).alias("bytes"), (F.col("packets") * F.col("sampling_rate")).alias("packets"),
+    )
 
-    def side(column: str) -> DataFrame:
-        kept = without_as(rows.filter(F.col(column) > 0), p.exclude_as, column)
-        return kept.select(grouped_as(column).alias("as_num"), volume)
+    def listed(column: str) -> Column:
+        kept = (F.col(column) > 0) & (F.col(column) != p.exclude_as)
+        return F.when(kept, grouped_as(column))
 
-    both = side("src_as").unionByName(side("dst_as"))
+    both = rows.select(F.explode(F.array(listed("src_as"), listed("dst_as"))).alias("as_num"), "bytes").filter("as_num IS NOT NULL")
     top = top_k(both.groupBy("as_num").agg(F.sum("bytes").alias("total_bytes")), "total_bytes", ["as_num"], p.limit)
-    keys = F.broadcast(top.select("as_num"))  # at most p.limit (<= 1000) rows
-    shaped = rows.filter(F.col("link_tag") != "").select(
-        F.col("timestamp").alias("ts"), "link_tag", grouped_as("src_as").alias("s"), grouped_as("dst_as").alias("d"),
-        volume, (F.col("packets") * F.col("sampling_rate")).alias("packets"),
-    )
-    marked = shaped.join(keys.select(F.col("as_num").alias("ks")), F.col("s") == F.col("ks"), "left").join(
-        keys.select(F.col("as_num").alias("kd")), F.col("d") == F.col("kd"), "left"
-    )
-    is_s, is_d = F.col("ks").isNotNull(), F.col("kd").isNotNull()
+    keys = top.agg(F.collect_list("as_num")).scalar()  # at most p.limit (<= 1000) numbers
+    shaped = rows.filter(F.col("link_tag") != "").withColumns({"s": grouped_as("src_as"), "d": grouped_as("dst_as")})
+    marked = shaped.withColumns({"in_s": F.array_contains(keys, F.col("s")), "in_d": F.array_contains(keys, F.col("d"))})
+    is_s, is_d = F.col("in_s"), F.col("in_d")
     # A flow between two listed ASes counts in both sums of its source AS.
-    hits = marked.filter(is_s | is_d).withColumn("as_num", F.coalesce("ks", "kd"))
+    hits = marked.filter(is_s | is_d).withColumn("as_num", F.when(is_s, F.col("s")).otherwise(F.col("d")))
     measures = [
         when_sum(is_s, "bytes").alias("bytes_in"), when_sum(is_d, "bytes").alias("bytes_out"),
         when_sum(is_s, "packets").alias("packets_in"), when_sum(is_d, "packets").alias("packets_out"),

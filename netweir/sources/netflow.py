@@ -28,14 +28,20 @@ def version_of(payload="payload") -> Column:
     return F.when(F.octet_length(payload) >= 2, uint_at(payload, 0, 2)).otherwise(F.lit(-1))
 
 
+VERSIONS = {5: "netflow5", 9: "netflow9", 10: "ipfix"}
+
+
+def export_kind(payload="payload") -> Column:
+    kind = F.lit("unknown")
+    for number, name in VERSIONS.items():
+        kind = F.when(version_of(payload) == number, name).otherwise(kind)
+    return kind
+
+
 def route_datagrams(datagrams: DataFrame) -> dict[str, DataFrame]:
     """Split by export version; anything else goes to ``unknown``."""
-    v = datagrams.withColumn("version", version_of())
-    pick = lambda n: v.filter(F.col("version") == n).drop("version")
-    return {
-        "netflow5": pick(5), "netflow9": pick(9), "ipfix": pick(10),
-        "unknown": v.filter(~F.col("version").isin(5, 9, 10)),
-    }
+    kinds = (*VERSIONS.values(), "unknown")
+    return {name: datagrams.filter(export_kind() == name) for name in kinds}
 
 
 def _finish(rows: DataFrame) -> DataFrame:
@@ -225,8 +231,10 @@ def match_templates(data: DataFrame, templates: DataFrame, ttl: int = TEMPLATE_T
     slot = F.floor(F.unix_timestamp("received_at") / ttl)
     intervals = templates.select(
         *key, F.col("received_at").alias("t_at"), arrival.alias("t_from"), F.lead(arrival).over(w).alias("t_until"),
-        "record_length", "base_version", "layout", F.explode(F.array(slot, slot + 1)).alias("slot"),
+        "record_length", "base_version", "layout", F.array(slot, slot + 1).alias("slots"),
     )
+    # Exploded only now: a generator next to a window function would run before it.
+    intervals = intervals.withColumn("slot", F.explode("slots")).drop("slots")
     sets = data.select(*key, "received_at", "export_seconds", "body", arrival.alias("d_at"), slot.alias("slot"))
     joined = sets.join(broadcast_if_bounded(intervals, 20_000) if not data.isStreaming else intervals, [*key, "slot"])
     fresh = F.col("received_at") <= F.col("t_at") + F.make_dt_interval(secs=F.lit(ttl))

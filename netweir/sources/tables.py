@@ -58,8 +58,9 @@ def export_table(df: DataFrame, path: str, fmt: str) -> None:
 
 
 def append_audit(entries: DataFrame, path: str) -> None:
-    out = entries.select(*[F.col(f.name).cast(f.dataType) for f in schema.AUDIT.fields], F.to_date("ts").alias("dt"))
-    out.write.mode("append").partitionBy("dt").parquet(path)
+    out = entries.select(*[F.col(f.name).cast(f.dataType) for f in schema.AUDIT.fields])
+    # Months, as the trail is small next to the flows: day folders would be tiny files.
+    out.withColumn("month", F.trunc("ts", "month")).write.mode("append").partitionBy("month").parquet(path)
 
 
 def list_audit(audit: DataFrame, start: datetime, end: datetime, user: str = "", action: str = "", limit: int = 500):

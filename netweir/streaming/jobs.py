@@ -15,12 +15,15 @@ from ..plans.sizing import pin_if_small
 LATENESS = "24 hours"
 
 
-def read_stream(spark: SparkSession, path: str, schema: StructType, max_files: int = 1000, newest_first: bool = False):
-    """File stream; ``max_files`` per trigger is the back-pressure."""
+def read_stream(
+    spark: SparkSession, path: str, schema: StructType, max_files: int = 1000, newest_first: bool = False, files: str = "*"
+) -> DataFrame:
+    """File stream over a folder; ``max_files`` per trigger is the back-pressure."""
     return (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", max_files)
         .option("latestFirst", newest_first)
+        .option("pathGlobFilter", files)
         .parquet(path)
     )
 
