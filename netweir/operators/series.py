@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.addr import same_address
 from ..functions.asn import asymmetry_class, asymmetry_ratio, grouped_as, grouped_as_name
 from ..functions.timeb import bucket
-from ..params import FlowFilters, QueryParams, route_source
+from ..params import MAX_LIMIT, FlowFilters, QueryParams, route_source
 from ..plans.filters import by_ip_version, by_links, in_range, top_k, without_as
 from ..plans.rollup import ROLLUPS, partials
+from ..plans.sizing import pin_if_small
 from .dims import with_as_info, with_link_info
 from .top import when_sum
 
@@ -114,13 +115,12 @@ def link_as_series(tables: Tables, as_dim: DataFrame, tag: str, p: QueryParams,
     """Top-N AS of one link, then their series (semi-join on the N folded keys)."""
     rows = source(tables, "as", p, allow_raw=False).filter(F.col("link_tag") == tag)
     rows = rows.withColumn("as_num", grouped_as("as_number"))
-    top = top_k(rows.groupBy("as_num").agg(F.sum("bytes").alias("total_bytes")), "total_bytes", ["as_num"], n)
+    top = _pinned(top_k(rows.groupBy("as_num").agg(F.sum("bytes").alias("total_bytes")), "total_bytes", ["as_num"], n))
     named = with_as_info(top, as_dim, "as_num").withColumn("as_name", grouped_as_name("as_num", "as_name"))
     points = _points(
-        rows.join(F.broadcast(top.select("as_num")), "as_num", "left_semi"),
+        rows.join(top.select("as_num"), "as_num", "left_semi"),
         p.step, ["as_num"], _by_role(*AS_POINT)[:2],
     )
-    # The top list has at most n rows.
     return points.join(F.broadcast(named.select("as_num", "as_name", "total_bytes")), "as_num").select(
         "as_num", "as_name", "total_bytes", "period", "bytes_in", "bytes_out"
     )
@@ -132,6 +132,11 @@ def nearest_rank(column: str, q: float = 0.95) -> Column:
     return F.element_at(F.array_sort(F.collect_list(column)), position.cast("int"))
 
 
+def _pinned(top: DataFrame) -> DataFrame:
+    """A top list (at most 1000 rows by its limit), computed once and then broadcast to every use."""
+    return pin_if_small(top, MAX_LIMIT)
+
+
 def _top_as_raw(flows: DataFrame, p: QueryParams) -> tuple[DataFrame, DataFrame]:
     rows = by_ip_version(in_range(flows, p.start, p.end, "timestamp"), p.ip_version).select(
         F.col("timestamp").alias("ts"), "link_tag", "src_as", "dst_as",
@@ -143,13 +148,14 @@ def _top_as_raw(flows: DataFrame, p: QueryParams) -> tuple[DataFrame, DataFrame]
         return F.when(kept, grouped_as(column))
 
     both = rows.select(F.explode(F.array(listed("src_as"), listed("dst_as"))).alias("as_num"), "bytes").filter("as_num IS NOT NULL")
-    top = top_k(both.groupBy("as_num").agg(F.sum("bytes").alias("total_bytes")), "total_bytes", ["as_num"], p.limit)
-    keys = top.agg(F.collect_list("as_num")).scalar()  # at most p.limit (<= 1000) numbers
+    top = _pinned(top_k(both.groupBy("as_num").agg(F.sum("bytes").alias("total_bytes")), "total_bytes", ["as_num"], p.limit))
     shaped = rows.filter(F.col("link_tag") != "").withColumns({"s": grouped_as("src_as"), "d": grouped_as("dst_as")})
-    marked = shaped.withColumns({"in_s": F.array_contains(keys, F.col("s")), "in_d": F.array_contains(keys, F.col("d"))})
-    is_s, is_d = F.col("in_s"), F.col("in_d")
+    marked = shaped.join(top.select(F.col("as_num").alias("ks")), F.col("s") == F.col("ks"), "left").join(
+        top.select(F.col("as_num").alias("kd")), F.col("d") == F.col("kd"), "left"
+    )
+    is_s, is_d = F.col("ks").isNotNull(), F.col("kd").isNotNull()
     # A flow between two listed ASes counts in both sums of its source AS.
-    hits = marked.filter(is_s | is_d).withColumn("as_num", F.when(is_s, F.col("s")).otherwise(F.col("d")))
+    hits = marked.filter(is_s | is_d).withColumn("as_num", F.coalesce("ks", "kd"))
     measures = [
         when_sum(is_s, "bytes").alias("bytes_in"), when_sum(is_d, "bytes").alias("bytes_out"),
         when_sum(is_s, "packets").alias("packets_in"), when_sum(is_d, "packets").alias("packets_out"),
@@ -160,10 +166,8 @@ def _top_as_raw(flows: DataFrame, p: QueryParams) -> tuple[DataFrame, DataFrame]
 def _top_as_rollup(rows: DataFrame, p: QueryParams) -> tuple[DataFrame, DataFrame]:
     rows = by_ip_version(rows, p.ip_version)
     ranked = without_as(rows, p.exclude_as).groupBy(grouped_as("as_number").alias("as_num"))
-    top = top_k(ranked.agg(F.sum("bytes").alias("total_bytes")), "total_bytes", ["as_num"], p.limit)
-    listed = rows.withColumn("as_num", grouped_as("as_number")).join(
-        F.broadcast(top.select("as_num")), "as_num", "left_semi"
-    )
+    top = _pinned(top_k(ranked.agg(F.sum("bytes").alias("total_bytes")), "total_bytes", ["as_num"], p.limit))
+    listed = rows.withColumn("as_num", grouped_as("as_number")).join(top.select("as_num"), "as_num", "left_semi")
     return top, _points(listed, p.step, ["as_num", "link_tag"], _by_role(*AS_POINT))
 
 
