@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import dims, enrich
 from ..plans.rollup import ROLLUPS, partials
-from ..plans.sizing import pin_if_small
+from ..plans.sizing import pin_if_small, spread_small_scan
 from . import fixtures as fx
 
 
@@ -48,7 +48,7 @@ class Context:
     def raw_flows(self, kind: str, source: DataFrame | None = None) -> DataFrame:
         """Decoded flows before enrichment, derived from ``events`` or ``lineitem``."""
         base = fx.FLOW_TABLE[kind]
-        frames = {base: source if source is not None else self.table(base)}
+        frames = {base: source if source is not None else spread_small_scan(self.table(base))}
         return self.sql(f"WITH {fx.FLOW_CTES[kind]} SELECT * FROM flows", **frames)
 
     def enriched(self, kind: str, source: DataFrame | None = None) -> DataFrame:

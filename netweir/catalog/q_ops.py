@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, functions as F
@@ -213,6 +214,26 @@ def _one(rule: str, side: str, window: int, metric: str, limit: str, extra: str
  GROUP BY {side}_ip HAVING {metric} > {limit} ORDER BY metric_value DESC, target LIMIT 100)"""
 
 
+def _seeded(r: de.Rule) -> str:
+    """SQL of a seeded per-host rule evaluated over the whole table."""
+    w = r.window_seconds
+    bps, pps = f"CAST(sum(bytes) AS BIGINT) * 8 / {w}", f"CAST(sum(packets) AS BIGINT) / {w}"
+    flood = {"icmp_flood": 1, "udp_flood": 17}
+    if r.rule_type in ("volume_in", "volume_out"):
+        return _one(r.rule_id, "dst" if r.rule_type == "volume_in" else "src", w, bps, str(r.threshold_bps))
+    if r.rule_type == "syn_flood":
+        return _one(r.rule_id, "dst", w, f"CAST(sum(syn_count) AS BIGINT) / {w}", str(r.threshold_pps), "AND protocol = 6")
+    if r.rule_type in flood:
+        return _one(r.rule_id, "dst", w, f"floor({pps})", str(r.threshold_pps), f"AND protocol = {flood[r.rule_type]}")
+    if r.rule_type == "connection_flood":
+        return _one(r.rule_id, "dst", w, "count(*)", str(r.threshold_count))
+    if r.rule_type == "amplification":
+        return _one(r.rule_id, "dst", w, f"CASE WHEN {bps} >= {r.threshold_bps} THEN count(DISTINCT src_ip) ELSE 0 END", str(r.threshold_count))
+    if r.rule_type == "port_scan":
+        return _one(r.rule_id, "src", w, "count(DISTINCT dst_port)", str(r.threshold_count))
+    return ""
+
+
 @query("ALR-17_evaluate_rules", sql("ev", " UNION ALL ".join((
     _one("v1", "dst", 3600, "CAST(sum(bytes) AS BIGINT) * 8 / 3600", "3000000"),
     _one("v2", "dst", 600, "CAST(sum(bytes) AS BIGINT) * 8 / 600", "30000000", scope="dst_ip LIKE '192.0.2.%'"),
@@ -223,6 +244,17 @@ def _(c):
     return de.evaluate_rules(_SET, c.ev, c.links, _EARLY).select("rule_id", "target", "metric_value")
 
 
+@query("ALR-16_rule_catalogue", sql("ev", "SELECT rule_id, name, CAST(violations AS BIGINT) AS violations FROM (VALUES " + ", ".join(
+    f"('{r.rule_id}', '{r.name}', {'(SELECT count(*) FROM ' + _seeded(r) + ')' if _seeded(r) else 0})" for r in de.DEFAULT_RULES) + ") AS t(rule_id, name, violations)", "r_dst", "r_src"))
+def _(c):
+    """The seeded catalogue with the number of violations each rule finds in the whole table."""
+    hosts = [r for r in de.DEFAULT_RULES if r.rule_type in (*de.DST_FAMILY, *de.SRC_FAMILY)]
+    scoped = [replace(r, prefixes=SCOPE) for r in hosts]
+    found = de.evaluate_rules(scoped, c.ev, c.links, _EARLY).groupBy("rule_id").agg(F.count("*").alias("violations"))
+    rows = de.default_rules(c.spark).join(found, "rule_id", "left")
+    return rows.select("rule_id", "name", F.coalesce("violations", F.lit(0).cast("long")).alias("violations"))
+
+
 # ---- alert lifecycle ---------------------------------------------------------------
 
 TICKER = de.Rule("tick", "volume_in", threshold_bps=1_000_000, window_seconds=600, cooldown_seconds=300, prefixes=SCOPE)
@@ -331,9 +363,9 @@ def _(c):
     return rows.select("ip", "alert_id", "blocked_at", "expires_at")
 
 
-@query("ALR-28_blocks_at", f"SELECT id, ip FROM {_BLOCKS} WHERE blocked_at <= TIMESTAMP '2024-01-15 18:30:00' AND TIMESTAMP '2024-01-15 18:30:00' < least(expires_at, coalesce(unblocked_at, expires_at))")
+@query("ALR-28_blocks_at", f"SELECT id, ip FROM {_BLOCKS} WHERE blocked_at <= TIMESTAMP '2024-01-05 03:10:00' AND TIMESTAMP '2024-01-05 03:10:00' < least(expires_at, coalesce(unblocked_at, expires_at))")
 def _(c):
-    return al.blocks_at(c.blocks, datetime(2024, 1, 15, 18, 30)).select("id", "ip")
+    return al.blocks_at(c.blocks, datetime(2024, 1, 5, 3, 10)).select("id", "ip")
 
 
 @query("ALR-28_block_history", f"SELECT id, ip, status, blocked_at FROM {_BLOCKS} ORDER BY blocked_at DESC, id LIMIT 1000")
@@ -674,7 +706,8 @@ def _(c):
     return jobs.read_rollup(c.spark, _stream_rollups(c, source=late), ro.ROLLUPS["traffic_by_link_hourly"])
 
 
-@query("STR-04_alert_state")
+@query("STR-04_alert_state", sql("ev", _ISLANDS + """ SELECT 'opened' AS event, count(*) AS n, count(DISTINCT target) AS targets FROM alerts
+ UNION ALL SELECT 'heartbeat', CAST(sum(heartbeats) AS BIGINT), count(DISTINCT target) FILTER (heartbeats > 0) FROM alerts""", "r_dst"))
 def _(c):
     """Violations written as a table, then replayed through the keyed alert state."""
     path, out, ckpt = (scratch_dir(c.spark, n) for n in ("ticks", "alert-events", "alert-ckpt"))
@@ -682,7 +715,7 @@ def _(c):
     ticks.write.parquet(path)
     events = state.alert_events(jobs.read_stream(c.spark, path, ticks.schema))
     events.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination()
-    rows = c.spark.read.schema(events.schema).parquet(out)
+    rows = c.spark.read.schema(events.schema).parquet(out).filter("event != 'resolved'")
     return rows.groupBy("event").agg(F.count("*").alias("n"), F.count_distinct("target").alias("targets"))
 
 

@@ -11,7 +11,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.addr import in_cidrs, in_scope, parse_networks, same_address, to_ip16
+from ..functions.addr import in_cidrs, in_scope, let, parse_networks, same_address, to_ip16
 from ..functions.asn import asymmetry_class, asymmetry_ratio, grouped_as, grouped_as_name
 from ..functions.names import protocol_name, service_name
 from ..functions.timeb import instant
@@ -50,6 +50,15 @@ def share(df: DataFrame, column: str = "total_bytes", out: str = "percent", per:
     return df.withColumn(out, percent(F.col(column), F.sum(column).over(w)))
 
 
+def whole_of(grouped: DataFrame, names=tuple(TOTALS)) -> Column:
+    """Totals over all groups as a scalar subquery (struct of sums).
+
+    It sums every column of the grouping, so its exchange is the one the ranking already
+    made and is reused: the source is scanned once.
+    """
+    return grouped.agg(F.struct(*[F.sum(n).alias(n) for n in names]).alias("w")).scalar()
+
+
 def folded(df: DataFrame, as_dim: DataFrame, key: str = "as_num") -> DataFrame:
     """AS name and country for folded AS groups; the private group gets its fixed name."""
     named = with_as_info(df, as_dim, key)
@@ -62,7 +71,7 @@ def top_as(rows: DataFrame, as_dim: DataFrame, p: QueryParams) -> DataFrame:
     grouped = base.groupBy(grouped_as("as_number").alias("as_num")).agg(
         *totals(), when_sum(d == "in", "bytes").alias("bytes_in"), when_sum(d == "out", "bytes").alias("bytes_out")
     )
-    whole = base.agg(F.sum("bytes").alias("whole")).scalar()
+    whole = whole_of(grouped, (*TOTALS, "bytes_in", "bytes_out"))["total_bytes"]
     page = folded(top_k(grouped, p.order_column, ["as_num"], p.limit, p.offset), as_dim)
     out = page.select(
         "as_num", "as_name", "country", "total_bytes", "total_packets", "total_flows",
@@ -87,14 +96,18 @@ def prefix_group(prefix, p: QueryParams) -> tuple[Column, Column]:
     valid = [c for c in p.local_prefixes if parse_networks([c])]
     if not valid or p.scope not in ("internal", "external"):
         return F.col(prefix), F.lit(True)
-    network = to_ip16(F.split(F.col(prefix), "/")[0])
-    inside = in_cidrs(network, valid)
+    network = to_ip16(F.split_part(F.col(prefix), F.lit("/"), F.lit(1)))
+    inside = let(network, lambda n: in_cidrs(n, valid))
     if p.scope == "external":
         return F.col(prefix), ~inside
-    key = F.when(in_cidrs(network, valid[:1]), F.lit(valid[0]))
-    for cidr in valid[1:]:
-        key = key.when(in_cidrs(network, [cidr]), F.lit(cidr))
-    return key.otherwise(F.col(prefix)), inside
+
+    def first_match(n: Column) -> Column:
+        key = F.when(in_cidrs(n, valid[:1]), F.lit(valid[0]))
+        for cidr in valid[1:]:
+            key = key.when(in_cidrs(n, [cidr]), F.lit(cidr))
+        return key
+
+    return F.coalesce(let(network, first_match), F.col(prefix)), inside
 
 
 def top_prefix(rows: DataFrame, as_dim: DataFrame, p: QueryParams) -> DataFrame:
@@ -117,9 +130,9 @@ def country_or_unknown() -> Column:
 
 def top_country(rows: DataFrame, as_dim: DataFrame, p: QueryParams) -> DataFrame:
     base = scoped(rows, p)
-    per_as = with_as_info(base.groupBy("as_number").agg(*totals()), as_dim)
-    grouped = per_as.groupBy(country_or_unknown().alias("country_code")).agg(*[F.sum(c).alias(c) for c in TOTALS])
-    whole = base.agg(F.sum("bytes").alias("whole")).scalar()
+    sums = base.groupBy("as_number").agg(*totals())
+    grouped = with_as_info(sums, as_dim).groupBy(country_or_unknown().alias("country_code")).agg(*[F.sum(c).alias(c) for c in TOTALS])
+    whole = whole_of(sums)["total_bytes"]
     page = top_k(grouped, "total_bytes", ["country_code"], p.limit, p.offset)
     return page.select("country_code", *TOTALS, percent(F.col("total_bytes"), whole).alias("percent"))
 
