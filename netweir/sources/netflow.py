@@ -251,7 +251,9 @@ def _bytes_of(name: str) -> Column:
 def _uint_of(name: str, default: int = 0) -> Column:
     """Unsigned value of a field; absent fields take the default, 64-bit values saturate at LONG."""
     digits = F.conv(F.hex(_bytes_of(name)), 16, 10).cast("decimal(20,0)")
-    return F.coalesce(F.least(digits, F.lit(LONG_MAX).cast("decimal(20,0)")).cast("long"), F.lit(default).cast("long"))
+    value = F.least(digits, F.lit(LONG_MAX).cast("decimal(20,0)")).cast("long")
+    # least() skips NULL, so absence has to be tested first.
+    return F.when(digits.isNull(), F.lit(default).cast("long")).otherwise(value)
 
 
 def read_records(matched: DataFrame, flow_type: str) -> DataFrame:
