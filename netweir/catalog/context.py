@@ -7,27 +7,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import dims, enrich
-from ..plans.rollup import ROLLUPS, partials
+from ..plans.lake import Lake
 from ..plans.sizing import pin_if_small, spread_small_scan
 from . import fixtures as fx
 
 
-class Lake:
-    """Raw flows and the rollup views over them, by name.
-
-    A rollup *view* is the role projection of the flows: its rows are valid partial rows,
-    so a read costs one aggregate.  A deployment maps the same names to stored tables.
-    """
-
-    def __init__(self, flows: DataFrame, stored: dict[str, DataFrame] | None = None):
-        self._tables = {"flows": flows, **(stored or {})}
-
-    def __getitem__(self, name: str) -> DataFrame:
-        if name not in self._tables:
-            self._tables[name] = partials(self._tables["flows"], ROLLUPS[name])
-        return self._tables[name]
-
-
 class Context:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir.rstrip("/")

@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.addr import label_address
 from ..functions.timeb import instant
-from .dims import latest_versions
-from .series import Tables
-from .top import top_sources, volumes
+from ..plans.sizing import broadcast_if_bounded
+from .top import top_sources
 
 SEVERITY_RANK = {"info": 0, "warning": 1, "critical": 2}
 STALE_SECONDS = 300
@@ -166,7 +165,8 @@ def with_top_sources(opened: DataFrame, flows: DataFrame, as_of: datetime, n: in
     targets = opened.filter(F.col("target_kind") == "ip").select(
         "target", (instant(as_of) - F.make_dt_interval(secs=F.col("window_seconds"))).alias("since")
     )
-    targets = targets.groupBy("target").agg(F.min("since").alias("since"))
+    # Newly opened alerts are few: a map-side join spares the flows a shuffle.
+    targets = broadcast_if_bounded(targets.groupBy("target").agg(F.min("since").alias("since")))
     oldest = targets.agg(F.min("since").alias("m")).scalar()
     recent = flows.filter(F.col("timestamp") >= oldest)
     best = top_sources(recent, targets, n)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from .. import schema
 from ..operators.search import EXPORT_ROWS, export_rows
@@ -41,9 +41,10 @@ def load_as_names(names: DataFrame, path: str) -> None:
 
 def export_flows_csv(rows: DataFrame, path: str) -> bool:
     """Search result -> CSV; True when the row cap of the export was reached."""
-    capped = rows.limit(EXPORT_ROWS)
+    written = Observation()
+    capped = rows.limit(EXPORT_ROWS).observe(written, F.count(F.lit(1)).alias("n"))
     export_rows(capped).write.mode("overwrite").option("header", True).csv(path)
-    return rows.limit(EXPORT_ROWS).count() >= EXPORT_ROWS
+    return written.get["n"] >= EXPORT_ROWS
 
 
 def export_table(df: DataFrame, path: str, fmt: str) -> None:

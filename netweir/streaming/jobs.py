@@ -75,12 +75,15 @@ def rollup_stream(
     """Incremental rollups: every micro-batch appends its partial rows, however late its flows are.
 
     A batch owns its ``batch_id`` partition and overwrites it on retry, so replays do not double count.
-    The batch is scanned once per rollup; readers merge.
+    Readers merge.
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
+        # Kept for the other rollups of the batch (spills to disk; a lost executor recomputes its part).
+        kept = df.persist() if len(specs) > 1 else df
         for spec in specs:
-            write_partials(build(df, spec), spec, f"{root}/{spec.name}", batch_id)
+            write_partials(build(kept, spec), spec, f"{root}/{spec.name}", batch_id)
+        kept.unpersist()
 
     return _run(flows.writeStream.foreachBatch(batch), checkpoint, interval)
 
