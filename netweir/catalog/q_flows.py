@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import addr, asn, names
 from ..functions.timeb import instant
 from ..operators import alerts as al, dims, enrich, search, series, top
-from ..operators.retention import CATALOGUE, catalogue, storage_stats
+from ..operators.retention import catalogue, storage_stats
 from ..params import FlowFilters, QueryParams, order_column, resolve_window
 from ..plans import filters, rollup as ro
 from ..plans.sizing import scratch_dir
@@ -441,8 +440,8 @@ def _(c):
 _PERIODS = ("15m", "1h", "3h", "4h", "6h", "12h", "24h", "7d", "30d", "90m", "48h", "yesterday", "week", "nonsense")
 
 
-@query("FLT-12_window_presets", sql("ev", " UNION ALL ".join(
-    f"SELECT '{n}' AS period, count(*) AS n FROM f WHERE {cut(QueryParams(*resolve_window(n, datetime(2024, 1, 24, 15, 30))), 'timestamp')}" for n in _PERIODS)))
+@query("FLT-12_window_presets", sql("ev", "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS period, count(*) AS n FROM f WHERE {cut(QueryParams(*resolve_window(n, datetime(2024, 1, 24, 15, 30))), 'timestamp')}" for n in _PERIODS) + ") WHERE n > 0"))
 def _(c):
     inside = [
         F.when(filters.between("timestamp", *resolve_window(n, datetime(2024, 1, 24, 15, 30))), F.lit(n)) for n in _PERIODS

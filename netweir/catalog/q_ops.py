@@ -130,7 +130,7 @@ _ANOMALY = f""", s AS (SELECT link_tag, ts, CAST(sum(bytes_in + bytes_out) AS BI
  rt AS (SELECT link_tag, samples, baseline, coalesce((SELECT max(bps) FROM s WHERE cur AND s.link_tag = bl.link_tag), 0.0) AS current FROM bl)"""
 
 
-@query("ALR-12_anomaly", sql("ev", _ANOMALY + """ SELECT link_tag, current, round(baseline, 6) AS baseline, round(current / baseline, 9) AS deviation, samples, 2.5 AS sensitivity_k FROM rt
+@query("ALR-12_anomaly", sql("ev", _ANOMALY + """ SELECT link_tag, current, round(baseline, 6) AS baseline, round(current / baseline, 9) AS deviation, samples, CAST(2.5 AS DOUBLE) AS sensitivity_k FROM rt
  WHERE samples >= 4 AND baseline > 0 AND current > baseline AND current / baseline >= 1.2 ORDER BY current / baseline DESC, link_tag LIMIT 1""", "r_linkh"))
 def _(c):
     found = de.anomalies(c.ev["traffic_by_link_hourly"], 2.5, _CURRENT)

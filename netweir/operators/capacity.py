@@ -6,7 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.timeb import bucket, iso_weekday
+from ..functions.timeb import iso_weekday
 from ..params import QueryParams
 from ..plans.filters import by_ip_version, by_links, in_range
 from .series import AS_POINT, Tables, _points, source

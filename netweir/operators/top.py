@@ -16,7 +16,7 @@ from ..functions.asn import asymmetry_class, asymmetry_ratio, grouped_as, groupe
 from ..functions.names import protocol_name, service_name
 from ..functions.timeb import instant
 from ..params import QueryParams
-from ..plans.filters import by_ip_version, by_links, in_range, scoped, top_k, without_as
+from ..plans.filters import by_links, in_range, scoped, top_k, without_as
 from .dims import with_as_info, with_link_info
 
 TOTALS = {"total_bytes": "bytes", "total_packets": "packets", "total_flows": "flow_count"}

@@ -29,6 +29,8 @@ def write_flows(flows: DataFrame, path: str, mode: str = "append") -> None:
         .write.mode(mode)
         .option("parquet.bloom.filter.enabled#src_ip16", "true")
         .option("parquet.bloom.filter.enabled#dst_ip16", "true")
+        # Sized by the distinct values seen, so a small file does not carry a megabyte of filter.
+        .option("parquet.bloom.filter.adaptive.enabled", "true")
         .partitionBy("dt")
         .parquet(path)
     )
