@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.addr import in_cidrs, network_of, parse_networks, to_ip16
 from ..functions.asn import is_private
-from ..plans.sizing import broadcast_if_bounded
+from ..plans.sizing import pin_if_small
 
 FUTURE_SKEW = "INTERVAL 5 MINUTES"
 PAST_SKEW = "INTERVAL 24 HOURS"
@@ -86,8 +86,10 @@ def match_prefixes(df: DataFrame, ip16: str, prefixes: DataFrame, out: str = "ma
     A bounded table is joined once per distinct length with a broadcast hash join (no
     shuffle).  Beyond the bound the distinct addresses are matched first and the answer is
     joined back by address, so the fact rows are shuffled once whatever the number of lengths.
+    A prefix table has at most 129 lengths, so their list is small.
     """
-    lengths = sorted((r[0] for r in prefixes.select("length").distinct().collect()), reverse=True)
+    checked = pin_if_small(prefixes)
+    lengths = sorted((r[0] for r in checked.select("length").distinct().collect()), reverse=True)
     if not lengths:
         return df.withColumn(out, F.lit(None).cast("string"))
 
@@ -105,7 +107,6 @@ def match_prefixes(df: DataFrame, ip16: str, prefixes: DataFrame, out: str = "ma
             found.append(name)
         return rows.withColumn(out, F.coalesce(*found)).drop(*found)
 
-    checked = broadcast_if_bounded(prefixes)
     if checked is not prefixes:
         return probe(df, checked)
     answers = probe(df.select(ip16).distinct(), prefixes).filter(F.col(out).isNotNull())

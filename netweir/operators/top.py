@@ -111,9 +111,10 @@ def prefix_group(prefix, p: QueryParams) -> tuple[Column, Column]:
 
 
 def top_prefix(rows: DataFrame, as_dim: DataFrame, p: QueryParams) -> DataFrame:
-    # Prefixes are summed as text first, so the address test runs once per distinct prefix.
-    per_text = scoped(rows, p).groupBy("prefix", "as_number").agg(*totals())
-    key, keep = prefix_group("prefix", p)
+    # Prefixes are summed as text first, so the address test runs once per distinct prefix.  It reads an
+    # aggregate's output: a test of the grouping column itself would be pushed below the aggregate.
+    per_text = scoped(rows, p).groupBy("prefix", "as_number").agg(*totals(), F.min("prefix").alias("text"))
+    key, keep = prefix_group("text", p)
     grouped = (
         per_text.filter(keep)
         .groupBy(key.alias("grouped_prefix"), "as_number")

@@ -95,3 +95,32 @@ def test_gap_fill_inserts_zero_points(spark):
     out = series.gap_fill(df, 60).filter("inserted").orderBy("period").collect()
     assert [r.period for r in out] == [t0 + timedelta(minutes=2), t0 + timedelta(minutes=9)]
     assert series.infer_interval(df).first().interval_seconds == 60
+
+
+def test_longest_prefix_beyond_the_broadcast_bound(spark, monkeypatch):
+    """Both join strategies give the longest match; the large-table path is forced by a tiny bound."""
+    import ipaddress
+    import random
+
+    from netweir.functions.addr import to_ip16
+    from netweir.operators import enrich
+    from netweir.plans import sizing
+
+    rnd = random.Random(5)
+    nets = {str(ipaddress.ip_network(f"10.{rnd.randint(0, 3)}.{rnd.randint(0, 255)}.0/{rnd.choice([8, 14, 16, 20, 24])}", strict=False)) for _ in range(80)}
+    nets |= {"2001:db8::/32", "2001:db8:1::/48"}
+    hosts = [f"10.{rnd.randint(0, 4)}.{rnd.randint(0, 255)}.{rnd.randint(0, 255)}" for _ in range(200)] + ["2001:db8:1::5", "2001:db8:2::5", "192.0.2.1"]
+    table = enrich.prefix_table(spark.createDataFrame([(n,) for n in nets], "px string"), "px")
+    flows = spark.createDataFrame([(h,) for h in hosts], "ip string").withColumn("ip16", to_ip16("ip"))
+
+    def best(host):
+        hits = [n for n in map(ipaddress.ip_network, nets) if ipaddress.ip_address(host) in n]
+        return str(max(hits, key=lambda n: n.prefixlen)) if hits else None
+
+    want = sorted((h, best(h)) for h in hosts)
+    key = lambda r: (r[0], r[1] or "")
+    got = [(r.ip, r.matched_prefix) for r in enrich.match_prefixes(flows, "ip16", table).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    monkeypatch.setattr(enrich, "pin_if_small", lambda df: sizing.broadcast_if_bounded(df, 1))
+    got = [(r.ip, r.matched_prefix) for r in enrich.match_prefixes(flows, "ip16", table).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
