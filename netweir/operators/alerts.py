@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.addr import label_address
+from ..functions.addr import ip_text, label_address
 from ..functions.timeb import instant
 from ..plans.sizing import broadcast_if_bounded
 from .top import top_sources
@@ -133,8 +133,6 @@ def auto_resolve(alerts: DataFrame, as_of: datetime, stale: int = STALE_SECONDS)
 
 def target_identity(violations: DataFrame) -> DataFrame:
     """Dedup identity of a violation: the address text, or a synthetic address for a label target."""
-    from ..functions.addr import ip_text
-
     label = F.col("target_kind") == "label"
     return violations.withColumn("target_id", F.when(label, ip_text(label_address("target"))).otherwise(F.col("target")))
 

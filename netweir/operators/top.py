@@ -15,7 +15,7 @@ from ..functions.addr import in_cidrs, in_scope, let, parse_networks, same_addre
 from ..functions.asn import asymmetry_class, asymmetry_ratio, grouped_as, grouped_as_name
 from ..functions.names import protocol_name, service_name
 from ..functions.timeb import instant
-from ..params import QueryParams
+from ..params import QueryParams, order_column
 from ..plans.filters import by_links, in_range, scoped, top_k, without_as
 from .dims import with_as_info, with_link_info
 
@@ -111,10 +111,11 @@ def prefix_group(prefix, p: QueryParams) -> tuple[Column, Column]:
 
 
 def top_prefix(rows: DataFrame, as_dim: DataFrame, p: QueryParams) -> DataFrame:
-    # Prefixes are summed as text first, so the address test runs once per distinct prefix.  It reads an
-    # aggregate's output: a test of the grouping column itself would be pushed below the aggregate.
-    per_text = scoped(rows, p).groupBy("prefix", "as_number").agg(*totals(), F.min("prefix").alias("text"))
-    key, keep = prefix_group("text", p)
+    # Prefixes are summed as text first, so the address test runs once per distinct prefix.  The (always true)
+    # condition on a sum keeps the test there: on the grouping column alone it would move below the aggregate.
+    per_text = scoped(rows, p).groupBy("prefix", "as_number").agg(*totals())
+    key, keep = prefix_group("prefix", p)
+    keep = F.when(F.col("total_flows") >= 0, keep)
     grouped = (
         per_text.filter(keep)
         .groupBy(key.alias("grouped_prefix"), "as_number")
@@ -324,6 +325,4 @@ def protocols_by_direction(protocols: DataFrame) -> DataFrame:
 
 def display_share(page: DataFrame, metric: str) -> DataFrame:
     """Share of the displayed total of the chosen metric (bytes, packets or flows)."""
-    from ..params import order_column
-
     return share(page, order_column(metric), "share")

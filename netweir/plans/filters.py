@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.addr import in_cidrs, same_address
+from ..functions.addr import in_cidrs, parse_networks, same_address
 from ..functions.timeb import between
 from ..params import FlowFilters, QueryParams
 
@@ -46,8 +46,6 @@ def syn_only(flags="tcp_flags") -> Column:
 
 
 def _address(ip16: str, text: str) -> Column:
-    from ..functions.addr import parse_networks
-
     if not parse_networks([text]):
         raise ValueError(f"invalid address or prefix: {text!r}")
     return in_cidrs(ip16, [text]) if "/" in text else same_address(ip16, text)

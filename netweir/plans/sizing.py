@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
@@ -48,6 +49,11 @@ def config_rows(df: DataFrame, max_rows: int = CONFIG_ROWS) -> list[Row]:
     return rows
 
 
+@cache
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="netweir-")
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """Fresh folder under the cluster's shared checkpoint folder.
 
@@ -57,8 +63,7 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        base = tempfile.mkdtemp(prefix="netweir-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_scratch()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 

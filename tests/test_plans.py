@@ -83,3 +83,20 @@ def test_rollup_is_one_shuffle_with_map_side_combine(c, lake):
     stored, _ = lake
     text = plan(build(stored["flows"], ROLLUPS["traffic_by_as"]))
     assert text.count("Exchange hashpartitioning") == 1 and text.count("HashAggregate") == 2 and text.count("FileScan") == 1
+
+
+def test_prefix_scope_is_tested_after_a_hash_aggregate(c, lake):
+    _, root = lake
+    p = P.with_(scope="internal", local_prefixes=("192.0.2.0/24", "198.51.100.0/24"))
+    text = plan(top.top_prefix(c.ev["traffic_by_prefix"], c.as_dim, p))
+    assert "SortAggregate" not in text
+    below = text[text.index("Exchange hashpartitioning(prefix"):]
+    assert "Filter" not in below.split("Generate")[0].replace("Filter isnotnull", "")
+
+
+def test_headline_rollups_use_hash_aggregates(c, lake):
+    from netweir.plans.rollup import build
+
+    stored, _ = lake
+    for name in ("traffic_by_as", "traffic_by_ip", "traffic_by_prefix", "traffic_by_link", "traffic_by_port", "flows_log"):
+        assert "SortAggregate" not in plan(build(stored["flows"], ROLLUPS[name])), name
