@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import license, mixing, quality, warc, work
+from . import decontaminate, license, mixing, quality, toxicity, warc, work
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,19 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def toxicity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The categories that the given labels hold, in chain order: low quality, then toxic."""
+    return _table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 0).cast("int").alias("low_quality"), F.col("toxic").cast("int").alias("toxic"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), toxicity_labels(spark, sf_dir), ["low_quality", "toxic"])
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work.folder(spark, "warc")
     warc.write(_table(spark, sf_dir, "pages"), path)
@@ -29,7 +42,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_license_scan, op4_mixing, op9_warc, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_license_scan, op4_mixing, op5_toxicity, op6_decontamination, op9_warc, op10_quality_rules)}
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
