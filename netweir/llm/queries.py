@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, license, mixing, quality, toxicity, warc, work
+from . import decontaminate, license, mixing, quality, substring, toxicity, warc, work
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_substrings(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.license_scan(_table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_license_scan, op4_mixing, op5_toxicity, op6_decontamination, op9_warc, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_license_scan, op4_mixing, op5_toxicity, op6_decontamination, op9_warc, op10_quality_rules)}
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -106,4 +110,15 @@ b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND 100 * n_common_words <= 50 * n_words AS kept, n_common_words FROM b"""
 
-ORACLES = {"op3_license_scan": _license_sql(), "op9_warc": _WARC_SQL, "op10_quality_rules": _QUALITY_SQL}
+_SUBSTRING_SQL = rf"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '') AS words FROM documents),
+win AS (SELECT doc_id, unnest(list_transform(range(greatest(len(words) - 19, 0)), lambda i: {{'i': i, 'x': sha256(array_to_string(words[i + 1 : i + 20], ' '))}})) AS y FROM d),
+later AS (SELECT doc_id, y.i AS i FROM win QUALIFY row_number() OVER (PARTITION BY y.x ORDER BY doc_id, y.i) > 1),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM later) GROUP BY doc_id),
+placed AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS p FROM d),
+lost AS (SELECT DISTINCT doc_id, unnest(ps) AS p FROM gone),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM placed ANTI JOIN lost USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, len(words)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+
+ORACLES = {"op1_substring_dedup": _SUBSTRING_SQL, "op3_license_scan": _license_sql(), "op9_warc": _WARC_SQL, "op10_quality_rules": _QUALITY_SQL}
