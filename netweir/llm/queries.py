@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, license, mixing, quality, substring, toxicity, warc, work
+from . import decontaminate, license, mixing, nearest, quality, substring, toxicity, warc, work
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work.folder(spark, "warc")
     warc.write(_table(spark, sf_dir, "pages"), path)
@@ -46,7 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_license_scan, op4_mixing, op5_toxicity, op6_decontamination, op9_warc, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_license_scan, op4_mixing, op5_toxicity, op6_decontamination, op7_minhash, op9_warc, op10_quality_rules)}
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -121,4 +125,17 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n
 SELECT d.doc_id, len(words)::BIGINT AS n_words, len(words)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)"""
 
-ORACLES = {"op1_substring_dedup": _SUBSTRING_SQL, "op3_license_scan": _license_sql(), "op9_warc": _WARC_SQL, "op10_quality_rules": _QUALITY_SQL}
+_MINHASH_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{license.UPPER}', '{license.LOWER}'), '{_SPACE}'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(len(w) - 2), lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+edge AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(doc_id, other) AS (SELECT a, b FROM edge UNION SELECT reach.doc_id, edge.b FROM reach JOIN edge ON reach.other = edge.a)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(d.doc_id, coalesce(min(other), d.doc_id)) AS component_id,
+  d.doc_id <= coalesce(min(other), d.doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach USING (doc_id) GROUP BY d.doc_id"""
+
+ORACLES = {"op7_minhash": _MINHASH_SQL, "op1_substring_dedup": _SUBSTRING_SQL, "op3_license_scan": _license_sql(), "op9_warc": _WARC_SQL, "op10_quality_rules": _QUALITY_SQL}
