@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, license, mixing, nearest, quality, substring, toxicity, warc, work
+from . import decontaminate, license, linedup, mixing, nearest, quality, substring, toxicity, warc, work
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_substrings(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.license_scan(_table(spark, sf_dir, "documents"))
 
@@ -50,7 +55,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_license_scan, op4_mixing, op5_toxicity, op6_decontamination, op7_minhash, op9_warc, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_license_scan, op4_mixing, op5_toxicity, op6_decontamination, op7_minhash, op9_warc, op10_quality_rules)}
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -138,4 +143,19 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(d.doc_id, coal
   d.doc_id <= coalesce(min(other), d.doc_id) AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach USING (doc_id) GROUP BY d.doc_id"""
 
-ORACLES = {"op7_minhash": _MINHASH_SQL, "op1_substring_dedup": _SUBSTRING_SQL, "op3_license_scan": _license_sql(), "op9_warc": _WARC_SQL, "op10_quality_rules": _QUALITY_SQL}
+_LINES_SQL = rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents),
+w AS MATERIALIZED (SELECT doc_id, no, list_filter(string_split_regex(translate(line, '{license.UPPER}', '{license.LOWER}'), '{_SPACE}'), lambda x: x <> '') AS w FROM l),
+f AS MATERIALIZED (SELECT doc_id, no, w, array_to_string(w, ' ') AS x FROM w WHERE len(w) >= 5),
+u AS MATERIALIZED (SELECT x, any_value(w) AS w, min((doc_id, no)) AS place FROM f GROUP BY x),
+v AS MATERIALIZED (SELECT place, unnest(list_transform(range(len(w)), lambda i: {{'i': i, 'v': array_to_string(list_concat(w[1 : i], w[i + 2 :]), ' ')}})) AS y FROM u),
+near AS (SELECT b.place FROM v a JOIN v b ON a.y.v = b.y.v AND a.y.i = b.y.i AND a.place < b.place
+  UNION SELECT v.place FROM u JOIN v ON u.x = v.y.v AND u.place < v.place
+  UNION SELECT u.place FROM u JOIN v ON u.x = v.y.v AND v.place < u.place),
+gone AS (SELECT doc_id, no FROM f JOIN u USING (x) WHERE (doc_id, no) <> u.place OR u.place IN (SELECT place FROM near)),
+t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY no) FILTER (g IS NULL) AS kept, count(*) AS n, count(g) AS r
+  FROM l LEFT JOIN (SELECT *, 1 AS g FROM gone) USING (doc_id, no) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(r, 0)::BIGINT AS n_removed, CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256
+FROM documents d LEFT JOIN t USING (doc_id)"""
+
+ORACLES = {"op2_line_dedup": _LINES_SQL, "op7_minhash": _MINHASH_SQL, "op1_substring_dedup": _SUBSTRING_SQL, "op3_license_scan": _license_sql(), "op9_warc": _WARC_SQL, "op10_quality_rules": _QUALITY_SQL}
