@@ -150,3 +150,27 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = repeated_lines(texts).groupBy("id").agg(F.collect_list("no").alias("numbers"))
     out = texts.join(gone, "id", "left").mapInArrow(_strip, "id long, text string, n_lines long, n_removed long")
     return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_lines", "n_removed")
+
+
+NUMBERS = "_removed_line_numbers"
+
+
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns as they are but the text without its repeated lines; one that thereby loses its last word goes."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    gone = repeated_lines(texts).groupBy("id").agg(F.collect_list("no").alias(NUMBERS)).withColumnRenamed("id", NUMBERS + "_of")
+
+    names = docs.columns
+
+    def strip(batches):
+        for batch in batches:
+            texts, keep = batch.column(text_col).to_pylist(), []
+            for i, numbers in enumerate(batch.column(NUMBERS).to_pylist()):
+                if numbers:
+                    drop = set(numbers)
+                    texts[i] = "\n".join(x for j, x in enumerate(texts[i].split("\n")) if j not in drop)
+                keep.append(not numbers or bool(texts[i].strip(" \t\n\v\f\r")))
+            columns = [pa.array(texts, batch.schema.field(c).type) if c == text_col else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
+
+    return docs.join(gone, docs[id_col] == gone[NUMBERS + "_of"], "left").drop(NUMBERS + "_of").mapInArrow(strip, docs.schema)
