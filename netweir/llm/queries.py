@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, license, linedup, mixing, nearest, quality, substring, toxicity, warc, work
+from . import decontaminate, license, linedup, mixing, nearest, quality, substring, suffixes, toxicity, warc, work
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_bytes(_table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work.folder(spark, "warc")
     warc.write(_table(spark, sf_dir, "pages"), path)
@@ -55,7 +59,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_license_scan, op4_mixing, op5_toxicity, op6_decontamination, op7_minhash, op9_warc, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_license_scan, op4_mixing, op5_toxicity, op6_decontamination, op7_minhash, op8_suffix_dedup, op9_warc, op10_quality_rules)}
 
 _SPACE = r"[\x20\x09-\x0D]+"
 

@@ -17,7 +17,7 @@ from . import textnp as t
 from .work import stored
 
 MINIMISER = 4
-PLACE = t.U64((1 << 26) - 1)
+PLACE = t.U64((1 << 32) - 1)
 CHUNK = 8 << 20
 KMERS = "mini long, id long, start long, words binary"
 FOUND = "id long, start long, n long, w1 long, w2 long"
@@ -47,8 +47,8 @@ def super_kmers(window: int, m: int = MINIMISER):
     return run
 
 
-def _whole_minimisers(batches):
-    """Tables of rows in order, cut only where the minimiser changes; with each, whether it is the partition's first or last."""
+def whole_keys(batches, key: str):
+    """Tables of rows in order, cut only where the key changes; with each, whether it is the partition's first or last."""
     held, size, limit, begun = [], 0, CHUNK, False
     for batch in batches:
         if not batch.num_rows:
@@ -58,9 +58,9 @@ def _whole_minimisers(batches):
         if size < limit:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
-        mini = table.column("mini").to_numpy()
+        mini = table.column(key).to_numpy()
         cut = int(np.flatnonzero(np.concatenate(([True], mini[1:] != mini[:-1])))[-1])
-        if not cut:  # one minimiser so far: a range partition bounds it
+        if not cut:  # one key so far: a range partition bounds it
             held, limit = table.to_batches(), 2 * size
             continue
         yield table.slice(0, cut), not begun, False
@@ -70,6 +70,38 @@ def _whole_minimisers(batches):
         yield pa.Table.from_batches(held), not begun, True
 
 
+def mark_repeats(key, own, doc, place, w1, w2, is_first: bool, is_last: bool, later_only: bool):
+    """Runs of windows found more than once (all, or those behind the first), and first windows of keys that a range boundary may cut, with n = 0.
+
+    ``own`` is each window's row of ``key``; windows come by (key, doc, place), so equal ones stay in that order. Equal places are one occurrence.
+    """
+    order = np.argsort(w1, kind="stable")
+    x, y = w1[order], w2[order]
+    head = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))[: len(order)]
+    group = np.cumsum(head) - 1
+    lead = order[head][group]
+    again = (doc[order] != doc[lead]) | (place[order] != place[lead])
+    marked = np.zeros(len(order), bool)
+    marked[order] = again if later_only else np.bincount(group, weights=again, minlength=1)[group] > 0
+    hit = np.flatnonzero(marked)
+    if len(hit):
+        new = np.flatnonzero(np.concatenate(([True], (np.diff(hit) != 1) | (np.diff(own[hit]) != 0))))
+        yield _found(doc[hit[new]], place[hit[new]], np.diff(np.append(new, len(hit))), None, None)
+    open_ends = [key[0]] * is_first + [key[-1]] * is_last
+    if open_ends:
+        kept = order[head]
+        kept = kept[np.isin(key[own[kept]], open_ends)]
+        yield _found(doc[kept], place[kept], np.zeros(len(kept), np.int64), w1[kept].view(np.int64), w2[kept].view(np.int64))
+
+
+def crossing(found: DataFrame, later_only: bool) -> DataFrame:
+    """(id, start, n = 1) of the windows that another partition holds too, from the rows with n = 0: one a partition for each window."""
+    here, same = F.struct("id", "start"), Window.partitionBy("w1", "w2")
+    ends = found.filter("n = 0").withColumn("first", F.min(here).over(same)).withColumn("last", F.max(here).over(same))
+    ends = ends.filter((F.col("first") != here) if later_only else (F.col("first") != F.col("last")))
+    return ends.select("id", "start", F.lit(1).cast("long").alias("n"))
+
+
 def count_windows(window: int):
     """Sorts the windows of each bucket; those behind the first of their kind come out as runs.
 
@@ -77,7 +109,7 @@ def count_windows(window: int):
     """
 
     def run(batches):
-        for table, is_first, is_last in _whole_minimisers(batches):
+        for table, is_first, is_last in whole_keys(batches, "mini"):
             mini, ids, begin = (table.column(c).to_numpy() for c in ("mini", "id", "start"))
             buf, off = t.utf8(table.column("words").combine_chunks())
             starts, ends, first = t.spans(buf, off)
@@ -86,22 +118,7 @@ def count_windows(window: int):
             own = row[at]
             w1, w2 = (t.window_hash(t.span_hash(t.prefix(buf, a), starts, ends, a), window, b)[at] for a, b in (t.BASES, t.BASES[::-1]))
             doc, place = ids[own], begin[own] + at - first[own]
-            order = np.argsort(w1, kind="stable")  # rows come by id and start, so equal windows stay in that order
-            x, y = w1[order], w2[order]
-            head = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
-            lead = order[np.flatnonzero(head)][np.cumsum(head) - 1]
-            later = np.zeros(len(at), bool)
-            later[order] = (doc[order] != doc[lead]) | (place[order] != place[lead])
-            hit = np.flatnonzero(later)
-            if len(hit):
-                new = np.flatnonzero(np.concatenate(([True], (np.diff(hit) != 1) | (np.diff(own[hit]) != 0))))
-                n = np.diff(np.append(new, len(hit)))
-                yield _found(doc[hit[new]], place[hit[new]], n, None, None)
-            open_ends = [mini[0]] * is_first + [mini[-1]] * is_last
-            if open_ends:
-                kept = order[head]
-                kept = kept[np.isin(mini[own[kept]], open_ends)]
-                yield _found(doc[kept], place[kept], np.zeros(len(kept), np.int64), w1[kept].view(np.int64), w2[kept].view(np.int64))
+            yield from mark_repeats(mini, own, doc, place, w1, w2, is_first, is_last, later_only=True)
 
     return run
 
@@ -148,9 +165,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kmers = rows.filter(F.col("id").isNotNull() & F.col("text").isNotNull()).mapInArrow(super_kmers(window), KMERS)
     sorted_kmers = kmers.repartitionByRange("mini", "id", "start").sortWithinPartitions("mini", "id", "start")
     found = stored(sorted_kmers.mapInArrow(count_windows(window), FOUND), "substring-found")
-    here = F.struct("id", "start")
-    cut = found.filter("n = 0").withColumn("first", F.min(here).over(Window.partitionBy("w1", "w2"))).filter(F.col("first") != here)
-    runs = found.filter("n > 0").select("id", "start", "n").unionByName(cut.select("id", "start", F.lit(1).cast("long").alias("n")))
+    runs = found.filter("n > 0").select("id", "start", "n").unionByName(crossing(found, later_only=True))
     spans = runs.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     none = F.array().cast("array<struct<start:long,n:long>>")
     out = rows.join(spans, "id", "left").withColumn("spans", F.coalesce("spans", none))
