@@ -30,22 +30,19 @@ class Link:
 
 
 def features(buf: np.ndarray, off: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Fingerprints of each lower-cased word and of its leading 4 to 8 bytes, as parallel arrays; and the rows' first words."""
+    """32-bit fingerprints of each lower-cased word and of its leading 4 to 8 bytes, as parallel arrays; and the rows' first words."""
     low = t.LOWER[buf]
     starts, ends, first = t.spans(low, off, t.ALNUM_WORD)
     sums = t.prefix(low)
-    whole = t.span_hash(sums, starts, ends)
-    out = [whole]
-    for n in PREFIXES:
-        out.append(t.span_hash(sums, starts, np.minimum(starts + n, ends)) ^ t.U64(n))
-    return out, first
+    out = [t.span_hash(sums, starts, ends), *(t.span_hash(sums, starts, np.minimum(starts + n, ends)) ^ t.U64(n) for n in PREFIXES)]
+    return [x.astype(np.uint32) for x in out], first
 
 
 def _distinct(batches):
     for batch in t.blocks(batches, "text"):
         parts, first = features(*t.utf8(batch.column("text")))
         row = t.row_of(first)
-        lists = [np.unique(np.concatenate([p[a:b] for p in parts])) for a, b in zip(first[:-1], first[1:])] if len(row) else [np.zeros(0, t.U64)] * batch.num_rows
+        lists = [np.unique(np.concatenate([p[a:b] for p in parts])) for a, b in zip(first[:-1], first[1:])] if len(row) else [np.zeros(0, np.uint32)] * batch.num_rows
         keep = [c for c in batch.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([x.tobytes() for x in lists], pa.binary())], names=[*keep, "features"])
 
@@ -81,9 +78,16 @@ def _columns(vocabulary: np.ndarray, chosen: np.ndarray, at: np.ndarray, doc: np
 def fit(sample: pa.Table, categories: list[str], folds: int = 3, n_features: int = 400, min_df: int = 5, ridge: float = 1.0) -> list[Link]:
     """Fits the chain. A model's view of earlier categories is out of fold: each document's probability comes from models that never saw it."""
     rows = sample.num_rows
-    lists = [np.frombuffer(x.as_py(), np.uint64) for x in sample.column("features")]
-    doc = np.repeat(np.arange(rows), [len(x) for x in lists])
-    vocabulary, at = np.unique(np.concatenate(lists), return_inverse=True) if rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    data, off = t.utf8(sample.column("features"))
+    features = data.view(np.uint32)
+    # only what stands in min_df texts or more can be chosen
+    ordered = np.sort(features)
+    runs = np.append(np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))), len(ordered)) if rows else np.zeros(1, np.int64)
+    vocabulary = ordered[runs[:-1][np.diff(runs) >= min_df]] if len(ordered) else ordered
+    del ordered
+    at = np.searchsorted(vocabulary, features).astype(np.int32)
+    known = vocabulary[np.minimum(at, len(vocabulary) - 1)] == features if len(vocabulary) else np.zeros(len(features), bool)
+    doc, at = np.repeat(np.arange(rows, dtype=np.int32), np.diff(off) // 4)[known], at[known]
     fold = sample.column("fold").to_numpy() % folds
     earlier, chain = np.zeros((rows, 0)), []
 
@@ -118,30 +122,25 @@ def fit(sample: pa.Table, categories: list[str], folds: int = 3, n_features: int
     return chain
 
 
-def score(chain: list[Link]):
-    """Probability columns for each text, category by category."""
-
-    def run(batches):
-        for batch in t.blocks(batches, "text"):
-            parts, first = features(*t.utf8(batch.column("text")))
-            row, rows = t.row_of(first), batch.num_rows
-            earlier, out = np.zeros((rows, 0)), []
-            for link in chain:
-                seen = np.zeros((rows, len(link.features) + 1), bool)
-                if len(link.features):
-                    for p in parts:
-                        slot = np.minimum(np.searchsorted(link.features, p), len(link.features) - 1)
-                        hit = link.features[slot] == p
-                        seen[row[hit], slot[hit]] = True
-                p = 1 / (1 + np.exp(-np.clip(seen[:, :-1] @ link.weights + earlier @ link.before + link.bias, -30, 30)))
-                out.append(pa.array(p))
-                earlier = np.hstack((earlier, _log_odds(p)[:, None]))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *out], names=["id", *(f"p_{link.category}" for link in chain)])
-
-    return run
-
-
-def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", sample: int = 8000) -> list[Link]:
+def probabilities(chain: list[Link], column: pa.Array) -> list[np.ndarray]:
+    """Of each text, category by category."""
+    parts, first = features(*t.utf8(column))
+    row, rows = t.row_of(first), len(column)
+    earlier, out = np.zeros((rows, 0)), []
+    for link in chain:
+        seen = np.zeros((rows, len(link.features) + 1), bool)
+        if len(link.features):
+            for p in parts:
+                slot = np.minimum(np.searchsorted(link.features, p), len(link.features) - 1)
+                hit = link.features[slot] == p
+                seen[row[hit], slot[hit]] = True
+        p = 1 / (1 + np.exp(-np.clip(seen[:, :-1] @ link.weights + earlier @ link.before + link.bias, -30, 30)))
+        out.append(p)
+        earlier = np.hstack((earlier, _log_odds(p)[:, None]))
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", sample: int = 4000) -> list[Link]:
     """Fits on a bounded sample: at most ``sample`` labelled rows, those of the smallest id hashes, with their whole texts."""
     usable = labels.select(F.col(id_col).cast("long").alias("label_id"), *(F.col(c).cast("int").alias(c) for c in categories)).dropna()
     usable = usable.withColumn("h", F.xxhash64("label_id")).orderBy("h", *categories).limit(sample)
@@ -153,12 +152,28 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
     return fit(table.sort_by([("id", "ascending"), *((c, "ascending") for c in categories)]), categories)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", cut: float = 0.5, sample: int = 8000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", cut: float = 0.5, sample: int = 4000) -> DataFrame:
     """One row per document: a probability per category, and whether the last category reaches ``cut``.
 
     ``categories`` are 0/1 columns of ``labels`` in chain order, the decisive one last. Scoring is one pass over the texts without a shuffle.
     """
     chain = train(docs, labels, categories, id_col, text_col, sample)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = texts.mapInArrow(score(chain), "id long, " + ", ".join(f"p_{c} double" for c in categories))
+
+    def run(batches):
+        for batch in t.blocks(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, probabilities(chain, batch.column("text")))], names=["id", *(f"p_{c}" for c in categories)])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    out = texts.mapInArrow(run, "id long, " + ", ".join(f"p_{c} double" for c in categories))
     return out.select(F.col("id").alias(id_col), *(f"p_{c}" for c in categories), (F.col(f"p_{categories[-1]}") >= cut).alias("rejected"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", cut: float = 0.5, sample: int = 4000) -> DataFrame:
+    """The documents that ``toxicity`` does not reject, all columns as they are, without a shuffle."""
+    chain = train(docs, labels, categories, id_col, text_col, sample)
+
+    def run(batches):
+        for batch in t.blocks(batches, text_col):
+            yield batch.filter(pa.array(probabilities(chain, batch.column(text_col))[-1] < cut))
+
+    return docs.mapInArrow(run, docs.schema)
