@@ -91,7 +91,7 @@ def _regions(masks: list[str], known: np.ndarray, reach: int):
             own = row[at] if len(at) else at
             lo, hi = np.maximum(first[own], at - reach), np.minimum(first[own + 1], at + length + reach)
             new = np.flatnonzero(np.concatenate(([True], lo[1:] >= np.maximum.accumulate(hi)[:-1]))) if len(at) else np.zeros(0, np.int64)
-            stop = np.append(new[1:], len(at)).astype(np.int64)
+            stop = np.append(new[1:], len(at)).astype(np.int64)[: len(new)]
             rows = batch.num_rows
             who = np.concatenate((np.arange(rows), own[new])).astype(np.int64)
             begin = [None] * rows + [int(lo[a] - first[own[a]]) for a in new]
