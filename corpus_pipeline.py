@@ -1,12 +1,57 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: toxicity, line dedup, near-dedup, benchmark decontamination, source mixing.
+
+Documents are removed by id: a document without an id cannot be named and stays (toxicity apart, which judges rows where they are), and rows
+that repeat an id go together.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from netweir.llm import decontaminate, linedup, mixing, nearest, queries, toxicity
 from netweir.llm.work import stored
 
-STAGES = []
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    gone = ids.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain does not reject."""
+    return toxicity.drop_toxic(docs, queries.toxicity_labels(spark, sf_dir), ["low_quality", "toxic"])
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that repeat an earlier one, up to one word edit; one left without a word goes."""
+    return linedup.drop_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (shingles of five words, similarity 0.8), that of the smallest id."""
+    return _without(docs, nearest.near_duplicates(docs, shingle=5, percent=80).filter("NOT kept"))
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark."""
+    benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    return _without(docs, decontaminate.decontaminate(docs, benchmark).filter("contaminated"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies the mix takes of each document."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", dedup_near),
+    ("decontamination", decontaminate_benchmark),
+    ("mixing", mix_sources),
+]
+
+#: The chain's training and the rounding's draws have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
