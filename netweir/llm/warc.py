@@ -117,8 +117,9 @@ def frames(archive: bytes):
 
 def train(pages: DataFrame, html_col: str, samples: int, size: int) -> bytes:
     """A dictionary from at most ``samples`` pages, those of the smallest text hashes; empty if they are too few to train on."""
-    text = F.substring(F.encode(html_col, "UTF-8"), 1, 1 << 14)
-    rows = pages.filter(F.length(html_col) > 0).select(F.xxhash64(html_col).alias("h"), text.alias("x")).orderBy("h", "x").limit(samples).collect()
+    texts = pages.filter(F.length(html_col) > 0).select(F.xxhash64(html_col).alias("h"), F.substring(F.encode(html_col, "UTF-8"), 1, 1 << 14).alias("x"))
+    smallest = texts.select("h").distinct().orderBy("h").limit(samples).agg(F.max("h")).first()[0]
+    rows = texts.filter(F.col("h") <= smallest).groupBy("h").agg(F.min("x").alias("x")).orderBy("h").collect() if smallest is not None else []
     try:
         return zstandard.train_dictionary(size, [record(0, "http://", bytes(r.x), None, False) for r in rows]).as_bytes()
     except zstandard.ZstdError:
