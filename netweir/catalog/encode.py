@@ -41,13 +41,19 @@ def v5_datagrams(flows: DataFrame) -> DataFrame:
     return grouped.select("router_ip", F.col("timestamp").cast("timestamp").alias("received_at"), F.concat(head, body).alias("payload"))
 
 
+V4_TEMPLATE, V6_TEMPLATE = 256, 257
+
+
 # (element, width, value) of the exported record; the second order is used in every other slot.
-def _elements() -> list[tuple[int, int, Column]]:
-    return [
-        (8, 4, v4("src_ip")), (12, 4, v4("dst_ip")), (9, 1, be(24, 1)), (13, 1, be(24, 1)), (1, 8, be("bytes", 8)),
-        (2, 4, be("packets", 4)), (4, 1, be("protocol", 1)), (6, 1, be("tcp_flags", 1)), (7, 2, be("src_port", 2)),
+def _elements(version: int) -> list[tuple[int, int, Column]]:
+    if version == 4:
+        ends = [(8, 4, v4("src_ip")), (12, 4, v4("dst_ip")), (9, 1, be(24, 1)), (13, 1, be(24, 1))]
+    else:
+        ends = [(27, 16, to_ip16("src_ip")), (28, 16, to_ip16("dst_ip")), (29, 1, be(48, 1)), (30, 1, be(48, 1)), (60, 1, be(6, 1))]
+    return ends + [
+        (1, 8, be("bytes", 8)), (2, 4, be("packets", 4)), (4, 1, be("protocol", 1)), (6, 1, be("tcp_flags", 1)), (7, 2, be("src_port", 2)),
         (11, 2, be("dst_port", 2)), (10, 4, be("in_interface", 4)), (14, 4, be("out_interface", 4)),
-        (16, 4, be("src_as", 4)), (17, 4, be("dst_as", 4)), (34, 4, be("sampling_rate", 4)), (61, 1, be(0, 1)),
+        (16, 4, be("src_as", 4)), (17, 4, be("dst_as", 4)), (34, 4, be("sampling_rate", 4)), (61, 1, be(F.col("flow_id") % 2, 1)),
     ]
 
 
@@ -56,51 +62,70 @@ def _other_order(items: list) -> list:
 
 
 def templated_datagrams(flows: DataFrame, ipfix: bool = False) -> DataFrame:
-    """Per router and slot one template datagram, then one data datagram per IPv4 flow."""
-    template_set = 2 if ipfix else 0
+    """Per router and slot one datagram with a template for each IP version and an options template, then one data datagram per flow.
+
+    IPFIX records end with an enterprise element, which readers skip.
+    """
+    template_set, options_set = (2, 3) if ipfix else (0, 1)
+    enterprise = [(0x8000 + 999, 4, be(7, 4))] if ipfix else []
     seconds = F.floor(F.unix_micros(F.col("timestamp").cast("timestamp")) / 1_000_000)
     base = flows.withColumns({"slot": bucket("timestamp", V9_SLOT), "secs": seconds})
     odd = F.floor(F.unix_timestamp("slot") / V9_SLOT) % 2 == 1
-    a, b = _elements(), _other_order(_elements())
 
-    def message(body: Column, secs: Column, seq: Column, size: int) -> Column:
+    def message(body: Column, secs: Column, seq: Column) -> Column:
         if ipfix:
-            return F.concat(be(10, 2), be(16 + size, 2), be(secs, 4), be(seq, 4), be(7, 4), body)
+            return F.concat(be(10, 2), be(F.lit(16) + F.octet_length(body), 2), be(secs, 4), be(seq, 4), be(7, 4), body)
         return F.concat(be(9, 2), be(1, 2), be(0, 4), be(secs, 4), be(seq, 4), be(7, 4), body)
 
-    def template(items):
-        fields = [x for kind, width, _ in items for x in (be(kind, 2), be(width, 2))]
-        size = 8 + 4 * len(items)
-        return F.concat(be(template_set, 2), be(size, 2), be(256, 2), be(len(items), 2), *fields), size
+    def template(number: int, items) -> Column:
+        fields = [x for kind, width, _ in items for x in (be(kind, 2), be(width, 2), *([be(32473, 4)] if kind > 0x8000 else []))]
+        return F.concat(be(number, 2), be(len(items), 2), *fields)
+
+    def framed(set_id: int, body: Column) -> Column:
+        """A set with its header; v9 pads it to four bytes."""
+        size = F.octet_length(body)
+        pad = F.lit(0) if ipfix else F.pmod(-size, F.lit(4))
+        return F.concat(be(set_id, 2), be(F.lit(4) + size + pad, 2), body, F.unhex(F.repeat(F.lit("00"), pad)))
 
-    def record(items):
-        size = 4 + sum(width for _, width, _ in items)
-        padded = size if ipfix else size + -size % 4
-        return F.concat(be(256, 2), be(padded, 2), *[v for _, _, v in items], *([be(0, padded - size)] if padded > size else [])), padded
+    def ordered(version: int, other: bool) -> list:
+        items = _elements(version)
+        return (_other_order(items) if other else items) + enterprise
+
+    def templates(other: bool) -> Column:
+        both = F.concat(template(V4_TEMPLATE, ordered(4, other)), template(V6_TEMPLATE, ordered(6, other)))
+        options = F.concat(be(300, 2), be(1, 2), be(1, 2), be(1, 2), be(4, 2))
+        return F.concat(framed(options_set, options), framed(template_set, both))
+
+    def record(version: int, other: bool) -> Column:
+        return framed(V4_TEMPLATE if version == 4 else V6_TEMPLATE, F.concat(*[v for _, _, v in ordered(version, other)]))
 
-    (ta, size_t), (tb, _), (ra, size_r), (rb, _) = template(a), template(b), record(a), record(b)
-    slots = base.select("router_ip", "slot").distinct()
     at = F.unix_timestamp("slot")
-    templates = slots.select(
+    known = base.select("router_ip", "slot").distinct().select(
         "router_ip", F.col("slot").cast("timestamp").alias("received_at"),
-        message(F.when(odd, tb).otherwise(ta), at, F.lit(0), size_t).alias("payload"),
+        message(F.when(odd, templates(True)).otherwise(templates(False)), at, F.lit(0)).alias("payload"),
     )
+    six = F.col("ip_version") == 6
+    body = F.when(six & odd, record(6, True)).when(six, record(6, False)).when(odd, record(4, True)).otherwise(record(4, False))
     data = base.select(
         "router_ip", F.col("timestamp").cast("timestamp").alias("received_at"),
-        message(F.when(odd, rb).otherwise(ra), F.col("secs"), F.col("flow_id") % 4294967295 + 1, size_r).alias("payload"),
+        message(body, F.col("secs"), F.col("flow_id") % 4294967295 + 1).alias("payload"),
     )
-    return templates.unionByName(data)
+    return known.unionByName(data)
 
 
 def sflow_datagrams(flows: DataFrame) -> DataFrame:
-    """One flow sample with an Ethernet/IPv4 header per IPv4 flow; every other frame carries a VLAN tag."""
+    """One flow sample with an Ethernet and IPv4 or IPv6 header per flow; every other frame carries a VLAN tag."""
     tagged = F.col("flow_id") % 2 == 1
-    ether = F.concat(be(0, 8), be(0, 4), F.when(tagged, F.concat(be(0x8100, 2), be(5, 2), be(0x0800, 2))).otherwise(be(0x0800, 2)))
-    ip = F.concat(be(0x45, 1), be(0, 8), be("protocol", 1), be(0, 2), v4("src_ip"), v4("dst_ip"))
+    six = F.col("ip_version") == 6
+    kind = F.when(six, be(0x86DD, 2)).otherwise(be(0x0800, 2))
+    ether = F.concat(be(0, 8), be(0, 4), F.when(tagged, F.concat(be(0x8100, 2), be(5, 2), kind)).otherwise(kind))
+    ip = F.when(six, F.concat(be(0x60, 1), be(0, 5), be("protocol", 1), be(64, 1), to_ip16("src_ip"), to_ip16("dst_ip"))).otherwise(
+        F.concat(be(0x45, 1), be(0, 8), be("protocol", 1), be(0, 2), v4("src_ip"), v4("dst_ip"))
+    )
     l4 = F.concat(be("src_port", 2), be("dst_port", 2), be(0, 8), be(0x50, 1), be("tcp_flags", 1), be(0, 2))
     frame = F.concat(ether, ip, l4)
     rec_len = F.lit(16) + F.octet_length(frame)
-    # 50 or 54 header bytes: two bytes reach the 4-byte boundary.
+    # 50 or 54 header bytes (70 or 74 with IPv6): two bytes reach the 4-byte boundary.
     record = F.concat(be(1, 4), be(rec_len, 4), be(1, 4), be("bytes", 4), be(4, 4), be(F.octet_length(frame), 4), frame, be(0, 2))
     sample = F.concat(
         be("flow_id", 4), be(0, 4), be("sampling_rate", 4), be(0, 8), be("in_interface", 4), be("out_interface", 4), be(1, 4), record

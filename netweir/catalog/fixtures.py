@@ -107,7 +107,10 @@ ALERTS = """SELECT concat('a-', CAST(event_id AS VARCHAR(20))) AS id,
        concat('203.0.', CAST(user_id % 16 AS VARCHAR(20)), '.', CAST(1 + event_id % 32 AS VARCHAR(20))) AS target,
        CASE WHEN event_id % 9 = 0 THEN 'label' ELSE 'ip' END AS target_kind,
        CAST(floor(value * 100 + 0.5) AS BIGINT) AS metric_value,
-       CASE event_id % 5 WHEN 0 THEN 'resolved' WHEN 1 THEN 'acknowledged' ELSE 'active' END AS status
+       CASE event_id % 5 WHEN 0 THEN 'resolved' WHEN 1 THEN 'acknowledged' ELSE 'active' END AS status,
+       CASE WHEN event_id % 5 = 1 THEN 'night@example.net' END AS acknowledged_by,
+       CASE WHEN event_id % 5 = 1 THEN ts + INTERVAL '1' MINUTE END AS acknowledged_at,
+       CASE WHEN event_id % 5 = 0 THEN ts + INTERVAL '20' MINUTE END AS resolved_at
 FROM events"""
 
 # Audit trail: one entry per order.
@@ -122,5 +125,6 @@ BLOCKS = """SELECT concat('b-', CAST(event_id AS VARCHAR(20))) AS id,
        concat('203.0.', CAST(user_id % 16 AS VARCHAR(20)), '.', CAST(1 + event_id % 32 AS VARCHAR(20))) AS ip,
        CASE WHEN event_id % 4 = 0 THEN 'withdrawn' ELSE 'active' END AS status,
        ts AS blocked_at, ts + INTERVAL '1' HOUR AS expires_at,
-       CASE WHEN event_id % 4 = 0 THEN ts + INTERVAL '10' MINUTE END AS unblocked_at
+       CASE WHEN event_id % 4 = 0 THEN ts + INTERVAL '10' MINUTE END AS unblocked_at,
+       CASE WHEN event_id % 4 = 0 THEN 'alice' END AS unblocked_by, CASE WHEN event_id % 4 = 0 THEN 'false alarm' END AS unblock_reason
 FROM events WHERE event_type = 'error'"""

@@ -67,6 +67,13 @@ _DECODED_SQL = f"""SELECT router_ip, {{ts}} AS timestamp, src_ip, dst_ip, src_as
  FROM flows WHERE {{cond}}"""
 
 
+_TEMPLATED = [*_DECODED, "ip_version", "direction"]
+_MASKED = lambda ip: f"CASE WHEN ip_version = 6 THEN regexp_extract({ip}, '^([0-9a-f]+:[0-9a-f]+:[0-9a-f]+)::', 1) || '::/48' ELSE {net24(ip)} || '/24' END"
+_TEMPLATED_SQL = f"""SELECT router_ip, date_trunc('second', timestamp) AS timestamp, src_ip, dst_ip, src_as, dst_as, {_MASKED('src_ip')} AS src_prefix,
+ {_MASKED('dst_ip')} AS dst_prefix, protocol, src_port, dst_port, tcp_flags, bytes, packets, sampling_rate, in_interface, out_interface, ip_version,
+ CASE WHEN flow_id % 2 = 1 THEN 'out' ELSE 'in' END AS direction FROM flows"""
+
+
 def raw_v4(c, small_as: bool = False) -> DataFrame:
     rows = c.raw_flows("ev").filter("ip_version = 4")
     return rows.filter("src_as < 65536 AND dst_as < 65536") if small_as else rows
@@ -77,46 +84,43 @@ def _(c):
     return ntz(netflow.decode_netflow_v5(encode.v5_datagrams(raw_v4(c, True))).select(*_DECODED), "timestamp")
 
 
-_SLOTS = f"SELECT DISTINCT router_ip, {tb(encode.V9_SLOT)} AS received_at FROM flows WHERE ip_version = 4"
+_SLOTS = f"SELECT DISTINCT router_ip, {tb(encode.V9_SLOT)} AS received_at FROM flows"
 
 
-@query("SRC-04_extract_templates", sql("ev", f"SELECT router_ip, received_at, 256 AS template_id, 49 AS record_length FROM ({_SLOTS})"))
+@query("SRC-04_extract_templates", sql("ev", f"SELECT router_ip, received_at, t AS template_id, CASE t WHEN 256 THEN 49 ELSE 74 END AS record_length FROM ({_SLOTS}), (VALUES (256), (257)) v(t)"))
 def _(c):
-    sets = netflow.export_sets(encode.templated_datagrams(raw_v4(c)))
+    sets = netflow.export_sets(encode.templated_datagrams(c.raw_flows("ev")))
     return ntz(netflow.extract_templates(sets).select("router_ip", "received_at", "template_id", "record_length"), "received_at")
 
 
-_SEC = "date_trunc('second', timestamp)"
-
-
-@query("SRC-05_decode_netflow_v9", sql("ev", _DECODED_SQL.format(ts=_SEC, cond="ip_version = 4")))
+@query("SRC-05_decode_netflow_v9", sql("ev", _TEMPLATED_SQL))
 def _(c):
-    return ntz(netflow.decode_netflow_v9(encode.templated_datagrams(raw_v4(c))).select(*_DECODED), "timestamp")
+    return ntz(netflow.decode_netflow_v9(encode.templated_datagrams(c.raw_flows("ev"))).select(*_TEMPLATED), "timestamp")
 
 
-@query("SRC-06_decode_ipfix", sql("ev", _DECODED_SQL.format(ts=_SEC, cond="ip_version = 4")))
+@query("SRC-06_decode_ipfix", sql("ev", _TEMPLATED_SQL))
 def _(c):
-    return ntz(netflow.decode_ipfix(encode.templated_datagrams(raw_v4(c), True)).select(*_DECODED), "timestamp")
+    return ntz(netflow.decode_ipfix(encode.templated_datagrams(c.raw_flows("ev"), True)).select(*_TEMPLATED), "timestamp")
 
 
 @query("SRC-07_decode_sflow_v5", sql("ev", """SELECT router_ip, timestamp, src_ip, dst_ip, protocol,
  CASE WHEN protocol IN (6, 17) THEN src_port ELSE 0 END AS src_port, CASE WHEN protocol IN (6, 17) THEN dst_port ELSE 0 END AS dst_port,
- CASE WHEN protocol = 6 THEN tcp_flags ELSE 0 END AS tcp_flags, bytes, 1 AS packets, sampling_rate, in_interface, out_interface
- FROM flows WHERE ip_version = 4"""))
+ CASE WHEN protocol = 6 THEN tcp_flags ELSE 0 END AS tcp_flags, bytes, 1 AS packets, sampling_rate, in_interface, out_interface, ip_version
+ FROM flows"""))
 def _(c):
-    rows = sflow.decode_sflow_v5(encode.sflow_datagrams(raw_v4(c)))
+    rows = sflow.decode_sflow_v5(encode.sflow_datagrams(c.raw_flows("ev")))
     return ntz(rows.select("router_ip", "timestamp", "src_ip", "dst_ip", "protocol", "src_port", "dst_port", "tcp_flags", "bytes",
-                           F.col("packets").cast("int").alias("packets"), "sampling_rate", "in_interface", "out_interface"), "timestamp")
+                           F.col("packets").cast("int").alias("packets"), "sampling_rate", "in_interface", "out_interface", "ip_version"), "timestamp")
 
 
 @query("SRC-08_route_datagrams", sql("ev", f"""SELECT 'netflow5' AS kind, count(DISTINCT (router_ip, timestamp, sampling_rate)) AS n FROM flows WHERE {_V4}
-UNION ALL SELECT 'netflow9', (SELECT count(*) FROM flows WHERE ip_version = 4) + (SELECT count(*) FROM ({_SLOTS}))
-UNION ALL SELECT 'ipfix', (SELECT count(*) FROM flows WHERE ip_version = 4) + (SELECT count(*) FROM ({_SLOTS}))
-UNION ALL SELECT 'unknown', count(*) FROM flows WHERE ip_version = 4"""))
+UNION ALL SELECT 'netflow9', (SELECT count(*) FROM flows) + (SELECT count(*) FROM ({_SLOTS}))
+UNION ALL SELECT 'ipfix', (SELECT count(*) FROM flows) + (SELECT count(*) FROM ({_SLOTS}))
+UNION ALL SELECT 'unknown', count(*) FROM flows"""))
 def _(c):
-    v4 = raw_v4(c)
+    flows = c.raw_flows("ev")
     mixed = encode.v5_datagrams(raw_v4(c, True))
-    for part in (encode.templated_datagrams(v4), encode.templated_datagrams(v4, True), encode.sflow_datagrams(v4)):
+    for part in (encode.templated_datagrams(flows), encode.templated_datagrams(flows, True), encode.sflow_datagrams(flows)):
         mixed = mixed.unionByName(part)
     return mixed.groupBy(netflow.export_kind().alias("kind")).agg(F.count("*").alias("n"))
 
@@ -137,10 +141,10 @@ _SEARCH = f"""SELECT min(ts) AS ts, {_LOG_TUPLE}, min(tcp_flags) AS tcp_flags, {
  CAST(dst_port AS VARCHAR) AS dst_port, coalesce(sname, '') AS service, CAST(tcp_flags AS VARCHAR) AS tcp_flags,
  CAST(ip_version AS VARCHAR) AS ip_version, CAST(total_bytes AS VARCHAR) AS bytes, CAST(total_packets AS VARCHAR) AS packets,
  CAST(total_flows AS VARCHAR) AS flow_count
- FROM ({_SEARCH} ORDER BY total_bytes DESC, {_LOG_TUPLE} LIMIT 100000) LEFT JOIN svc ON sp = protocol AND sport = dst_port""", "r_log", "svc"))
+ FROM ({_SEARCH} ) LEFT JOIN svc ON sp = protocol AND sport = dst_port""", "r_log", "svc"))
 def _(c):
     path = scratch_dir(c.spark, "export")
-    tables.export_flows_csv(search.search_flows(c.ev["flows_log"], FlowFilters(EV_START, EV_END, limit=100_000)), path)
+    tables.export_flows_csv(search.search_flows(c.ev["flows_log"], FlowFilters(EV_START, EV_END, limit=None)), path)
     back = c.spark.read.option("header", True).csv(path)
     return back.select(*[F.coalesce(n, F.lit("")).alias(n) for n in search.EXPORT_COLUMNS])
 
@@ -511,9 +515,9 @@ def _(c):
     return matched.groupBy("dst_ip", "matched_prefix").agg(F.count("*").alias("n"))
 
 
-@query("JON-04_as_of_template", sql("ev", f"SELECT router_ip, count(*) AS data_sets, CAST(sum(secs) AS BIGINT) AS age_seconds FROM (SELECT router_ip, date_diff('second', {tb(encode.V9_SLOT)}, date_trunc('second', timestamp)) AS secs FROM flows WHERE ip_version = 4) GROUP BY 1"))
+@query("JON-04_as_of_template", sql("ev", f"SELECT router_ip, count(*) AS data_sets, CAST(sum(secs) AS BIGINT) AS age_seconds FROM (SELECT router_ip, date_diff('second', {tb(encode.V9_SLOT)}, date_trunc('second', timestamp)) AS secs FROM flows) GROUP BY 1"))
 def _(c):
-    sets = netflow.export_sets(encode.templated_datagrams(raw_v4(c)))
+    sets = netflow.export_sets(encode.templated_datagrams(c.raw_flows("ev")))
     matched = netflow.match_templates(sets.filter("body IS NOT NULL"), netflow.extract_templates(sets))
     age = F.unix_timestamp("received_at") - F.unix_timestamp("t_at")
     return matched.groupBy("router_ip").agg(F.count("*").alias("data_sets"), F.sum(age).alias("age_seconds"))

@@ -15,8 +15,8 @@ from ..plans.sizing import scratch_dir
 from ..sources import netflow
 from ..streaming import jobs, state
 from . import encode, fixtures as fx
-from .q_flows import _ALERTS, _BLOCKS, _HG, _RECEIVED, EV, EV_END, EV_START, _received, cut, raw_v4, stream_of
-from .q_reads import big, iff
+from .q_flows import _ALERTS, _BLOCKS, _HG, _RECEIVED, EV, EV_END, EV_START, _received, cut, stream_of
+from .q_reads import big, iff, q95
 from .registry import query
 from .sql import SUMS, TOTALS, gname, grouped, local, net24, proto, service, sql, tb
 
@@ -39,7 +39,7 @@ def _violations(c, rule: de.Rule, as_of: datetime = AS_OF) -> DataFrame:
 
 def _hosts(side: str, having: str, metric: str, unique: str, protocol: str, extra: str = "", table: str | None = None) -> str:
     return f"""SELECT 'ip' AS target_kind, {side}_ip AS target, CAST({protocol} AS INT) AS protocol, CAST({metric} AS DOUBLE) AS metric_value, CAST({unique} AS BIGINT) AS unique_count
- FROM {table or 'r_' + side} WHERE {SINCE} AND {local(side + '_ip')} {extra} GROUP BY {side}_ip HAVING {having} ORDER BY metric_value DESC, target LIMIT 100"""
+ FROM {table or 'r_' + side} WHERE {SINCE} AND {local(side + '_ip')} {extra} GROUP BY {side}_ip HAVING {having}"""
 
 
 _BPS, _PPS = f"({big('sum(bytes)')} * 8 / {MONTH})", f"({big('sum(packets)')} / {MONTH})"
@@ -71,7 +71,7 @@ def _(c):
 def _proto_flood(number: int) -> str:
     pps = big(f"floor(CAST(sum(packets) AS BIGINT) / 600)")
     return f"""SELECT 'ip' AS target_kind, dst_ip AS target, {number} AS protocol, CAST({pps} AS DOUBLE) AS metric_value, CAST(0 AS BIGINT) AS unique_count
- FROM r_dst WHERE ts >= TIMESTAMP '2023-12-31 23:50:00' AND protocol = {number} AND {local('dst_ip')} GROUP BY dst_ip HAVING {pps} > 10 ORDER BY metric_value DESC, target LIMIT 100"""
+ FROM r_dst WHERE ts >= TIMESTAMP '2023-12-31 23:50:00' AND protocol = {number} AND {local('dst_ip')} GROUP BY dst_ip HAVING {pps} > 10"""
 
 
 # A ten-minute window ending ten minutes into the data would see little; "since" has no upper bound, so an early
@@ -101,15 +101,14 @@ def _(c):
 
 @query("ALR-09_subnet_flood", sql("ev", f"""SELECT 'ip' AS target_kind, net AS target, 0 AS protocol, CAST({big('floor(' + _BPS + ')')} AS DOUBLE) AS metric_value, CAST(0 AS BIGINT) AS unique_count FROM (
  SELECT {net24('dst_ip')} AS net, bytes, packets FROM r_dst WHERE {SINCE} AND dst_ip LIKE '%.%.%.%') GROUP BY net
- HAVING floor({_BPS}) > 2000 OR floor({_PPS}) > 1 ORDER BY metric_value DESC, target LIMIT 100""", "r_dst"))
+ HAVING floor({_BPS}) > 2000 OR floor({_PPS}) > 1""", "r_dst"))
 def _(c):
     rule = de.Rule("r", "subnet_flood", threshold_bps=2000, threshold_pps=1, window_seconds=MONTH, prefixes=("0.0.0.0/0",))
     return _violations(c, rule)
 
 
 @query("ALR-10_smtp_abuse", sql("ev", f"""SELECT 'ip' AS target_kind, src_ip AS target, 6 AS protocol, CAST(count(*) AS DOUBLE) AS metric_value, count(*) AS unique_count
- FROM f WHERE timestamp >= TIMESTAMP '2024-01-01 00:00:00' AND protocol = 6 AND dst_port IN (25, 465, 587) AND {local('src_ip')} GROUP BY src_ip HAVING count(*) > 3
- ORDER BY floor({_PPS}) DESC, target LIMIT 100"""))
+ FROM f WHERE timestamp >= TIMESTAMP '2024-01-01 00:00:00' AND protocol = 6 AND dst_port IN (25, 465, 587) AND {local('src_ip')} GROUP BY src_ip HAVING count(*) > 3"""))
 def _(c):
     return _violations(c, _rule("smtp_abuse", threshold_count=3))
 
@@ -211,7 +210,7 @@ _SET = [
 def _one(rule: str, side: str, window: int, metric: str, limit: str, extra: str = "", scope: str = "") -> str:
     since = (datetime(2024, 1, 1) - timedelta(seconds=window)).strftime("%Y-%m-%d %H:%M:%S")
     return f"""(SELECT '{rule}' AS rule_id, {side}_ip AS target, CAST({metric} AS DOUBLE) AS metric_value FROM r_{side} WHERE ts >= TIMESTAMP '{since}' AND {scope or local(side + '_ip')} {extra}
- GROUP BY {side}_ip HAVING {metric} > {limit} ORDER BY metric_value DESC, target LIMIT 100)"""
+ GROUP BY {side}_ip HAVING {metric} > {limit})"""
 
 
 def _seeded(r: de.Rule) -> str:
@@ -231,9 +230,21 @@ def _seeded(r: de.Rule) -> str:
         return _one(r.rule_id, "dst", w, f"CASE WHEN {bps} >= {r.threshold_bps} THEN count(DISTINCT src_ip) ELSE 0 END", str(r.threshold_count))
     if r.rule_type == "port_scan":
         return _one(r.rule_id, "src", w, "count(DISTINCT dst_port)", str(r.threshold_count))
+    since = f"ts >= TIMESTAMP '{(datetime(2024, 1, 1) - timedelta(seconds=w)).strftime('%Y-%m-%d %H:%M:%S')}'"
+    if r.rule_type == "subnet_flood":
+        return f"(SELECT {net24('dst_ip')} AS net FROM r_dst WHERE {since} AND {local('dst_ip')} AND dst_ip LIKE '%.%.%.%' GROUP BY 1 HAVING floor({bps}) > {r.threshold_bps})"
+    if r.rule_type == "smtp_abuse":
+        return f"(SELECT src_ip FROM f WHERE {since.replace('ts', 'timestamp', 1)} AND protocol = 6 AND dst_port IN (25, 465, 587) AND {local('src_ip')} GROUP BY 1 HAVING floor({pps}) > {r.threshold_pps})"
+    if r.rule_type == "link_capacity":
+        return f"""(SELECT link_tag FROM (SELECT link_tag, quantile_cont(bps, 0.95) / (capacity_mbps * 1e6) * 100 AS util FROM (
+ SELECT link_tag, ts, CAST(sum(bytes_in + bytes_out) AS BIGINT) * 8 / 3600 AS bps FROM r_linkh WHERE {since} GROUP BY 1, 2) JOIN lk ON tag = link_tag WHERE capacity_mbps > 0 GROUP BY link_tag, capacity_mbps) WHERE util > {r.threshold_count} LIMIT 1)"""
+    assert not r.enabled, r.rule_type
     return ""
 
 
+_V4_SCOPE = tuple(p for p in SCOPE if "." in p)
+
+
 @query("ALR-17_evaluate_rules", sql("ev", " UNION ALL ".join((
     _one("v1", "dst", 3600, "CAST(sum(bytes) AS BIGINT) * 8 / 3600", "3000000"),
     _one("v2", "dst", 600, "CAST(sum(bytes) AS BIGINT) * 8 / 600", "30000000", scope="dst_ip LIKE '192.0.2.%'"),
@@ -245,11 +256,10 @@ def _(c):
 
 
 @query("ALR-16_rule_catalogue", sql("ev", "SELECT rule_id, name, CAST(violations AS BIGINT) AS violations FROM (VALUES " + ", ".join(
-    f"('{r.rule_id}', '{r.name}', {'(SELECT count(*) FROM ' + _seeded(r) + ')' if _seeded(r) else 0})" for r in de.DEFAULT_RULES) + ") AS t(rule_id, name, violations)", "r_dst", "r_src"))
+    f"('{r.rule_id}', '{r.name}', {'(SELECT count(*) FROM ' + _seeded(r) + ')' if _seeded(r) else 0})" for r in de.DEFAULT_RULES) + ") AS t(rule_id, name, violations)", "r_dst", "r_src", "r_linkh"))
 def _(c):
     """The seeded catalogue with the number of violations each rule finds in the whole table."""
-    hosts = [r for r in de.DEFAULT_RULES if r.rule_type in (*de.DST_FAMILY, *de.SRC_FAMILY)]
-    scoped = [replace(r, prefixes=SCOPE) for r in hosts]
+    scoped = [replace(r, prefixes=_V4_SCOPE if r.rule_type == "subnet_flood" else SCOPE) for r in de.DEFAULT_RULES]
     found = de.evaluate_rules(scoped, c.ev, c.links, _EARLY).groupBy("rule_id").agg(F.count("*").alias("violations"))
     rows = de.default_rules(c.spark).join(found, "rule_id", "left")
     return rows.select("rule_id", "name", F.coalesce("violations", F.lit(0).cast("long")).alias("violations"))
@@ -281,8 +291,8 @@ def _(c):
     return al.lifecycle(ticks, datetime(2024, 2, 1)).drop("rule_id")
 
 
-@query("ALR-19_auto_resolve", f"""SELECT id, CASE WHEN gone THEN 'resolved' ELSE status END AS status, CASE WHEN gone THEN TIMESTAMP '2024-01-15 00:00:00' END AS resolved_at FROM (
- SELECT id, status, status = 'active' AND last_seen_at < TIMESTAMP '2024-01-14 23:55:00' AS gone FROM {_ALERTS})""")
+@query("ALR-19_auto_resolve", f"""SELECT id, CASE WHEN gone THEN 'resolved' ELSE status END AS status, CASE WHEN gone THEN TIMESTAMP '2024-01-15 00:00:00' ELSE resolved_at END AS resolved_at FROM (
+ SELECT id, status, resolved_at, status = 'active' AND last_seen_at < TIMESTAMP '2024-01-14 23:55:00' AS gone FROM {_ALERTS})""")
 def _(c):
     return al.auto_resolve(c.alerts, datetime(2024, 1, 15)).select("id", "status", "resolved_at")
 
@@ -294,23 +304,28 @@ def _(c):
     return al.target_identity(tags.unionByName(hosts).distinct())
 
 
+_SHORT = 10 * 86400
+
+
 def _opened(c) -> DataFrame:
-    return c.ev["flows"].filter("protocol = 1").groupBy(F.col("dst_ip").alias("target")).agg(
-        F.count("*").alias("unique_count")).withColumns({"target_kind": F.lit("ip"), "window_seconds": F.lit(MONTH)})
+    """Two alerts on every target, of a long and a short window."""
+    hosts = c.ev["flows"].filter("protocol = 1").groupBy(F.col("dst_ip").alias("target")).agg(F.count("*").alias("unique_count"))
+    return hosts.withColumns({"target_kind": F.lit("ip"), "window_seconds": F.explode(F.array(F.lit(MONTH), F.lit(_SHORT)))})
 
 
-_OPENED = "SELECT dst_ip AS target, count(*) AS unique_count FROM f WHERE protocol = 1 GROUP BY 1"
-_SOURCES = """SELECT dst_ip, list(src_ip ORDER BY rank) AS top_sources FROM (SELECT dst_ip, src_ip, row_number() OVER (PARTITION BY dst_ip ORDER BY sum(bytes) DESC, src_ip) AS rank FROM f GROUP BY 1, 2) WHERE rank <= 5 GROUP BY 1"""
+_OPENED = f"SELECT dst_ip AS target, count(*) AS unique_count, unnest([{MONTH}, {_SHORT}]) AS window_seconds FROM f WHERE protocol = 1 GROUP BY 1"
+_SOURCES = " UNION ALL ".join(f"""SELECT dst_ip, {w} AS w, list(src_ip ORDER BY rank) AS top_sources FROM (SELECT dst_ip, src_ip, row_number() OVER (PARTITION BY dst_ip ORDER BY sum(bytes) DESC, src_ip) AS rank
+ FROM f WHERE timestamp >= TIMESTAMP '{(AS_OF - timedelta(seconds=w)).strftime('%Y-%m-%d %H:%M:%S')}' GROUP BY 1, 2) WHERE rank <= 5 GROUP BY 1""" for w in (MONTH, _SHORT))
 
 
-@query("ALR-21_top_source_enrichment", sql("ev", f"SELECT target, unique_count, array_to_string(top_sources, ', ') AS top_sources FROM ({_OPENED}) JOIN ({_SOURCES}) ON dst_ip = target"))
+@query("ALR-21_top_source_enrichment", sql("ev", f"SELECT target, window_seconds, unique_count, coalesce(array_to_string(top_sources, ', '), '') AS top_sources FROM ({_OPENED}) LEFT JOIN ({_SOURCES}) ON dst_ip = target AND w = window_seconds"))
 def _(c):
     rows = al.with_top_sources(_opened(c), c.ev["flows"], AS_OF)
-    return rows.select("target", "unique_count", F.array_join("top_sources", ", ").alias("top_sources"))
+    return rows.select("target", "window_seconds", "unique_count", F.array_join("top_sources", ", ").alias("top_sources"))
 
 
-@query("ALR-22_details_payload", sql("ev", f"""SELECT target, '{{"top_sources":["' || array_to_string(top_sources, '","') || '"],"unique_count":' || CAST(unique_count AS VARCHAR) || ',"window_seconds":{MONTH}}}' AS details
- FROM ({_OPENED}) JOIN ({_SOURCES}) ON dst_ip = target"""))
+@query("ALR-22_details_payload", sql("ev", f"""SELECT target, '{{' || coalesce('"top_sources":["' || array_to_string(top_sources, '","') || '"],', '') || '"unique_count":' || CAST(unique_count AS VARCHAR) || ',"window_seconds":' || CAST(window_seconds AS VARCHAR) || '}}' AS details
+ FROM ({_OPENED}) LEFT JOIN ({_SOURCES}) ON dst_ip = target AND w = window_seconds"""))
 def _(c):
     rows = al.with_top_sources(_opened(c), c.ev["flows"], AS_OF)
     return rows.select("target", al.details_json().alias("details"))
@@ -327,7 +342,7 @@ def _(c):
 
 
 @query("ALR-25_transitions", f"""SELECT id, CASE WHEN severity = 'info' AND status = 'active' THEN 'resolved' WHEN severity = 'warning' AND status = 'active' THEN 'acknowledged' ELSE status END AS status,
- CASE WHEN severity = 'warning' AND status = 'active' THEN 'ops@example.net' END AS acknowledged_by, CASE WHEN severity = 'info' AND status = 'active' THEN TIMESTAMP '2024-02-01 00:00:00' END AS resolved_at FROM {_ALERTS}""")
+ CASE WHEN severity = 'warning' AND status = 'active' THEN 'ops@example.net' ELSE acknowledged_by END AS acknowledged_by, CASE WHEN severity = 'info' AND status = 'active' THEN TIMESTAMP '2024-02-01 00:00:00' ELSE resolved_at END AS resolved_at FROM {_ALERTS}""")
 def _(c):
     active = F.col("status") == "active"
     at = datetime(2024, 2, 1)
@@ -373,9 +388,9 @@ def _(c):
     return al.block_history(c.blocks, 1000).select("id", "ip", "status", "blocked_at")
 
 
-@query("ALR-28_withdraw", f"SELECT id, CASE WHEN hit THEN 'withdrawn' ELSE status END AS status, CASE WHEN hit THEN 'ops' END AS unblocked_by FROM (SELECT *, ip = '203.0.1.2' AND status = 'active' AS hit FROM {_BLOCKS})")
+@query("ALR-28_withdraw", f"SELECT id, CASE WHEN hit THEN 'withdrawn' ELSE status END AS status, CASE WHEN hit THEN 'ops' ELSE unblocked_by END AS unblocked_by, CASE WHEN hit THEN 'done' ELSE unblock_reason END AS unblock_reason FROM (SELECT *, ip = '203.0.1.2' AND status = 'active' AS hit FROM {_BLOCKS})")
 def _(c):
-    return al.withdraw(c.blocks, "203.0.1.2", AS_OF, "ops", "done").select("id", "status", "unblocked_by")
+    return al.withdraw(c.blocks, "203.0.1.2", AS_OF, "ops", "done").select("id", "status", "unblocked_by", "unblock_reason")
 
 
 @query("ALR-29_threat_summary", sql("ev", f"SELECT count(*) FILTER (status = 'critical') AS critical, count(*) FILTER (status = 'warn') AS warn, count(*) FILTER (status = 'ok') AS ok FROM ({_ANNOTATED})", "r_dst"))
@@ -475,6 +490,15 @@ def _unpivot(section: str, order: str, inner: str, cells: dict[str, str]) -> str
     return f"(WITH n AS (SELECT *, row_number() OVER (ORDER BY {order}) AS row_no FROM ({inner})) SELECT '{section}' AS section, row_no, key, value FROM ({rows}))"
 
 
+def _report_capacity(p: QueryParams) -> str:
+    rate = f"CAST(sum(bytes_in + bytes_out) AS BIGINT) * 8 / {p.step}"
+    tail = QueryParams(p.end - timedelta(seconds=p.step), p.end)
+    return f"""SELECT tag AS link_tag, description, capacity_mbps, coalesce(current_bps, 0) AS current_bps, coalesce(p95_bps, 0) AS p95_bps,
+ CASE WHEN capacity_mbps > 0 THEN coalesce(p95_bps, 0) / (capacity_mbps * 1e6) * 100 END AS u FROM lk
+ LEFT JOIN (SELECT link_tag, {q95('bps')} AS p95_bps FROM (SELECT link_tag, {tb(p.step, 'ts')} AS b, {rate} AS bps FROM r_link WHERE {cut(p)} GROUP BY 1, 2) GROUP BY 1) q ON q.link_tag = tag
+ LEFT JOIN (SELECT link_tag, {big(f'floor({rate})')} AS current_bps FROM r_link WHERE {cut(tail)} GROUP BY 1) w ON w.link_tag = tag"""
+
+
 def _report(frequency: str) -> str:
     p = QueryParams(*report_window(frequency, AS_OF))
     txt = lambda c: f"CAST({c} AS VARCHAR)"
@@ -489,20 +513,19 @@ def _report(frequency: str) -> str:
         _unpivot("top_country", "total_bytes DESC, cc", f"""SELECT cc, total_bytes, total_packets, total_flows, total_bytes / (SELECT sum(bytes) FROM r_as WHERE {cut(p)}) * 100 AS pc FROM (
           SELECT CASE WHEN coalesce(country, '') = '' THEN 'Unknown' ELSE country END AS cc, {TOTALS} FROM r_as r LEFT JOIN an ON r.as_number = an.as_number WHERE {cut(p)} GROUP BY 1 ORDER BY total_bytes DESC, cc LIMIT 20)""",
                  {"country_code": "cc", **three, "percent": pct("pc")}),
+        _unpivot("capacity", "p95_bps DESC, link_tag", _report_capacity(p),
+                 {"link_tag": "link_tag", "description": "description", **{k: txt(k) for k in ("capacity_mbps", "current_bps", "p95_bps")}, "utilization_pct": pct("u")}),
         _unpivot("alerts", "CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END", f"SELECT severity, count(*) AS n FROM {_ALERTS} WHERE status = 'active' GROUP BY 1",
                  {"severity": "severity", "alerts": txt("n.n")}),
     ))
 
 
-_FOUR = ("overview", "top_as", "top_country", "alerts")
-
-
 @query("REP-01_report", sql("ev", _report("weekly"), "r_as", "r_link"))
 def _(c):
-    return reports.report(c.ev, c.links, c.as_dim, c.alerts, "weekly", AS_OF, _FOUR)
+    return reports.report(c.ev, c.links, c.as_dim, c.alerts, "weekly", AS_OF)
 
 
-@query("REP-01_report_all_sections")
+@query("REP-01_report_all_sections", sql("ev", _report("monthly"), "r_as", "r_link"))
 def _(c):
     return reports.report(c.ev, c.links, c.as_dim, c.alerts, "monthly", AS_OF)
 
@@ -510,7 +533,7 @@ def _(c):
 @query("SRC-12_report_bundle", sql("ev", _report("daily"), "r_as", "r_link"))
 def _(c):
     path = scratch_dir(c.spark, "report")
-    reports.write_bundle(reports.report(c.ev, c.links, c.as_dim, c.alerts, "daily", AS_OF, _FOUR), path)
+    reports.write_bundle(reports.report(c.ev, c.links, c.as_dim, c.alerts, "daily", AS_OF), path)
     back = c.spark.read.schema("row_no int, key string, value string, section string").option("header", True).csv(path)
     return back.withColumn("value", F.coalesce("value", F.lit("")))
 
@@ -719,10 +742,10 @@ def _(c):
     return rows.groupBy("event").agg(F.count("*").alias("n"), F.count_distinct("target").alias("targets"))
 
 
-@query("STR-05_template_state", sql("ev", "SELECT router_ip, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS total_bytes, count(DISTINCT src_ip) AS sources FROM flows WHERE ip_version = 4 GROUP BY 1"))
+@query("STR-05_template_state", sql("ev", "SELECT router_ip, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS total_bytes, count(DISTINCT src_ip) AS sources FROM flows GROUP BY 1"))
 def _(c):
     path, out, ckpt = (scratch_dir(c.spark, n) for n in ("datagrams", "matched", "matched-ckpt"))
-    datagrams = encode.templated_datagrams(raw_v4(c))
+    datagrams = encode.templated_datagrams(c.raw_flows("ev"))
     datagrams.write.parquet(path)
     sets = netflow.export_sets(jobs.read_stream(c.spark, path, datagrams.schema))
     matched = state.match_templates_stream(sets)

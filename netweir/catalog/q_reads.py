@@ -192,7 +192,7 @@ def _(c):
 def _(c):
     flows = c.ev["flows"]
     targets = flows.select(F.col("dst_ip").alias("target")).distinct().withColumn("since", F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"))
-    return top.top_sources(flows, targets, 5)
+    return top.top_sources(flows, targets, 5).drop("since")
 
 
 @query("TOP-20_display_share", sql("li", f"""SELECT as_num, total_packets, total_packets / sum(total_packets) OVER () * 100 AS share FROM (

@@ -7,11 +7,11 @@ from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.addr import ip_text, label_address
 from ..functions.timeb import instant
-from ..plans.sizing import broadcast_if_bounded
+from ..plans.filters import since
 from .top import top_sources
 
 SEVERITY_RANK = {"info": 0, "warning": 1, "critical": 2}
@@ -156,23 +156,19 @@ def details_json(top_sources="top_sources", unique="unique_count", window="windo
 
 
 def with_top_sources(opened: DataFrame, flows: DataFrame, as_of: datetime, n: int = 5) -> DataFrame:
-    """The heaviest sources of newly opened address alerts only, as an ordered array.
+    """The heaviest sources of newly opened address alerts within each alert's own window, as an ordered array.
 
-    The flows are cut to the widest alert window before the join.
+    The flows are cut to the widest alert window before the join; that width is one number, read when the plan is built.
     """
-    targets = opened.filter(F.col("target_kind") == "ip").select(
-        "target", (instant(as_of) - F.make_dt_interval(secs=F.col("window_seconds"))).alias("since")
-    )
-    # Newly opened alerts are few: a map-side join spares the flows a shuffle.
-    targets = broadcast_if_bounded(targets.groupBy("target").agg(F.min("since").alias("since")))
-    oldest = targets.agg(F.min("since").alias("m")).scalar()
-    recent = flows.filter(F.col("timestamp") >= oldest)
-    best = top_sources(recent, targets, n)
-    listed = best.groupBy("target").agg(
+    opened = opened.withColumn("since", instant(as_of) - F.make_dt_interval(secs=F.col("window_seconds")))
+    targets = opened.filter(F.col("target_kind") == "ip").select("target", "since").distinct()
+    widest = opened.agg(F.coalesce(F.max("window_seconds"), F.lit(0))).first()[0]
+    best = top_sources(since(flows, as_of - timedelta(seconds=int(widest)), "timestamp"), targets, n)
+    listed = best.groupBy("target", "since").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "src_ip"))), lambda s: s["src_ip"]).alias("top_sources")
     )
     none = F.expr("CAST(array() AS array<string>)")
-    return opened.join(listed, "target", "left").withColumn("top_sources", F.coalesce("top_sources", none))
+    return opened.join(listed, ["target", "since"], "left").drop("since").withColumn("top_sources", F.coalesce("top_sources", none))
 
 
 def list_alerts(alerts: DataFrame, status: str = "", limit: int = 100) -> DataFrame:
@@ -187,24 +183,32 @@ def active_by_severity(alerts: DataFrame) -> DataFrame:
     return counts.withColumn("total", F.sum("alerts").over(Window.partitionBy()))
 
 
+def stored(rows: DataFrame, column: str, kind: str) -> Column:
+    """The column as it is, NULL where the table does not have it yet."""
+    return F.col(column) if column in rows.columns else F.lit(None).cast(kind)
+
+
 def transition(alerts: DataFrame, condition, status: str, at: datetime, by: str = "") -> DataFrame:
     """Acknowledge/resolve as appended events (alert id, status, time, user)."""
     return alerts.filter(condition).select("id", F.lit(status).alias("status"), instant(at).alias("at"), F.lit(by).alias("by"))
 
 
 def apply_transitions(alerts: DataFrame, events: DataFrame) -> DataFrame:
-    """Current state: the latest event of an alert overrides its stored status."""
+    """Current state: the latest event of an alert overrides its stored status; what it does not set stays as stored."""
     last = events.groupBy("id").agg(F.max(F.struct("at", "status", "by")).alias("e"))
-    joined = alerts.join(last, "id", "left")
-    out = joined.withColumns(
-        {
-            "status": F.coalesce("e.status", "status"),
-            "acknowledged_by": F.when(F.col("e.status") == "acknowledged", F.col("e.by")),
-            "acknowledged_at": F.when(F.col("e.status") == "acknowledged", F.col("e.at")),
-            "resolved_at": F.when(F.col("e.status") == "resolved", F.col("e.at")),
-        }
+    acknowledged, resolved = F.col("e.status") == "acknowledged", F.col("e.status") == "resolved"
+    return (
+        alerts.join(last, "id", "left")
+        .withColumns(
+            {
+                "acknowledged_by": F.when(acknowledged, F.col("e.by")).otherwise(stored(alerts, "acknowledged_by", "string")),
+                "acknowledged_at": F.when(acknowledged, F.col("e.at")).otherwise(stored(alerts, "acknowledged_at", "timestamp_ntz")),
+                "resolved_at": F.when(resolved, F.col("e.at")).otherwise(stored(alerts, "resolved_at", "timestamp_ntz")),
+                "status": F.coalesce("e.status", "status"),
+            }
+        )
+        .drop("e")
     )
-    return out.drop("e")
 
 
 def severity_rank(column: str):
@@ -252,7 +256,7 @@ def active_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def block_history(blocks: DataFrame, limit: int = 200) -> DataFrame:
-    return blocks.orderBy(F.desc("blocked_at"), "id").limit(200 if limit <= 0 else min(limit, 1000))
+    return blocks.orderBy(F.desc("blocked_at"), "id").limit(limit)
 
 
 def withdraw(blocks: DataFrame, ip: str, at: datetime, by: str, reason: str) -> DataFrame:
@@ -260,8 +264,8 @@ def withdraw(blocks: DataFrame, ip: str, at: datetime, by: str, reason: str) ->
     return blocks.withColumns(
         {
             "unblocked_at": F.when(hit, instant(at)).otherwise(F.col("unblocked_at")),
-            "unblocked_by": F.when(hit, F.lit(by)),
-            "unblock_reason": F.when(hit, F.lit(reason)),
+            "unblocked_by": F.when(hit, F.lit(by)).otherwise(stored(blocks, "unblocked_by", "string")),
+            "unblock_reason": F.when(hit, F.lit(reason)).otherwise(stored(blocks, "unblock_reason", "string")),
             "status": F.when(hit, "withdrawn").otherwise(F.col("status")),
         }
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.asn import grouped_as, grouped_as_name
 from ..functions.timeb import instant
-from ..params import QueryParams, clamp_changes_limit, prior_window, route_source
+from ..params import QueryParams, prior_window, route_source
 from ..plans.filters import in_range
 from .dims import with_as_info
 from .top import country_or_unknown, when_sum
@@ -66,7 +66,7 @@ def movers(tables, as_dim: DataFrame, dimension: str, p: QueryParams, limit: int
         raise ValueError(f"unsupported movers dimension: {dimension!r}")
     both = _compared(tables, as_dim, dimension, p).filter((F.col("current") > 0) | (F.col("previous") > 0))
     delta = F.col("current") - F.col("previous")
-    page = both.withColumn("delta", delta).orderBy(F.desc(F.abs("delta")), "entity").limit(clamp_changes_limit(limit))
+    page = both.withColumn("delta", delta).orderBy(F.desc(F.abs("delta")), "entity").limit(limit)
     pct = F.when(F.col("previous") > 0, F.col("delta") / F.col("previous") * 100).otherwise(F.lit(0.0))
     return _labelled(page, as_dim, dimension).select(
         F.lit(dimension).alias("dimension"), F.col("entity").cast("string").alias("key"), "label",
@@ -87,7 +87,7 @@ def talkers(tables, as_dim: DataFrame, dimension: str, p: QueryParams, limit: in
     cur, prev = F.col("current"), F.col("previous")
     one_sided = both.filter(((cur == 0) & (prev > 0)) | ((prev == 0) & (cur > 0)))
     sized = one_sided.withColumn("bytes", F.greatest(cur, prev))
-    page = sized.orderBy(F.desc("bytes"), "entity").limit(clamp_changes_limit(limit))
+    page = sized.orderBy(F.desc("bytes"), "entity").limit(limit)
     return _labelled(page, as_dim, dimension).select(
         F.lit(dimension).alias("dimension"), F.col("entity").cast("string").alias("key"), "label",
         F.when(cur > 0, "new").otherwise("gone").alias("status"), "bytes",

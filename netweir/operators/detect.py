@@ -15,14 +15,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions.addr import in_cidrs, ip_text, network_of
 from ..functions.names import protocol_name, service_name
 from ..functions.timeb import instant
-from ..plans.filters import in_range
+from ..plans.filters import in_range, since
 from ..plans.sizing import config_rows
 from .capacity import utilization
 from .dims import with_as_info
 from .series import Tables
 from .top import percent, volumes, when_sum
 
-MAX_TARGETS = 100
 SMTP_PORTS = (25, 465, 587)
 
 # Fixed values of the statistical baseline.
@@ -136,9 +135,9 @@ def _since(as_of: datetime, seconds: int) -> Column:
     return F.col("ts") >= instant(as_of - timedelta(seconds=seconds))
 
 
-def _unique(rows: DataFrame, sketch: str, raw: str, cond: Column) -> Column:
-    """Distinct values inside a window: united sketches on a stored rollup, exact on raw partials."""
-    if sketch in rows.columns:
+def _unique(sketch: str, raw: str, cond: Column, exact: bool) -> Column:
+    """Distinct values inside a window: counted on raw partials, or estimated from a stored rollup's sketches."""
+    if not exact:
         return F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(F.when(cond, F.col(sketch)))), F.lit(0).cast("long"))
     return F.count_distinct(F.when(cond, F.col(raw)))
 
@@ -162,7 +161,12 @@ def _exceeds(pairs, either: bool = False) -> Column | None:
     return out
 
 
-def _family(rows: DataFrame, side: str, rules: list[Rule], as_of: datetime) -> DataFrame:
+def _oldest(rows: DataFrame, rules: list[Rule], as_of: datetime, ts: str = "ts") -> DataFrame:
+    """Rows of the widest window; day partitions outside it are not read."""
+    return since(rows, as_of - timedelta(seconds=max(r.window_seconds for r in rules)), ts)
+
+
+def _family(rows: DataFrame, side: str, rules: list[Rule], as_of: datetime, exact: bool) -> DataFrame:
     """Violations of every per-host rule on one side (dst or src)."""
     ip, ip16 = f"{side}_ip", f"{side}_ip16"
     windows = sorted({r.window_seconds for r in rules})
@@ -182,11 +186,11 @@ def _family(rows: DataFrame, side: str, rules: list[Rule], as_of: datetime) -> D
                 when_sum(recent & (proto == 17), "packets").alias(f"udp_{w}"),
             ]
         if w in uniques:
-            aggs.append(_unique(rows, sketch, raw, recent).alias(f"unique_{w}"))
+            aggs.append(_unique(sketch, raw, recent, exact).alias(f"unique_{w}"))
     scope = F.lit(False)
     for prefixes in {r.prefixes for r in rules}:
         scope = scope | in_cidrs(ip16, prefixes)
-    sums = rows.filter(_since(as_of, windows[-1]) & scope).groupBy(ip, ip16).agg(*aggs)
+    sums = _oldest(rows, rules, as_of).filter(scope).groupBy(ip, ip16).agg(*aggs)
 
     hits = []
     for r in rules:
@@ -216,9 +220,7 @@ def _family(rows: DataFrame, side: str, rules: list[Rule], as_of: datetime) -> D
         protocol = F.lit(fixed) if fixed else col("proto")
         hit = _violation(r, "ip", F.col(ip), protocol, metric, unique, metric)
         hits.append(F.when(seen & cond & in_cidrs(ip16, r.prefixes), hit))
-    if not hits:
-        return _nothing(rows)
-    return sums.select(F.explode(F.array(*hits)).alias("v")).filter("v IS NOT NULL").select("v.*")
+    return _exploded(sums, hits)
 
 
 def _nothing(rows: DataFrame) -> DataFrame:
@@ -227,41 +229,53 @@ def _nothing(rows: DataFrame) -> DataFrame:
 
 
 def _subnets(rows: DataFrame, rules: list[Rule], as_of: datetime) -> DataFrame:
-    out = None
-    for length in sorted({r.subnet_prefix_len for r in rules}):
-        if not 8 <= length <= 32:
-            raise ValueError(f"subnet prefix length must be 8..32, got {length}")
-        for r in (r for r in rules if r.subnet_prefix_len == length):
-            kept = rows.filter(_since(as_of, r.window_seconds) & in_cidrs("dst_ip16", r.prefixes))
-            sums = kept.groupBy(network_of("dst_ip16", length + 96).alias("net")).agg(
-                F.sum("bytes").alias("b"), F.sum("packets").alias("p")
-            )
-            bps, pps = _whole(F.col("b") * 8 / r.window_seconds), _whole(F.col("p") / r.window_seconds)
-            cond = _exceeds([(bps, r.threshold_bps), (pps, r.threshold_pps)], either=True)
-            if cond is None:
-                continue
-            hit = _violation(r, "ip", ip_text("net"), F.lit(0), bps, F.lit(0), bps)
-            part = sums.filter(cond).select(hit.alias("v")).select("v.*")
-            out = part if out is None else out.unionByName(part)
-    return out if out is not None else _nothing(rows)
-
-
-def _smtp(flows: DataFrame, r: Rule, as_of: datetime) -> DataFrame:
-    since = F.col("timestamp") >= instant(as_of - timedelta(seconds=r.window_seconds))
-    kept = volumes(flows.filter(since & (F.col("protocol") == 6) & F.col("dst_port").isin(*SMTP_PORTS)))
-    kept = kept.filter(in_cidrs("src_ip16", r.prefixes))
-    sums = kept.groupBy("src_ip").agg(F.sum("packets").alias("p"), F.sum("flow_count").alias("flows"))
-    pps, n = _whole(F.col("p") / r.window_seconds), F.col("flows")
-    cond = _exceeds([(pps, r.threshold_pps), (n, r.threshold_count)], either=True)
-    if cond is None:
-        return _nothing(flows)
-    metric = pps if r.threshold_pps > 0 else n
-    return sums.filter(cond).select(_violation(r, "ip", F.col("src_ip"), F.lit(6), metric, n, pps).alias("v")).select("v.*")
+    """All subnet rules in one scan and one shuffle: a row is exploded to the distinct prefix lengths, sums are per (scope, window)."""
+    if bad := [r.subnet_prefix_len for r in rules if not 8 <= r.subnet_prefix_len <= 32]:
+        raise ValueError(f"subnet prefix length must be 8..32, got {bad[0]}")
+    sums, aggs = sorted({(r.prefixes, r.window_seconds) for r in rules}), []
+    for i, (prefixes, window) in enumerate(sums):
+        seen = _since(as_of, window) & in_cidrs("dst_ip16", prefixes)
+        aggs += [when_sum(seen, "bytes").alias(f"b_{i}"), when_sum(seen, "packets").alias(f"p_{i}"), F.count_if(seen).alias(f"n_{i}")]
+    lengths = F.array(*[F.lit(n) for n in sorted({r.subnet_prefix_len for r in rules})])
+    nets = _oldest(rows, rules, as_of).withColumn("length", F.explode(lengths))
+    nets = nets.groupBy("length", network_of("dst_ip16", F.col("length") + 96).alias("net")).agg(*aggs)
+    hits = []
+    for r in rules:
+        i = sums.index((r.prefixes, r.window_seconds))
+        bps, pps = _whole(F.col(f"b_{i}") * 8 / r.window_seconds), _whole(F.col(f"p_{i}") / r.window_seconds)
+        cond = _exceeds([(bps, r.threshold_bps), (pps, r.threshold_pps)], either=True)
+        if cond is not None:
+            here = (F.col("length") == r.subnet_prefix_len) & (F.col(f"n_{i}") > 0)
+            hits.append(F.when(here & cond, _violation(r, "ip", ip_text("net"), F.lit(0), bps, F.lit(0), bps)))
+    return _exploded(nets, hits)
+
+
+def _exploded(sums: DataFrame, hits: list[Column]) -> DataFrame:
+    if not hits:
+        return _nothing(sums)
+    return sums.select(F.explode(F.array(*hits)).alias("v")).filter("v IS NOT NULL").select("v.*")
+
+
+def _smtp(flows: DataFrame, rules: list[Rule], as_of: datetime) -> DataFrame:
+    """All mail-abuse rules in one scan of raw flows and one shuffle."""
+    kept = _oldest(flows, rules, as_of, "timestamp").filter((F.col("protocol") == 6) & F.col("dst_port").isin(*SMTP_PORTS))
+    aggs = []
+    for w in sorted({r.window_seconds for r in rules}):
+        recent = F.col("timestamp") >= instant(as_of - timedelta(seconds=w))
+        aggs += [when_sum(recent, "packets").alias(f"p_{w}"), when_sum(recent, "flow_count").alias(f"flows_{w}")]
+    sums, hits = volumes(kept).groupBy("src_ip", "src_ip16").agg(*aggs), []
+    for r in rules:
+        pps, n = _whole(F.col(f"p_{r.window_seconds}") / r.window_seconds), F.col(f"flows_{r.window_seconds}")
+        cond = _exceeds([(pps, r.threshold_pps), (n, r.threshold_count)], either=True)
+        if cond is not None:
+            hit = _violation(r, "ip", F.col("src_ip"), F.lit(6), pps if r.threshold_pps > 0 else n, n, pps)
+            hits.append(F.when(cond & in_cidrs("src_ip16", r.prefixes), hit))
+    return _exploded(sums, hits)
 
 
 def link_utilization_by_hour(hourly: DataFrame, links: DataFrame, as_of: datetime, window: int) -> DataFrame:
     """p95 of hourly rates over the window against capacity, per link with a capacity."""
-    hours = hourly.filter(_since(as_of, window)).groupBy("link_tag", "ts").agg(
+    hours = since(hourly, as_of - timedelta(seconds=window)).groupBy("link_tag", "ts").agg(
         ((F.sum("bytes_in") + F.sum("bytes_out")) * 8 / F.lit(3600)).alias("bps")
     )
     p95 = hours.groupBy("link_tag").agg(F.percentile("bps", F.lit(0.95)).alias("p95"))
@@ -299,9 +313,8 @@ def anomaly_decision(stats: DataFrame) -> DataFrame:
 def link_samples(hourly: DataFrame, as_of: datetime, link: str = "") -> DataFrame:
     """Rate of the last complete hour and of the same hour of the week over the look-back, per link."""
     current = as_of.replace(minute=0, second=0, microsecond=0) - timedelta(hours=1)
-    rows = hourly.filter(
-        (F.col("ts") >= instant(current - timedelta(weeks=LOOKBACK_WEEKS)))
-        & (F.col("ts") <= instant(current))
+    rows = since(hourly, current - timedelta(weeks=LOOKBACK_WEEKS)).filter(
+        (F.col("ts") <= instant(current))
         & (F.weekday("ts") == current.weekday())
         & (F.hour("ts") == current.hour)
         & (F.col("link_tag") == link if link else F.col("link_tag") != "")
@@ -324,18 +337,25 @@ def _anomaly(hourly: DataFrame, r: Rule, as_of: datetime) -> DataFrame:
     return found.select(hit.alias("v")).select("v.*")
 
 
-def evaluate_rules(rules: list[Rule], tables: Tables, links: DataFrame, as_of: datetime) -> DataFrame:
-    """Violations of all enabled rules: one job per rule family, at most 100 targets per rule."""
+def evaluate_rules(
+    rules: list[Rule], tables: Tables, links: DataFrame, as_of: datetime, max_targets: int | None = None, exact: bool = True
+) -> DataFrame:
+    """Violations of all enabled rules.
+
+    Per-host rules take one scan a side, subnet rules one, mail rules one; link rules one each over hourly rows. ``max_targets`` keeps
+    only that many worst targets of a rule. ``exact=False`` estimates distinct counts from the sketches of stored rollups.
+    """
     live = [r for r in rules if r.enabled and r.rule_type in METRIC_TYPES]
     of = lambda *types: [r for r in live if r.rule_type in types]
     parts = []
     if of(*DST_FAMILY):
-        parts.append(_family(tables["traffic_by_dst_1min"], "dst", of(*DST_FAMILY), as_of))
+        parts.append(_family(tables["traffic_by_dst_1min"], "dst", of(*DST_FAMILY), as_of, exact))
     if of(*SRC_FAMILY):
-        parts.append(_family(tables["traffic_by_src_1min"], "src", of(*SRC_FAMILY), as_of))
+        parts.append(_family(tables["traffic_by_src_1min"], "src", of(*SRC_FAMILY), as_of, exact))
     if of("subnet_flood"):
         parts.append(_subnets(tables["traffic_by_dst_1min"], of("subnet_flood"), as_of))
-    parts += [_smtp(tables["flows"], r, as_of) for r in of("smtp_abuse")]
+    if of("smtp_abuse"):
+        parts.append(_smtp(tables["flows"], of("smtp_abuse"), as_of))
     parts += [_link_capacity(tables["traffic_by_link_hourly"], links, r, as_of) for r in of("link_capacity")]
     parts += [_anomaly(tables["traffic_by_link_hourly"], r, as_of) for r in of("anomaly")]
     if not parts:
@@ -343,19 +363,20 @@ def evaluate_rules(rules: list[Rule], tables: Tables, links: DataFrame, as_of: d
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    w = Window.partitionBy("rule_id").orderBy(F.desc("rank_value"), "target")
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= MAX_TARGETS).select(*VIOLATION)
+    if max_targets is not None:
+        w = Window.partitionBy("rule_id").orderBy(F.desc("rank_value"), "target")
+        out = out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max_targets)
+    return out.select(*VIOLATION)
 
 
 # ---- live threats ---------------------------------------------------------------
 
 
-def live_threats(rows: DataFrame, as_of: datetime, window: int = 300, limit: int = 50, prefixes=()) -> DataFrame:
-    window, limit = min(max(window, 60), 3600), 50 if limit <= 0 else min(limit, 200)
-    kept = rows.filter(_since(as_of, window) & in_cidrs("dst_ip16", prefixes))
+def live_threats(rows: DataFrame, as_of: datetime, window: int = 300, limit: int = 50, prefixes=(), exact: bool = True) -> DataFrame:
+    kept = since(rows, as_of - timedelta(seconds=window)).filter(in_cidrs("dst_ip16", prefixes))
     sums = kept.groupBy("dst_ip").agg(
         F.sum("bytes").alias("b"), F.sum("packets").alias("p"), F.sum("syn_count").alias("s"),
-        _unique(rows, "unique_src_ips", "src_ip16", F.lit(True)).alias("unique_src_ips"),
+        _unique("unique_src_ips", "src_ip16", F.lit(True), exact).alias("unique_src_ips"),
     )
     rated = sums.select(
         F.col("dst_ip").alias("target"), _whole(F.col("b") * 8 / window).alias("bps"), _whole(F.col("p") / window).alias("pps"),

@@ -47,7 +47,7 @@ def purge_tombstones(df: DataFrame, as_of: datetime, days: int) -> DataFrame:
 
 
 def hard_delete(df: DataFrame, key: str, value) -> DataFrame:
-    return df.filter(F.col(key) != value)
+    return df.filter(~F.col(key).eqNullSafe(F.lit(value)))
 
 
 def current_links(links: DataFrame) -> DataFrame:

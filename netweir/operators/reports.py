@@ -17,7 +17,7 @@ TOP_N = 20
 
 def _text(df: DataFrame, name: str) -> Column:
     kind = dict(df.dtypes)[name]
-    return F.format_string("%.2f", name) if kind == "double" else F.col(name).cast("string")
+    return F.when(F.col(name).isNotNull(), F.format_string("%.2f", name)) if kind == "double" else F.col(name).cast("string")
 
 
 def _long(df: DataFrame, section: str, order: list[Column], names: list[str]) -> DataFrame:

@@ -14,7 +14,6 @@ EXPORT_COLUMNS = [
     "ts", "link_tag", "src_ip", "dst_ip", "src_as", "dst_as", "protocol", "protocol_name", "src_port", "dst_port",
     "service", "tcp_flags", "ip_version", "bytes", "packets", "flow_count",
 ]
-EXPORT_ROWS = 100_000
 
 
 def search_flows(log: DataFrame, f: FlowFilters) -> DataFrame:
@@ -27,7 +26,8 @@ def search_flows(log: DataFrame, f: FlowFilters) -> DataFrame:
         grouped = grouped.filter(F.col("total_bytes") >= f.min_bytes)
     first = "ts" if f.order_by == "ts" else "total_bytes"
     ordered = grouped.orderBy(F.desc(first), *TUPLE)
-    return (ordered.offset(f.offset) if f.offset else ordered).limit(f.limit)
+    page = ordered.offset(f.offset) if f.offset else ordered
+    return page if f.limit is None else page.limit(f.limit)
 
 
 def decorate(rows: DataFrame) -> DataFrame:

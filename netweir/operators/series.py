@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.addr import same_address
 from ..functions.asn import asymmetry_class, asymmetry_ratio, grouped_as, grouped_as_name
 from ..functions.timeb import bucket, instant
-from ..params import MAX_LIMIT, FlowFilters, QueryParams, route_source
+from ..params import FlowFilters, QueryParams, route_source
 from ..plans.filters import by_ip_version, by_links, in_range, top_k, without_as
 from ..plans.rollup import ROLLUPS, partials
 from ..plans.sizing import pin_if_small
@@ -133,8 +133,8 @@ def nearest_rank(column: str, q: float = 0.95) -> Column:
 
 
 def _pinned(top: DataFrame) -> DataFrame:
-    """A top list (at most 1000 rows by its limit), computed once and then broadcast to every use."""
-    return pin_if_small(top, MAX_LIMIT)
+    """A top list (as many rows as its limit), computed once; small enough ones are then broadcast to every use."""
+    return pin_if_small(top)
 
 
 def _top_as_raw(flows: DataFrame, p: QueryParams) -> tuple[DataFrame, DataFrame]:

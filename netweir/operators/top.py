@@ -7,16 +7,15 @@ set is ever pulled into one task.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.addr import in_cidrs, in_scope, let, parse_networks, same_address, to_ip16
 from ..functions.asn import asymmetry_class, asymmetry_ratio, grouped_as, grouped_as_name
 from ..functions.names import protocol_name, service_name
-from ..functions.timeb import instant
 from ..params import QueryParams, order_column
-from ..plans.filters import by_links, in_range, scoped, top_k, without_as
+from ..plans.filters import by_links, in_range, scoped, since, top_k, without_as
 from .dims import with_as_info, with_link_info
 
 TOTALS = {"total_bytes": "bytes", "total_packets": "packets", "total_flows": "flow_count"}
@@ -216,7 +215,7 @@ def ip_peers(flows: DataFrame, ip: str, p: QueryParams) -> DataFrame:
 
 def ip_info(flows: DataFrame, as_dim: DataFrame, ip: str, as_of: datetime) -> DataFrame:
     """Most frequent (AS, prefix) of an address over the last day: as source, else as destination."""
-    recent = flows.filter(F.col("timestamp") >= instant(as_of) - F.expr("INTERVAL 1 DAY"))
+    recent = since(flows, as_of - timedelta(days=1), "timestamp")
     side = lambda rank, end: F.when(
         same_address(f"{end}_ip16", ip) & (F.col(f"{end}_as") > 0),
         F.struct(F.lit(rank).alias("rank"), F.col(f"{end}_as").alias("as_number"), F.col(f"{end}_prefix").alias("prefix")),
@@ -286,20 +285,21 @@ def conversations(rows: DataFrame, dimension: str, p: QueryParams, limit: int =
         when_sum(~F.col("fwd"), "packets").alias("rev_packets"),
         F.sum("flow_count").alias("total_flows"),
     )
-    return top_k(grouped, "total_bytes", list(keys), min(limit, 1000) if limit > 0 else 50)
+    return top_k(grouped, "total_bytes", list(keys), limit)
 
 
 def top_sources(flows: DataFrame, targets: DataFrame, n: int = 5) -> DataFrame:
-    """Heaviest sources of each target: ``targets`` has (target, since); n is capped at 50.
+    """Heaviest sources of each (target, since).
 
-    Pre-aggregated per (target, source) before ranking, so a hot target is one row per source.
+    Dealt out by (target, since, source) behind the join, so a flooded target's flows spread over tasks: where
+    the join is shuffled, that exchange also lets a skewed partition split.
     """
-    n = 5 if n <= 0 else min(n, 50)
     joined = volumes(flows).join(
         targets, (F.col("dst_ip") == F.col("target")) & (F.col("timestamp") >= F.col("since")), "inner"
     )
-    grouped = joined.groupBy("target", "src_ip").agg(F.sum("bytes").alias("total_bytes"))
-    w = Window.partitionBy("target").orderBy(F.desc("total_bytes"), "src_ip")
+    spread = joined.select("target", "since", "src_ip", "bytes").repartition("target", "since", "src_ip")
+    grouped = spread.groupBy("target", "since", "src_ip").agg(F.sum("bytes").alias("total_bytes"))
+    w = Window.partitionBy("target", "since").orderBy(F.desc("total_bytes"), "src_ip")
     return grouped.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 

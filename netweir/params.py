@@ -7,10 +7,6 @@ from datetime import datetime, timedelta
 
 METRIC_COLUMNS = {"bytes": "total_bytes", "packets": "total_packets", "flows": "total_flows"}
 
-MAX_LIMIT = 1000
-MAX_OFFSET = 100_000
-MAX_LINK_TAGS = 50
-
 RELATIVE_SECONDS = {
     "15m": 900,
     "1h": 3600,
@@ -42,15 +38,13 @@ class QueryParams:
     local_prefixes: tuple[str, ...] = ()
 
     def __post_init__(self):
-        if not 0 < self.limit <= MAX_LIMIT:
-            object.__setattr__(self, "limit", 20)
-        if not 0 <= self.offset <= MAX_OFFSET:
-            object.__setattr__(self, "offset", 0)
+        if self.limit <= 0 or self.offset < 0:
+            raise ValueError("limit must be positive and offset not negative")
         if self.direction not in ("in", "out"):
             object.__setattr__(self, "direction", "")
         if self.ip_version not in (4, 6):
             object.__setattr__(self, "ip_version", 0)
-        object.__setattr__(self, "link_tags", tuple(self.link_tags)[:MAX_LINK_TAGS])
+        object.__setattr__(self, "link_tags", tuple(self.link_tags))
 
     def with_(self, **kw) -> "QueryParams":
         return replace(self, **kw)
@@ -70,7 +64,7 @@ class QueryParams:
 
 @dataclass(frozen=True)
 class FlowFilters:
-    """Forensic search: empty string and 0 mean "any"."""
+    """Forensic search: empty string and 0 mean "any"; without a limit the whole result is returned."""
 
     start: datetime
     end: datetime
@@ -85,15 +79,14 @@ class FlowFilters:
     ip_version: int = 0
     min_bytes: int = 0
     order_by: str = "bytes"
-    limit: int = 100
+    limit: int | None = 100
     offset: int = 0
 
     def __post_init__(self):
         if self.end < self.start:
             raise ValueError("end must not be before start")
-        if self.end - self.start > timedelta(days=30):
-            raise ValueError("time range cannot exceed 30 days")
-        object.__setattr__(self, "limit", min(self.limit, 100_000) if self.limit > 0 else 100)
+        if (self.limit is not None and self.limit <= 0) or self.offset < 0:
+            raise ValueError("limit must be positive and offset not negative")
 
 
 def order_column(metric: str) -> str:
@@ -154,7 +147,3 @@ def resolve_window(period: str, as_of: datetime) -> tuple[datetime, datetime]:
 def report_window(frequency: str, at: datetime) -> tuple[datetime, datetime]:
     days = {"weekly": 7, "monthly": 30}.get(frequency, 1)
     return at - timedelta(days=days), at
-
-
-def clamp_changes_limit(limit: int) -> int:
-    return 50 if limit <= 0 else min(limit, 1000)

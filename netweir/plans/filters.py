@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.addr import in_cidrs, parse_networks, same_address
-from ..functions.timeb import between
+from ..functions.timeb import between, instant
 from ..params import FlowFilters, QueryParams
 
 
@@ -16,6 +16,13 @@ def in_range(df: DataFrame, start, end, ts: str = "ts") -> DataFrame:
     return df.filter(between(ts, start, end))
 
 
+def since(df: DataFrame, start, ts: str = "ts") -> DataFrame:
+    """From ``start`` on; a ``dt`` partition column, when present, is pruned with it."""
+    if "dt" in df.columns:
+        df = df.filter(F.col("dt") >= F.lit(start.date()))
+    return df.filter(F.col(ts) >= instant(start))
+
+
 def by_direction(df: DataFrame, direction: str) -> DataFrame:
     return df.filter(F.col("direction") == direction) if direction in ("in", "out") else df
 

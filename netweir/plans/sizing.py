@@ -21,15 +21,6 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataF
     return F.broadcast(df) if is_bounded(df, max_rows) else df
 
 
-def spread_small_scan(df: DataFrame) -> DataFrame:
-    """A scan of fewer files than cores is dealt out to all cores; larger tables are left alone.
-
-    A file with one row group is read by one task, and everything up to the first shuffle with it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def pin_if_small(df: DataFrame, max_rows: int = CONFIG_ROWS) -> DataFrame:
     """A config-sized dimension becomes a broadcast local relation, computed once per session use.
 

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.addr import bytes_to_ip16, uint_at
 from .netflow import _finish, _int
 
-MAX_ITEMS = 1000
 VLAN_TYPES = (0x8100, 0x88A8)
 SAMPLES_SCHEMA = (
     "router_ip string, received_at timestamp, sampling_rate long, in_interface long, out_interface long, "
@@ -32,8 +31,8 @@ def _layer3(frame: bytes) -> tuple[int, bytes]:
 
 
 def _items(data: bytes, at: int, count: int, pad: bool) -> Iterator[tuple[int, bytes]]:
-    """(format, body) of the standard-enterprise items of a tag-length-value list."""
-    for _ in range(min(count, MAX_ITEMS)):
+    """(format, body) of the standard-enterprise items of a tag-length-value list, up to the stated count or the end of the bytes."""
+    for _ in range(count):
         if at + 8 > len(data):
             return
         tag, size = _int(data, at, 4), _int(data, at + 4, 4)

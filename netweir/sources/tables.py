@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from .. import schema
-from ..operators.search import EXPORT_ROWS, export_rows
+from ..operators.search import export_rows
 from ..plans.filters import in_range
 
 
@@ -41,12 +41,12 @@ def load_as_names(names: DataFrame, path: str) -> None:
     names.select(*[F.col(f.name).cast(f.dataType) for f in schema.AS_NAME.fields]).write.mode("append").parquet(path)
 
 
-def export_flows_csv(rows: DataFrame, path: str) -> bool:
-    """Search result -> CSV; True when the row cap of the export was reached."""
+def export_flows_csv(rows: DataFrame, path: str) -> int:
+    """Search result -> CSV, whole; returns the rows written (a bound is the search's own ``limit``)."""
     written = Observation()
-    capped = rows.limit(EXPORT_ROWS).observe(written, F.count(F.lit(1)).alias("n"))
-    export_rows(capped).write.mode("overwrite").option("header", True).csv(path)
-    return written.get["n"] >= EXPORT_ROWS
+    observed = rows.observe(written, F.count(F.lit(1)).alias("n"))
+    export_rows(observed).write.mode("overwrite").option("header", True).csv(path)
+    return written.get["n"]
 
 
 def export_table(df: DataFrame, path: str, fmt: str) -> None:

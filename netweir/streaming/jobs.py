@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators import dims, enrich
-from ..plans.rollup import Rollup, build, merge, partials, write_partials
+from ..plans.rollup import LG_K, Rollup, build, merge, partials, write_partials
 from ..plans.sizing import pin_if_small
 
 LATENESS = "24 hours"
@@ -95,12 +95,13 @@ def read_rollup(spark: SparkSession, root: str, spec: Rollup) -> DataFrame:
 
 
 def windowed_rollup(flows: DataFrame, spec: Rollup, lateness: str = LATENESS) -> DataFrame:
-    """Watermarked variant: final rows in append mode, flows later than the watermark are dropped."""
+    """Watermarked variant: final rows in append mode, flows later than the watermark are dropped. Sketches are built from the flows."""
     timed = flows.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", lateness)
     rows = partials(timed, spec, bucketed=False)
     w = F.window("ts", f"{spec.seconds} seconds").alias("w")
-    sums = rows.groupBy(w, *spec.keys).agg(*[F.sum(c).alias(c) for c in spec.sums])
-    return sums.select(F.col("w.start").alias("ts"), *spec.keys, *spec.sums)
+    aggs = [F.sum(c).alias(c) for c in spec.sums] + [F.hll_sketch_agg(src, F.lit(LG_K)).alias(out) for out, src in spec.sketches]
+    sums = rows.groupBy(w, *spec.keys).agg(*aggs)
+    return sums.select(F.col("w.start").alias("ts"), *spec.keys, *spec.sums, *(out for out, _ in spec.sketches))
 
 
 def sliding_rates(minutes: DataFrame, window_seconds: int, step_seconds: int = 30, lateness: str = LATENESS) -> DataFrame:

@@ -13,14 +13,13 @@ from ..operators.alerts import STALE_SECONDS, TICK_SECONDS, KeyState, _seconds,
 from ..sources.netflow import SETS_SCHEMA, TEMPLATE_TTL
 
 IDLE_SECONDS = 3600
-MAX_TEMPLATES = 10_000
 
 ALERT_EVENTS = "rule_id string, target string, event string, at timestamp_ntz, triggered_at timestamp_ntz, metric_value double"
 _ALERT_STATE = "triggered double, seen double, metric double, heartbeats long, cooldown_from double"
 
 
 def alert_events(
-    ticks: DataFrame, stale: int = STALE_SECONDS, tick: int = TICK_SECONDS, lateness: str = "1 minute"
+    ticks: DataFrame, stale: int = STALE_SECONDS, tick: int = TICK_SECONDS, lateness: str = "24 hours"
 ) -> DataFrame:
     """Stream of violations -> opened / heartbeat / resolved events, one state per (rule, target).
 
@@ -76,7 +75,7 @@ _MATCHED = SETS_SCHEMA.replace("received_at timestamp, ", "").replace("sequence
 def match_templates_stream(sets: DataFrame, ttl: int = TEMPLATE_TTL) -> DataFrame:
     """Data sets with the layout of their template, from a stream of sets (templates and data mixed).
 
-    State per (router, source): its templates with arrival times, expired after ``ttl`` and at most 10000.
+    State per (router, source): its templates with arrival times, expired after ``ttl``.
     """
     names = [c.split(" ")[0] for c in _MATCHED.split(", layout")[0].split(", ")] + ["layout"]
 
@@ -92,15 +91,14 @@ def match_templates_stream(sets: DataFrame, ttl: int = TEMPLATE_TTL) -> DataFram
             if layout is not None:
                 plain = {f: None if p is None else {"o": int(p["o"]), "n": int(p["n"])} for f, p in dict(layout).items()}
                 cache[name] = [now, int(length), int(version), plain]
-                if len(cache) > MAX_TEMPLATES:
-                    del cache[min(cache, key=lambda k: cache[k][0])]
                 continue
             known = cache.get(name)
             if known is not None and now - known[0] <= ttl:
                 rows.append((router, exported, source, bytes(body), known[1], known[2], known[3]))
             elif known is not None:
                 del cache[name]
-        state.update((json.dumps(cache),))
+        newest = max((row[0] for row in cache.values()), default=0)
+        state.update((json.dumps({name: row for name, row in cache.items() if newest - row[0] <= ttl}),))
         yield pd.DataFrame(rows, columns=names)
 
     return sets.groupBy("router_ip", "source_id").applyInPandasWithState(

@@ -105,8 +105,52 @@ def test_sketch_rules_agree_with_exact(spark):
     spec = ro.ROLLUPS["traffic_by_dst_1min"]
     rule = de.Rule("r", "amplification", threshold_count=1, window_seconds=3600)
     as_of = T0 + timedelta(minutes=5)
-    run = lambda t: {r.target: r.unique_count for r in de.evaluate_rules([rule], {"traffic_by_dst_1min": t}, None, as_of).collect()}
-    exact, sketch = run(ro.partials(flows, spec)), run(ro.build(flows, spec))
+    run = lambda t, exact: {r.target: r.unique_count for r in de.evaluate_rules([rule], {"traffic_by_dst_1min": t}, None, as_of, exact=exact).collect()}
+    exact, sketch = run(ro.partials(flows, spec), True), run(ro.build(flows, spec), False)
     assert exact.keys() == sketch.keys() and len(exact) == 3
     for target, n in exact.items():
         assert abs(sketch[target] - n) <= max(1, 0.05 * n)
+
+
+def test_every_violation_is_kept_and_a_cut_is_asked_for(spark):
+    from netweir.functions.addr import to_ip16
+
+    rows = [(T0, f"10.{i // 250}.0.{i % 250}", 6, 10**6 + i, 1, 1, 0) for i in range(400)]
+    table = spark.createDataFrame(rows, "ts timestamp_ntz, dst_ip string, protocol int, bytes long, packets long, flow_count long, syn_count long")
+    table = table.withColumn("dst_ip16", to_ip16("dst_ip"))
+    rule = de.Rule("r", "volume_in", threshold_bps=1, window_seconds=60)
+    run = lambda **kw: de.evaluate_rules([rule], {"traffic_by_dst_1min": table}, None, T0, **kw)
+    assert run().count() == 400
+    assert {r.metric_value for r in run(max_targets=3).collect()} == {(10**6 + i) * 8 / 60 for i in (397, 398, 399)}
+
+
+def test_subnet_rules_share_one_scan(spark):
+    from netweir.functions.addr import to_ip16
+
+    rows = [(T0, f"10.1.{i // 200}.{i % 200}", 1000, 2) for i in range(800)]
+    table = spark.createDataFrame(rows, "ts timestamp_ntz, dst_ip string, bytes long, packets long").withColumn("dst_ip16", to_ip16("dst_ip"))
+    rules = [de.Rule(f"r{n}", "subnet_flood", threshold_bps=1, window_seconds=60, subnet_prefix_len=n, prefixes=("10.0.0.0/8",)) for n in (16, 24, 25)]
+    rules.append(de.Rule("none", "subnet_flood", threshold_bps=1, window_seconds=60, prefixes=("192.0.2.0/24",)))
+    found = de.evaluate_rules(rules, {"traffic_by_dst_1min": table}, None, T0)
+    got = sorted((r.rule_id, r.target, r.metric_value) for r in found.collect())
+    assert [x for x in got if x[0] == "r16"] == [("r16", "10.1.0.0", 800 * 1000 * 8 // 60)]
+    assert len([x for x in got if x[0] == "r24"]) == 4 and len([x for x in got if x[0] == "r25"]) == 8 and not [x for x in got if x[0] == "none"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + found._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") == 1
+
+
+def test_transitions_and_withdrawals_leave_other_rows_alone(spark):
+    alerts = spark.createDataFrame([("a", "acknowledged", "eve", T0, None), ("b", "active", None, None, None)], "id string, status string, acknowledged_by string, acknowledged_at timestamp_ntz, resolved_at timestamp_ntz")
+    done = al.transition(alerts, "id = 'b'", "resolved", T0)
+    got = {r.id: r for r in al.apply_transitions(alerts, done).collect()}
+    assert (got["a"].status, got["a"].acknowledged_by, got["a"].acknowledged_at) == ("acknowledged", "eve", T0)
+    assert (got["b"].status, got["b"].resolved_at) == ("resolved", T0)
+    blocks = spark.createDataFrame([("1", "x", "withdrawn", T0, "alice", "mistake"), ("2", "x", "active", None, None, None)], "id string, ip string, status string, unblocked_at timestamp_ntz, unblocked_by string, unblock_reason string")
+    got = {r.id: r for r in al.withdraw(blocks, "x", T0, "bob", "over").collect()}
+    assert (got["1"].unblocked_by, got["1"].unblock_reason, got["2"].unblocked_by, got["2"].status) == ("alice", "mistake", "bob", "withdrawn")
+
+
+def test_top_sources_follow_each_alerts_own_window(spark):
+    flows = spark.createDataFrame([(T0 - timedelta(seconds=30), "t", "s2", 1, 1, 1), (T0 - timedelta(seconds=900), "t", "s1", 9, 1, 1)], "timestamp timestamp_ntz, dst_ip string, src_ip string, bytes long, packets long, sampling_rate int")
+    opened = spark.createDataFrame([("r60", "t", "ip", 60), ("r7200", "t", "ip", 7200), ("r", "label", "label", 60)], "rule_id string, target string, target_kind string, window_seconds int")
+    got = {r.rule_id: r.top_sources for r in al.with_top_sources(opened, flows, T0).collect()}
+    assert got == {"r60": ["s2"], "r7200": ["s1", "s2"], "r": []}

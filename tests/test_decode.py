@@ -151,3 +151,15 @@ def test_sflow(spark):
 def test_sflow_expanded_sample_and_agent_address(spark):
     rows = sflow.decode_sflow_v5(datagrams(spark, sflow5(sample(expanded=True)), router=None)).collect()
     assert [(r.router_ip, r.sampling_rate, r.in_interface, r.out_interface, r.dst_port) for r in rows] == [("10.9.9.9", 512, 5, 6, 443)]
+
+
+def test_long_sflow_datagrams_are_walked_to_their_end():
+    from netweir.sources import sflow
+
+    frame = bytes(12) + b"\x08\x00" + bytes([0x45]) + bytes(8) + bytes([17]) + bytes(2) + bytes([10, 0, 0, 1, 10, 0, 0, 2]) + bytes(8)
+    be = lambda *v: b"".join(x.to_bytes(4, "big") for x in v)
+    body = be(1, len(frame), 4, len(frame)) + frame + bytes(-len(frame) % 4)
+    record = be(1, 16 + len(frame)) + body
+    sample = be(1, 0, 100, 0, 0, 1, 2, 1) + record
+    payload = be(5, 1, 0x0A000001, 0, 0, 0, 1500) + 1500 * (be(1, len(sample)) + sample)
+    assert sum(1 for _ in sflow._packets(payload)) == 1500

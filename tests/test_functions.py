@@ -135,7 +135,10 @@ def test_windows_steps_and_routes():
     assert params.resolve_window("week", T0) == (datetime(2024, 1, 22), T0)
     assert params.resolve_window("yesterday", T0) == (datetime(2024, 1, 23), datetime(2024, 1, 24))
     assert params.resolve_window("x", T0)[0] == T0 - timedelta(hours=24)
-    assert [params.clamp_changes_limit(n) for n in (0, -5, 10, 5000)] == [50, 50, 10, 1000]
+    big = params.QueryParams(datetime(2024, 1, 1), datetime(2024, 1, 2), limit=5000, offset=10**6, link_tags=[f"t{i}" for i in range(60)])
+    assert (big.limit, big.offset, len(big.link_tags)) == (5000, 10**6, 60)
+    for bad in ({"limit": 0}, {"offset": -1}):
+        with pytest.raises(ValueError):
+            params.QueryParams(datetime(2024, 1, 1), datetime(2024, 1, 2), **bad)
     assert params.order_column("drop table") == "total_bytes"
-    with pytest.raises(ValueError):
-        params.FlowFilters(T0 - timedelta(days=31), T0)
+    assert params.FlowFilters(T0 - timedelta(days=31), T0, limit=None).limit is None

@@ -73,10 +73,22 @@ def test_link_attribution_does_not_shuffle_the_flows(c, lake):
 def test_rules_of_a_family_share_one_aggregate_and_cut_per_rule_early(c, lake):
     stored, _ = lake
     rules = [de.Rule(f"r{i}", "volume_in", threshold_bps=10**i, window_seconds=3600) for i in range(1, 5)]
-    text = plan(de.evaluate_rules(rules, stored, c.links, datetime(2024, 1, 20)))
+    text = plan(de.evaluate_rules(rules, stored, c.links, datetime(2024, 1, 20), max_targets=100, exact=False))
     assert text.count("FileScan") == 1 and "WindowGroupLimit" in text
 
 
+def test_as_of_reads_prune_days(c, lake):
+    stored, _ = lake
+    at, scope = datetime(2024, 1, 20), ("192.0.2.0/24", "198.51.100.0/24")
+    rule = lambda kind, **kw: de.Rule("r", kind, window_seconds=3600, prefixes=scope, **kw)
+    rules = (rule("volume_in", threshold_bps=1), rule("amplification", threshold_count=1), rule("subnet_flood", threshold_bps=1), rule("smtp_abuse", threshold_pps=1))
+    reads = [de.evaluate_rules([r], stored, c.links, at, exact=False) for r in rules]
+    reads += [de.live_threats(stored["traffic_by_dst_1min"], at, prefixes=scope, exact=False), top.ip_info(stored["flows"], c.as_dim, "192.0.2.5", at)]
+    for df in reads:
+        scans = [line for line in plan(df).split("\n") if "FileScan" in line and "dt" in line]
+        assert scans and all("PartitionFilters: [isnotnull(dt" in line for line in scans), plan(df)
+
+
 def test_rollup_is_one_shuffle_with_map_side_combine(c, lake):
     from netweir.plans.rollup import build
 
