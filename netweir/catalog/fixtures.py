@@ -106,7 +106,8 @@ ALERTS = """SELECT concat('a-', CAST(event_id AS VARCHAR(20))) AS id,
        ts + (event_id % 900) * INTERVAL '1' SECOND AS last_seen_at,
        concat('203.0.', CAST(user_id % 16 AS VARCHAR(20)), '.', CAST(1 + event_id % 32 AS VARCHAR(20))) AS target,
        CASE WHEN event_id % 9 = 0 THEN 'label' ELSE 'ip' END AS target_kind,
-       CAST(floor(value * 100 + 0.5) AS BIGINT) AS metric_value,
+       CAST(floor(value * 100 + 0.5) AS BIGINT) AS metric_value, CAST(event_id % 7 * 100 AS DOUBLE) AS threshold,
+       CASE event_id % 2 WHEN 0 THEN 'bps' ELSE 'pps' END AS metric_type,
        CASE event_id % 5 WHEN 0 THEN 'resolved' WHEN 1 THEN 'acknowledged' ELSE 'active' END AS status,
        CASE WHEN event_id % 5 = 1 THEN 'night@example.net' END AS acknowledged_by,
        CASE WHEN event_id % 5 = 1 THEN ts + INTERVAL '1' MINUTE END AS acknowledged_at,

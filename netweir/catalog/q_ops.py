@@ -370,12 +370,15 @@ def _(c):
     return routed.select(F.col("id").alias("alert_id"), "webhook_id", "webhook_type")
 
 
-@query("ALR-27_block_candidates", f"""SELECT ip, alert_id, TIMESTAMP '2024-01-31 00:00:00' AS blocked_at, TIMESTAMP '2024-01-31 01:00:00' AS expires_at FROM (
- SELECT target AS ip, id AS alert_id, row_number() OVER (PARTITION BY target ORDER BY triggered_at, id) AS rn FROM {_ALERTS} WHERE status = 'active' AND target_kind = 'ip' AND rule_id = 'r-3'
- AND target NOT IN (SELECT ip FROM {_BLOCKS} WHERE status = 'active')) WHERE rn = 1""")
-def _(c):
-    rows = al.block_candidates(c.alerts, _rules(c), c.blocks, AS_OF)
-    return rows.select("ip", "alert_id", "blocked_at", "expires_at")
+@query("ALR-27_block_candidates", f"""SELECT ip, 32 AS prefix_len, 'auto_block' AS reason, alert_id, rule_name, metric_value, metric_type, threshold, CASE WHEN odd THEN '192.0.2.9, 192.0.2.8' ELSE '' END AS top_sources,
+ printf('Auto-blocked by rule ''%s'': %.2f %s exceeded threshold %.2f.%s', rule_name, metric_value, metric_type, threshold, CASE WHEN odd THEN ' Top sources: 192.0.2.9, 192.0.2.8' ELSE '' END) AS description,
+ 'engine' AS blocked_by, 3600 AS duration_seconds, TIMESTAMP '2024-01-31 00:00:00' AS blocked_at, TIMESTAMP '2024-01-31 01:00:00' AS expires_at FROM (
+ SELECT target AS ip, id AS alert_id, rule_name, CAST(metric_value AS DOUBLE) AS metric_value, metric_type, threshold, metric_value % 2 = 1 AS odd, row_number() OVER (PARTITION BY target ORDER BY triggered_at, id) AS rn
+ FROM {_ALERTS} WHERE status = 'active' AND target_kind = 'ip' AND rule_id = 'r-3' AND target NOT IN (SELECT ip FROM {_BLOCKS} WHERE status = 'active')) WHERE rn = 1""")
+def _(c):
+    none = F.array().cast("array<string>")
+    alerts = c.alerts.withColumn("top_sources", F.when(F.col("metric_value") % 2 == 1, F.array(F.lit("192.0.2.9"), F.lit("192.0.2.8"))).otherwise(none))
+    return al.block_candidates(alerts, _rules(c), c.blocks, AS_OF).drop("status").withColumn("top_sources", F.array_join("top_sources", ", "))
 
 
 @query("ALR-28_blocks_at", f"SELECT id, ip FROM {_BLOCKS} WHERE blocked_at <= TIMESTAMP '2024-01-05 03:10:00' AND TIMESTAMP '2024-01-05 03:10:00' < least(expires_at, coalesce(unblocked_at, expires_at))")

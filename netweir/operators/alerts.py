@@ -227,20 +227,23 @@ def route_notifications(alerts: DataFrame, rules: DataFrame, webhooks: DataFrame
 
 
 def block_candidates(alerts: DataFrame, rules: DataFrame, blocks: DataFrame, as_of: datetime) -> DataFrame:
-    """Block rows for auto-block rules: address targets that are not blocked already, for one hour."""
+    """Block rows for auto-block rules: address targets that are not blocked already, for one hour; one a target, of its earliest alert.
+
+    ``alerts`` carry rule_name, metric_value, metric_type, threshold and top_sources (an array, maybe empty).
+    """
     blocking = rules.filter(F.col("action") == "auto_block").select("rule_id")
     active = blocks.filter(F.col("status") == "active").select(F.col("ip").alias("target"))
     chosen = alerts.filter((F.col("status") == "active") & (F.col("target_kind") == "ip")).join(blocking, "rule_id", "left_semi")
     new = chosen.join(active, "target", "left_anti")
-    # One block per address: its earliest alert.
-    first = new.groupBy("target").agg(F.min(F.struct("triggered_at", "id", "rule_name", "metric_value")).alias("a"))
-    sources = F.lit("")
-    text = F.format_string(
-        "Auto-blocked by rule '%s': %.2f exceeded the threshold.%s", F.col("a.rule_name"), F.col("a.metric_value").cast("double"), sources
-    )
+    carried = ("rule_name", "metric_value", "metric_type", "threshold", "top_sources")
+    first = new.groupBy("target").agg(F.min_by(F.struct("id", *carried), F.struct("triggered_at", "id")).alias("a")).select("target", "a.*")
+    metric, limit = F.col("metric_value").cast("double"), F.col("threshold").cast("double")
+    sources = F.when(F.size("top_sources") > 0, F.concat(F.lit(" Top sources: "), F.array_join("top_sources", ", "))).otherwise("")
+    text = F.format_string("Auto-blocked by rule '%s': %.2f %s exceeded threshold %.2f.%s", "rule_name", metric, "metric_type", limit, sources)
     return first.select(
-        F.col("target").alias("ip"), F.col("a.id").alias("alert_id"), text.alias("description"), F.lit("active").alias("status"),
-        F.lit("engine").alias("blocked_by"), instant(as_of).alias("blocked_at"),
+        F.col("target").alias("ip"), F.lit(32).alias("prefix_len"), F.lit("auto_block").alias("reason"), text.alias("description"), F.lit("active").alias("status"),
+        F.lit("engine").alias("blocked_by"), instant(as_of).alias("blocked_at"), F.col("id").alias("alert_id"), "rule_name", metric.alias("metric_value"),
+        "metric_type", limit.alias("threshold"), "top_sources", F.lit(BLOCK_SECONDS).alias("duration_seconds"),
         instant(as_of + timedelta(seconds=BLOCK_SECONDS)).alias("expires_at"),
     )
 

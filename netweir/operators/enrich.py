@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.addr import in_cidrs, network_of, parse_networks, to_ip16
 from ..functions.asn import is_private
-from ..plans.sizing import pin_if_small
 
 FUTURE_SKEW = "INTERVAL 5 MINUTES"
 PAST_SKEW = "INTERVAL 24 HOURS"
@@ -81,36 +80,18 @@ def exported_direction(code) -> Column:
 
 
 def match_prefixes(df: DataFrame, ip16: str, prefixes: DataFrame, out: str = "matched_prefix") -> DataFrame:
-    """Longest matching prefix from a large ``(prefix, net, length)`` table; no match gives NULL.
+    """Longest matching prefix from a ``(prefix, net, length)`` table of any size; no match gives NULL.
 
-    A bounded table is joined once per distinct length with a broadcast hash join (no
-    shuffle).  Beyond the bound the distinct addresses are matched first and the answer is
-    joined back by address, so the fact rows are shuffled once whatever the number of lengths.
-    A prefix table has at most 129 lengths, so their list is small.
+    Each distinct address is masked to every length the table has (129 at most), all lengths meet the table in one equi-join on (net, length),
+    and the longest hit is joined back by address. Spark broadcasts whichever side it knows to be small.
     """
-    checked = pin_if_small(prefixes)
-    lengths = sorted((r[0] for r in checked.select("length").distinct().collect()), reverse=True)
+    lengths = sorted(r[0] for r in prefixes.select("length").distinct().collect())
     if not lengths:
         return df.withColumn(out, F.lit(None).cast("string"))
-
-    def probe(rows: DataFrame, table: DataFrame) -> DataFrame:
-        found = []
-        for length in lengths:
-            name = f"_p{length}"
-            side = (
-                table.filter(F.col("length") == length)
-                .groupBy(F.col("net").alias("_n"))
-                .agg(F.min("prefix").alias(name))
-            )
-            side = F.broadcast(side) if table is not prefixes else side
-            rows = rows.join(side, network_of(ip16, int(length)) == F.col("_n"), "left").drop("_n")
-            found.append(name)
-        return rows.withColumn(out, F.coalesce(*found)).drop(*found)
-
-    if checked is not prefixes:
-        return probe(df, checked)
-    answers = probe(df.select(ip16).distinct(), prefixes).filter(F.col(out).isNotNull())
-    return df.join(answers, ip16, "left")
+    table = prefixes.groupBy("net", "length").agg(F.min("prefix").alias("prefix"))
+    probes = df.select(ip16).filter(F.col(ip16).isNotNull()).distinct().withColumn("length", F.explode(F.array(*[F.lit(int(n)) for n in lengths])))
+    hits = probes.withColumn("net", network_of(ip16, F.col("length"))).join(table, ["net", "length"])
+    return df.join(hits.groupBy(ip16).agg(F.max_by("prefix", "length").alias(out)), ip16, "left")
 
 
 def prefix_table(df: DataFrame, column: str) -> DataFrame:

@@ -67,10 +67,12 @@ def test_blocks_skip_already_active_and_labels(spark):
         [("1", "r", "x", "active", "ip", "10.0.0.1", T0, 5.0), ("2", "r", "x", "active", "ip", "10.0.0.2", T0, 5.0), ("3", "r", "x", "active", "label", "transit", T0, 5.0),
          ("4", "q", "x", "active", "ip", "10.0.0.3", T0, 5.0)],
         "id string, rule_id string, rule_name string, status string, target_kind string, target string, triggered_at timestamp_ntz, metric_value double")
+    alerts = alerts.selectExpr("*", "'bps' AS metric_type", "4.0D AS threshold", "array('1.1.1.1', '2.2.2.2') AS top_sources")
     rules = spark.createDataFrame([("r", "auto_block"), ("q", "notify")], "rule_id string, action string")
     blocks = spark.createDataFrame([("10.0.0.2", "active"), ("10.0.0.1", "withdrawn")], "ip string, status string")
     rows = al.block_candidates(alerts, rules, blocks, T0).collect()
     assert [r.ip for r in rows] == ["10.0.0.1"] and rows[0].expires_at == T0 + timedelta(hours=1)
+    assert rows[0].description == "Auto-blocked by rule 'x': 5.00 bps exceeded threshold 4.00. Top sources: 1.1.1.1, 2.2.2.2"
 
 
 def test_scope_falls_back_to_global(spark):

@@ -97,14 +97,12 @@ def test_gap_fill_inserts_zero_points(spark):
     assert series.infer_interval(df).first().interval_seconds == 60
 
 
-def test_longest_prefix_beyond_the_broadcast_bound(spark, monkeypatch):
-    """Both join strategies give the longest match; the large-table path is forced by a tiny bound."""
+def test_longest_prefix_is_one_join(spark):
     import ipaddress
     import random
 
     from netweir.functions.addr import to_ip16
     from netweir.operators import enrich
-    from netweir.plans import sizing
 
     rnd = random.Random(5)
     nets = {str(ipaddress.ip_network(f"10.{rnd.randint(0, 3)}.{rnd.randint(0, 255)}.0/{rnd.choice([8, 14, 16, 20, 24])}", strict=False)) for _ in range(80)}
@@ -121,6 +119,5 @@ def test_longest_prefix_beyond_the_broadcast_bound(spark, monkeypatch):
     key = lambda r: (r[0], r[1] or "")
     got = [(r.ip, r.matched_prefix) for r in enrich.match_prefixes(flows, "ip16", table).collect()]
     assert sorted(got, key=key) == sorted(want, key=key)
-    monkeypatch.setattr(enrich, "pin_if_small", lambda df: sizing.broadcast_if_bounded(df, 1))
-    got = [(r.ip, r.matched_prefix) for r in enrich.match_prefixes(flows, "ip16", table).collect()]
-    assert sorted(got, key=key) == sorted(want, key=key)
+    plan = enrich.match_prefixes(flows, "ip16", table)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2  # the match and the way back to the rows
