@@ -1,6 +1,6 @@
 """Benchmark decontamination with spaced seeds.
 
-Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased. Null and empty texts have no words and are clean. Items
+Words are runs of ASCII letters and digits and of non-ASCII characters, lower-cased. Null and empty texts have no words and are clean. Items
 of fewer than ``MIN_ITEM`` words are not searched for. Rows that repeat an id, and rows with a null id, are judged one by one. Items that repeat
 count once each; an item with a null id is searched for and reported as null. Other columns are ignored. Empty tables are fine on either side.
 """
@@ -23,9 +23,8 @@ SLOTS = 1 << 24
 def words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Word fingerprints and the rows' first words."""
     buf, off = t.utf8(batch.column("text"))
-    low = t.LOWER[buf]
-    starts, ends, first = t.spans(low, off, t.ALNUM_WORD)
-    return t.span_hash(t.prefix(low), starts, ends), first
+    starts, ends, first = t.spans(buf, off, t.ALNUM_WORD)
+    return t.span_hash(t.prefix(buf), starts, ends), first
 
 
 def seeds(h: np.ndarray, first: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +130,7 @@ def _verify(window: int):
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 20, min_percent: int = 80
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, min_percent: int = 80
 ) -> DataFrame:
     """One row per document: ``contaminated``, the number of benchmark items found, the smallest id among the best matches and its equal words.
 
@@ -141,7 +140,7 @@ def decontaminate(
     A bit set of fixed size (2 MB) lets texts keep back seeds that no item has; it only saves moving them, the join decides. Only stretches around
     hits leave the scan. Seeds that many texts share split as a skewed join.
     """
-    items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
+    items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_col).alias("item_id"), F.lower(F.col(item_text_col)).alias("text"))
     kind = dict(items.dtypes)["item_id"]
     item_rows = stored(items.mapInArrow(_item_words, f"item long, item_id {kind}, n long, item_words binary").filter(F.col("n") >= MIN_ITEM), "bench-items")
     longest = max(map(len, MASKS))
@@ -152,7 +151,7 @@ def decontaminate(
     slots = item_seeds.select(F.col("key").bitwiseAND(SLOTS - 1).cast("int").alias("s")).distinct().toArrow().column("s").to_numpy()  # at most SLOTS numbers
     known = np.zeros(SLOTS // 8, np.uint8)
     np.bitwise_or.at(known, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text"))
     id_kind = dict(texts.dtypes)["id"]
     rows = stored(texts.mapInArrow(_regions(masks, known, reach), f"row long, id {id_kind}, begin long, words binary, places array<long>, keys array<long>"), "bench-regions")
     regions = rows.filter(F.col("begin").isNotNull())
