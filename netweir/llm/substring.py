@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import textnp as t
 from .work import stored
 
-MINIMISER = 4
+MINIMISER = 2
 PLACE = t.U64((1 << 32) - 1)
-CHUNK = 8 << 20
-KMERS = "mini long, id long, start long, words binary"
+CHUNK = 4 << 20
+KMERS = "mini int, id long, start long, words binary"
 FOUND = "id long, start long, n long, w1 long, w2 long"
 
 
@@ -42,14 +42,17 @@ def super_kmers(window: int, m: int = MINIMISER):
             text, where = t.joined(buf, starts, ends)
             packed = t.binary(*t.gather(text, where[a], where[b] - 1 - where[a]))
             own = row[a]
-            yield pa.RecordBatch.from_arrays([pa.array(grams[place[new]].view(np.int64)), batch.column("id").take(pa.array(own)), pa.array(a - first[own]), packed], names=["mini", "id", "start", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array((grams[place[new]] >> t.U64(32)).astype(np.uint32).view(np.int32)), batch.column("id").take(pa.array(own)), pa.array(a - first[own]), packed], names=["mini", "id", "start", "words"])
 
     return run
 
 
-def whole_keys(batches, key: str):
-    """Tables of rows in order, cut only where the key changes; with each, whether it is the partition's first or last."""
-    held, size, limit, begun = [], 0, CHUNK, False
+def whole_keys(batches, key: str, limit: int):
+    """Tables of about ``limit`` bytes of the sorted rows, cut where the key changes if it does.
+
+    With each, whether its first and its last key may have more rows elsewhere: at the partition's ends, and where one key alone fills a table.
+    """
+    held, size, open_first = [], 0, True
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -58,20 +61,22 @@ def whole_keys(batches, key: str):
         if size < limit:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
-        mini = table.column(key).to_numpy()
-        cut = int(np.flatnonzero(np.concatenate(([True], mini[1:] != mini[:-1])))[-1])
-        if not cut:  # one key so far: a range partition bounds it
-            held, limit = table.to_batches(), 2 * size
-            continue
-        yield table.slice(0, cut), not begun, False
-        rest = table.slice(cut).combine_chunks()
-        held, size, limit, begun = rest.to_batches(), rest.nbytes, CHUNK, True
+        keys = table.column(key).to_numpy()
+        changes = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        if len(changes):
+            cut = int(changes[-1])
+            yield table.slice(0, cut), open_first, False
+            rest = table.slice(cut).combine_chunks()
+            held, size, open_first = rest.to_batches(), rest.nbytes, False
+        else:
+            yield table, True, True
+            held, size, open_first = [], 0, True
     if held:
-        yield pa.Table.from_batches(held), not begun, True
+        yield pa.Table.from_batches(held), open_first, True
 
 
 def mark_repeats(key, own, doc, place, w1, w2, is_first: bool, is_last: bool, later_only: bool):
-    """Runs of windows found more than once (all, or those behind the first), and first windows of keys that a range boundary may cut, with n = 0.
+    """Runs of windows found more than once (all, or those behind the first), and first windows of keys that a boundary may cut, with n = 0.
 
     ``own`` is each window's row of ``key``; windows come by (key, doc, place), so equal ones stay in that order. Equal places are one occurrence.
     """
@@ -102,14 +107,14 @@ def crossing(found: DataFrame, later_only: bool) -> DataFrame:
     return ends.select("id", "start", F.lit(1).cast("long").alias("n"))
 
 
-def count_windows(window: int):
+def count_windows(window: int, limit: int):
     """Sorts the windows of each bucket; those behind the first of their kind come out as runs.
 
-    A minimiser that a range boundary may cut has more occurrences in neighbouring partitions: its first windows come out too, with n = 0.
+    A minimiser that a boundary may cut has more occurrences in the neighbouring part: its first windows come out too, with n = 0.
     """
 
     def run(batches):
-        for table, is_first, is_last in whole_keys(batches, "mini"):
+        for table, is_first, is_last in whole_keys(batches, "mini", limit):
             mini, ids, begin = (table.column(c).to_numpy() for c in ("mini", "id", "start"))
             buf, off = t.utf8(table.column("words").combine_chunks())
             starts, ends, first = t.spans(buf, off)
@@ -151,20 +156,20 @@ def _strip(window: int):
     return run
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, task_bytes: int = CHUNK) -> DataFrame:
     """One row per document: words, words removed, digest of the kept words, and the kept words joined by one space.
 
     Removed is each word covered by a window of ``window`` words whose sequence also starts earlier (smaller id, or same id and earlier start),
     judged on the input.
 
     Consecutive windows that share a minimiser travel as one packed string. Range partitioning by (minimiser, id, start) spreads a hot
-    minimiser over as many partitions as its rows need; what a boundary may have cut meets again by window fingerprint, one row a partition at most. Tasks hold 8 MB of packed
-    windows or one minimiser's part of the partition. Windows compare by two independent 64-bit fingerprints.
+    minimiser over as many partitions as its rows need, and a task holds ``task_bytes`` of packed windows at a time; what a boundary may have cut
+    meets again by window fingerprint, one row a part. Windows compare by two independent 64-bit fingerprints.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     kmers = rows.filter(F.col("id").isNotNull() & F.col("text").isNotNull()).mapInArrow(super_kmers(window), KMERS)
     sorted_kmers = kmers.repartitionByRange("mini", "id", "start").sortWithinPartitions("mini", "id", "start")
-    found = stored(sorted_kmers.mapInArrow(count_windows(window), FOUND), "substring-found")
+    found = stored(sorted_kmers.mapInArrow(count_windows(window, task_bytes), FOUND), "substring-found")
     runs = found.filter("n > 0").select("id", "start", "n").unionByName(crossing(found, later_only=True))
     spans = runs.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     none = F.array().cast("array<struct<start:long,n:long>>")

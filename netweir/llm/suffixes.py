@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import textnp as t
-from .substring import PLACE, crossing, mark_repeats, whole_keys
+from .substring import CHUNK, PLACE, crossing, mark_repeats, whole_keys
 from .work import stored
 
 CONTEXT = 32
@@ -149,9 +149,9 @@ def _strings(length: int):
     return run
 
 
-def _count(length: int):
+def _count(length: int, limit: int):
     def run(batches):
-        for table, is_first, is_last in whole_keys(batches, "key"):
+        for table, is_first, is_last in whole_keys(batches, "key", limit):
             buf, off = t.utf8(table.column("bytes").combine_chunks())
             n = np.diff(off) - length + 1
             own = np.repeat(np.arange(len(n)), n)
@@ -189,7 +189,7 @@ def _strip(length: int):
 RANGES = "array<struct<start:long,stop:long>>"
 
 
-def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, batches: int = 2) -> DataFrame:
+def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, batches: int = 4, task_bytes: int = CHUNK) -> DataFrame:
     """One row per document: bytes, bytes removed, maximal removed runs, digest of the rest, and the removed ranges.
 
     Removed is each byte covered by a string of ``length`` bytes that also starts elsewhere, in any document, judged on the input.
@@ -213,7 +213,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = stored(rows.join(places, "id"), "suffix-candidates")
     strings = texts.mapInArrow(_strings(length), "key long, id long, start long, bytes binary")
     strings = strings.repartitionByRange("key", "id", "start").sortWithinPartitions("key", "id", "start")
-    marked = stored(strings.mapInArrow(_count(length), "id long, start long, n long, w1 long, w2 long"), "suffix-found")
+    marked = stored(strings.mapInArrow(_count(length, task_bytes), "id long, start long, n long, w1 long, w2 long"), "suffix-found")
     runs = marked.filter("n > 0").select("id", "start", "n").unionByName(crossing(marked, later_only=False))
     runs = runs.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     cut = texts.select("id", "text").dropDuplicates(["id"]).join(runs, "id").mapInArrow(_strip(length), f"id long, cut long, sha string, ranges {RANGES}")

@@ -87,8 +87,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def prefix(values: np.ndarray, base: int = BASES[0]) -> np.ndarray:
     """Prefix sums of ``(value + 1) * base**i``."""
-    out = np.zeros(len(values) + 1, U64)
-    np.cumsum((values.astype(U64) + U64(1)) * powers(base, len(values)), out=out[1:])
+    out = np.empty(len(values) + 1, U64)
+    out[0], body = 0, out[1:]
+    body[:] = values
+    body += U64(1)
+    body *= powers(base, len(values))
+    np.cumsum(body, out=body)
     return out
 
 

@@ -34,11 +34,11 @@ def brute_words(rows, window):
     return out
 
 
-@pytest.mark.parametrize("partitions", [1, 23])
-def test_windows_equal_brute_force(spark, partitions):
+@pytest.mark.parametrize("partitions,task_bytes", [(1, 1 << 22), (23, 1 << 22), (3, 300)])
+def test_windows_equal_brute_force(spark, partitions, task_bytes):
     rows = corpus()
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
-    got = substring.dedup_substrings(frame(spark, rows)).collect()
+    got = substring.dedup_substrings(frame(spark, rows), task_bytes=task_bytes).collect()
     spark.conf.set("spark.sql.shuffle.partitions", 4)
     want = brute_words(rows, 20)
     assert len(got) == len(rows)
@@ -67,11 +67,11 @@ def brute_bytes(rows, length):
     return out
 
 
-@pytest.mark.parametrize("batches,partitions", [(1, 2), (3, 19), (4, 4)])
-def test_bytes_equal_brute_force(spark, batches, partitions):
+@pytest.mark.parametrize("batches,partitions,task_bytes", [(1, 2, 300), (3, 19, 1 << 22)])
+def test_bytes_equal_brute_force(spark, batches, partitions, task_bytes):
     rows = corpus(7)
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
-    got = suffixes.dedup_bytes(frame(spark, rows), batches=batches).collect()
+    got = suffixes.dedup_bytes(frame(spark, rows), batches=batches, task_bytes=task_bytes).collect()
     spark.conf.set("spark.sql.shuffle.partitions", 4)
     want = brute_bytes(rows, 200)
     assert len(got) == len(rows)
