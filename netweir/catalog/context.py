@@ -13,6 +13,8 @@ from . import fixtures as fx
 
 
 class Context:
+    exact = True  # distinct counts: counted on raw rows
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir.rstrip("/")
 

@@ -329,13 +329,16 @@ def _(c):
 _AS_KEYS = "ts, link_tag, direction, as_number, ip_version"
 
 
-@query("ROL-14_merge_partials", sql("li", f"SELECT {_AS_KEYS}, {SUMS} FROM r_asd GROUP BY {_AS_KEYS}", "r_asd"))
+@query("ROL-14_merge_partials", sql("ev", f"SELECT {_AS_KEYS}, {SUMS} FROM r_asd GROUP BY {_AS_KEYS}", "r_asd"))
 def _(c):
     spec, daily = ro.ROLLUPS["traffic_by_as_hourly"], ro.ROLLUPS["traffic_by_as_daily"]
-    flows = c.li["flows"]
-    # Two batches (by exporter) written apart, then coarsened together from hours to days.
-    parts = [ro.build(flows.filter(F.col("router_ip") == r), spec) for r in ("10.255.0.1", "10.255.0.2")]
-    return ro.coarsen(parts[0].unionByName(parts[1]), daily)
+    flows = c.ev["flows"]
+    # Two batches (by exporter) appended apart, compacted by day, read back and coarsened from hours to days.
+    path, merged = scratch_dir(c.spark, "partials"), scratch_dir(c.spark, "compacted")
+    for batch, router in enumerate(("10.255.0.1", "10.255.0.2")):
+        ro.write_partials(ro.build(flows.filter(F.col("router_ip") == router), spec), spec, path, batch)
+    ro.compact(c.spark, spec, path, merged)
+    return ro.coarsen(c.spark.read.parquet(merged).drop("dt"), daily)
 
 
 @query("ROL-14_merge_sketches", sql("ev", "SELECT dst_ip, protocol, CAST(sum(bytes) AS BIGINT) AS bytes, count(DISTINCT src_port) < 40 AS small FROM r_dst GROUP BY 1, 2", "r_dst"))

@@ -34,7 +34,7 @@ def _rule(kind: str, **kw) -> de.Rule:
 
 
 def _violations(c, rule: de.Rule, as_of: datetime = AS_OF) -> DataFrame:
-    return de.evaluate_rules([rule], c.ev, c.links, as_of).drop("rule_id")
+    return de.evaluate_rules([rule], c.ev, c.links, as_of, exact=c.exact).drop("rule_id")
 
 
 def _hosts(side: str, having: str, metric: str, unique: str, protocol: str, extra: str = "", table: str | None = None) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 from .. import schema
-from .rollup import ROLLUPS, Rollup, build, partials, write_partials
+from .rollup import ROLLUPS, Rollup, build, coarsen, partials, write_partials
 
 
 class Lake:
@@ -33,6 +33,19 @@ class Lake:
 
 
 def store_rollups(flows: DataFrame, root: str, rollups: list[Rollup] | None = None) -> None:
-    """Batch job: append every rollup of one load of flows (the flows are scanned once per rollup)."""
-    for spec in rollups or ROLLUPS.values():
-        write_partials(build(flows, spec), spec, f"{root}/{spec.name}")
+    """Batch job: append every rollup of one load of flows.
+
+    Hourly and daily tables are coarsened from the load's finer rows, so the flows are scanned once per family.
+    """
+    specs = {spec.name: spec for spec in rollups or ROLLUPS.values()}
+    coarser = {n: [f"{n}_{c}" for c in ("hourly", "daily") if f"{n}_{c}" in specs] for n in specs}
+    derived = {n for names in coarser.values() for n in names}
+    for name in specs:
+        if name in derived:
+            continue
+        rows = build(flows, specs[name])
+        # Kept for the coarser tables (spills to disk; a lost executor recomputes its part).
+        rows = rows.persist() if coarser[name] else rows
+        for n in (name, *coarser[name]):
+            write_partials(rows if n == name else coarsen(rows, specs[n]), specs[n], f"{root}/{n}")
+        rows.unpersist()

@@ -220,7 +220,7 @@ def drop_dimension(partial_rows: DataFrame, spec: Rollup, column: str) -> DataFr
 def write_partials(rows: DataFrame, spec: Rollup, path: str, batch_id: int | None = None) -> None:
     """Append one batch, day-partitioned and sorted so row-group statistics prune.
 
-    With a ``batch_id`` the batch owns its sub-partition and a retry overwrites it (idempotent).
+    With a ``batch_id`` the batch owns its part of each day and a retry overwrites it (idempotent).
     """
     out = rows.withColumn("dt", F.to_date("ts"))
     lead = [c for c in ("dst_ip16", "src_ip16", "ip16", "as_number", "link_tag", "prefix", "port") if c in out.columns]
@@ -234,12 +234,19 @@ def write_partials(rows: DataFrame, spec: Rollup, path: str, batch_id: int | Non
         out.sortWithinPartitions("dt", *lead[:1], "ts")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id", "dt")
+        .partitionBy("dt", "batch_id")
         .parquet(path)
     )
 
 
-def compact(spark, spec: Rollup, path: str, out_path: str) -> None:
-    """Merge an append-only table into a new folder (the caller swaps the folders)."""
+def compact(spark, spec: Rollup, path: str, out_path: str, days=None) -> None:
+    """Merge an append-only table, or some of its days, into another folder.
+
+    Written days replace the same days there and leave the others alone; the caller swaps the folders.
+    """
     table = spark.read.parquet(path)
-    write_partials(merge(table, spec), spec, out_path)
+    table = table.filter(F.col("dt").isin(list(days))) if days is not None else table
+    merged = merge(table, spec).withColumn("dt", F.to_date("ts"))
+    lead = [c for c in ("dst_ip16", "src_ip16", "ip16", "as_number", "link_tag", "prefix", "port") if c in merged.columns]
+    out = merged.repartition("dt", F.hour("ts")).sortWithinPartitions("dt", *lead[:1], "ts")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(out_path)
