@@ -34,11 +34,13 @@ def toxicity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(_table(spark, sf_dir, "documents"), toxicity_labels(spark, sf_dir), ["low_quality", "toxic"])
+    out = toxicity.toxicity(_table(spark, sf_dir, "documents"), toxicity_labels(spark, sf_dir), ["low_quality", "toxic"])
+    return out.withColumn("kept", ~F.col("rejected"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    out = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.withColumn("kept", ~F.col("contaminated"))
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
