@@ -164,4 +164,16 @@ t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY no) FILTER (g IS NULL) AS
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(r, 0)::BIGINT AS n_removed, CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256
 FROM documents d LEFT JOIN t USING (doc_id)"""
 
-ORACLES = {"op2_line_dedup": _LINES_SQL, "op7_minhash": _MINHASH_SQL, "op1_substring_dedup": _SUBSTRING_SQL, "op3_license_scan": _license_sql(), "op9_warc": _WARC_SQL, "op10_quality_rules": _QUALITY_SQL}
+_SUFFIX_SQL = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+win AS (SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, x, unnest(range(greatest(length(x) // 2 - 199, 0)))::INT AS i FROM d)),
+twice AS MATERIALIZED (SELECT doc_id, i FROM win JOIN (SELECT k FROM win GROUP BY k HAVING count(*) > 1) USING (k)),
+runs AS MATERIALIZED (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (
+  SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM twice)) GROUP BY doc_id, g),
+pieces AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS s, a AS e FROM runs UNION ALL SELECT doc_id, max(b), NULL FROM runs GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * s + 1, 2 * (coalesce(e, length(x) // 2) - s)), '' ORDER BY s) AS rest FROM pieces JOIN d USING (doc_id) GROUP BY doc_id),
+cut AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT d.doc_id, length(x)::BIGINT // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, x))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+ORACLES = {"op8_suffix_dedup": _SUFFIX_SQL, "op2_line_dedup": _LINES_SQL, "op7_minhash": _MINHASH_SQL, "op1_substring_dedup": _SUBSTRING_SQL, "op3_license_scan": _license_sql(), "op9_warc": _WARC_SQL, "op10_quality_rules": _QUALITY_SQL}
