@@ -227,20 +227,21 @@ def label_address(label) -> Column:
         F.sequence(F.lit(1), F.octet_length(_c(label))),
         lambda i: F.conv(F.hex(F.substring(F.encode(_c(label), "UTF-8"), i, F.lit(1))), 16, 10).cast("long"),
     )
-    # FNV-1a 64-bit offset basis cbf29ce484222325 and prime 100000001b3.
-    start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("hi"), F.lit(0x84222325).cast("long").alias("lo"))
-    low32 = F.lit(0xFFFFFFFF)
+    # FNV-1a 64-bit offset basis and prime.
+    basis, prime = 0xCBF29CE484222325, 0x100000001B3
+    start = F.struct(F.lit(basis >> 32).cast("long").alias("hi"), F.lit(basis & 0xFFFFFFFF).cast("long").alias("lo"))
+    low32, rest = F.lit(0xFFFFFFFF), F.lit(prime & 0xFFFF)
 
     def mix(acc, code):
         lo = acc["lo"].bitwiseXOR(code)
-        prod = lo * F.lit(0x1B3)
-        # prime = 2^40 + 0x1b3: the high half gains lo << 8 plus the carry of lo * 0x1b3.
-        hi = (acc["hi"] * F.lit(0x1B3) + F.shiftleft(lo, 8) + F.shiftright(prod, 32)).bitwiseAND(low32)
+        prod = lo * rest
+        # prime = 2^40 + rest: the high half gains lo << 8 plus the carry of lo * rest.
+        hi = (acc["hi"] * rest + F.shiftleft(lo, 8) + F.shiftright(prod, 32)).bitwiseAND(low32)
         return F.struct(hi.alias("hi"), prod.bitwiseAND(low32).alias("lo"))
 
     def text(acc):
         return F.concat(F.lpad(F.hex(acc["hi"]), 8, "0"), F.lpad(F.hex(acc["lo"]), 8, "0"))
 
-    empty = F.concat(F.lit("cbf29ce4"), F.lit("84222325"))
+    empty = F.lit(f"{basis:x}")
     digest = F.when(F.octet_length(_c(label)) == 0, empty).otherwise(F.aggregate(codes, start, mix, text))
     return F.unhex(F.concat(F.lit("0100000000000000"), digest))

@@ -20,7 +20,7 @@ TCP_SERVICES = {
     2376: "Docker-TLS", 3128: "Squid-Proxy", 3306: "MySQL", 3389: "RDP", 4444: "Metasploit",
     5000: "UPnP", 5060: "SIP", 5222: "XMPP", 5269: "XMPP-Server", 5432: "PostgreSQL", 5601: "Kibana",
     5672: "AMQP", 5900: "VNC", 5984: "CouchDB", 6379: "Redis", 6443: "Kubernetes-API",
-    **{port: "IRC" for port in range(6660, 6670)},
+    6660: "IRC", 6661: "IRC", 6662: "IRC", 6663: "IRC", 6664: "IRC", 6665: "IRC", 6666: "IRC", 6667: "IRC", 6668: "IRC", 6669: "IRC",
     7001: "Cassandra", 7077: "Spark", 8000: "HTTP-Alt", 8008: "HTTP-Alt", 8080: "HTTP-Proxy",
     8081: "HTTP-Alt", 8088: "HTTP-Alt", 8443: "HTTPS-Alt", 8883: "MQTT-TLS", 9000: "HTTP-Alt",
     9090: "Prometheus", 9092: "Kafka", 9200: "Elasticsearch", 9300: "Elasticsearch", 9418: "Git",

@@ -237,6 +237,7 @@ def block_candidates(alerts: DataFrame, rules: DataFrame, blocks: DataFrame, as_
     new = chosen.join(active, "target", "left_anti")
     carried = ("rule_name", "metric_value", "metric_type", "threshold", "top_sources")
     first = new.groupBy("target").agg(F.min_by(F.struct("id", *carried), F.struct("triggered_at", "id")).alias("a")).select("target", "a.*")
+    # Fixed value: the wording of the description.
     metric, limit = F.col("metric_value").cast("double"), F.col("threshold").cast("double")
     sources = F.when(F.size("top_sources") > 0, F.concat(F.lit(" Top sources: "), F.array_join("top_sources", ", "))).otherwise("")
     text = F.format_string("Auto-blocked by rule '%s': %.2f %s exceeded threshold %.2f.%s", "rule_name", metric, "metric_type", limit, sources)
