@@ -11,6 +11,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import textnp as t
@@ -19,30 +20,62 @@ from .work import stored
 MINIMISER = 2
 PLACE = t.U64((1 << 32) - 1)
 CHUNK = 4 << 20
-KMERS = "mini int, id long, start long, words binary"
+KMERS = "mini int, id long, start long, n int, words binary"
 FOUND = "id long, start long, n long, w1 long, w2 long"
 
 
+class _Seen:
+    """Packed strings met so far in a batch: fingerprint, second fingerprint, id and start of the first, sorted by fingerprint."""
+
+    def __init__(self):
+        self.rows = [np.zeros(0, t.U64), np.zeros(0, t.U64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+
+    def later(self, x: np.ndarray, y: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Which of these, in order of id and start, equal an earlier one in another place; new ones are remembered."""
+        if not len(x):
+            return np.zeros(0, bool)
+        known, _, _, _ = self.rows
+        _, head, group = np.unique(x, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(known, x), max(len(known) - 1, 0))
+        met = known[at] == x if len(known) else np.zeros(len(x), bool)
+        lead = [np.where(met, old[at], new[head][group]) if len(known) else new[head][group] for old, new in zip(self.rows[1:], (y, doc, start))]
+        fresh = head[~met[head]]
+        rows = [np.concatenate((old, new[fresh])) for old, new in zip(self.rows, (x, y, doc, start))]
+        order = np.argsort(rows[0])
+        self.rows = [r[order] for r in rows]
+        return (lead[0] == y) & ((lead[1] != doc) | (lead[2] != start))
+
+
 def super_kmers(window: int, m: int = MINIMISER):
-    """Runs of windows that share the place of their smallest m-gram, each packed as its words joined by one space."""
+    """Runs of windows that share the place of their smallest m-gram, each packed as its words joined by one space.
+
+    A run that equals an earlier one of the same batch is a copy already: it goes on as its number of windows alone.
+    """
 
     def run(batches):
-        for batch in t.blocks(batches, "text"):
-            buf, off = t.utf8(batch.column("text"))
-            starts, ends, first = t.spans(buf, off)
-            row = t.row_of(first)
-            at = np.flatnonzero(t.whole(row, window))
-            if not len(at):
-                continue
-            grams = t.window_hash(t.span_hash(t.prefix(buf), starts, ends), m)
-            key = (grams & ~PLACE) | np.arange(len(grams), dtype=t.U64)
-            place = (t.sliding_min(key, window - m + 1)[at] & PLACE).astype(np.int64)
-            new = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (np.diff(place) != 0))))
-            a, b = at[new], at[np.append(new[1:], len(at)) - 1] + window
-            text, where = t.joined(buf, starts, ends)
-            packed = t.binary(*t.gather(text, where[a], where[b] - 1 - where[a]))
-            own = row[a]
-            yield pa.RecordBatch.from_arrays([pa.array((grams[place[new]] >> t.U64(32)).astype(np.uint32).view(np.int32)), batch.column("id").take(pa.array(own)), pa.array(a - first[own]), packed], names=["mini", "id", "start", "words"])
+        for whole in batches:
+            seen = _Seen()
+            for batch in t.blocks([whole.take(pc.sort_indices(whole.column("id")))], "text"):
+                buf, off = t.utf8(batch.column("text"))
+                starts, ends, first = t.spans(buf, off)
+                row = t.row_of(first)
+                at = np.flatnonzero(t.whole(row, window))
+                if not len(at):
+                    continue
+                grams = t.window_hash(t.span_hash(t.prefix(buf), starts, ends), m)
+                key = (grams & ~PLACE) | np.arange(len(grams), dtype=t.U64)
+                place = (t.sliding_min(key, window - m + 1)[at] & PLACE).astype(np.int64)
+                new = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (np.diff(place) != 0))))
+                a, b = at[new], at[np.append(new[1:], len(at)) - 1] + window
+                text, where = t.joined(buf, starts, ends)
+                lo, hi, own = where[a], where[b] - 1, row[a]
+                mini = (grams[place[new]] >> t.U64(32)).astype(np.uint32).view(np.int32)
+                doc, start = batch.column("id").to_numpy()[own], a - first[own]
+                x, y = (t.span_hash(t.prefix(text, q), lo, hi, q) for q in t.BASES)
+                copy = seen.later(x, y, doc, start)
+                n = np.where(copy, b - a - window + 1, 0).astype(np.int32)
+                for part, words in ((~copy, t.binary(*t.gather(text, lo[~copy], (hi - lo)[~copy]))), (copy, pa.nulls(int(copy.sum()), pa.binary()))):
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c[part]) for c in (mini, doc, start, n)), words], names=["mini", "id", "start", "n", "words"])
 
     return run
 
@@ -75,8 +108,8 @@ def whole_keys(batches, key: str, limit: int):
         yield pa.Table.from_batches(held), open_first, True
 
 
-def mark_repeats(key, own, doc, place, w1, w2, is_first: bool, is_last: bool, later_only: bool):
-    """Runs of windows found more than once (all, or those behind the first), and first windows of keys that a boundary may cut, with n = 0.
+def mark_repeats(key, own, doc, place, w1, w2, open_keys: list, later_only: bool):
+    """Runs of windows found more than once (all, or those behind the first), and first windows of the open keys, which a boundary may cut, with n = 0.
 
     ``own`` is each window's row of ``key``; windows come by (key, doc, place), so equal ones stay in that order. Equal places are one occurrence.
     """
@@ -92,10 +125,9 @@ def mark_repeats(key, own, doc, place, w1, w2, is_first: bool, is_last: bool, la
     if len(hit):
         new = np.flatnonzero(np.concatenate(([True], (np.diff(hit) != 1) | (np.diff(own[hit]) != 0))))
         yield _found(doc[hit[new]], place[hit[new]], np.diff(np.append(new, len(hit))), None, None)
-    open_ends = [key[0]] * is_first + [key[-1]] * is_last
-    if open_ends:
+    if open_keys:
         kept = order[head]
-        kept = kept[np.isin(key[own[kept]], open_ends)]
+        kept = kept[np.isin(key[own[kept]], open_keys)]
         yield _found(doc[kept], place[kept], np.zeros(len(kept), np.int64), w1[kept].view(np.int64), w2[kept].view(np.int64))
 
 
@@ -115,6 +147,14 @@ def count_windows(window: int, limit: int):
 
     def run(batches):
         for table, is_first, is_last in whole_keys(batches, "mini", limit):
+            mini = table.column("mini").to_numpy()
+            open_keys = [mini[0]] * is_first + [mini[-1]] * is_last
+            known = pc.is_null(table.column("words"))
+            copies, table = table.filter(known), table.filter(pc.invert(known)).combine_chunks()
+            if copies.num_rows:
+                yield _found(*(copies.column(c).to_numpy() for c in ("id", "start", "n")), None, None)
+            if not table.num_rows:
+                continue
             mini, ids, begin = (table.column(c).to_numpy() for c in ("mini", "id", "start"))
             buf, off = t.utf8(table.column("words").combine_chunks())
             starts, ends, first = t.spans(buf, off)
@@ -123,7 +163,7 @@ def count_windows(window: int, limit: int):
             own = row[at]
             w1, w2 = (t.window_hash(t.span_hash(t.prefix(buf, a), starts, ends, a), window, b)[at] for a, b in (t.BASES, t.BASES[::-1]))
             doc, place = ids[own], begin[own] + at - first[own]
-            yield from mark_repeats(mini, own, doc, place, w1, w2, is_first, is_last, later_only=True)
+            yield from mark_repeats(mini, own, doc, place, w1, w2, open_keys, later_only=True)
 
     return run
 
@@ -162,7 +202,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Removed is each word covered by a window of ``window`` words whose sequence also starts earlier (smaller id, or same id and earlier start),
     judged on the input.
 
-    Consecutive windows that share a minimiser travel as one packed string. Range partitioning by (minimiser, id, start) spreads a hot
+    Consecutive windows that share a minimiser travel as one packed string; copies met within one batch travel as a number. Range partitioning by (minimiser, id, start) spreads a hot
     minimiser over as many partitions as its rows need, and a task holds ``task_bytes`` of packed windows at a time; what a boundary may have cut
     meets again by window fingerprint, one row a part. Windows compare by two independent 64-bit fingerprints.
     """
