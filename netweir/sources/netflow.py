@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import schema
 from ..functions.addr import bytes_to_ip16, ip_text, prefix_of, uint_at
 from ..operators.enrich import exported_direction
-from ..plans.sizing import broadcast_if_bounded
 
 V5_HEADER, V5_RECORD, V5_MAX = 24, 48, 30
 TEMPLATE_TTL = 1800
@@ -236,7 +235,7 @@ def match_templates(data: DataFrame, templates: DataFrame, ttl: int = TEMPLATE_T
     # Exploded only now: a generator next to a window function would run before it.
     intervals = intervals.withColumn("slot", F.explode("slots")).drop("slots")
     sets = data.select(*key, "received_at", "export_seconds", "body", arrival.alias("d_at"), slot.alias("slot"))
-    joined = sets.join(broadcast_if_bounded(intervals, 20_000) if not data.isStreaming else intervals, [*key, "slot"])
+    joined = sets.join(intervals, [*key, "slot"])
     fresh = F.col("received_at") <= F.col("t_at") + F.make_dt_interval(secs=F.lit(ttl))
     return joined.filter(
         (F.col("t_from") <= F.col("d_at")) & (F.col("t_until").isNull() | (F.col("d_at") < F.col("t_until"))) & fresh
