@@ -117,10 +117,10 @@ def repeated_lines(texts: DataFrame) -> DataFrame:
     near = rows.join(swap, ["variant", "gone"]).select("place", "by")
     near = near.unionByName(rows.filter(F.col("gone") != FULL).join(slip, "variant").select("place", F.col("whole").alias("by")))
     near = near.unionByName(slip.select(F.col("whole").alias("place"), F.col("part").alias("by"))).filter("by < place")
-    near = near.groupBy("place").agg(F.min("by").alias("by"))
+    near = stored(near.groupBy("place").agg(F.min("by").alias("by")), "lines-near")
     words = variants.filter(F.col("gone") == FULL).select(place, "words").dropDuplicates(["place"])
     pairs = near.join(words, "place").join(words.select(F.col("place").alias("by"), F.col("words").alias("other")), "by")
-    return copies.unionByName(pairs.select("place.*", "words", "other").mapInArrow(_checked, "id long, no long")).distinct()
+    return stored(copies.unionByName(pairs.select("place.*", "words", "other").mapInArrow(_checked, "id long, no long")).distinct(), "lines-gone")
 
 
 def _strip(batches):
