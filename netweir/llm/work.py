@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _local() -> str:
+    return tempfile.mkdtemp(prefix="llm-work-")
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``. Only a local master may lack that setting (as in tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="llm-work-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
