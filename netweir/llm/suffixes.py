@@ -158,7 +158,9 @@ def _count(length: int, limit: int):
             at = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + off[own]
             w1, w2 = (t.span_hash(t.prefix(buf, b), at, at + length, b) for b in t.BASES)
             place = table.column("start").to_numpy()[own] + at - off[own]
-            yield from mark_repeats(table.column("key").to_numpy(), own, table.column("id").to_numpy()[own], place, w1, w2, is_first, is_last, later_only=False)
+            key = table.column("key").to_numpy()
+            open_keys = [key[0]] * is_first + [key[-1]] * is_last
+            yield from mark_repeats(key, own, table.column("id").to_numpy()[own], place, w1, w2, open_keys, later_only=False)
 
     return run
 
@@ -189,7 +191,7 @@ def _strip(length: int):
 RANGES = "array<struct<start:long,stop:long>>"
 
 
-def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, batches: int = 4, task_bytes: int = CHUNK) -> DataFrame:
+def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, batches: int = 3, task_bytes: int = CHUNK) -> DataFrame:
     """One row per document: bytes, bytes removed, maximal removed runs, digest of the rest, and the removed ranges.
 
     Removed is each byte covered by a string of ``length`` bytes that also starts elsewhere, in any document, judged on the input.
