@@ -20,62 +20,68 @@ from .work import stored
 MINIMISER = 2
 PLACE = t.U64((1 << 32) - 1)
 CHUNK = 4 << 20
+SEEN = 1 << 20
 KMERS = "mini int, id long, start long, n int, words binary"
 FOUND = "id long, start long, n long, w1 long, w2 long"
 
 
 class _Seen:
-    """Packed strings met so far in a batch: fingerprint, second fingerprint, id and start of the first, sorted by fingerprint."""
+    """Packed strings met so far: fingerprint, second fingerprint, id and start of the first, sorted by fingerprint. Forgets all beyond ``SEEN`` of them."""
 
     def __init__(self):
         self.rows = [np.zeros(0, t.U64), np.zeros(0, t.U64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
 
     def later(self, x: np.ndarray, y: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Which of these, in order of id and start, equal an earlier one in another place; new ones are remembered."""
+        """Which of these equal one met before that has a smaller id, or the same id and a smaller start; new ones are remembered."""
         if not len(x):
             return np.zeros(0, bool)
-        known, _, _, _ = self.rows
-        _, head, group = np.unique(x, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(known, x), max(len(known) - 1, 0))
-        met = known[at] == x if len(known) else np.zeros(len(x), bool)
-        lead = [np.where(met, old[at], new[head][group]) if len(known) else new[head][group] for old, new in zip(self.rows[1:], (y, doc, start))]
-        fresh = head[~met[head]]
-        rows = [np.concatenate((old, new[fresh])) for old, new in zip(self.rows, (x, y, doc, start))]
-        order = np.argsort(rows[0])
-        self.rows = [r[order] for r in rows]
-        return (lead[0] == y) & ((lead[1] != doc) | (lead[2] != start))
+        if len(self.rows[0]) > SEEN:
+            self.__init__()
+        known = self.rows[0]
+        value, head, group = np.unique(x, return_index=True, return_inverse=True)
+        at = np.searchsorted(known, value)
+        met = np.zeros(len(value), bool)
+        if len(known):
+            met = known[np.minimum(at, len(known) - 1)] == value
+        lead = []
+        for i, new in enumerate((y, doc, start), 1):
+            first = new[head]
+            first[met] = self.rows[i][at[met]]
+            lead.append(first[group])
+        fresh = ~met
+        self.rows = [np.insert(old, at[fresh], new[head[fresh]]) for old, new in zip(self.rows, (x, y, doc, start))]
+        return (lead[0] == y) & ((lead[1] < doc) | ((lead[1] == doc) & (lead[2] < start)))
 
 
 def super_kmers(window: int, m: int = MINIMISER):
     """Runs of windows that share the place of their smallest m-gram, each packed as its words joined by one space.
 
-    A run that equals an earlier one of the same batch is a copy already: it goes on as its number of windows alone.
+    A run that equals an earlier one this task has met is a copy already: it goes on as its number of windows alone.
     """
 
     def run(batches):
-        for whole in batches:
-            seen = _Seen()
-            for batch in t.blocks([whole.take(pc.sort_indices(whole.column("id")))], "text"):
-                buf, off = t.utf8(batch.column("text"))
-                starts, ends, first = t.spans(buf, off)
-                row = t.row_of(first)
-                at = np.flatnonzero(t.whole(row, window))
-                if not len(at):
-                    continue
-                grams = t.window_hash(t.span_hash(t.prefix(buf), starts, ends), m)
-                key = (grams & ~PLACE) | np.arange(len(grams), dtype=t.U64)
-                place = (t.sliding_min(key, window - m + 1)[at] & PLACE).astype(np.int64)
-                new = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (np.diff(place) != 0))))
-                a, b = at[new], at[np.append(new[1:], len(at)) - 1] + window
-                text, where = t.joined(buf, starts, ends)
-                lo, hi, own = where[a], where[b] - 1, row[a]
-                mini = (grams[place[new]] >> t.U64(32)).astype(np.uint32).view(np.int32)
-                doc, start = batch.column("id").to_numpy()[own], a - first[own]
-                x, y = (t.span_hash(t.prefix(text, q), lo, hi, q) for q in t.BASES)
-                copy = seen.later(x, y, doc, start)
-                n = np.where(copy, b - a - window + 1, 0).astype(np.int32)
-                for part, words in ((~copy, t.binary(*t.gather(text, lo[~copy], (hi - lo)[~copy]))), (copy, pa.nulls(int(copy.sum()), pa.binary()))):
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c[part]) for c in (mini, doc, start, n)), words], names=["mini", "id", "start", "n", "words"])
+        seen = _Seen()
+        for batch in t.blocks(batches, "text"):
+            buf, off = t.utf8(batch.column("text"))
+            starts, ends, first = t.spans(buf, off)
+            row = t.row_of(first)
+            at = np.flatnonzero(t.whole(row, window))
+            if not len(at):
+                continue
+            grams = t.window_hash(t.span_hash(t.prefix(buf), starts, ends), m)
+            key = (grams & ~PLACE) | np.arange(len(grams), dtype=t.U64)
+            place = (t.sliding_min(key, window - m + 1)[at] & PLACE).astype(np.int64)
+            new = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (np.diff(place) != 0))))
+            a, b = at[new], at[np.append(new[1:], len(at)) - 1] + window
+            text, where = t.joined(buf, starts, ends)
+            lo, hi, own = where[a], where[b] - 1, row[a]
+            mini = (grams[place[new]] >> t.U64(32)).astype(np.uint32).view(np.int32)
+            doc, start = batch.column("id").to_numpy()[own], a - first[own]
+            x, y = (t.span_hash(t.prefix(text, q), lo, hi, q) for q in t.BASES)
+            copy = seen.later(x, y, doc, start)
+            n = np.where(copy, b - a - window + 1, 0).astype(np.int32)
+            for part, words in ((~copy, t.binary(*t.gather(text, lo[~copy], (hi - lo)[~copy]))), (copy, pa.nulls(int(copy.sum()), pa.binary()))):
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[part]) for c in (mini, doc, start, n)), words], names=["mini", "id", "start", "n", "words"])
 
     return run
 
@@ -202,7 +208,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Removed is each word covered by a window of ``window`` words whose sequence also starts earlier (smaller id, or same id and earlier start),
     judged on the input.
 
-    Consecutive windows that share a minimiser travel as one packed string; copies met within one batch travel as a number. Range partitioning by (minimiser, id, start) spreads a hot
+    Consecutive windows that share a minimiser travel as one packed string; copies that a task has met before travel as a number. Range partitioning by (minimiser, id, start) spreads a hot
     minimiser over as many partitions as its rows need, and a task holds ``task_bytes`` of packed windows at a time; what a boundary may have cut
     meets again by window fingerprint, one row a part. Windows compare by two independent 64-bit fingerprints.
     """
