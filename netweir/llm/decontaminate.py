@@ -14,8 +14,12 @@ from pyspark.sql import DataFrame, functions as F
 from . import textnp as t
 from .work import stored
 
-#: Masks of the seeds: a word marked 0 may differ.
-MASKS = ("11101100101", "11010011011", "1100110101101", "101110010011")
+#: Masks of the seeds (a word marked 0 may differ), by number of substitutions and least length. However so many substitutions lie in a stretch of that
+#: length or more, one mask fits between them.
+MASKS = {
+    1: {5: ("1111", "11011", "10111", "11101"), 7: ("11011",), 8: ("1010111", "1111001")},
+    2: {10: ("110111", "11001011", "101000111"), 13: ("111010111", "11010011011", "110011100101")},
+}
 MIN_ITEM = 5
 SLOTS = 1 << 24
 
@@ -37,22 +41,34 @@ def seeds(h: np.ndarray, first: np.ndarray, mask: str) -> tuple[np.ndarray, np.n
     return at, key
 
 
-def _masks(lengths: list[int]) -> list[str]:
-    """The fixed masks, and a full mask for each length of an item that none of them fits into."""
-    return [*MASKS, *("1" * n for n in sorted({n for n in lengths if MIN_ITEM <= n < max(map(len, MASKS))}))]
+def masks_of(n: int, min_percent: int) -> tuple[str, ...]:
+    """Masks that find a stretch of ``n`` words of which ``min_percent`` are equal, wherever the others lie."""
+    free = n * (100 - min_percent) // 100
+    if not free:
+        return ("1" * n,)
+    fit = [k for k in MASKS.get(free, ()) if k <= n]
+    return MASKS[free][max(fit)] if fit else ("1" * max(1, n // (free + 1)),)  # of free + 1 parts one is whole
 
 
-def _item_seeds(masks: list[str]):
+def _masks(lengths: list[int], min_percent: int) -> dict[str, list[int]]:
+    """The masks that items of these lengths need, each with its lengths."""
+    masks: dict[str, list[int]] = {}
+    for n in sorted(lengths):
+        for mask in masks_of(n, min_percent):
+            masks.setdefault(mask, []).append(n)
+    return masks
+
+
+def _item_seeds(masks: dict[str, list[int]], window: int):
     def run(batches):
         for batch in t.blocks(batches, "text"):
             h, first = words(batch)
-            row, size = t.row_of(first), np.diff(first)
-            rows, places, keys = [], [], []
-            for mask in masks:
+            row, size = t.row_of(first), np.minimum(np.diff(first), window)
+            rows, places, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for mask, lengths in masks.items():
                 at, key = seeds(h, first, mask)
-                if "0" not in mask:
-                    own = size[row[at]] == len(mask)
-                    at, key = at[own], key[own]
+                own = np.isin(size[row[at]], lengths)
+                at, key = at[own], key[own]
                 rows.append(row[at])
                 places.append(at - first[row[at]])
                 keys.append(key.view(np.int64))
@@ -76,7 +92,7 @@ def _regions(masks: list[str], known: np.ndarray, reach: int):
         for batch in t.blocks(batches, "text"):
             h, first = words(batch)
             row = t.row_of(first)
-            at, keys, length = [], [], []
+            at, keys, length = [np.zeros(0, np.int64)], [np.zeros(0, t.U64)], [np.zeros(0, np.int64)]
             for mask in masks:
                 a, k = seeds(h, first, mask)
                 s = k & t.U64(SLOTS - 1)
@@ -135,7 +151,7 @@ def decontaminate(
     """One row per document: ``contaminated``, the number of benchmark items found, the smallest id among the best matches and its equal words.
 
     An item is found where ``window`` of its words in a row (all, if it has fewer) stand in the text with at least ``min_percent`` of them equal, the others substituted.
-    Seeds of both sides join by fingerprint; each joined diagonal is laid out and counted.
+    Seeds of both sides join by fingerprint; each joined diagonal is laid out and counted. The masks follow from an item's length and leave no such place unfound.
 
     A bit set of fixed size (2 MB) lets texts keep back seeds that no item has; it only saves moving them, the join decides. Only stretches around
     hits leave the scan. Seeds that many texts share split as a skewed join.
@@ -143,17 +159,16 @@ def decontaminate(
     items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_col).alias("item_id"), F.lower(F.col(item_text_col)).alias("text"))
     kind = dict(items.dtypes)["item_id"]
     item_rows = stored(items.mapInArrow(_item_words, f"item long, item_id {kind}, n long, item_words binary").filter(F.col("n") >= MIN_ITEM), "bench-items")
-    longest = max(map(len, MASKS))
-    short = [r.n for r in item_rows.filter(F.col("n") < longest).select("n").distinct().collect()]  # fewer than ``longest`` values
+    lengths = [r.n for r in item_rows.select(F.least("n", F.lit(window)).alias("n")).distinct().collect()]  # at most ``window`` values
     reach = item_rows.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    masks = _masks(short)
-    item_seeds = stored(items.select("item", "text").mapInArrow(_item_seeds(masks), "item long, item_at long, key long"), "bench-seeds")
+    masks = _masks(lengths, min_percent)
+    item_seeds = stored(items.select("item", "text").mapInArrow(_item_seeds(masks, window), "item long, item_at long, key long"), "bench-seeds")
     slots = item_seeds.select(F.col("key").bitwiseAND(SLOTS - 1).cast("int").alias("s")).distinct().toArrow().column("s").to_numpy()  # at most SLOTS numbers
     known = np.zeros(SLOTS // 8, np.uint8)
     np.bitwise_or.at(known, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text"))
     id_kind = dict(texts.dtypes)["id"]
-    rows = stored(texts.mapInArrow(_regions(masks, known, reach), f"row long, id {id_kind}, begin long, words binary, places array<long>, keys array<long>"), "bench-regions")
+    rows = stored(texts.mapInArrow(_regions(list(masks), known, reach), f"row long, id {id_kind}, begin long, words binary, places array<long>, keys array<long>"), "bench-regions")
     regions = rows.filter(F.col("begin").isNotNull())
     hits = regions.select("row", "begin", F.explode(F.arrays_zip("places", "keys")).alias("x")).select("row", "begin", F.col("x.places").alias("at"), F.col("x.keys").alias("key"))
     laid = hits.join(item_seeds, "key").select("row", "begin", "item", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
