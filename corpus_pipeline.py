@@ -40,9 +40,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat an earlier one, up to one word edit; one left without a word goes."""
+    """Documents without lines that repeat an earlier one, up to one word edit if they have five words; one left without a word goes."""
     rows, key = _keyed(docs)
-    return linedup.drop_lines(rows, key).drop(ROW).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return linedup.drop_lines(rows, key, exact_words=1).drop(ROW).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Line dedup by a deletion-neighbourhood join.
 
-Lines are the parts between newlines; their words are runs of anything but space and tab..CR, A-Z lower-cased. Lines of fewer than ``MIN_WORDS``
-words are left alone, so one edit is at most a fifth of a line. Null and empty texts have no such lines and stay as they are. A row with a null id
+Lines are the parts between newlines; their words are runs of anything but space and tab..CR, A-Z lower-cased. Near lines have ``MIN_WORDS`` words or
+more, so one edit is at most a fifth of a line; exact copies have ``exact_words`` or more. Null and empty texts have no such lines and stay as they are. A row with a null id
 keeps its text and is no one's earlier copy; rows that repeat an id are one document (a line's place is its id and number), and each loses the lines found for that id. Other
 columns are ignored. An empty table gives an empty result.
 """
@@ -19,15 +19,15 @@ MIN_WORDS = 5
 FULL = -1  # the place of no deletion
 
 
-def lines(batch: pa.RecordBatch):
-    """Words, and lines of enough words: owner row, number in the row, first word, word behind the last."""
+def lines(batch: pa.RecordBatch, least: int = MIN_WORDS):
+    """Words, and lines of at least so many words: owner row, number in the row, first word, word behind the last."""
     buf, off = t.utf8(batch.column("text"))
     low = t.LOWER[buf]
     starts, ends, first = t.spans(low, off)
     newline = np.flatnonzero(buf == 10)
     bounds = np.unique(np.concatenate((off, newline + 1)))
     cut = np.searchsorted(starts, bounds)
-    full = np.flatnonzero(np.diff(cut) >= MIN_WORDS)
+    full = np.flatnonzero(np.diff(cut) >= least)
     begin = bounds[full]
     owner = np.searchsorted(off, begin, "right") - 1
     number = np.searchsorted(newline, begin) - np.searchsorted(newline, off)[owner]
@@ -44,14 +44,20 @@ def _halves(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack(keys, axis=1)
 
 
-def _occurrences(batches):
-    for batch in t.blocks(batches, "text"):
-        low, starts, ends, owner, number, a, b = lines(batch)
-        words = t.span_hash(t.prefix(low), starts, ends)
-        sums = t.prefix(words, t.BASES[1])
-        keys = _halves(sums, a, b).view(np.int64)
-        off = pa.array(np.arange(len(a) + 1, dtype=np.int32) * 4)
-        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(owner)), pa.array(number), pa.array(t.span_hash(sums, a, b, t.BASES[1]).view(np.int64)), pa.ListArray.from_arrays(off, pa.array(keys.ravel()))], names=["id", "no", "line", "halves"])
+def _occurrences(least: int):
+    """Lines of ``least`` words or more; those too short for near lines have no halves."""
+
+    def run(batches):
+        for batch in t.blocks(batches, "text"):
+            low, starts, ends, owner, number, a, b = lines(batch, least)
+            words = t.span_hash(t.prefix(low), starts, ends)
+            sums = t.prefix(words, t.BASES[1])
+            near = b - a >= MIN_WORDS
+            keys = _halves(sums, a[near], b[near]).view(np.int64)
+            off = pa.array(np.concatenate(([0], np.cumsum(near * 4))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(owner)), pa.array(number), pa.array(t.span_hash(sums, a, b, t.BASES[1]).view(np.int64)), pa.ListArray.from_arrays(off, pa.array(keys.ravel()))], names=["id", "no", "line", "halves"])
+
+    return run
 
 
 def _variants(batches):
@@ -98,9 +104,9 @@ def _checked(batches):
         yield batch.select(["id", "no"]).filter(pa.array(good, pa.bool_()))
 
 
-def repeated_lines(texts: DataFrame) -> DataFrame:
+def repeated_lines(texts: DataFrame, exact_words: int = MIN_WORDS) -> DataFrame:
     """(id, no) of each line that an earlier one (smaller id, or same id and smaller number) equals or lies within one word edit of."""
-    found = stored(texts.filter(F.col("id").isNotNull() & F.col("text").isNotNull()).mapInArrow(_occurrences, "id long, no long, line long, halves array<long>"), "lines")
+    found = stored(texts.filter(F.col("id").isNotNull() & F.col("text").isNotNull()).mapInArrow(_occurrences(exact_words), "id long, no long, line long, halves array<long>"), "lines")
     place = F.struct("id", "no").alias("place")
     first = stored(found.groupBy("line").agg(F.min(place).alias("place"), F.first("halves").alias("halves")), "lines-first")
     copies = found.join(first.select("line", "place"), "line").filter(F.struct("id", "no") != F.col("place")).select("id", "no")
@@ -137,7 +143,7 @@ def _strip(batches):
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*keep, "text", "n_lines", "n_removed"])
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact_words: int = MIN_WORDS) -> DataFrame:
     """One row per document: its text without the lines of which an earlier line is a copy or within one word edit, lines, and lines removed. Judged on the input.
 
     Exact copies collapse to their first place by a combined minimum. Each remaining line that shares half of its words with another emits the fingerprints
@@ -147,7 +153,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     back as skewed joins.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    gone = repeated_lines(texts).groupBy("id").agg(F.collect_list("no").alias("numbers"))
+    gone = repeated_lines(texts, exact_words).groupBy("id").agg(F.collect_list("no").alias("numbers"))
     out = texts.join(gone, "id", "left").mapInArrow(_strip, "id long, text string, n_lines long, n_removed long")
     return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_lines", "n_removed")
 
@@ -155,10 +161,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 NUMBERS = "_removed_line_numbers"
 
 
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact_words: int = MIN_WORDS) -> DataFrame:
     """The documents, all columns as they are but the text without its repeated lines; one that thereby loses its last word goes."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    gone = repeated_lines(texts).groupBy("id").agg(F.collect_list("no").alias(NUMBERS)).withColumnRenamed("id", NUMBERS + "_of")
+    gone = repeated_lines(texts, exact_words).groupBy("id").agg(F.collect_list("no").alias(NUMBERS)).withColumnRenamed("id", NUMBERS + "_of")
 
     names = docs.columns
 
