@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, license, linedup, mixing, nearest, quality, substring, suffixes, toxicity, warc, work
+from . import decontaminate, license, linedup, mixing, nearest, product, quality, simplex, substring, suffixes, toxicity, warc, whitening, work
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,7 +61,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_license_scan, op4_mixing, op5_toxicity, op6_decontamination, op7_minhash, op8_suffix_dedup, op9_warc, op10_quality_rules)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product.jaccard_join(_table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simplex.cluster_vectors(_table(spark, sf_dir, "embeddings"), dims=64, k=16, rounds=3, scale=64, seed=1)
+
+
+_ALL = [op1_substring_dedup, op2_line_dedup, op3_license_scan, op4_mixing, op5_toxicity, op6_decontamination, op7_minhash, op8_suffix_dedup, op9_warc, op10_quality_rules]
+QUERIES = {f.__name__: f for f in [*_ALL, op11_whitening, op12_jaccard_join, op13_centroid_clustering]}
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -176,4 +189,40 @@ cut AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM
 SELECT d.doc_id, length(x)::BIGINT // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, x))) AS kept_sha256
 FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
-ORACLES = {"op8_suffix_dedup": _SUFFIX_SQL, "op2_line_dedup": _LINES_SQL, "op7_minhash": _MINHASH_SQL, "op1_substring_dedup": _SUBSTRING_SQL, "op3_license_scan": _license_sql(), "op9_warc": _WARC_SQL, "op10_quality_rules": _QUALITY_SQL}
+_JACCARD_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{license.UPPER}', '{license.LOWER}'), '{_SPACE}'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(len(w) - 2), lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+edge AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+degree AS (SELECT a AS doc_id, count(*) AS k FROM edge GROUP BY a),
+reach(doc_id, other) AS (SELECT a, b FROM edge UNION SELECT reach.doc_id, edge.b FROM reach JOIN edge ON reach.other = edge.a)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(d.doc_id, coalesce(min(other), d.doc_id)) AS component_id, coalesce(any_value(k), 0) AS n_links
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN degree USING (doc_id) LEFT JOIN reach USING (doc_id) GROUP BY d.doc_id"""
+
+
+def _clusters_sql(dims: int = 64, k: int = 16, rounds: int = 3) -> str:
+    """The same rounds in SQL, by plain distances to all centroids."""
+    steps = [
+        f"""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda c: floor(64 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = {dims})""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster, x AS c FROM v QUALIFY cluster < {k})",
+    ]
+    near = "SELECT vec_id, any_value(x) AS x, min((d, cluster)) AS best FROM (SELECT vec_id, x, cluster, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{}) GROUP BY vec_id"
+    for i in range(rounds):
+        steps += [
+            f"a{i} AS MATERIALIZED ({near.format(i)})",
+            f"u{i} AS (SELECT best[2] AS cluster, unnest(x) AS e, unnest(range({dims})) AS pos FROM a{i})",
+            f"m{i} AS (SELECT cluster, pos, (sum(e) - ((sum(e) % count(*)) + count(*)) % count(*)) // count(*) AS e FROM u{i} GROUP BY ALL)",
+            f"n{i} AS (SELECT cluster, list(e::BIGINT ORDER BY pos) AS c FROM m{i} GROUP BY cluster)",
+            f"c{i + 1} AS MATERIALIZED (SELECT cluster, coalesce(n{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN n{i} USING (cluster))",
+        ]
+    steps.append(f"a AS MATERIALIZED (SELECT vec_id, best[1] AS distance, best[2] AS cluster FROM ({near.format(rounds)}))")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a JOIN c{rounds} USING (cluster)"""
+
+
+ORACLES = {"op12_jaccard_join": _JACCARD_SQL, "op13_centroid_clustering": _clusters_sql(), "op8_suffix_dedup": _SUFFIX_SQL, "op2_line_dedup": _LINES_SQL, "op7_minhash": _MINHASH_SQL, "op1_substring_dedup": _SUBSTRING_SQL, "op3_license_scan": _license_sql(), "op9_warc": _WARC_SQL, "op10_quality_rules": _QUALITY_SQL}
