@@ -65,11 +65,36 @@ def test_join_equals_plain(spark, shingle, percent):
 def test_join_over_many_blocks(spark, monkeypatch):
     """Blocks of four sets: every pair of blocks is multiplied once, and counts add up."""
     monkeypatch.setattr(product, "BLOCK", 4)
+    monkeypatch.setattr(product, "GROUP", 8)
     rows = near_copies(70, 7)
     rows += [(100 + i, rows[i][1], "s", 1) for i in range(0, 30, 3)]
     assert joined(spark, rows, shingle=3, percent=85) == plain(rows, 3, 85)
 
 
+@pytest.mark.parametrize("percent", [70, 85, 95])
+def test_join_of_common_columns(spark, monkeypatch, percent):
+    """Every column is held by too many sets: all links are found over equal column blocks, empty ones included."""
+    monkeypatch.setattr(product, "COLD", 1)
+    rows = near_copies(60, 9) + [(1000 + r[0], *r[1:]) for r in near_copies(40, 3, seed=8, words=14)] + corpus(seed=6, n=30)[:30]
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    assert joined(spark, rows, shingle=2, percent=percent) == plain(rows, 2, percent)
+
+
+def test_sets_that_link_are_equal_in_a_column_block():
+    rng = np.random.default_rng(3)
+    for percent in (70, 90, 97):
+        for _ in range(150):
+            n = int(rng.integers(1, 120))
+            a = rng.integers(0, 1 << 60, n).astype(np.uint64)
+            b = np.concatenate((a[: n - int(rng.integers(0, n // 8 + 1))], rng.integers(0, 1 << 60, int(rng.integers(0, n // 8 + 1))).astype(np.uint64)))
+            both = len(np.intersect1d(a, b))
+            if 100 * both < percent * (len(a) + len(b) - both):
+                continue
+            row, size = np.repeat([0, 1], [len(a), len(b)]), np.array([len(a), len(b)])
+            keys, owner, bare, bare_owner = product.column_blocks(np.concatenate((a, b)), row, size, percent)
+            assert set(keys[owner == 0]) & set(keys[owner == 1]) or set(bare[bare_owner == 0]) & set(bare[bare_owner == 1])
+
+
 def test_join_of_repeated_ids_and_nothing(spark):
     rows = [(1, "a b c d e f g h i j k l", None, None), (1, "other words stand here now", None, None), (1, "a b c d e f g h i j k l", None, None), (2, None, None, None), (3, "", "", 0), (None, "a b c d e f g h i j k l", None, None), (4, "A B", None, None), (5, "a\tb", None, None)]
     assert joined(spark, rows, shingle=3, percent=90) == plain(rows, 3, 90)
