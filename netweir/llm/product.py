@@ -18,63 +18,13 @@ from .components import components
 from .nearest import digests, shingles
 from .work import stored
 
-COUNTERS = 1 << 20  # of the frequency sketch
-SLICES = 16
 BINS = 128  # of a set's histogram
-COLD = 512  # sets of a column that are compared with each other
 GROUP = 1024  # sets a block when histograms are compared
 BLOCK = 512  # sets a block when rows are multiplied
 BLOCK_BYTES = 8 << 20
 WIDTH = 4096  # columns multiplied at a time
 
 
-def _slot(key: np.ndarray) -> np.ndarray:
-    return (key >> t.U64(44)).astype(np.int64)
-
-
-def _counted(k: int):
-    """How many sets hold the n-grams of each counter, as slices of one array a task."""
-
-    def run(batches):
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in t.blocks(batches, "text"):
-            total += np.bincount(_slot(shingles(*t.utf8(batch.column("text")), k)[0]), minlength=COUNTERS)
-        if total.any():
-            parts = total.reshape(SLICES, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([p.astype(np.uint32 if p.max() < 1 << 32 else np.uint64).tobytes() for p in parts], pa.binary())], names=["slice", "counts"])
-
-    return run
-
-
-def _added(batches):
-    """Sum of each slice, one addend in memory at a time; a slice leaves as its levels, one byte a counter."""
-    size, now, total = COUNTERS // SLICES, None, None
-
-    def level() -> pa.RecordBatch:
-        levels = np.frexp(total.astype(float))[1].astype(np.uint8)
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([levels.tobytes()], pa.binary())], names=["slice", "levels"])
-
-    for batch in batches:
-        for part, counts in zip(batch.column("slice").to_pylist(), batch.column("counts")):
-            if part != now:
-                if now is not None:
-                    yield level()
-                now, total = part, np.zeros(size, np.int64)
-            data = counts.as_py()
-            total += np.frombuffer(data, np.uint32 if len(data) == 4 * size else np.uint64).astype(np.int64)
-    if now is not None:
-        yield level()
-
-
-def frequencies(texts: DataFrame, k: int) -> np.ndarray:
-    """One byte a counter: the binary magnitude of how many sets hold its n-grams. 1 MB, whatever the corpus."""
-    parts = texts.mapInArrow(_counted(k), "slice int, counts binary").repartition("slice").sortWithinPartitions("slice")
-    levels = np.zeros((SLICES, COUNTERS // SLICES), np.uint8)
-    for part, data in parts.mapInArrow(_added, "slice int, levels binary").collect():
-        levels[part] = np.frombuffer(data, np.uint8)
-    return levels.ravel()
-
-
 def bands(most: int, percent: int) -> np.ndarray:
     """First sizes of bands such that sets which link are in the same or in neighbouring bands."""
     first = [1]
@@ -83,16 +33,17 @@ def bands(most: int, percent: int) -> np.ndarray:
     return np.array([*first, 100 * first[-1] // percent + 1])
 
 
-def column_blocks(key: np.ndarray, row: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of each row's column blocks, with their rows, and marks of its empty ones, with theirs.
+def column_blocks(key: np.ndarray, row: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of each row's column blocks, and their rows. Rows that link have a key in common.
 
-    Sets that link differ in at most (a + b) * (100 - percent) / (100 + percent) columns. Columns are dealt into one block more than that by
-    their hash, so two such rows are equal in one whole block at least. The number of blocks goes by the band of the sizes; a row is dealt for its own band and for the next.
+    Sets that link differ in at most (a + b) * (100 - percent) / (100 + percent) columns. Columns are dealt by their hash into two blocks more than that, so two
+    such rows are equal in two whole blocks at least. A block that holds a column of the row is a key; of those that hold none, each pair is one. The number of
+    blocks goes by the band of the sizes; a row is dealt for its own band and for the next.
     """
     first = bands(int(n.max(initial=0)), percent)
-    keys, owners, bare, bare_owners = [], [], [], []
+    keys, owners = [], []
     for label in (np.searchsorted(first, n, "right") - 1, np.searchsorted(first, n, "right")):
-        count = np.where(n > 0, 2 * (first[np.minimum(label + 1, len(first) - 1)] - 1) * (100 - percent) // (100 + percent) + 1, 0)
+        count = np.where(n > 0, 2 * (first[np.minimum(label + 1, len(first) - 1)] - 1) * (100 - percent) // (100 + percent) + 2, 0)
         base = np.cumsum(count) - count
         at = base[row] + (t.mix(key + t.U64(0x51)) % count[row].astype(t.U64)).astype(np.int64)
         total, size = np.zeros(int(count.sum()), t.U64), np.zeros(int(count.sum()), np.int64)
@@ -100,26 +51,18 @@ def column_blocks(key: np.ndarray, row: np.ndarray, n: np.ndarray, percent: int)
         np.add.at(size, at, 1)
         owner = np.repeat(np.arange(len(n)), count)
         name = t.mix((label[owner].astype(t.U64) << t.U64(32)) + (np.arange(len(owner)) - base[owner]).astype(t.U64) + t.U64(1))
-        full = size > 0
+        full, empty = np.flatnonzero(size), np.flatnonzero(size == 0)
         keys.append(t.mix(total[full] + name[full]))
         owners.append(owner[full])
-        bare.append(name[~full])
-        bare_owners.append(owner[~full])
-    return tuple(np.concatenate(x) for x in (keys, owners, bare, bare_owners))
+        heads = np.flatnonzero(np.concatenate(([True], np.diff(owner[empty]) != 0))) if len(empty) else np.zeros(0, np.int64)
+        i, j = pairs_of(heads, np.append(heads[1:], len(empty))[: len(heads)])
+        keys.append(t.mix(t.mix(name[empty[i]] + t.U64(3)) + name[empty[j]]))
+        owners.append(owner[empty[i]])
+    return np.concatenate(keys), np.concatenate(owners)
 
 
-def _lists(values: np.ndarray, owner: np.ndarray, rows: int) -> pa.Array:
-    """Values as one list of longs a row; owners may come in any order."""
-    order = np.argsort(owner, kind="stable")
-    heads = np.searchsorted(owner[order], np.arange(rows + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(heads), pa.array(values[order].view(np.int64)))
-
-
-def _incident(k: int, percent: int, level: np.ndarray):
-    """Per document the set's size, its two digests, its histogram, the columns that a partner cannot do without, and its column blocks.
-
-    A partner shares at least ``need`` columns, so one of the first n - need + 1 in any order that all sets agree in: rare ones first.
-    """
+def _incident(k: int, percent: int):
+    """Per document the set's size, its two digests, its histogram and the keys of its column blocks."""
 
     def run(batches):
         for batch in t.blocks(batches, "text"):
@@ -127,14 +70,13 @@ def _incident(k: int, percent: int, level: np.ndarray):
             n = np.diff(off)
             d1, d2 = digests(key, off)
             row = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((key, level[_slot(key)], row))
-            rank = np.arange(len(key)) - off[row]
-            first = order[rank < (n - (percent * n + 99) // 100 + 1)[row]]
-            keys, owner, bare, bare_owner = column_blocks(key, row, n, percent)
             bins = np.bincount(row * BINS + (key % t.U64(BINS)).astype(np.int64), minlength=len(n) * BINS).astype(np.uint32)
             hist = t.binary(bins.view(np.uint8), np.arange(len(n) + 1) * 4 * BINS)
-            lists = [_lists(key[first], row[first], len(n)), _lists(keys, owner, len(n)), _lists(bare, bare_owner, len(n))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(d1), pa.array(d2), hist, *lists], names=["id", "n", "d1", "d2", "hist", "columns", "parts", "bare"])
+            keys, owner = column_blocks(key, row, n, percent)
+            order = np.argsort(owner, kind="stable")
+            heads = np.searchsorted(owner[order], np.arange(len(n) + 1)).astype(np.int32)
+            parts = pa.ListArray.from_arrays(pa.array(heads), pa.array(keys[order].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(d1), pa.array(d2), hist, parts], names=["id", "n", "d1", "d2", "hist", "parts"])
 
     return run
 
@@ -200,7 +142,7 @@ def _enough(shared: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> n
 
 
 def _possible(percent: int):
-    """Forest of the pairs of each column that sizes and histograms do not rule out."""
+    """Forest of the pairs of each group that sizes and histograms do not rule out."""
 
     def run(batches):
         for table in tables(batches, ["key", "p", "q"], 8192, 8 << 20):
@@ -322,36 +264,22 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Two documents link where 100 * intersection >= ``percent`` * union of their full sets.
 
-    Equal sets become one row of the matrix first. A row's first columns, rare ones first, are those that no partner can do without; a 1 MB sketch of how many
-    sets hold a column, counted over all documents, only decides their order, so that common columns come last, and any order finds every link.
-    Sets that start with the same column, ``COLD`` of them at most, are compared pair by pair; a column of more is not multiplied out: its sets meet where they are equal in a
-    whole block of columns (see ``column_blocks``), and hang onto the smallest set there. What meets is a group; pairs in it whose sizes or histograms bound the overlap below
-    the threshold are discarded, and what is left are the blocks of the matrix that can hold links. There the rows are multiplied in full,
-    block by block (``BLOCK`` sets or ``BLOCK_BYTES``), and pairs with fewer shared columns than their sizes ask for are discarded. Links leave as a tree's edges and as counts,
-    so neither pairs nor groups become rows or one task's memory.
+    Equal sets become one row of the matrix first. Columns are dealt into blocks, so many that rows which link are equal in a whole one (see ``column_blocks``);
+    rows that are equal there hang onto the smallest of them, and what hangs together is a group. In a group, pairs whose sizes or histograms
+    bound the overlap below the threshold are discarded, and what is left are the blocks of the matrix that can hold links. There the rows
+    are multiplied in full, block by block (``BLOCK`` sets or ``BLOCK_BYTES``), and pairs with fewer shared columns than their sizes ask for are discarded. Links leave as a tree's edges
+    and as counts, so neither pairs nor groups become rows or one task's memory. The keys are a ninth of the n-grams at 90 %, the more the lower the threshold.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    level = frequencies(texts.filter("id IS NOT NULL AND text IS NOT NULL"), shingle)
-    incident = "id long, n long, d1 long, d2 long, hist binary, columns array<long>, parts array<long>, bare array<long>"
-    rows = stored(texts.mapInArrow(_incident(shingle, percent, level), incident), "product-rows")
-    firsts = [F.min("id").alias("id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("hist", "columns", "parts", "bare"))]
+    rows = stored(texts.mapInArrow(_incident(shingle, percent), "id long, n long, d1 long, d2 long, hist binary, parts array<long>"), "product-rows")
+    firsts = [F.min("id").alias("id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("hist", "parts"))]
     sets = rows.filter("n > 0 AND id IS NOT NULL").groupBy("d1", "d2", "n").agg(*firsts)
     sets = stored(sets.withColumn("set", F.monotonically_increasing_id()), "product-sets")
-    # columns that two sets or more start with; columns of the same sets count once
-    postings = sets.select("set", F.explode("columns").alias("key"))
-    marks = [F.count("*").alias("c"), F.bit_xor(F.xxhash64("set")).alias("x"), F.bit_xor(F.xxhash64("set", F.lit(1))).alias("y"), F.min("set").alias("s")]
-    meeting = postings.groupBy("key").agg(*marks).filter("c > 1").groupBy("c", "x", "y", "s").agg(F.min("key").alias("key"))
-    members = stored(postings.join(meeting.select("key", "c"), "key"), "product-columns")
     sketches = sets.select("set", "n", "hist")
-    cold = members.filter(F.col("c") <= COLD).select("key", "set", F.lit(1).alias("blocks")).join(sketches, "set")
-    close = _dealt(cold).mapInArrow(_possible(percent), EDGES).select("a", "b")
-    hot = members.filter(F.col("c") > COLD).groupBy("set").agg(F.collect_set("key").alias("keys")).join(sets.select("set", "parts", "bare"), "set")
-    alike = hot.select("set", F.explode("parts").alias("part"))
-    empty = hot.select("set", "keys", F.explode("bare").alias("part")).select("set", "part", F.explode("keys").alias("key"))
-    alike = alike.unionByName(empty.select("set", F.xxhash64("part", "key").alias("part")))
-    least = alike.groupBy("part").agg(F.min("set").alias("b"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    alike = sets.select("set", F.explode("parts").alias("part"))
+    least = alike.groupBy("part").agg(F.min("set").alias("b"), F.max("set").alias("last")).filter("b < last").drop("last")
     stars = alike.join(least, "part").filter("set > b").select(F.col("set").alias("a"), "b")
-    groups = components(close.unionByName(stars)).select(F.col("node").alias("set"), F.col("component").alias("key"))
+    groups = components(stars).select(F.col("node").alias("set"), F.col("component").alias("key"))
     groups = groups.join(groups.groupBy("key").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks")), "key")
     guessed = _dealt(groups.join(sketches, "set")).mapInArrow(_possible(percent), EDGES)
     coarse = components(guessed.select("a", "b")).select(F.col("node").alias("set"), F.col("component").alias("key"))

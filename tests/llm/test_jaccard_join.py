@@ -72,9 +72,8 @@ def test_join_over_many_blocks(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("percent", [70, 85, 95])
-def test_join_of_common_columns(spark, monkeypatch, percent):
-    """Every column is held by too many sets: all links are found over equal column blocks, empty ones included."""
-    monkeypatch.setattr(product, "COLD", 1)
+def test_join_of_short_near_copies(spark, percent):
+    """Small sets at low thresholds: all links are found over equal column blocks, empty ones included."""
     rows = near_copies(60, 9) + [(1000 + r[0], *r[1:]) for r in near_copies(40, 3, seed=8, words=14)] + corpus(seed=6, n=30)[:30]
     rows = [(i, *r[1:]) for i, r in enumerate(rows)]
     assert joined(spark, rows, shingle=2, percent=percent) == plain(rows, 2, percent)
@@ -91,8 +90,8 @@ def test_sets_that_link_are_equal_in_a_column_block():
             if 100 * both < percent * (len(a) + len(b) - both):
                 continue
             row, size = np.repeat([0, 1], [len(a), len(b)]), np.array([len(a), len(b)])
-            keys, owner, bare, bare_owner = product.column_blocks(np.concatenate((a, b)), row, size, percent)
-            assert set(keys[owner == 0]) & set(keys[owner == 1]) or set(bare[bare_owner == 0]) & set(bare[bare_owner == 1])
+            keys, owner = product.column_blocks(np.concatenate((a, b)), row, size, percent)
+            assert set(keys[owner == 0]) & set(keys[owner == 1])
 
 
 def test_join_of_repeated_ids_and_nothing(spark):
@@ -110,20 +109,13 @@ def test_product_counts_overlaps():
     assert (product.multiplied(rows, 12) == want[:12, 12:]).all()
 
 
-def test_histograms_and_heads_lose_no_pair():
-    """A pair at the threshold shares a head column, whatever the sketch says."""
+def test_histograms_bound_overlaps():
     rng = np.random.default_rng(2)
     for _ in range(200):
-        n = int(rng.integers(10, 80))
-        a = rng.choice(1 << 40, n, replace=False)
-        b = np.concatenate((a[: n - n // 20], rng.choice(1 << 40, n // 25, replace=False)))
-        both = len(np.intersect1d(a, b))
-        if 100 * both < 90 * (len(a) + len(b) - both):
-            continue
-        rank = lambda s: sorted(s.tolist(), key=lambda x: (x % 7, x))[: len(s) - (90 * len(s) + 99) // 100 + 1]
-        assert set(rank(a)) & set(rank(b))
+        a = rng.choice(1 << 40, int(rng.integers(1, 80)), replace=False)
+        b = np.concatenate((a[: len(a) // 2], rng.choice(1 << 40, 9, replace=False)))
         ha, hb = (np.bincount(s % product.BINS, minlength=product.BINS) for s in (a, b))
-        assert product._enough(np.minimum(ha, hb).sum(), len(a), len(b), 90)
+        assert np.minimum(ha, hb).sum() >= len(np.intersect1d(a, b))
 
 
 def test_pairs_and_tables():
