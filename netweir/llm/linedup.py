@@ -2,7 +2,7 @@
 
 Lines are the parts between newlines; their words are runs of anything but space and tab..CR, A-Z lower-cased. Near lines have ``MIN_WORDS`` words or
 more, so one edit is at most a fifth of a line; exact copies have ``exact_words`` or more. Null and empty texts have no such lines and stay as they are. A row with a null id
-keeps its text and is no one's earlier copy; rows that repeat an id are one document (a line's place is its id and number), and each loses the lines found for that id. Other
+keeps its text and is no one's earlier copy. Rows that repeat an id are documents of their own: shorter texts come first, of equal ones all but one lose their lines. Other
 columns are ignored. An empty table gives an empty result.
 """
 
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textnp as t
-from .work import stored
+from .work import by_row, stored
 
 MIN_WORDS = 5
 FULL = -1  # the place of no deletion
@@ -52,10 +52,12 @@ def _occurrences(least: int):
             low, starts, ends, owner, number, a, b = lines(batch, least)
             words = t.span_hash(t.prefix(low), starts, ends)
             sums = t.prefix(words, t.BASES[1])
+            other = t.span_hash(t.prefix(low, t.BASES[1]), starts, ends, t.BASES[1])
+            second = t.span_hash(t.prefix(other), a, b)
             near = b - a >= MIN_WORDS
             keys = _halves(sums, a[near], b[near]).view(np.int64)
             off = pa.array(np.concatenate(([0], np.cumsum(near * 4))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(owner)), pa.array(number), pa.array(t.span_hash(sums, a, b, t.BASES[1]).view(np.int64)), pa.ListArray.from_arrays(off, pa.array(keys.ravel()))], names=["id", "no", "line", "halves"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(owner)), pa.array(number), pa.array(t.span_hash(sums, a, b, t.BASES[1]).view(np.int64)), pa.array(second.view(np.int64)), pa.ListArray.from_arrays(off, pa.array(keys.ravel()))], names=["id", "no", "line", "again", "halves"])
 
     return run
 
@@ -82,7 +84,7 @@ def _variants(batches):
         who = np.concatenate((np.arange(len(a)), which))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate((t.span_hash(sums, a, b, t.BASES[1]), cut)).view(np.int64)), pa.array(np.concatenate((np.full(len(a), FULL), gone)), pa.int32()),
+                pa.array(np.concatenate((t.flat_hash(sums, a, b, t.BASES[1]), cut)).view(np.int64)), pa.array(np.concatenate((np.full(len(a), FULL), gone)), pa.int32()),
                 batch.column("id").take(pa.array(owner[who])), pa.array(number[who]), pa.array(packed + [None] * len(which), pa.string()),
             ],
             names=["variant", "gone", "id", "no", "words"],
@@ -106,10 +108,10 @@ def _checked(batches):
 
 def repeated_lines(texts: DataFrame, exact_words: int = MIN_WORDS) -> DataFrame:
     """(id, no) of each line that an earlier one (smaller id, or same id and smaller number) equals or lies within one word edit of."""
-    found = stored(texts.filter(F.col("id").isNotNull() & F.col("text").isNotNull()).mapInArrow(_occurrences(exact_words), "id long, no long, line long, halves array<long>"), "lines")
+    found = stored(texts.filter(F.col("id").isNotNull() & F.col("text").isNotNull()).mapInArrow(_occurrences(exact_words), "id long, no long, line long, again long, halves array<long>"), "lines")
     place = F.struct("id", "no").alias("place")
-    first = stored(found.groupBy("line").agg(F.min(place).alias("place"), F.first("halves").alias("halves")), "lines-first")
-    copies = found.join(first.select("line", "place"), "line").filter(F.struct("id", "no") != F.col("place")).select("id", "no")
+    first = stored(found.groupBy("line", "again").agg(F.min(place).alias("place"), F.first("halves").alias("halves")), "lines-first")
+    copies = found.join(first.select("line", "again", "place"), ["line", "again"]).filter(F.struct("id", "no") != F.col("place")).select("id", "no")
     # only distinct lines that share a half with another can have a neighbour
     halves = first.select("place", F.explode(F.array_distinct("halves")).alias("half"))
     busy = halves.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1").select("half")
@@ -143,26 +145,29 @@ def _strip(batches):
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*keep, "text", "n_lines", "n_removed"])
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact_words: int = 1) -> DataFrame:
     """One row per document: its text without the lines of which an earlier line is a copy or within one word edit, lines, and lines removed. Judged on the input.
 
-    Exact copies collapse to their first place by a combined minimum. Each remaining line that shares half of its words with another emits the fingerprints
+    Exact copies, equal in two 64-bit fingerprints of independent word hashes, collapse to their first place by a combined minimum. Each remaining line that shares half of its words with another emits the fingerprints
     of itself and of itself without each word. Equal fingerprints with the same word left out are one replaced word; a whole
     line equal to another's shortened form is one inserted word. The earliest of each such group is all the others' witness, so groups
     of any size cost a row each and no pairs; each witness is verified on the words. Hot lines and variants combine before the shuffle and join
     back as skewed joins.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    gone = repeated_lines(texts, exact_words).groupBy("id").agg(F.collect_list("no").alias("numbers"))
-    out = texts.join(gone, "id", "left").mapInArrow(_strip, "id long, text string, n_lines long, n_removed long")
-    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_lines", "n_removed")
+    rows = by_row(docs, id_col, text_col)
+    gone = repeated_lines(rows.drop("own"), exact_words).groupBy("id").agg(F.collect_list("no").alias("numbers"))
+    out = rows.join(gone, "id", "left").drop("id").mapInArrow(_strip, "own long, text string, n_lines long, n_removed long")
+    return out.select(F.col("own").alias(id_col), F.col("text").alias(text_col), "n_lines", "n_removed")
 
 
 NUMBERS = "_removed_line_numbers"
 
 
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact_words: int = MIN_WORDS) -> DataFrame:
-    """The documents, all columns as they are but the text without its repeated lines; one that thereby loses its last word goes."""
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact_words: int = 1) -> DataFrame:
+    """The documents, all columns as they are but the text without its repeated lines; one that thereby loses its last word goes.
+
+    ``id_col`` has to name each row: rows that share it lose the lines found for any of them.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     gone = repeated_lines(texts, exact_words).groupBy("id").agg(F.collect_list("no").alias(NUMBERS)).withColumnRenamed("id", NUMBERS + "_of")
 

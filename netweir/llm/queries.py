@@ -165,12 +165,12 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach USING (doc_id) GROUP BY d.doc_
 _LINES_SQL = rf"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents),
 w AS MATERIALIZED (SELECT doc_id, no, list_filter(string_split_regex(translate(line, '{license.UPPER}', '{license.LOWER}'), '{_SPACE}'), lambda x: x <> '') AS w FROM l),
-f AS MATERIALIZED (SELECT doc_id, no, w, array_to_string(w, ' ') AS x FROM w WHERE len(w) >= 5),
+f AS MATERIALIZED (SELECT doc_id, no, w, array_to_string(w, ' ') AS x FROM w WHERE len(w) >= 1),
 u AS MATERIALIZED (SELECT x, any_value(w) AS w, min((doc_id, no)) AS place FROM f GROUP BY x),
-v AS MATERIALIZED (SELECT place, unnest(list_transform(range(len(w)), lambda i: {{'i': i, 'v': array_to_string(list_concat(w[1 : i], w[i + 2 :]), ' ')}})) AS y FROM u),
+v AS MATERIALIZED (SELECT place, unnest(list_transform(range(len(w)), lambda i: {{'i': i, 'v': array_to_string(list_concat(w[1 : i], w[i + 2 :]), ' ')}})) AS y FROM u WHERE len(w) >= 5),
 near AS (SELECT b.place FROM v a JOIN v b ON a.y.v = b.y.v AND a.y.i = b.y.i AND a.place < b.place
-  UNION SELECT v.place FROM u JOIN v ON u.x = v.y.v AND u.place < v.place
-  UNION SELECT u.place FROM u JOIN v ON u.x = v.y.v AND v.place < u.place),
+  UNION SELECT v.place FROM u JOIN v ON u.x = v.y.v AND u.place < v.place AND len(u.w) >= 5
+  UNION SELECT u.place FROM u JOIN v ON u.x = v.y.v AND v.place < u.place AND len(u.w) >= 5),
 gone AS (SELECT doc_id, no FROM f JOIN u USING (x) WHERE (doc_id, no) <> u.place OR u.place IN (SELECT place FROM near)),
 t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY no) FILTER (g IS NULL) AS kept, count(*) AS n, count(g) AS r
   FROM l LEFT JOIN (SELECT *, 1 AS g FROM gone) USING (doc_id, no) GROUP BY doc_id)

@@ -1,7 +1,7 @@
 """Substring dedup by super-k-mer partitioning.
 
 Words are runs of anything but space and tab..CR, unchanged. Null and empty texts have no words. A row with a null id keeps its text and is no one's
-earlier copy; rows that repeat an id are one document (a window's place is its id and start), and each loses the words found for that id.
+earlier copy. Rows that repeat an id are documents of their own: shorter texts come first, of equal ones all but one lose what repeats.
 Other columns are ignored. An empty table gives an empty result.
 """
 
@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import textnp as t
-from .work import stored
+from .work import by_row, stored
 
 MINIMISER = 2
 PLACE = t.U64((1 << 32) - 1)
@@ -197,7 +197,7 @@ def _strip(window: int):
             kept = [bytes(text[a : max(a, b - 1)]) for a, b in zip(edge[:-1], edge[1:])]
             left = np.diff(np.concatenate(([0], np.cumsum(keep)))[first])
             n_words = np.diff(first)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n_words), pa.array(n_words - left), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(kept, pa.binary())], names=["id", "n_words", "n_removed", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(n_words), pa.array(n_words - left), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(kept, pa.binary())], names=["own", "n_words", "n_removed", "kept_sha256", "kept"])
 
     return run
 
@@ -212,7 +212,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     minimiser over as many partitions as its rows need, and a task holds ``task_bytes`` of packed windows at a time; what a boundary may have cut
     meets again by window fingerprint, one row a part. Windows compare by two independent 64-bit fingerprints.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = by_row(docs, id_col, text_col)
     kmers = rows.filter(F.col("id").isNotNull() & F.col("text").isNotNull()).mapInArrow(super_kmers(window), KMERS)
     sorted_kmers = kmers.repartitionByRange("mini", "id", "start").sortWithinPartitions("mini", "id", "start")
     found = stored(sorted_kmers.mapInArrow(count_windows(window, task_bytes), FOUND), "substring-found")
@@ -220,5 +220,5 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spans = runs.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     none = F.array().cast("array<struct<start:long,n:long>>")
     out = rows.join(spans, "id", "left").withColumn("spans", F.coalesce("spans", none))
-    out = out.mapInArrow(_strip(window), "id long, n_words long, n_removed long, kept_sha256 string, kept binary")
-    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", F.col("kept").cast("string").alias("kept_text"))
+    out = out.mapInArrow(_strip(window), "own long, n_words long, n_removed long, kept_sha256 string, kept binary")
+    return out.select(F.col("own").alias(id_col), "n_words", "n_removed", "kept_sha256", F.col("kept").cast("string").alias("kept_text"))

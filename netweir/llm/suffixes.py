@@ -1,7 +1,7 @@
 """Suffix-array dedup with a logarithmic family of index levels.
 
-Texts are their UTF-8 bytes; null is empty. A row with a null id loses nothing and is no one's copy; rows that repeat an id are one document (a string's
-place is its id and start). Other columns are ignored. An empty table gives an empty result.
+Texts are their UTF-8 bytes; null is empty. A row with a null id loses nothing and is no one's copy; rows that repeat an id are documents of their own.
+Other columns are ignored. An empty table gives an empty result.
 
 The arrays are sparse: they hold the suffixes at anchors, places of the smallest 8-byte gram of some stretch. Every string of ``length`` bytes has
 one in the same place, with at least ``CONTEXT`` bytes of the string behind it, so equal strings show as equal leading bytes of neighbouring suffixes.
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import textnp as t
 from .substring import CHUNK, PLACE, crossing, mark_repeats, whole_keys
-from .work import stored
+from .work import by_row, stored
 
 CONTEXT = 32
 SUFFIX = "suffix binary, id long, pos long"
@@ -156,7 +156,7 @@ def _count(length: int, limit: int):
             n = np.diff(off) - length + 1
             own = np.repeat(np.arange(len(n)), n)
             at = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + off[own]
-            w1, w2 = (t.span_hash(t.prefix(buf, b), at, at + length, b) for b in t.BASES)
+            w1, w2 = (t.flat_hash(t.prefix(buf, b), at, at + length, b) for b in t.BASES)
             place = table.column("start").to_numpy()[own] + at - off[own]
             key = table.column("key").to_numpy()
             open_keys = [key[0]] * is_first + [key[-1]] * is_last
@@ -201,9 +201,9 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Range partitioning by (suffix or key, id, place) spreads hot strings over as many partitions as their rows need, with the
     cut groups brought together again by fingerprint.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = by_row(docs, id_col, text_col)
     data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    info = stored(rows.select("id", F.length(data).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("sha")), "suffix-texts")
+    info = stored(rows.select("own", "id", F.length(data).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("sha")), "suffix-texts")
     groups = info.filter((F.col("n_bytes") >= length) & F.col("id").isNotNull()).groupBy("sha").agg(F.min("id").alias("one"), F.max("id").alias("last")).filter("one < last").drop("last")
     copies = stored(info.join(groups, "sha").select("id", "one").distinct(), "suffix-copies")
     index = SuffixIndex(length)
@@ -212,7 +212,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         more = index.add(part)
         found = more if found is None else found.unionByName(more)
     places = found.distinct().join(copies.filter("id <> one").select("id"), "id", "left_anti").groupBy("id").agg(F.collect_list("pos").alias("places"))
-    texts = stored(rows.join(places, "id"), "suffix-candidates")
+    texts = stored(rows.drop("own").join(places, "id"), "suffix-candidates")
     strings = texts.mapInArrow(_strings(length), "key long, id long, start long, bytes binary")
     strings = strings.repartitionByRange("key", "id", "start").sortWithinPartitions("key", "id", "start")
     marked = stored(strings.mapInArrow(_count(length, task_bytes), "id long, start long, n long, w1 long, w2 long"), "suffix-found")
@@ -225,6 +225,6 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop")))
     ranges = F.when(full, whole).otherwise(F.coalesce("ranges", F.array().cast(RANGES)))
     return out.select(
-        F.col("id").alias(id_col), "n_bytes", F.when(full, F.col("n_bytes")).otherwise(F.coalesce("cut", F.lit(0))).alias("n_removed"), F.size(ranges).cast("long").alias("n_spans"),
+        F.col("own").alias(id_col), "n_bytes", F.when(full, F.col("n_bytes")).otherwise(F.coalesce("cut", F.lit(0))).alias("n_removed"), F.size(ranges).cast("long").alias("n_spans"),
         F.when(full, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("left_sha", "sha")).alias("kept_sha256"), ranges.alias("removed"),
     )

@@ -1,7 +1,8 @@
 """Vectorised text primitives: words, fingerprints, sliding minima and packed slices over Arrow string columns.
 
 A block of texts is one byte buffer plus row offsets; words never cross rows. Fingerprints are polynomials modulo 2**64 with odd bases,
-taken from prefix sums, so any span costs two look-ups.
+taken from prefix sums, so a span of up to ``PIECE`` values costs two look-ups. Long polynomials of that kind agree on some regular sequences of two
+values, so a longer span is hashed by pieces, and the scrambled hashes of its pieces again.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+PIECE = 64
 _POWERS: dict[int, np.ndarray] = {}
 
 #: Byte classes. ``SPACE_WORD``: anything but space and tab..CR. ``ALNUM_WORD``: ASCII letters and digits, and every byte above 0x7F.
@@ -96,12 +98,25 @@ def prefix(values: np.ndarray, base: int = BASES[0]) -> np.ndarray:
     return out
 
 
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASES[0]) -> np.ndarray:
-    """Fingerprint of each [start, end), the same wherever the span stands."""
+def flat_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASES[0]) -> np.ndarray:
+    """Polynomial of each [start, end), the same wherever the span stands."""
     inverse = pow(base, -1, 1 << 64)
     return mix((sums[ends] - sums[starts]) * powers(inverse, len(sums))[starts])
 
 
+def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASES[0]) -> np.ndarray:
+    """Fingerprint of each [start, end), the same wherever the span stands; by pieces if it is long."""
+    out = flat_hash(sums, starts, ends, base)
+    long = np.flatnonzero(ends - starts > PIECE)
+    if len(long):
+        parts = -(-(ends[long] - starts[long]) // PIECE)
+        off = np.concatenate(([0], np.cumsum(parts)))
+        begin = np.repeat(starts[long], parts) + PIECE * (np.arange(off[-1]) - np.repeat(off[:-1], parts))
+        pieces = flat_hash(sums, begin, np.minimum(begin + PIECE, np.repeat(ends[long], parts)), base)
+        out[long] = span_hash(prefix(pieces, base), off[:-1], off[1:], base)
+    return out
+
+
 def window_hash(h: np.ndarray, k: int, base: int = BASES[1]) -> np.ndarray:
     """Fingerprints of all k consecutive values."""
     n = len(h) - k + 1

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 @cache
@@ -41,3 +41,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def by_row(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(own, text, id): the id and text of each row, and a key that no two rows share, in the order of the ids.
+
+    Ids that are all different are their own keys. Otherwise the rows are written once, ranged by id, and those of one id are documents of their own, shorter
+    texts first (equally long ones in the order of a hash, equal ones in any). A row without an id has no key.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("own"), F.col(text_col).cast("string").alias("text"))
+    if rows.filter("own IS NOT NULL").groupBy("own").agg(F.count("*").alias("c")).filter("c > 1").isEmpty():
+        return rows.withColumn("id", F.col("own"))
+    place = [F.col("own").asc_nulls_last(), F.octet_length("text"), F.xxhash64("text"), F.col("dealt")]
+    ranged = rows.withColumn("dealt", F.monotonically_increasing_id()).repartitionByRange(*place).sortWithinPartitions(*place).drop("dealt")
+    kept = stored(ranged.withColumn("id", F.monotonically_increasing_id()), "rows")
+    return kept.withColumn("id", F.when(F.col("own").isNotNull(), F.col("id")))

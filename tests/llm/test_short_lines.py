@@ -30,7 +30,7 @@ def test_lines_of_any_length_equal_brute_force(spark):
         if len(w) >= 5:
             long.append(w)
     assert sum(len(w) < 5 for p, w in full if p in gone) > 100
-    got = {r.doc_id: r.text for r in linedup.dedup_lines(frame(spark, rows), exact_words=1).collect()}
+    got = {r.doc_id: r.text for r in linedup.dedup_lines(frame(spark, rows)).collect()}
     assert got == {i: "\n".join(x for j, x in enumerate(docs[i].split("\n")) if (i, j) not in gone) for i in docs}
 
 
@@ -39,3 +39,18 @@ def test_pipeline_drops_short_copies(spark):
     schema = spark.read.parquet(f"{SF}/documents.parquet").schema
     docs = spark.createDataFrame([(1, "Read more\nfirst text", "en", "s", 20), (2, "second text\nread  more", "en", "s", 22), (3, "Read more", "en", "s", 9)], schema)
     assert sorted((r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.dedup_lines(spark, docs, SF).collect()) == [(1, "Read more\nfirst text", 20), (2, "second text", 11)]
+
+
+def test_rows_of_one_id_lose_their_own_lines_only(spark):
+    rows = [(1, "one two three four five six\nunique line of the first row", "s", 1), (1, "x", "s", 1), (2, "unique line that stands alone\none two three four five six", "s", 1), (2, "another line altogether\nx", "s", 1), (None, "x", None, None)]
+    got = linedup.dedup_lines(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in got if r.doc_id) == [(1, "one two three four five six\nunique line of the first row"), (1, "x"), (2, "another line altogether"), (2, "unique line that stands alone")]
+    assert [(r.text, r.n_removed) for r in got if r.doc_id is None] == [("x", 0)]
+
+
+def test_regular_lines_that_differ_both_stay(spark):
+    """512 words in Thue-Morse order and its complement."""
+    turn = [bin(i).count("1") % 2 for i in range(512)]
+    a, b = (" ".join(("foo", "bar")[x ^ flip] for x in turn) for flip in (0, 1))
+    got = linedup.dedup_lines(frame(spark, [(1, a, "s", 1), (2, b, "s", 1), (3, a, "s", 1)])).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 0, 3: 1}
