@@ -8,6 +8,7 @@ from ..functions.addr import to_ip16
 from ..functions.timeb import bucket
 
 V9_SLOT = 600  # a template is sent at the start of every slot that has flows
+RECORDS = 24  # records at most in a data set
 
 
 def be(value, width: int) -> Column:
@@ -62,9 +63,9 @@ def _other_order(items: list) -> list:
 
 
 def templated_datagrams(flows: DataFrame, ipfix: bool = False) -> DataFrame:
-    """Per router and slot one datagram with a template for each IP version and an options template, then one data datagram per flow.
+    """Per router and slot one datagram with a template for each IP version and an options template, then data datagrams of up to ``RECORDS`` flows.
 
-    IPFIX records end with an enterprise element, which readers skip.
+    A data datagram holds one set of flows of one IP version and is sent with the latest of them. IPFIX records end with an enterprise element, which readers skip.
     """
     template_set, options_set = (2, 3) if ipfix else (0, 1)
     enterprise = [(0x8000 + 999, 4, be(7, 4))] if ipfix else []
@@ -97,7 +98,7 @@ def templated_datagrams(flows: DataFrame, ipfix: bool = False) -> DataFrame:
         return F.concat(framed(options_set, options), framed(template_set, both))
 
     def record(version: int, other: bool) -> Column:
-        return framed(V4_TEMPLATE if version == 4 else V6_TEMPLATE, F.concat(*[v for _, _, v in ordered(version, other)]))
+        return F.hex(F.concat(*[v for _, _, v in ordered(version, other)]))
 
     at = F.unix_timestamp("slot")
     known = base.select("router_ip", "slot").distinct().select(
@@ -105,10 +106,17 @@ def templated_datagrams(flows: DataFrame, ipfix: bool = False) -> DataFrame:
         message(F.when(odd, templates(True)).otherwise(templates(False)), at, F.lit(0)).alias("payload"),
     )
     six = F.col("ip_version") == 6
-    body = F.when(six & odd, record(6, True)).when(six, record(6, False)).when(odd, record(4, True)).otherwise(record(4, False))
-    data = base.select(
-        "router_ip", F.col("timestamp").cast("timestamp").alias("received_at"),
-        message(body, F.col("secs"), F.col("flow_id") % 4294967295 + 1).alias("payload"),
+    rec = F.when(six & odd, record(6, True)).when(six, record(6, False)).when(odd, record(4, True)).otherwise(record(4, False))
+    group = ["router_ip", "slot", "ip_version"]
+    place = F.row_number().over(Window.partitionBy(*group).orderBy("flow_id"))
+    sent = base.withColumns({"rec": rec, "chunk": F.floor((place - 1) / RECORDS)}).groupBy(*group, "chunk").agg(
+        F.array_sort(F.collect_list(F.struct("flow_id", "rec"))).alias("recs"), F.max("timestamp").alias("sent"), F.max("secs").alias("secs")
+    )
+    records = F.unhex(F.array_join(F.transform("recs", lambda r: r["rec"]), ""))
+    body = F.when(six, framed(V6_TEMPLATE, records)).otherwise(framed(V4_TEMPLATE, records))
+    data = sent.select(
+        "router_ip", F.col("sent").cast("timestamp").alias("received_at"),
+        message(body, F.col("secs"), F.element_at("recs", 1)["flow_id"] % 4294967295 + 1).alias("payload"),
     )
     return known.unionByName(data)
 

@@ -69,9 +69,12 @@ _DECODED_SQL = f"""SELECT router_ip, {{ts}} AS timestamp, src_ip, dst_ip, src_as
 
 _TEMPLATED = [*_DECODED, "ip_version", "direction"]
 _MASKED = lambda ip: f"CASE WHEN ip_version = 6 THEN regexp_extract({ip}, '^([0-9a-f]+:[0-9a-f]+:[0-9a-f]+)::', 1) || '::/48' ELSE {net24(ip)} || '/24' END"
-_TEMPLATED_SQL = f"""SELECT router_ip, date_trunc('second', timestamp) AS timestamp, src_ip, dst_ip, src_as, dst_as, {_MASKED('src_ip')} AS src_prefix,
+_SENT = f"""(SELECT *, max(timestamp) OVER (PARTITION BY router_ip, slot, ip_version, chunk) AS sent FROM (
+ SELECT *, (row_number() OVER (PARTITION BY router_ip, slot, ip_version ORDER BY flow_id) - 1) // {encode.RECORDS} AS chunk FROM (SELECT *, {tb(encode.V9_SLOT)} AS slot FROM flows)))"""
+_DATA_SETS = f"(SELECT DISTINCT router_ip, slot, ip_version, chunk, sent FROM {_SENT})"
+_TEMPLATED_SQL = f"""SELECT router_ip, date_trunc('second', sent) AS timestamp, src_ip, dst_ip, src_as, dst_as, {_MASKED('src_ip')} AS src_prefix,
  {_MASKED('dst_ip')} AS dst_prefix, protocol, src_port, dst_port, tcp_flags, bytes, packets, sampling_rate, in_interface, out_interface, ip_version,
- CASE WHEN flow_id % 2 = 1 THEN 'out' ELSE 'in' END AS direction FROM flows"""
+ CASE WHEN flow_id % 2 = 1 THEN 'out' ELSE 'in' END AS direction FROM {_SENT}"""
 
 
 def raw_v4(c, small_as: bool = False) -> DataFrame:
@@ -114,8 +117,8 @@ def _(c):
 
 
 @query("SRC-08_route_datagrams", sql("ev", f"""SELECT 'netflow5' AS kind, count(DISTINCT (router_ip, timestamp, sampling_rate)) AS n FROM flows WHERE {_V4}
-UNION ALL SELECT 'netflow9', (SELECT count(*) FROM flows) + (SELECT count(*) FROM ({_SLOTS}))
-UNION ALL SELECT 'ipfix', (SELECT count(*) FROM flows) + (SELECT count(*) FROM ({_SLOTS}))
+UNION ALL SELECT 'netflow9', (SELECT count(*) FROM {_DATA_SETS}) + (SELECT count(*) FROM ({_SLOTS}))
+UNION ALL SELECT 'ipfix', (SELECT count(*) FROM {_DATA_SETS}) + (SELECT count(*) FROM ({_SLOTS}))
 UNION ALL SELECT 'unknown', count(*) FROM flows"""))
 def _(c):
     flows = c.raw_flows("ev")
@@ -518,10 +521,10 @@ def _(c):
     return matched.groupBy("dst_ip", "matched_prefix").agg(F.count("*").alias("n"))
 
 
-@query("JON-04_as_of_template", sql("ev", f"SELECT router_ip, count(*) AS data_sets, CAST(sum(secs) AS BIGINT) AS age_seconds FROM (SELECT router_ip, date_diff('second', {tb(encode.V9_SLOT)}, date_trunc('second', timestamp)) AS secs FROM flows) GROUP BY 1"))
+@query("JON-04_as_of_template", sql("ev", f"SELECT router_ip, count(*) AS data_sets, CAST(sum(date_diff('second', slot, date_trunc('second', sent))) AS BIGINT) AS age_seconds FROM {_DATA_SETS} GROUP BY 1"))
 def _(c):
     sets = netflow.export_sets(encode.templated_datagrams(c.raw_flows("ev")))
-    matched = netflow.match_templates(sets.filter("body IS NOT NULL"), netflow.extract_templates(sets))
+    matched = netflow.match_templates(sets)
     age = F.unix_timestamp("received_at") - F.unix_timestamp("t_at")
     return matched.groupBy("router_ip").agg(F.count("*").alias("data_sets"), F.sum(age).alias("age_seconds"))
 

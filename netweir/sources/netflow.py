@@ -218,28 +218,23 @@ def extract_templates(sets: DataFrame) -> DataFrame:
     return sets.filter(F.col("layout").isNotNull()).drop("body")
 
 
-def match_templates(data: DataFrame, templates: DataFrame, ttl: int = TEMPLATE_TTL) -> DataFrame:
-    """As-of join: each data set gets the newest template of its key that is not older than ``ttl`` seconds.
+def match_templates(sets: DataFrame, ttl: int = TEMPLATE_TTL, slot_seconds: int = 300) -> DataFrame:
+    """As-of match: each data set gets the newest template of its key that is not older than ``ttl`` seconds.
 
-    Templates become validity intervals (until the next one of the key), so at most one matches
-    and no aggregate follows.  The time bucket in the join key splits a busy exporter across tasks.
-    """
+    ``sets`` holds templates and data together, so the walker's output is read once. Rows are dealt by (key, time slot) and sorted by arrival, and the last
+    template is carried forward over the data behind it. A template also leads every later slot that it may still be valid in, so slots need
+    nothing of each other and a busy exporter spreads over them.
+    """
     key = ["router_ip", "source_id", "template_id"]
-    arrival = F.struct("received_at", "sequence", "set_no")
-    w = Window.partitionBy(*key).orderBy("received_at", "sequence", "set_no")
-    slot = F.floor(F.unix_timestamp("received_at") / ttl)
-    intervals = templates.select(
-        *key, F.col("received_at").alias("t_at"), arrival.alias("t_from"), F.lead(arrival).over(w).alias("t_until"),
-        "record_length", "base_version", "layout", F.array(slot, slot + 1).alias("slots"),
-    )
-    # Exploded only now: a generator next to a window function would run before it.
-    intervals = intervals.withColumn("slot", F.explode("slots")).drop("slots")
-    sets = data.select(*key, "received_at", "export_seconds", "body", arrival.alias("d_at"), slot.alias("slot"))
-    joined = sets.join(intervals, [*key, "slot"])
-    fresh = F.col("received_at") <= F.col("t_at") + F.make_dt_interval(secs=F.lit(ttl))
-    return joined.filter(
-        (F.col("t_from") <= F.col("d_at")) & (F.col("t_until").isNull() | (F.col("d_at") < F.col("t_until"))) & fresh
-    )
+    slot = F.floor(F.unix_timestamp("received_at") / slot_seconds)
+    is_template = F.col("layout").isNotNull()
+    slots = F.when(is_template, F.sequence(slot, slot + -(-ttl // slot_seconds))).otherwise(F.array(slot))
+    known = F.struct(F.col("received_at").alias("t_at"), "record_length", "base_version", "layout")
+    w = Window.partitionBy(*key, "slot").orderBy("received_at", "sequence", "set_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = sets.withColumn("slot", F.explode(slots)).withColumn("known", F.last(F.when(is_template, known), ignorenulls=True).over(w))
+    data = carried.filter(F.col("body").isNotNull() & F.col("known").isNotNull())
+    fresh = F.col("received_at") <= F.col("known.t_at") + F.make_dt_interval(secs=F.lit(ttl))
+    return data.filter(fresh).select(*key, "received_at", "export_seconds", "body", "known.*")
 
 
 def _bytes_of(name: str) -> Column:
@@ -284,10 +279,11 @@ def read_records(matched: DataFrame, flow_type: str) -> DataFrame:
 
 
 def decode_templated(datagrams: DataFrame, ipfix: bool, templates: DataFrame | None = None) -> DataFrame:
+    """Flows of v9 or IPFIX datagrams, by the templates among them or by the given ones alone."""
     sets = export_sets(datagrams, ipfix)
-    known = templates if templates is not None else extract_templates(sets)
-    data = sets.filter(F.col("body").isNotNull())
-    return read_records(match_templates(data, known), "ipfix" if ipfix else "netflow9")
+    if templates is not None:
+        sets = sets.filter("body IS NOT NULL").unionByName(templates.withColumn("body", F.lit(None).cast("binary")))
+    return read_records(match_templates(sets), "ipfix" if ipfix else "netflow9")
 
 
 def decode_netflow_v9(datagrams: DataFrame, templates: DataFrame | None = None) -> DataFrame:
