@@ -15,7 +15,7 @@ from ..plans.sizing import scratch_dir
 from ..sources import netflow
 from ..streaming import jobs, state
 from . import encode, fixtures as fx
-from .q_flows import _ALERTS, _BLOCKS, _HG, _RECEIVED, EV, EV_END, EV_START, _received, cut, stream_of
+from .q_flows import _ALERTS, _BLOCKS, _HG, EV, EV_END, EV_START, cut, raw_v4, stream_of
 from .q_reads import big, iff, q95
 from .registry import query
 from .sql import SUMS, TOTALS, gname, grouped, local, net24, proto, service, sql, tb
@@ -732,35 +732,81 @@ def _(c):
     return jobs.read_rollup(c.spark, _stream_rollups(c, source=late), ro.ROLLUPS["traffic_by_link_hourly"])
 
 
-@query("STR-04_alert_state", sql("ev", _ISLANDS + """ SELECT 'opened' AS event, count(*) AS n, count(DISTINCT target) AS targets FROM alerts
- UNION ALL SELECT 'heartbeat', CAST(sum(heartbeats) AS BIGINT), count(DISTINCT target) FILTER (heartbeats > 0) FROM alerts""", "r_dst"))
+_ENDED = _ISLANDS + """ SELECT target, triggered_at, last_seen_at, metric_value, heartbeats,
+ CASE WHEN last_seen_at + INTERVAL '300' SECOND < TIMESTAMP '2024-02-01 00:00:00' THEN 'resolved' ELSE 'active' END AS status,
+ CASE WHEN last_seen_at + INTERVAL '300' SECOND < TIMESTAMP '2024-02-01 00:00:00' THEN last_seen_at + INTERVAL '330' SECOND END AS resolved_at FROM alerts"""
+
+
+def _drained(rows: DataFrame, out: str, ckpt: str) -> DataFrame:
+    """Runs a stream over all its input into a folder and reads it back."""
+    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(out)
+
+
+@query("STR-02_sliding_stream", sql("ev", _ENDED, "r_dst"))
 def _(c):
-    """Violations written as a table, then replayed through the keyed alert state."""
+    """Minute rows in the order of time, ten days a batch, through sliding windows and the alert state in one query; a last empty minute closes the windows."""
+    path, out, ckpt = (scratch_dir(c.spark, n) for n in ("minutes", "sliding-events", "sliding-ckpt"))
+    minutes = c.ev["traffic_by_dst_1min"].select("ts", "dst_ip", "dst_ip16", "bytes", "packets")
+    end = minutes.limit(1).withColumns({"ts": F.lit(datetime(2024, 3, 1)), "bytes": F.lit(0).cast("long"), "packets": F.lit(0).cast("long")})
+    cuts = [EV_START + timedelta(days=10 * i) for i in range(4)]
+    for a, b in zip(cuts, cuts[1:]):
+        minutes.filter((F.col("ts") >= F.lit(a)) & ((F.col("ts") < F.lit(b)) | F.lit(b == cuts[-1]))).write.mode("append").parquet(path)
+    end.write.mode("append").parquet(path)
+    events = state.sliding_alerts(jobs.read_stream(c.spark, path, minutes.schema, max_files=1_000_000), TICKER)
+    return al.alerts_of_events(_drained(events, out, ckpt), datetime(2024, 2, 1)).drop("rule_id")
+
+
+@query("STR-04_alert_state", sql("ev", _ISLANDS + """, ended AS (SELECT *, lead(triggered_at) OVER (PARTITION BY target ORDER BY triggered_at) AS next FROM alerts),
+ late AS (SELECT max(tick) - INTERVAL '24' HOUR AS mark FROM ticks)
+ SELECT 'opened' AS event, count(*) AS n, count(DISTINCT target) AS targets FROM alerts
+ UNION ALL SELECT 'heartbeat', CAST(sum(heartbeats) AS BIGINT), count(DISTINCT target) FILTER (heartbeats > 0) FROM alerts
+ UNION ALL SELECT 'resolved', count(*), count(DISTINCT target) FROM ended, late WHERE next IS NOT NULL OR last_seen_at + INTERVAL '300' SECOND < mark""", "r_dst"))
+def _(c):
+    """Violations written as a table, then replayed through the keyed alert state; alerts silent at the watermark are resolved."""
     path, out, ckpt = (scratch_dir(c.spark, n) for n in ("ticks", "alert-events", "alert-ckpt"))
     ticks = de.sliding_ticks(c.ev["traffic_by_dst_1min"], TICKER)
     ticks.write.parquet(path)
-    events = state.alert_events(jobs.read_stream(c.spark, path, ticks.schema))
-    events.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination()
-    rows = c.spark.read.schema(events.schema).parquet(out).filter("event != 'resolved'")
+    rows = _drained(state.alert_events(jobs.read_stream(c.spark, path, ticks.schema)), out, ckpt)
     return rows.groupBy("event").agg(F.count("*").alias("n"), F.count_distinct("target").alias("targets"))
 
 
-@query("STR-05_template_state", sql("ev", "SELECT router_ip, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS total_bytes, count(DISTINCT src_ip) AS sources FROM flows GROUP BY 1"))
+_LEFT = f"""SELECT router_ip, count(*) AS templates_left FROM (SELECT DISTINCT router_ip, {tb(encode.V9_SLOT)} AS sent_at FROM flows), range(2) v(t)
+ WHERE sent_at + INTERVAL '{netflow.TEMPLATE_TTL}' SECOND >= (SELECT max(timestamp) - INTERVAL '1' HOUR FROM flows) GROUP BY 1"""
+
+
+@query("STR-05_template_state", sql("ev", f"""SELECT router_ip, n, total_bytes, sources, coalesce(templates_left, 0) AS templates_left FROM (SELECT router_ip, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS total_bytes, count(DISTINCT src_ip) AS sources FROM flows GROUP BY 1)
+ LEFT JOIN ({_LEFT}) USING (router_ip)"""))
 def _(c):
+    """Datagrams decoded through the template state, and the templates it still holds at the end: those of the hour behind the watermark only."""
     path, out, ckpt = (scratch_dir(c.spark, n) for n in ("datagrams", "matched", "matched-ckpt"))
     datagrams = encode.templated_datagrams(c.raw_flows("ev"))
     datagrams.write.parquet(path)
     sets = netflow.export_sets(jobs.read_stream(c.spark, path, datagrams.schema))
-    matched = state.match_templates_stream(sets)
-    matched.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination()
-    rows = netflow.read_records(c.spark.read.schema(matched.schema).parquet(out), "netflow9")
-    return rows.groupBy("router_ip").agg(F.count("*").alias("n"), F.sum("bytes").alias("total_bytes"), F.count_distinct("src_ip").alias("sources"))
-
-
-@query("STR-06_ingest_counters", sql("ev", f"""SELECT count(*) AS received, count(*) FILTER (bad) AS clamped, count(*) FILTER (NOT bad) AS kept FROM (SELECT timestamp IS NULL OR timestamp > received_at + INTERVAL '5' MINUTE OR timestamp < received_at - INTERVAL '24' HOUR AS bad
- FROM (SELECT {_RECEIVED} AS received_at, CASE WHEN flow_id % 11 = 0 THEN NULL ELSE timestamp END AS timestamp FROM flows))"""))
-def _(c):
-    return jobs.ingest_counters(enrich.clamp_timestamps(_received(c)))
+    rows = netflow.read_records(_drained(state.match_templates_stream(sets), out, ckpt), "netflow9")
+    held = c.spark.read.format("statestore").option("stateVarName", state.TEMPLATES).load(ckpt)
+    held = held.groupBy(F.col("key.router_ip").alias("router_ip")).agg(F.count("*").alias("templates_left"))
+    sums = rows.groupBy("router_ip").agg(F.count("*").alias("n"), F.sum("bytes").alias("total_bytes"), F.count_distinct("src_ip").alias("sources"))
+    return sums.join(held, "router_ip", "left").withColumn("templates_left", F.coalesce("templates_left", F.lit(0).cast("long")))
+
+
+_SECOND = "CAST(epoch(date_trunc('second', timestamp)) AS BIGINT)"
+
+
+@query("STR-06_ingest_counters", sql("ev", f"""SELECT CAST(sum(grams) AS BIGINT) AS received, coalesce(CAST(sum(grams) FILTER (s % 7 = 0) AS BIGINT), 0) AS decode_errors, CAST(sum(n) FILTER (s % 7 <> 0) AS BIGINT) AS written,
+ CAST(sum(n) FILTER (s % 7 <> 0 AND s % 3 <> 0) AS BIGINT) AS clamped, coalesce(CAST(sum(grams) FILTER (s % 7 = 0) AS BIGINT), 0) AS dead_letters, CAST(sum(n) FILTER (s % 7 <> 0) AS BIGINT) AS flows
+ FROM (SELECT {_SECOND} AS s, count(*) AS n, CAST(ceil(count(*) / 30.0) AS BIGINT) AS grams FROM flows WHERE ip_version = 4 AND src_as < 65536 AND dst_as < 65536 GROUP BY router_ip, timestamp, sampling_rate)"""))
+def _(c):
+    """Datagrams of every seventh second are cut short; two thirds are received too early or too late. Three files a batch."""
+    path, root, ckpt = (scratch_dir(c.spark, n) for n in ("v5", "ingest", "ingest-ckpt"))
+    second = F.unix_timestamp("received_at")
+    skew = F.when(second % 3 == 1, F.expr("INTERVAL '-30' MINUTE")).when(second % 3 == 2, F.expr("INTERVAL '48' HOUR")).otherwise(F.expr("INTERVAL '10' SECOND"))
+    cut = F.when(second % 7 == 0, F.substring("payload", F.lit(1), F.octet_length("payload") - 5)).otherwise(F.col("payload"))
+    datagrams = encode.v5_datagrams(raw_v4(c, True)).withColumns({"payload": cut, "received_at": F.col("received_at") + skew})
+    datagrams.repartition(6).write.parquet(path)
+    jobs.ingest_v5(jobs.read_stream(c.spark, path, datagrams.schema, max_files=3), root, ckpt).awaitTermination()
+    tables = [c.spark.read.parquet(f"{root}/{name}").agg(F.count("*").alias(name)) for name in ("dead_letters", "flows")]
+    return jobs.read_counters(c.spark, root).crossJoin(tables[0]).crossJoin(tables[1])  # one row each
 
 
 @query("STR-07_back_pressure", sql("ev", "SELECT link_tag, count(*) AS n FROM f GROUP BY 1"))

@@ -120,6 +120,26 @@ def lifecycle(ticks: DataFrame, as_of: datetime, stale: int = STALE_SECONDS, tic
     return ordered.mapInPandas(run, LIFECYCLE_SCHEMA)
 
 
+def alerts_of_events(events: DataFrame, as_of: datetime, stale: int = STALE_SECONDS, tick: int = TICK_SECONDS) -> DataFrame:
+    """Alerts as of an instant, from the opened / heartbeat / resolved events of the stream: one aggregate.
+
+    An alert that the stream has not closed yet is resolved if it has been silent for longer than ``stale``, at the evaluation that would see it.
+    """
+    seen = F.when(F.col("event") != "resolved", F.col("at"))
+    rows = events.groupBy("rule_id", "target", "triggered_at").agg(
+        F.max(seen).alias("last_seen_at"), F.max(F.when(F.col("event") == "resolved", F.col("at"))).alias("closed"),
+        F.max(F.when(F.col("event") == "opened", F.col("metric_value"))).alias("metric_value"), F.count(F.when(F.col("event") == "heartbeat", 1)).alias("heartbeats"),
+    )
+    silent = F.unix_seconds(F.col("last_seen_at").cast("timestamp")) + stale
+    end = F.timestamp_seconds(F.floor(silent / tick) * tick + tick).cast("timestamp_ntz")
+    gone = F.col("last_seen_at") + F.make_dt_interval(secs=F.lit(stale)) < F.lit(as_of.replace(tzinfo=None))
+    resolved = F.coalesce("closed", F.when(gone, end))
+    return rows.select(
+        "rule_id", "target", "triggered_at", "last_seen_at", resolved.alias("resolved_at"),
+        F.when(resolved.isNotNull(), "resolved").otherwise("active").alias("status"), "metric_value", "heartbeats",
+    )
+
+
 def auto_resolve(alerts: DataFrame, as_of: datetime, stale: int = STALE_SECONDS) -> DataFrame:
     gone = (F.col("status") == "active") & (F.col("last_seen_at") < instant(as_of - timedelta(seconds=stale)))
     return alerts.withColumns(

@@ -470,6 +470,13 @@ def anomaly_explain(flows: DataFrame, as_dim: DataFrame, tag: str, start: dateti
 # ---- sliding evaluation ------------------------------------------------------------
 
 
+def rule_fires(sums: DataFrame, rule: Rule) -> DataFrame:
+    """Rows whose sums over the rule's window (b bytes, p packets) exceed its thresholds, with the bit rate as metric."""
+    bps, pps = F.col("b") * 8 / F.lit(rule.window_seconds), F.col("p") / F.lit(rule.window_seconds)
+    cond = _exceeds([(bps, rule.threshold_bps), (pps, rule.threshold_pps)])
+    return sums.filter(cond if cond is not None else F.lit(False)).withColumn("metric_value", bps)
+
+
 def sliding_ticks(rows: DataFrame, rule: Rule, step: int = 30) -> DataFrame:
     """A ``volume_in`` rule evaluated on every tick of a grid over the whole table.
 
@@ -485,10 +492,8 @@ def sliding_ticks(rows: DataFrame, rule: Rule, step: int = 30) -> DataFrame:
     seen = minutes.select("dst_ip", "b", "p", F.explode(ticks).alias("tick")).groupBy("dst_ip", "tick").agg(
         F.sum("b").alias("b"), F.sum("p").alias("p")
     )
-    bps, pps = F.col("b") * 8 / F.lit(w), F.col("p") / F.lit(w)
-    cond = _exceeds([(bps, rule.threshold_bps), (pps, rule.threshold_pps)])
-    fired = seen.filter(cond if cond is not None else F.lit(False))
+    fired = rule_fires(seen, rule)
     return fired.select(
-        F.lit(rule.rule_id).alias("rule_id"), F.col("dst_ip").alias("target"), "tick", bps.alias("metric_value"),
+        F.lit(rule.rule_id).alias("rule_id"), F.col("dst_ip").alias("target"), "tick", "metric_value",
         F.lit(rule.cooldown_seconds).alias("cooldown_seconds"),
     )

@@ -43,10 +43,10 @@ def route_datagrams(datagrams: DataFrame) -> dict[str, DataFrame]:
     return {name: datagrams.filter(export_kind() == name) for name in kinds}
 
 
-def _finish(rows: DataFrame) -> DataFrame:
-    """Canonical FLOW columns from decoded addresses (``src_ip16``/``dst_ip16``) and fields."""
+def _finish(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Canonical FLOW columns from decoded addresses (``src_ip16``/``dst_ip16``) and fields, and the columns to keep."""
     return rows.withColumns({"src_ip": ip_text("src_ip16"), "dst_ip": ip_text("dst_ip16")}).select(
-        *[F.col(f.name).cast(f.dataType) for f in schema.FLOW.fields]
+        *[F.col(f.name).cast(f.dataType) for f in schema.FLOW.fields], *keep
     )
 
 
@@ -67,12 +67,13 @@ def quarantined_v5(datagrams: DataFrame) -> DataFrame:
     return datagrams.withColumn("error", v5_error()).filter("error IS NOT NULL")
 
 
-def decode_netflow_v5(datagrams: DataFrame) -> DataFrame:
+def decode_netflow_v5(datagrams: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Flows of the datagrams without an error; ``keep`` names further columns of the datagrams to carry along."""
     good = datagrams.filter(v5_error().isNull())
     seconds, nanos = uint_at("payload", 8, 4), uint_at("payload", 12, 4)
     sampling = uint_at("payload", 22, 2).bitwiseAND(F.lit(0x3FFF))
     records = good.select(
-        "router_ip",
+        "router_ip", *keep,
         F.timestamp_micros(seconds * 1_000_000 + F.floor(nanos / 1000)).alias("timestamp"),
         F.greatest(sampling, F.lit(1)).alias("sampling_rate"),
         "payload",
@@ -83,7 +84,7 @@ def decode_netflow_v5(datagrams: DataFrame) -> DataFrame:
     )
     u = lambda off, width: uint_at("rec", off, width)
     fields = rec.select(
-        "router_ip", "timestamp", "sampling_rate",
+        "router_ip", "timestamp", "sampling_rate", *keep,
         bytes_to_ip16(F.substring("rec", 1, 4)).alias("src_ip16"), bytes_to_ip16(F.substring("rec", 5, 4)).alias("dst_ip16"),
         u(12, 2).alias("in_interface"), u(14, 2).alias("out_interface"), u(16, 4).alias("packets"), u(20, 4).alias("bytes"),
         u(32, 2).alias("src_port"), u(34, 2).alias("dst_port"), u(37, 1).alias("tcp_flags"), u(38, 1).alias("protocol"),
@@ -95,7 +96,8 @@ def decode_netflow_v5(datagrams: DataFrame) -> DataFrame:
                 "src_prefix": prefix_of("src_ip16", "_sm"), "dst_prefix": prefix_of("dst_ip16", "_dm"),
                 "ip_version": F.lit(4), "link_tag": F.lit(""), "direction": F.lit(""), "flow_type": F.lit("netflow5"),
             }
-        )
+        ),
+        keep,
     )
 
 
@@ -218,20 +220,29 @@ def extract_templates(sets: DataFrame) -> DataFrame:
     return sets.filter(F.col("layout").isNotNull()).drop("body")
 
 
-def match_templates(sets: DataFrame, ttl: int = TEMPLATE_TTL, slot_seconds: int = 300) -> DataFrame:
+TEMPLATE_KEY = ["router_ip", "source_id", "template_id"]
+SLOT_SECONDS = 300
+
+
+def slotted(sets: DataFrame, ttl: int = TEMPLATE_TTL, slot_seconds: int = SLOT_SECONDS) -> DataFrame:
+    """Data in the time slot of its arrival, templates in every slot that they may be valid in."""
+    slot = F.floor(F.unix_timestamp("received_at") / slot_seconds)
+    slots = F.when(F.col("layout").isNotNull(), F.sequence(slot, slot + -(-ttl // slot_seconds))).otherwise(F.array(slot))
+    return sets.withColumn("slot", F.explode(slots))
+
+
+def match_templates(sets: DataFrame, ttl: int = TEMPLATE_TTL, slot_seconds: int = SLOT_SECONDS) -> DataFrame:
     """As-of match: each data set gets the newest template of its key that is not older than ``ttl`` seconds.
 
     ``sets`` holds templates and data together, so the walker's output is read once. Rows are dealt by (key, time slot) and sorted by arrival, and the last
     template is carried forward over the data behind it. A template also leads every later slot that it may still be valid in, so slots need
     nothing of each other and a busy exporter spreads over them.
     """
-    key = ["router_ip", "source_id", "template_id"]
-    slot = F.floor(F.unix_timestamp("received_at") / slot_seconds)
+    key = TEMPLATE_KEY
     is_template = F.col("layout").isNotNull()
-    slots = F.when(is_template, F.sequence(slot, slot + -(-ttl // slot_seconds))).otherwise(F.array(slot))
     known = F.struct(F.col("received_at").alias("t_at"), "record_length", "base_version", "layout")
     w = Window.partitionBy(*key, "slot").orderBy("received_at", "sequence", "set_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = sets.withColumn("slot", F.explode(slots)).withColumn("known", F.last(F.when(is_template, known), ignorenulls=True).over(w))
+    carried = slotted(sets, ttl, slot_seconds).withColumn("known", F.last(F.when(is_template, known), ignorenulls=True).over(w))
     data = carried.filter(F.col("body").isNotNull() & F.col("known").isNotNull())
     fresh = F.col("received_at") <= F.col("known.t_at") + F.make_dt_interval(secs=F.lit(ttl))
     return data.filter(fresh).select(*key, "received_at", "export_seconds", "body", "known.*")

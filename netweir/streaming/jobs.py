@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators import dims, enrich
 from ..plans.rollup import LG_K, Rollup, build, merge, partials, write_partials
 from ..plans.sizing import pin_if_small
+from ..sources import netflow
 
 LATENESS = "24 hours"
 
@@ -47,6 +48,38 @@ def ingest_counters(flows: DataFrame) -> DataFrame:
     )
 
 
+COUNTERS = ("received", "decode_errors", "written", "clamped")
+
+
+def ingest_v5(datagrams: DataFrame, root: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """Decodes a stream of v5 datagrams into ``root/flows``, with undecodable ones in ``root/dead_letters`` and what happened in ``root/counters``.
+
+    Counters are observed on the rows as they are written, so no batch is read again for them. A batch owns its ``batch_id`` partition of all three tables
+    and overwrites it on retry, so replays neither lose nor double count.
+    """
+
+    def save(rows: DataFrame, name: str, batch_id: int) -> None:
+        out = rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        out.partitionBy("batch_id").parquet(f"{root}/{name}")
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        came, went = Observation(), Observation()
+        checked = df.withColumn("error", netflow.v5_error()).observe(came, F.count("*").alias("received"), F.count("error").alias("decode_errors"))
+        save(checked.filter("error IS NOT NULL"), "dead_letters", batch_id)
+        flows = enrich.clamp_timestamps(netflow.decode_netflow_v5(df, keep=("received_at",)))
+        flows = flows.observe(went, F.count("*").alias("written"), F.count(F.when(F.col("clamped"), 1)).alias("clamped"))
+        save(flows, "flows", batch_id)
+        counted = came.get | went.get
+        save(df.sparkSession.createDataFrame([tuple(int(counted[c]) for c in COUNTERS)], ", ".join(f"{c} long" for c in COUNTERS)), "counters", batch_id)
+
+    return _run(datagrams.writeStream.foreachBatch(batch), checkpoint, interval)
+
+
+def read_counters(spark: SparkSession, root: str) -> DataFrame:
+    """Totals of all batches of :func:`ingest_v5`, one row."""
+    return spark.read.parquet(f"{root}/counters").agg(*(F.sum(c).alias(c) for c in COUNTERS))
+
+
 def write_flow_stream(flows: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
     """Append sink, day partitioned; exactly once through the checkpoint and the file sink log."""
     out = flows.withColumn("dt", F.to_date("timestamp"))

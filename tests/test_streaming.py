@@ -121,6 +121,74 @@ def test_template_state_keeps_templates_between_batches(spark):
     assert len(rows) == 3 and {r.bytes for r in rows} == {1234}
 
 
+def drained(rows, out, ckpt):
+    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(out)
+
+
+def test_template_state_of_an_idle_exporter_goes(spark):
+    """Stale and late templates do not match, versions match by arrival, and a silent exporter leaves no state."""
+    from .test_decode import datagrams
+
+    path, out, ckpt = (scratch_dir(spark, n) for n in ("idle", "idle-out", "idle-ckpt"))
+    swapped = [FIELDS[1], FIELDS[0], *FIELDS[2:]]
+    idle = datagrams(spark, v9(flowset(0, template(256, FIELDS)), seq=1), v9(flowset(256, RECORD), seq=2), gap=1800, router="10.0.0.1")
+    stale = datagrams(spark, v9(flowset(0, template(256, FIELDS)), seq=1), v9(flowset(256, RECORD), seq=2), gap=1801, router="10.0.0.2")
+    busy = datagrams(spark, *(v9(flowset(0, template(256, FIELDS if i % 2 else swapped)), flowset(256, RECORD * 3), seq=i) for i in range(10)), gap=1500, router="10.0.0.3")
+    data = idle.unionByName(stale).unionByName(busy)
+    data.coalesce(1).write.parquet(path)
+    matched = state.match_templates_stream(netflow.export_sets(jobs.read_stream(spark, path, data.schema)))
+    rows = netflow.read_records(drained(matched, out, ckpt), "netflow9")
+    batch = netflow.decode_netflow_v9(data)
+    columns = ["router_ip", "timestamp", "src_ip", "dst_ip", "bytes", "protocol"]
+    assert rows_of(rows.select(columns)) == rows_of(batch.select(columns))
+    assert {r.router_ip: r["count"] for r in rows.groupBy("router_ip").count().collect()} == {"10.0.0.1": 1, "10.0.0.3": 30}
+    held = spark.read.format("statestore").option("stateVarName", state.TEMPLATES).load(ckpt).select("key.router_ip").distinct().collect()
+    assert [r.router_ip for r in held] == ["10.0.0.3"]
+
+
+def test_templates_are_walked_once(spark):
+    from .test_decode import datagrams
+
+    plan = netflow.decode_netflow_v9(datagrams(spark, b""))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "Join" not in plan
+
+
+def test_sliding_alerts_equal_batch_lifecycle(spark):
+    """Sliding sums and alert state chained in one query, over three batches in the order of time."""
+    from netweir.functions.addr import to_ip16
+    from netweir.operators import detect as de
+
+    rule = de.Rule("r", "volume_in", threshold_bps=1000, window_seconds=120, cooldown_seconds=900, prefixes=("10.0.0.0/8",))
+    rows = [(T0 + timedelta(minutes=m), f"10.0.0.{k}", b * 60 * 125, 1) for k in (1, 2) for m, b in ((0, 3), (1, 9), (2, 0), (40, 5), (41, 5), (47, 20), (300 + k, 7))]
+    rows += [(T0, "192.0.2.1", 10**9, 1), (T0 + timedelta(days=2), "10.0.0.9", 0, 0)]
+    minutes = spark.createDataFrame(rows, "ts timestamp_ntz, dst_ip string, bytes long, packets long").withColumn("dst_ip16", to_ip16("dst_ip"))
+    path, out, ckpt = (scratch_dir(spark, n) for n in ("slide", "slide-out", "slide-ckpt"))
+    for a, b in ((0, 30), (30, 200), (200, 10**5)):
+        minutes.filter(f"ts >= TIMESTAMP_NTZ '2024-01-01' + INTERVAL '{a}' MINUTE AND ts < TIMESTAMP_NTZ '2024-01-01' + INTERVAL '{b}' MINUTE").coalesce(1).write.mode("append").parquet(path)
+    events = state.sliding_alerts(jobs.read_stream(spark, path, minutes.schema, max_files=1), rule)
+    end = T0 + timedelta(days=3)
+    got = al.alerts_of_events(drained(events, out, ckpt), end)
+    want = al.lifecycle(de.sliding_ticks(minutes, rule), end)
+    assert rows_of(got) == rows_of(want) and want.count() >= 4
+
+
+def test_ingest_counts_and_dead_letters(spark):
+    from .test_decode import datagrams, v5
+
+    path, root, ckpt = (scratch_dir(spark, n) for n in ("gram", "ingest", "ingest-ckpt"))
+    good, bad = [v5(3), v5(5)], [v5(2, cut=5), b"", v5(1, version=9)]
+    data = datagrams(spark, *good, *bad)
+    data.repartition(3).write.parquet(path)
+    jobs.ingest_v5(jobs.read_stream(spark, path, data.schema, max_files=1), root, ckpt).awaitTermination()
+    counted = jobs.read_counters(spark, root).first().asDict()
+    assert counted == {"received": 5, "decode_errors": 3, "written": 8, "clamped": 8}  # exported in 2023, received in 2024
+    assert sorted(r.error for r in spark.read.parquet(f"{root}/dead_letters").collect()) == ["short header", "truncated", "wrong version"]
+    assert spark.read.parquet(f"{root}/flows").count() == 8
+    jobs.ingest_v5(jobs.read_stream(spark, path, data.schema, max_files=1), root, ckpt).awaitTermination()  # nothing new
+    assert jobs.read_counters(spark, root).first().asDict() == counted
+
+
 def test_counters_are_observed(spark):
     from pyspark.sql import Observation
 
