@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
@@ -19,11 +18,6 @@ STALE_SECONDS = 300
 TICK_SECONDS = 30
 BLOCK_SECONDS = 3600
 
-LIFECYCLE_SCHEMA = (
-    "rule_id string, target string, triggered_at timestamp_ntz, last_seen_at timestamp_ntz, "
-    "resolved_at timestamp_ntz, status string, metric_value double, heartbeats long"
-)
-
 
 @dataclass
 class KeyState:
@@ -66,58 +60,66 @@ def _stamp(seconds: float | None):
     return None if seconds is None else pd.Timestamp(round(seconds * 1e6), unit="us")
 
 
+def _micros(ts: str) -> Column:
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01', {ts})")
+
+
+def _instant_of(micros: Column) -> Column:
+    return F.timestamp_add("MICROSECOND", micros, F.expr("TIMESTAMP_NTZ '1970-01-01'"))
+
+
 def lifecycle(ticks: DataFrame, as_of: datetime, stale: int = STALE_SECONDS, tick: int = TICK_SECONDS) -> DataFrame:
-    """Alerts from ordered rule violations: open, heartbeat, cooldown, auto-resolve, acknowledge.
+    """Alerts from rule violations: open, heartbeat, cooldown, auto-resolve, acknowledge.
 
-    ``ticks``: rule_id, target, tick, metric_value, cooldown_seconds and optionally ``action``
-    ('violation' by default, 'acknowledge' or 'resolve').  The state machine is order
-    dependent, so keys are hash partitioned and sorted, and a task streams over its sorted
-    batches holding one key's state at a time; no group is collected.
-    """
-    end = as_of.replace(tzinfo=None)
-    end_seconds = (end - datetime(1970, 1, 1)).total_seconds()
+    ``ticks``: rule_id, target, tick, metric_value, cooldown_seconds and optionally ``action`` ('violation' by default, 'acknowledge' or 'resolve').
+
+    Violations of a key without a silence longer than ``stale`` and without an action between them are an island, found with window functions. What one
+    island leaves for the next is only when the last alert opened, so a fold over a key's islands finds where the cooldown lets each open: at
+    its first tick that is late enough, if any.
+    """
+    end = int((as_of.replace(tzinfo=None) - datetime(1970, 1, 1)) / timedelta(microseconds=1))
+    quiet, step = stale * 1_000_000, tick * 1_000_000
     if "action" not in ticks.columns:
         ticks = ticks.withColumn("action", F.lit("violation"))
+    rows = ticks.withColumn("tick", F.col("tick").cast("timestamp_ntz")).select(
+        "rule_id", "target", _micros("tick").alias("at"), F.col("metric_value").cast("double").alias("metric"),
+        (F.col("cooldown_seconds").cast("double") * 1_000_000).cast("long").alias("cooldown"), "action",
+    )
+    w = Window.partitionBy("rule_id", "target").orderBy("at", "action")
+    violation = F.col("action") == "violation"
+    before, acted = F.lag("at").over(w), F.lag("action").over(w) != "violation"
+    starts = violation & (before.isNull() | acted | (F.col("at") - before > quiet))
+    islands = rows.withColumn("island", F.sum(starts.cast("int")).over(w)).filter("island > 0").groupBy("rule_id", "target", "island").agg(
+        F.array_sort(F.collect_list(F.when(violation, F.struct("at", "metric", "cooldown")))).alias("ticks"),
+        F.min(F.when(~violation, F.struct("at", "action"))).alias("act"),
+    )
+    keyed = islands.groupBy("rule_id", "target").agg(F.array_sort(F.collect_list(F.struct("island", "ticks", "act"))).alias("islands"))
+    one = "struct<opened:bigint,seen:bigint,metric:double,heartbeats:bigint,act:struct<at:bigint,action:string>,island:int>"
+    nothing = F.struct(F.lit(None).cast("long").alias("since"), F.array().cast(f"array<{one}>").alias("alerts"))
+
+    def judge(state: Column, island: Column) -> Column:
+        late = F.transform(island["ticks"], lambda t: F.coalesce(t["at"] - state["since"] >= t["cooldown"], F.lit(True)))
+        first = F.array_position(late, True).cast("int")
+        opening = F.get(island["ticks"], first - 1)
+        alert = F.struct(
+            opening["at"].alias("opened"), F.element_at(island["ticks"], -1)["at"].alias("seen"), opening["metric"].alias("metric"),
+            (F.size(island["ticks"]) - first).cast("long").alias("heartbeats"), island["act"].alias("act"), island["island"].cast("int").alias("island"),
+        )
+        opens = first > 0
+        return F.struct(
+            F.when(opens, opening["at"]).otherwise(state["since"]).alias("since"),
+            F.when(opens, F.concat(state["alerts"], F.array(alert))).otherwise(state["alerts"]).alias("alerts"),
+        )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, KeyState()
-
-        def flush(rows):
-            state.expire(end_seconds, stale, tick)
-            if state.triggered is not None:
-                state.close("active", None)
-            rows.extend((*key, _stamp(a), _stamp(b), _stamp(c), d, e, f) for a, b, c, d, e, f in state.closed)
-
-        names = [c.split(" ")[0] for c in LIFECYCLE_SCHEMA.split(", ")]
-        for pdf in batches:
-            rows: list[tuple] = []
-            steps = zip(pdf.rule_id, pdf.target, _seconds(pdf.tick), pdf.metric_value, pdf.cooldown_seconds, pdf.action)
-            for rule, target, now, metric, cooldown, action in steps:
-                if (rule, target) != key:
-                    if key is not None:
-                        flush(rows)
-                    key, state = (rule, target), KeyState()
-                if action == "violation":
-                    state.violate(now, metric, cooldown, stale, tick)
-                    continue
-                state.expire(now, stale, tick)
-                if state.triggered is not None:
-                    done = action == "resolve"
-                    state.close("resolved" if done else "acknowledged", now if done else None)
-            if rows:
-                yield pd.DataFrame(rows, columns=names)
-        if key is not None:
-            rows = []
-            flush(rows)
-            yield pd.DataFrame(rows, columns=names)
-
-    shaped = ticks.select(
-        "rule_id", "target", F.col("tick").cast("timestamp_ntz").alias("tick"),
-        F.col("metric_value").cast("double").alias("metric_value"), F.col("cooldown_seconds").cast("double").alias("cooldown_seconds"),
-        "action",
+    alerts = keyed.select("rule_id", "target", F.size("islands").alias("last"), F.explode(F.aggregate("islands", nothing, judge)["alerts"]).alias("a")).select("rule_id", "target", "last", "a.*")
+    by_hand = F.coalesce(F.col("act.at") - F.col("seen") <= quiet, F.lit(False))
+    silent = (F.col("island") < F.col("last")) | F.col("act").isNotNull() | (F.col("seen") < end - quiet)
+    done = F.when(by_hand & (F.col("act.action") == "resolve"), F.col("act.at")).when(~by_hand & silent, F.floor((F.col("seen") + quiet) / step) * step + step)
+    status = F.when(done.isNotNull(), "resolved").when(by_hand, "acknowledged").otherwise("active")
+    return alerts.select(
+        "rule_id", "target", _instant_of(F.col("opened")).alias("triggered_at"), _instant_of(F.col("seen")).alias("last_seen_at"),
+        _instant_of(done).alias("resolved_at"), status.alias("status"), F.col("metric").alias("metric_value"), "heartbeats",
     )
-    ordered = shaped.repartition("rule_id", "target").sortWithinPartitions("rule_id", "target", "tick", "action")
-    return ordered.mapInPandas(run, LIFECYCLE_SCHEMA)
 
 
 def alerts_of_events(events: DataFrame, as_of: datetime, stale: int = STALE_SECONDS, tick: int = TICK_SECONDS) -> DataFrame:

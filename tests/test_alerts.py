@@ -156,3 +156,37 @@ def test_top_sources_follow_each_alerts_own_window(spark):
     opened = spark.createDataFrame([("r60", "t", "ip", 60), ("r7200", "t", "ip", 7200), ("r", "label", "label", 60)], "rule_id string, target string, target_kind string, window_seconds int")
     got = {r.rule_id: r.top_sources for r in al.with_top_sources(opened, flows, T0).collect()}
     assert got == {"r60": ["s2"], "r7200": ["s1", "s2"], "r": []}
+
+
+@pytest.mark.parametrize("seed,cooldown,stale", [(1, 900, 300), (2, 5000, 300), (3, 0, 60), (4, 250, 300)])
+def test_lifecycle_equals_the_state_machine(spark, seed, cooldown, stale):
+    """Islands and the fold against one state per key, with actions and cooldowns shorter and longer than the silence that resolves."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(6):
+        now = 0
+        for _ in range(60):
+            now += rng.choice((30, 30, 30, 60, 330, 600, 1500))
+            rows.append(("r", f"t{k}", T0 + timedelta(seconds=now), float(now), cooldown, rng.choice(("violation",) * 9 + ("acknowledge", "resolve"))))
+    end = T0 + timedelta(seconds=12000)
+    want = []
+    for k in range(6):
+        state, start = al.KeyState(), T0.replace(tzinfo=None)
+        for _, _, at, metric, wait, action in sorted((r for r in rows if r[1] == f"t{k}"), key=lambda r: (r[2], r[5])):
+            now = (at.replace(tzinfo=None) - start).total_seconds()
+            if action == "violation":
+                state.violate(now, metric, wait, stale, 30)
+                continue
+            state.expire(now, stale, 30)
+            if state.triggered is not None:
+                state.close("resolved" if action == "resolve" else "acknowledged", now if action == "resolve" else None)
+        state.expire(12000, stale, 30)
+        if state.triggered is not None:
+            state.close("active", None)
+        at = lambda x: None if x is None else start + timedelta(seconds=x)
+        want += [(f"t{k}", at(a), at(b), at(c), d, e, f) for a, b, c, d, e, f in state.closed]
+    df = spark.createDataFrame(rows, "rule_id string, target string, tick timestamp_ntz, metric_value double, cooldown_seconds int, action string")
+    out = al.lifecycle(df, end, stale)
+    got = [(r.target, r.triggered_at, r.last_seen_at, r.resolved_at, r.status, r.metric_value, r.heartbeats) for r in out.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(want) > 12
+    assert "Pandas" not in out._jdf.queryExecution().executedPlan().toString()
