@@ -297,7 +297,14 @@ def _(c):
     return al.auto_resolve(c.alerts, datetime(2024, 1, 15)).select("id", "status", "resolved_at")
 
 
-@query("ALR-20_target_identity")
+# FNV-1a over the label's bytes, as the last 64 bits of an address in 0100::/64.
+_FNV = """list_reduce(list_concat([14695981039346656037::UHUGEINT], list_transform(range(strlen(link_tag)), lambda i: ('0x' || substr(hex(encode(link_tag)), 2 * i::INT + 1, 2))::UHUGEINT)),
+ lambda a, b: (xor((a % 18446744073709551616)::UBIGINT, b::UBIGINT)::UHUGEINT * 1099511628211) % 18446744073709551616)"""
+_GROUPS = " || ':' || ".join(f"ltrim(substr(h, {i}, 4), '0')" for i in (1, 5, 9, 13))
+
+
+@query("ALR-20_target_identity", sql("ev", f"""SELECT 'label' AS target_kind, link_tag AS target, '100::' || {_GROUPS} AS target_id FROM (SELECT link_tag, lpad(lower(to_hex({_FNV}::UBIGINT)), 16, '0') AS h
+ FROM (SELECT DISTINCT link_tag FROM f WHERE link_tag != '')) UNION ALL SELECT 'ip', dst_ip, dst_ip FROM (SELECT DISTINCT dst_ip FROM f)"""))
 def _(c):
     tags = c.ev["flows"].filter("link_tag != ''").select(F.lit("label").alias("target_kind"), F.col("link_tag").alias("target"))
     hosts = c.ev["flows"].select(F.lit("ip").alias("target_kind"), F.col("dst_ip").alias("target"))
