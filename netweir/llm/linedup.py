@@ -52,8 +52,8 @@ def _occurrences(least: int):
             low, starts, ends, owner, number, a, b = lines(batch, least)
             words = t.span_hash(t.prefix(low), starts, ends)
             sums = t.prefix(words, t.BASES[1])
-            other = t.span_hash(t.prefix(low, t.BASES[1]), starts, ends, t.BASES[1])
-            second = t.span_hash(t.prefix(other), a, b)
+            # the same word hashes scrambled anew: no second power table as long as the text
+            second = t.span_hash(t.prefix(t.mix(words * t.U64(t.BASES[1]) + t.U64(7))), a, b)
             near = b - a >= MIN_WORDS
             keys = _halves(sums, a[near], b[near]).view(np.int64)
             off = pa.array(np.concatenate(([0], np.cumsum(near * 4))).astype(np.int32))
@@ -148,7 +148,7 @@ def _strip(batches):
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact_words: int = 1) -> DataFrame:
     """One row per document: its text without the lines of which an earlier line is a copy or within one word edit, lines, and lines removed. Judged on the input.
 
-    Exact copies, equal in two 64-bit fingerprints of independent word hashes, collapse to their first place by a combined minimum. Each remaining line that shares half of its words with another emits the fingerprints
+    Exact copies, equal in two 64-bit fingerprints of their words, collapse to their first place by a combined minimum. Each remaining line that shares half of its words with another emits the fingerprints
     of itself and of itself without each word. Equal fingerprints with the same word left out are one replaced word; a whole
     line equal to another's shortened form is one inserted word. The earliest of each such group is all the others' witness, so groups
     of any size cost a row each and no pairs; each witness is verified on the words. Hot lines and variants combine before the shuffle and join
