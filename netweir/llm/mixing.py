@@ -1,7 +1,7 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Null text has size 0. A null source is a source of its own, the last. Rows that repeat an id are documents of their own. Other columns are
-ignored. An empty table gives an empty result; a source without words has target 0 and its documents are taken once or not at all (0 words).
+ignored. Rows that agree in id, size and source are numbered; which of them gets which number shows in no result. An empty table gives an empty result; a source without words has target 0 and its documents are taken once or not at all (0 words).
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .work import stored
 
 WEIGHTS = (3, 1, 2)
-STATE = "id long, no_id boolean, size long, source string, source_size long, target double, chunk long, base long, part double, copies long"
+NAME = ("id", "no_id", "size", "nth")
+STATE = "id long, no_id boolean, size long, nth long, source string, source_size long, target double, chunk long, base long, part double, copies long"
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -23,6 +24,18 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
     return docs.select(F.coalesce(number, F.lit(0)).alias("id"), number.isNull().alias("no_id"), words.cast("long").alias("size"), F.col(source_col).cast("string").alias("source"))
 
 
+def numbered(rows: DataFrame, block: int = 4096) -> DataFrame:
+    """Numbers the rows that agree in all columns (``nth``), wherever they lie: they are counted, and counts become rows again.
+
+    A count is spread over tasks in blocks before it becomes rows, so a third of all rows may agree.
+    """
+    counts = rows.groupBy(*rows.columns).agg(F.count("*").alias("c"))
+    blocks = counts.withColumn("b", F.explode(F.expr(f"sequence(0L, (c - 1) div {block})"))).repartition("id", "size", "b")
+    first = F.col("b") * block
+    nth = F.explode(F.sequence(first, F.least(first + block, F.col("c")) - 1))
+    return blocks.select(*rows.columns, nth.alias("nth"))
+
+
 def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int = 150, most: int = 2) -> DataFrame:
     """Per source: size, number of documents, weight, target. Whole numbers throughout, so that reruns agree to the last bit.
 
@@ -64,15 +77,17 @@ def _draw(seed: int, *key) -> float:
     return int.from_bytes(hashlib.blake2b(repr((seed, *key)).encode(), digest_size=8).digest()) / 2**64
 
 
-def pivotal(seed: int, level: int):
+def pivotal(seed: int, level: int, name: tuple[str, ...] = ("id", "size")):
     """Rounds all but one fractional document of a chunk.
 
     Two fractions a, b with sizes s, t exchange words: either a gains what b can give, or b what a can, with chances that keep both
-    expectations. One of the two becomes whole and the sum of a*s + b*t stays. The other meets the next document.
+    expectations. One of the two becomes whole and the sum of a*s + b*t stays. The other meets the next document. Draws hash the columns in ``name``.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(key=[_draw(seed, level, i) for i in pdf.id]).sort_values(["key", "id", "size"], ignore_index=True)
+        keys = [_draw(seed, level, *row) for row in zip(*(pdf[c].tolist() for c in name))]
+        pdf = pdf.assign(key=keys).sort_values(["key", *name], ignore_index=True)
+        names = list(zip(*(pdf[c].tolist() for c in name)))
         part, copies, sizes = pdf.part.tolist(), pdf.copies.astype("float").tolist(), pdf["size"].tolist()
         held = None
 
@@ -91,11 +106,11 @@ def pivotal(seed: int, level: int):
             a, s, t = part[held], float(sizes[held]), float(sizes[i])
             if not s or not t:  # without words there is nothing to trade: round on its own
                 j = held if not s else i
-                whole(j, _draw(seed, "zero", level, pdf.id[j]) < part[j])
+                whole(j, _draw(seed, "zero", level, *names[j]) < part[j])
                 held = i if j == held else held
                 continue
             gain, give = min((1 - a) * s, b * t), min(a * s, (1 - b) * t)
-            if _draw(seed, level, pdf.id[held], pdf.id[i], i) < give / (gain + give):
+            if _draw(seed, level, *names[held], *names[i]) < give / (gain + give):
                 if (1 - a) * s <= b * t:
                     whole(held, True)
                     part[i], held = b - gain / t, i
@@ -122,20 +137,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """One row per document: its size, its source's size and target, the copies the mix takes of it and their words.
 
     A document's expected copies are target over source size, the same for all of a source; whole parts are taken, fractions rounded. A source's documents are dealt to chunks
-    of about ``chunk`` rows by id hash, however large the source, so no task holds a source. Each chunk leaves one fraction at most; these meet ``chunk`` at a time
+    of about ``chunk`` rows by a hash of id, size and number, however large the source and however often an id repeats or is missing, so no task holds a source. Each chunk leaves one fraction at most; these meet ``chunk`` at a time
     on the next level of the tree until a source has one left, which a coin decides. The taken words of a source miss its target by less than one
     document. All draws hash ids and the seed: reruns agree wherever rows lie.
     """
-    rows = stored(sized(docs, id_col, text_col, source_col), "mix-sizes")
+    rows = stored(numbered(sized(docs, id_col, text_col, source_col)), "mix-sizes")
     goals = targets(rows, weights, share_percent, most)
     most_rows = goals.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    dealt = F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col("n") / chunk))
+    dealt = F.pmod(F.xxhash64("id", "no_id", "size", "nth", F.lit(seed)), F.ceil(F.col("n") / chunk))
     state = rows.join(goals.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-    state = state.select("id", "no_id", "size", "source", "source_size", "target", dealt.alias("chunk"), F.floor(share).alias("base"), (share - F.floor(share)).alias("part"), F.lit(None).cast("long").alias("copies"))
+    state = state.select("id", "no_id", "size", "nth", "source", "source_size", "target", dealt.alias("chunk"), F.floor(share).alias("base"), (share - F.floor(share)).alias("part"), F.lit(None).cast("long").alias("copies"))
     done, level, chunks = [], 0, -(-most_rows // chunk)
     while True:
-        state = stored(state.groupBy("source", "chunk").applyInPandas(pivotal(seed, level), STATE), f"mix-level{level}")
+        state = stored(state.groupBy("source", "chunk").applyInPandas(pivotal(seed, level, NAME), STATE), f"mix-level{level}")
         done.append(state.filter(F.col("copies").isNotNull()))
         state = state.filter(F.col("copies").isNull())
         level += 1
@@ -144,7 +159,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         chunks = -(-chunks // chunk)
         state = state.withColumn("chunk", F.expr(f"chunk div {chunk}"))
     # one fraction a source: a coin
-    coin = F.pmod(F.xxhash64("id", "source", F.lit(seed + 1)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    coin = F.pmod(F.xxhash64("id", "no_id", "size", "nth", "source", F.lit(seed + 1)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     done.append(state.withColumn("copies", F.col("base") + (coin < F.col("part")).cast("long")))
     out = done[0]
     for more in done[1:]:

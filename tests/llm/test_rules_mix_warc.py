@@ -87,6 +87,24 @@ def test_mix_of_nothing(spark):
     assert [r.taken for r in mixing.mix(frame(spark, [(1, "", "s", 0), (2, None, None, 0)])).collect()] == [0, 0]
 
 
+def test_mix_of_rows_without_or_with_one_id(spark):
+    """A source whose rows share an id or have none is dealt to chunks like any other."""
+    rows = [(None, "w " * (1 + i % 7), "hot", 0) for i in range(900)] + [(5, "w " * (1 + i % 3), "cold", 0) for i in range(500)]
+    docs = frame(spark, rows)
+    sized = mixing.sized(docs, "doc_id", "text", "source")
+    names = mixing.numbered(sized, block=16).collect()
+    assert len(names) == len(set(names)) == len(rows)
+    chunks = mixing.numbered(sized).filter("source = 'hot'").selectExpr("pmod(xxhash64(id, no_id, size, nth, 17), 15) AS c").groupBy("c").count().collect()
+    assert len(chunks) == 15 and max(r["count"] for r in chunks) < 120
+    got = mixing.mix(docs, chunk=64).collect()
+    assert len(got) == len(rows) and all((r.doc_id is None) == (r.source == "hot") for r in got)
+    for source in ("hot", "cold"):
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 7
+    key = lambda r: (str(r.doc_id), r.size, r.copies, r.source)
+    assert sorted(map(key, got)) == sorted(map(key, mixing.mix(docs.repartition(7), chunk=64).collect()))
+
+
 def test_pivotal_keeps_expectations():
     import pandas as pd
 
