@@ -51,9 +51,9 @@ def _(c):
     return top.top_as(c.ev["traffic_by_as"], c.as_dim, p)
 
 
-def _top_ip(where: str, p: QueryParams = LI) -> str:
+def _top_ip(where: str, p: QueryParams = LI, limit: int = 20) -> str:
     return f"""SELECT ip, t.as_number, coalesce(as_name, '') AS as_name, total_bytes, total_packets, total_flows, avg_pkt_size FROM (
- SELECT ip, as_number, {TOTALS}, {AVG} FROM r_ip WHERE {cut(p)} {where} GROUP BY 1, 2 ORDER BY total_bytes DESC, ip, as_number LIMIT 20) t
+ SELECT ip, as_number, {TOTALS}, {AVG} FROM r_ip WHERE {cut(p)} {where} GROUP BY 1, 2 ORDER BY total_bytes DESC, ip, as_number LIMIT {limit}) t
  LEFT JOIN an ON t.as_number = an.as_number"""
 
 
@@ -100,9 +100,13 @@ def _(c):
     return top.top_port(c.li["traffic_by_port"], LI, protocol=6)
 
 
-@query("TOP-07_link_top_as", sql("ev", f"""SELECT as_num, {gname('as_num', 'as_name')} AS as_name, total_bytes, total_packets, total_flows FROM (
- SELECT {grouped('as_number')} AS as_num, {TOTALS} FROM r_as WHERE {cut(EV)} AND link_tag = '{TAG}' AND direction = 'out' GROUP BY 1
- ORDER BY total_bytes DESC, as_num LIMIT 20) LEFT JOIN an ON as_num = as_number""", "an", "r_as"))
+def _link_top_as(where: str = "") -> str:
+    return f"""SELECT as_num, {gname('as_num', 'as_name')} AS as_name, total_bytes, total_packets, total_flows FROM (
+ SELECT {grouped('as_number')} AS as_num, {TOTALS} FROM r_as WHERE {cut(EV)} AND link_tag = '{TAG}' {where} GROUP BY 1
+ ORDER BY total_bytes DESC, as_num LIMIT 20) LEFT JOIN an ON as_num = as_number"""
+
+
+@query("TOP-07_link_top_as", sql("ev", _link_top_as("AND direction = 'out'"), "an", "r_as"))
 def _(c):
     return top.link_top_as(c.ev["traffic_by_as"], c.as_dim, TAG, EV.with_(direction="out"))
 
@@ -138,29 +142,28 @@ def _(c):
     return top.ip_peers(c.ev["flows"], IP, EV)
 
 
-@query("TOP-13_ip_info", sql("ev", f"""SELECT t.as_number, coalesce(as_name, '') AS as_name, prefix FROM (SELECT rk, as_number, prefix, count(*) AS seen FROM (
- SELECT 0 AS rk, src_as AS as_number, src_prefix AS prefix, timestamp FROM f WHERE src_ip = '2001:db8:ff::3' AND src_as > 0 UNION ALL
- SELECT 1, dst_as, dst_prefix, timestamp FROM f WHERE dst_ip = '2001:db8:ff::3' AND dst_as > 0) WHERE timestamp >= TIMESTAMP '2024-01-30 00:00:00'
- GROUP BY 1, 2, 3 ORDER BY rk, seen DESC, as_number, prefix LIMIT 1) t LEFT JOIN an ON t.as_number = an.as_number""", "an"))
+def _ip_info(ip: str) -> str:
+    return f"""SELECT t.as_number, coalesce(as_name, '') AS as_name, prefix FROM (SELECT rk, as_number, prefix, count(*) AS seen FROM (
+ SELECT 0 AS rk, src_as AS as_number, src_prefix AS prefix, timestamp FROM f WHERE src_ip = '{ip}' AND src_as > 0 UNION ALL
+ SELECT 1, dst_as, dst_prefix, timestamp FROM f WHERE dst_ip = '{ip}' AND dst_as > 0) WHERE timestamp >= TIMESTAMP '2024-01-30 00:00:00'
+ GROUP BY 1, 2, 3 ORDER BY rk, seen DESC, as_number, prefix LIMIT 1) t LEFT JOIN an ON t.as_number = an.as_number"""
+
+
+@query("TOP-13_ip_info", sql("ev", _ip_info("2001:db8:ff::3"), "an"))
 def _(c):
     return top.ip_info(c.ev["flows"], c.as_dim, "2001:db8:ff::3", EV_END)
 
 
-_LINK_LIST = f"""SELECT link_tag, coalesce(description, '') AS description, coalesce(capacity_mbps, 0) AS capacity_mbps, bytes_in, bytes_out FROM (
- SELECT link_tag, {big('sum(bytes_in)')} AS bytes_in, {big('sum(bytes_out)')} AS bytes_out FROM r_link WHERE {cut(LI)} GROUP BY 1) LEFT JOIN lk ON link_tag = tag"""
+def _link_list(p: QueryParams) -> str:
+    return f"""SELECT link_tag, coalesce(description, '') AS description, coalesce(capacity_mbps, 0) AS capacity_mbps, bytes_in, bytes_out FROM (
+ SELECT link_tag, {big('sum(bytes_in)')} AS bytes_in, {big('sum(bytes_out)')} AS bytes_out FROM r_link WHERE {cut(p)} GROUP BY 1) LEFT JOIN lk ON link_tag = tag"""
 
 
-@query("TOP-14_link_list", sql("li", _LINK_LIST, "r_link"))
+@query("TOP-14_link_list", sql("li", _link_list(LI), "r_link"))
 def _(c):
     return top.link_list(c.li["traffic_by_link"], c.links, LI)
 
 
-@query("TOP-15_overview", sql("ev", f"""SELECT {big('sum(bytes_in)')} AS total_bytes_in, {big('sum(bytes_out)')} AS total_bytes_out, {big('sum(flow_count)')} AS total_flows,
- (SELECT count(DISTINCT as_number) FROM r_as WHERE {cut(EV)}) AS active_as_count FROM r_link WHERE {cut(EV)}""", "r_link", "r_as"))
-def _(c):
-    return top.overview(c.ev["traffic_by_link"], c.ev["traffic_by_as"], c.ev["traffic_by_ip"], c.links, c.as_dim, EV)["totals"]
-
-
 def _conversations(a: str, b: str, fwd: str) -> str:
     return f"""SELECT {a} AS endpoint_a, {b} AS endpoint_b, {big('sum(bytes)')} AS total_bytes, {big('sum(packets)')} AS total_packets,
  {iff(fwd)} AS fwd_bytes, {iff(fwd, 'packets')} AS fwd_packets, {iff(f'NOT ({fwd})')} AS rev_bytes, {iff(f'NOT ({fwd})', 'packets')} AS rev_packets,
@@ -208,78 +211,9 @@ def _(c):
     return ranked.select("protocol", "direction", "total_bytes", "rank")
 
 
-def parts(bundle: dict[str, DataFrame]) -> DataFrame:
-    """Row count of every part of a bundle."""
-    out = None
-    for name, df in bundle.items():
-        n = df.agg(F.lit(name).alias("part"), F.count("*").alias("n"))
-        out = n if out is None else out.unionByName(n)
-    return out
-
-
-def count_of(name: str, inner: str) -> str:
-    return f"SELECT '{name}' AS part, count(*) AS n FROM ({inner})"
-
-
-_H = tb(3600, "ts")
-
-
-@query("TOP-22_as_detail", sql("ev", " UNION ALL ".join([
-    count_of("series", f"SELECT DISTINCT {_H} FROM r_as WHERE as_number = {ASN}"),
-    count_of("links_v4", f"SELECT DISTINCT {_H}, link_tag FROM r_as WHERE as_number = {ASN} AND ip_version = 4 AND link_tag != ''"),
-    count_of("links_v6", f"SELECT DISTINCT {_H}, link_tag FROM r_as WHERE as_number = {ASN} AND ip_version = 6 AND link_tag != ''"),
-    count_of("totals", "SELECT 1"), count_of("p95", "SELECT 1"), count_of("asymmetry", "SELECT 1"),
-    count_of("info", f"SELECT 1 FROM an WHERE as_number = {ASN}")]), "an", "r_as"))
-def _(c):
-    return parts(as_detail(c, ASN, EV))
-
-
-def as_detail(c, asn: int, p: QueryParams) -> dict[str, DataFrame]:
-    return {
-        "series": series.as_series(c.ev, asn, p),
-        "links_v4": series.as_link_series(c.ev, asn, p.with_(ip_version=4)),
-        "links_v6": series.as_link_series(c.ev, asn, p.with_(ip_version=6)),
-        "totals": series.as_totals(c.ev, asn, p),
-        "p95": cap.as_p95(c.ev, asn, p),
-        "asymmetry": series.as_asymmetry(c.ev, asn, p),
-        "info": c.as_dim.filter(F.col("as_number") == asn),
-    }
-
-
-@query("TOP-23_ip_detail", sql("ev", " UNION ALL ".join([
-    count_of("series", f"SELECT DISTINCT {_H} FROM r_ip WHERE ip = '{IP}'"),
-    count_of("top_as", f"SELECT DISTINCT as_number FROM r_ipas WHERE ip = '{IP}' LIMIT 20"),
-    count_of("peers", f"SELECT DISTINCT ip FROM (SELECT dst_ip AS ip FROM f WHERE src_ip = '{IP}' UNION ALL SELECT src_ip FROM f WHERE dst_ip = '{IP}') LIMIT 20"),
-    count_of("info", f"SELECT 1 FROM f WHERE timestamp >= TIMESTAMP '2024-01-30 00:00:00' AND ((src_ip = '{IP}' AND src_as > 0) OR (dst_ip = '{IP}' AND dst_as > 0)) LIMIT 1")]), "r_ip", "r_ipas"))
-def _(c):
-    return parts({
-        "series": series.ip_series(c.ev, IP, EV),
-        "top_as": top.ip_top_as(c.ev["traffic_by_ip_as"], c.as_dim, IP, EV),
-        "peers": top.ip_peers(c.ev["flows"], IP, EV.with_(limit=20)),
-        "info": top.ip_info(c.ev["flows"], c.as_dim, IP, EV_END),
-    })
-
-
-@query("TOP-24_link_detail", sql("ev", " UNION ALL ".join([
-    count_of("series", f"SELECT DISTINCT {_H} FROM r_link WHERE link_tag = '{TAG}'"),
-    count_of("top_as", f"SELECT DISTINCT {grouped('as_number')} FROM r_as WHERE link_tag = '{TAG}' LIMIT 20"),
-    count_of("p95", "SELECT 1"), count_of("percentiles", "SELECT 1"),
-    count_of("as_series", f"""SELECT DISTINCT {_H}, {grouped('as_number')} FROM r_as WHERE link_tag = '{TAG}' AND {grouped('as_number')} IN (
-      SELECT {grouped('as_number')} FROM r_as WHERE link_tag = '{TAG}' GROUP BY 1 ORDER BY sum(bytes) DESC, 1 LIMIT 10)"""),
-    count_of("utilization", "SELECT 1")]), "r_link", "r_as"))
-def _(c):
-    return parts({
-        "series": series.link_series(c.ev, TAG, EV),
-        "top_as": top.link_top_as(c.ev["traffic_by_as"], c.as_dim, TAG, EV),
-        "p95": cap.link_p95(c.ev, TAG, EV),
-        "percentiles": cap.link_percentiles(c.ev, TAG, EV),
-        "as_series": series.link_as_series(c.ev, c.as_dim, TAG, EV),
-        "utilization": cap.link_utilization(c.ev, c.links, TAG, EV),
-    })
-
-
 # ---- series ------------------------------------------------------------------------
 
+_H = tb(3600, "ts")
 _SPANS = (1, 3, 5, 6, 30, 36, 48, 72, 100, 168, 500)
 
 
@@ -361,10 +295,13 @@ def _(c):
     return series.links_series(c.ev, c.links, EV)
 
 
-@query("SER-10_link_as_series", sql("ev", f"""SELECT as_num, {gname('as_num', 'as_name')} AS as_name, total_bytes, period, bytes_in, bytes_out FROM (
+_LINK_AS_SERIES = f"""SELECT as_num, {gname('as_num', 'as_name')} AS as_name, total_bytes, period, bytes_in, bytes_out FROM (
  SELECT {grouped('as_number')} AS as_num, {_H} AS period, {iff("direction = 'out'")} AS bytes_in, {iff("direction = 'in'")} AS bytes_out FROM r_as WHERE link_tag = '{TAG}' AND {cut(EV)} GROUP BY 1, 2)
  JOIN (SELECT {grouped('as_number')} AS top_num, {big('sum(bytes)')} AS total_bytes FROM r_as WHERE link_tag = '{TAG}' AND {cut(EV)} GROUP BY 1 ORDER BY total_bytes DESC, top_num LIMIT 10) ON as_num = top_num
- LEFT JOIN an ON as_num = as_number""", "an", "r_as"))
+ LEFT JOIN an ON as_num = as_number"""
+
+
+@query("SER-10_link_as_series", sql("ev", _LINK_AS_SERIES, "an", "r_as"))
 def _(c):
     return series.link_as_series(c.ev, c.as_dim, TAG, EV)
 
@@ -557,11 +494,6 @@ def _samples(c) -> DataFrame:
     return cap._samples(c.ev, TAG, EV)
 
 
-@query("CAP-07_load_curve", sql("ev", "SELECT link_tag, count(*) AS sample_count, " + ", ".join(f"quantile_cont(bps, {q / 100}) AS p{q}" for q in (50, 90, 95, 99, 100)) + f" FROM ({_BPS}) GROUP BY 1", "r_link"))
-def _(c):
-    return cap.load_curve(c.ev, TAG, EV)["quantiles"]
-
-
 _THIN = f""", s AS (SELECT bps, row_number() OVER (ORDER BY bps DESC) - 1 AS r, count(*) OVER () AS n FROM ({_BPS})),
  ix AS (SELECT DISTINCT i, i * (n - 1) // 99 AS r FROM (SELECT n FROM s LIMIT 1), range(100) t(i)),
  thin AS (SELECT i, bps, count(*) OVER () AS m FROM ix JOIN s USING (r))"""
@@ -589,7 +521,10 @@ def _(c):
     return _rounded(cap.soonest_saturation(cap.links_capacity(c.li, c.links, YEARS)).select("link_tag", "soonest_days"), "soonest_days")
 
 
-@query("CAP-12_link_utilization", sql("ev", f"SELECT '{TAG}' AS link_tag, p95_bps, p95_bps / (10000 * 1e6) * 100 AS utilization_pct FROM (SELECT {q95('bps')} AS p95_bps FROM ({_BPS}))", "r_link"))
+_UTILIZATION = f"SELECT '{TAG}' AS link_tag, p95_bps, p95_bps / (10000 * 1e6) * 100 AS utilization_pct FROM (SELECT {q95('bps')} AS p95_bps FROM ({_BPS}))"
+
+
+@query("CAP-12_link_utilization", sql("ev", _UTILIZATION, "r_link"))
 def _(c):
     return cap.link_utilization(c.ev, c.links, TAG, EV)
 
@@ -734,3 +669,142 @@ def _(c):
 def _(c):
     rows = search.decorate(search.search_flows(c.ev["flows_log"], FIND))
     return rows.select("src_ip", "dst_ip", "src_port", "dst_port", "protocol_name", "service", "total_bytes")
+
+
+# ---- bundles: every part with its values ---------------------------------------------
+
+# part -> (columns that name a row, columns that hold its values, SQL of the part)
+Part = tuple[tuple[str, ...], tuple[str, ...], str]
+_POINT = ("bytes_in", "bytes_out", "packets_in", "packets_out")
+_VOLUMES = ("total_bytes", "total_packets", "total_flows")
+
+
+def values(bundle: dict[str, DataFrame], shape: dict[str, Part]) -> DataFrame:
+    """All values of a bundle in long form: part, key of the row, name and value."""
+    out = None
+    for part, (keys, measures, _) in shape.items():
+        key = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+        cells = F.explode(F.array(*[F.struct(F.lit(m).alias("name"), F.col(m).cast("double").alias("value")) for m in measures]))
+        rows = bundle[part].select(F.lit(part).alias("part"), key.alias("key"), cells.alias("c")).select("part", "key", "c.name", "c.value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def values_sql(shape: dict[str, Part], before: str = "") -> str:
+    def text(keys: tuple[str, ...]) -> str:
+        return " || '|' || ".join(f"coalesce(CAST({k} AS VARCHAR), '')" for k in keys) or "''"
+
+    cells = [
+        f"SELECT '{part}' AS part, {text(keys)} AS key, '{m}' AS name, CAST({m} AS DOUBLE) AS value FROM ({inner})"
+        for part, (keys, measures, inner) in shape.items() for m in measures
+    ]
+    return f"{before} {' UNION ALL '.join(cells)}"
+
+
+_VERSIONED = tuple((v, d, e) for v in (4, 6) for d, e in (("out", "in"), ("in", "out")))
+
+
+def _as_links(version: int) -> str:
+    return f"SELECT {_H} AS period, link_tag, {_ROLE} FROM r_as WHERE as_number = {ASN} AND ip_version = {version} AND link_tag != '' AND {cut(EV)} GROUP BY 1, 2"
+
+
+def _split(v: int, d: str, e: str) -> str:
+    return iff(f"direction = '{d}' AND ip_version = {v}") + f" AS v{v}_{e}"
+
+
+_OF_AS = f"FROM r_as WHERE as_number = {ASN} AND {cut(EV)}"
+_AS_DETAIL: dict[str, Part] = {
+    "series": (("period",), _POINT, f"SELECT {_H} AS period, {_ROLE} {_OF_AS} GROUP BY 1"),
+    "links_v4": (("period", "link_tag"), _POINT, _as_links(4)),
+    "links_v6": (("period", "link_tag"), _POINT, _as_links(6)),
+    "totals": ((), tuple(f"v{v}_{e}" for v, _, e in _VERSIONED), f"SELECT {', '.join(_split(*x) for x in _VERSIONED)} {_OF_AS}"),
+    "p95": ((), tuple(f"p95_v{v}_{e}" for v, _, e in _VERSIONED), "SELECT " + ", ".join(f"coalesce({q95(f'CAST(v{v}_{e} AS DOUBLE)')}, 0) AS p95_v{v}_{e}" for v, _, e in _VERSIONED)
+            + f" FROM (SELECT {_H}, {', '.join(_split(*x) for x in _VERSIONED)} {_OF_AS} GROUP BY 1)"),
+    "asymmetry": (("class",), ("bytes_in", "bytes_out", "ratio"), f"SELECT bytes_in, bytes_out, {RATIO} AS ratio, {CLASS} AS class FROM (SELECT {_IN} AS bytes_in, {_OUT} AS bytes_out {_OF_AS})"),
+    "info": (("as_name", "country"), ("as_number",), f"SELECT * FROM an WHERE as_number = {ASN}"),
+}
+
+
+@query("TOP-22_as_detail", sql("ev", values_sql(_AS_DETAIL), "an", "r_as"))
+def _(c):
+    return values({
+        "series": series.as_series(c.ev, ASN, EV),
+        "links_v4": series.as_link_series(c.ev, ASN, EV.with_(ip_version=4)),
+        "links_v6": series.as_link_series(c.ev, ASN, EV.with_(ip_version=6)),
+        "totals": series.as_totals(c.ev, ASN, EV),
+        "p95": cap.as_p95(c.ev, ASN, EV),
+        "asymmetry": series.as_asymmetry(c.ev, ASN, EV),
+        "info": c.as_dim.filter(F.col("as_number") == ASN),
+    }, _AS_DETAIL)
+
+
+_IP_DETAIL: dict[str, Part] = {
+    "series": (("period",), _POINT, f"SELECT {_H} AS period, {_PLAIN_ROLE} FROM r_ip WHERE ip = '{IP}' AND {cut(EV)} GROUP BY 1"),
+    "top_as": (("as_number", "as_name"), _VOLUMES, _named(f"SELECT as_number, {TOTALS} FROM r_ipas WHERE {cut(EV)} AND ip = '{IP}' GROUP BY 1 ORDER BY total_bytes DESC, as_number LIMIT 20")),
+    "peers": (("ip",), _VOLUMES, f"""SELECT ip, {TOTALS} FROM (SELECT dst_ip AS ip, bytes, packets, flow_count FROM f WHERE src_ip = '{IP}' AND {cut(EV, 'timestamp')} UNION ALL
+ SELECT src_ip, bytes, packets, flow_count FROM f WHERE dst_ip = '{IP}' AND {cut(EV, 'timestamp')}) GROUP BY 1 ORDER BY total_bytes DESC, ip LIMIT 20"""),
+    "info": (("as_name", "prefix"), ("as_number",), _ip_info(IP)),
+}
+
+
+@query("TOP-23_ip_detail", sql("ev", values_sql(_IP_DETAIL), "an", "r_ip", "r_ipas"))
+def _(c):
+    return values({
+        "series": series.ip_series(c.ev, IP, EV),
+        "top_as": top.ip_top_as(c.ev["traffic_by_ip_as"], c.as_dim, IP, EV),
+        "peers": top.ip_peers(c.ev["flows"], IP, EV.with_(limit=20)),
+        "info": top.ip_info(c.ev["flows"], c.as_dim, IP, EV_END),
+    }, _IP_DETAIL)
+
+
+_LINK_DETAIL: dict[str, Part] = {
+    "series": (("period",), _POINT, _LINK_SERIES),
+    "top_as": (("as_num", "as_name"), _VOLUMES, _link_top_as()),
+    "p95": ((), ("p95_in", "p95_out"), f"SELECT {q95(_BI)} AS p95_in, {q95(_BO)} AS p95_out FROM ({_ONE})"),
+    "percentiles": ((), tuple(f"p{q}_{e}" for q in (50, 95, 99) for e in ("in", "out")), "SELECT " + ", ".join(f"{q95(x, q / 100)} AS p{q}_{e}" for x, e in ((_BI, "in"), (_BO, "out")) for q in (50, 95, 99)) + f" FROM ({_ONE})"),
+    "as_series": (("as_num", "as_name", "period"), ("total_bytes", "bytes_in", "bytes_out"), _LINK_AS_SERIES),
+    "utilization": (("link_tag",), ("p95_bps", "utilization_pct"), _UTILIZATION),
+}
+
+
+@query("TOP-24_link_detail", sql("ev", values_sql(_LINK_DETAIL), "an", "r_link", "r_as"))
+def _(c):
+    return values({
+        "series": series.link_series(c.ev, TAG, EV),
+        "top_as": top.link_top_as(c.ev["traffic_by_as"], c.as_dim, TAG, EV),
+        "p95": cap.link_p95(c.ev, TAG, EV),
+        "percentiles": cap.link_percentiles(c.ev, TAG, EV),
+        "as_series": series.link_as_series(c.ev, c.as_dim, TAG, EV),
+        "utilization": cap.link_utilization(c.ev, c.links, TAG, EV),
+    }, _LINK_DETAIL)
+
+
+_OVERVIEW: dict[str, Part] = {
+    "totals": ((), ("total_bytes_in", "total_bytes_out", "total_flows", "active_as_count"), f"""SELECT {big('sum(bytes_in)')} AS total_bytes_in, {big('sum(bytes_out)')} AS total_bytes_out, {big('sum(flow_count)')} AS total_flows,
+ (SELECT count(DISTINCT as_number) FROM r_as WHERE {cut(EV)}) AS active_as_count FROM r_link WHERE {cut(EV)}"""),
+    "top_as": (("as_num", "as_name", "country", "class"), (*_VOLUMES, "avg_pkt_size", "bytes_in", "bytes_out", "ratio", "percent"), _top_as(EV.with_(limit=10))),
+    "top_ip": (("ip", "as_number", "as_name"), (*_VOLUMES, "avg_pkt_size"), _top_ip("", EV, 10)),
+    "links": (("link_tag", "description"), ("capacity_mbps", "bytes_in", "bytes_out"), _link_list(EV)),
+}
+
+
+@query("TOP-15_overview", sql("ev", values_sql(_OVERVIEW), "an", "r_link", "r_as", "r_ip"))
+def _(c):
+    return values(top.overview(c.ev["traffic_by_link"], c.ev["traffic_by_as"], c.ev["traffic_by_ip"], c.links, c.as_dim, EV), _OVERVIEW)
+
+
+_CURVE = f""", s AS (SELECT bps, row_number() OVER (ORDER BY bps DESC) - 1 AS r, count(*) OVER () AS n FROM ({_BPS})),
+ ix AS (SELECT DISTINCT i * (n - 1) // 499 AS r FROM (SELECT n FROM s LIMIT 1), range(500) t(i)),
+ pts AS (SELECT row_number() OVER (ORDER BY r) - 1 AS i, bps, count(*) OVER () AS m FROM ix JOIN s USING (r)),
+ e AS (SELECT min(bps) AS lo, max(bps) AS hi FROM s), hb AS (SELECT CAST(i AS INT) AS bin, lo, (hi - lo) / 20 AS w FROM e, range(20) t(i))"""
+_LOAD_CURVE: dict[str, Part] = {
+    "quantiles": (("link_tag",), ("sample_count", "p50", "p90", "p95", "p99", "p100"), f"SELECT '{TAG}' AS link_tag, count(*) AS sample_count, " + ", ".join(f"quantile_cont(bps, {q / 100}) AS p{q}" for q in (50, 90, 95, 99, 100)) + " FROM s"),
+    "points": (("link_tag", "i"), ("bps", "pct"), f"SELECT '{TAG}' AS link_tag, i, bps, CASE WHEN m > 1 THEN i / (m - 1) * 100 ELSE 0.0 END AS pct FROM pts"),
+    "histogram": (("link_tag", "bin"), ("lower_bps", "upper_bps", "samples"), f"""SELECT '{TAG}' AS link_tag, bin, lo + bin * w AS lower_bps, lo + (bin + 1) * w AS upper_bps,
+ (SELECT count(*) FROM s WHERE least(floor((bps - hb.lo) / hb.w), 19) = hb.bin) AS samples FROM hb"""),
+}
+
+
+@query("CAP-07_load_curve", sql("ev", values_sql(_LOAD_CURVE, _CURVE), "r_link"))
+def _(c):
+    return values(cap.load_curve(c.ev, TAG, EV), _LOAD_CURVE)
