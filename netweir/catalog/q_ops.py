@@ -338,6 +338,27 @@ def _(c):
     return rows.select("target", al.details_json().alias("details"))
 
 
+_LAST_HOUR = "link_tag != '' AND timestamp >= TIMESTAMP '2024-01-30 23:00:00' AND timestamp < TIMESTAMP '2024-01-31 00:00:00'"
+
+
+def _why(section: str, key: str, name: str, where: str = "") -> str:
+    return f"""SELECT link_tag AS target, '{section}' AS section, rank, key, {name} AS name, bytes, packets, bytes / whole * 100 AS percent FROM (
+ SELECT *, row_number() OVER (PARTITION BY link_tag ORDER BY bytes DESC, key) AS rank FROM (SELECT link_tag, {key} AS key, any_value(src_as) AS asn, any_value(protocol) AS pr, any_value(dst_port) AS po,
+ {big('sum(bytes)')} AS bytes, {big('sum(packets)')} AS packets FROM f WHERE {_LAST_HOUR} {where} GROUP BY 1, 2))
+ JOIN (SELECT link_tag, sum(bytes) AS whole FROM f WHERE {_LAST_HOUR} GROUP BY 1) USING (link_tag) WHERE rank <= 10"""
+
+
+@query("ALR-22_label_explanation", sql("ev", " UNION ALL ".join((
+    _why("as", "CAST(src_as AS VARCHAR)", "coalesce((SELECT as_name FROM an WHERE as_number = asn), '')", "AND src_as > 0"),
+    _why("ip", "src_ip", "''"),
+    _why("port", "CAST(protocol AS VARCHAR) || '/' || CAST(dst_port AS VARCHAR)", f"trim({proto('pr')} || ' ' || {service('pr', 'po')})"))), "svc"))
+def _(c):
+    """The explanations that anomaly alerts on all links carry in their details."""
+    labels = c.links.select(F.lit("label").alias("target_kind"), F.col("tag").alias("target"), F.lit("anomaly").alias("rule_type"))
+    rows = al.with_explanations(labels, c.ev["flows"], c.as_dim, AS_OF)
+    return rows.select("target", F.explode(F.col("extra")["explanation"]).alias("e")).select("target", "e.*")
+
+
 @query("ALR-23_list_alerts", f"SELECT id, severity, triggered_at, status FROM {_ALERTS} WHERE status = 'active' ORDER BY triggered_at DESC, id LIMIT 100")
 def _(c):
     return al.list_alerts(c.alerts, "active").select("id", "severity", "triggered_at", "status")
@@ -475,14 +496,29 @@ def _(c):
     return rows.select("table_name", "ttl_days", "live_days")
 
 
-@query("RET-01_catalogue_applied", sql("ev", " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, {ret.CATALOGUE[t][1]} AS days, count(*) AS kept FROM {src} WHERE {col} >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '{ret.CATALOGUE[t][1]}' DAY"
-    for t, src, col in (("flows_raw", "f", "timestamp"), ("traffic_by_ip", "r_ip", "ts"), ("traffic_by_dst_1min", "r_dst", "ts"))), "r_ip", "r_dst"))
+# Managed tables and their SQL. The audit log is derived from orders, so it is judged at the end of their time.
+_MANAGED = {
+    "flows_raw": "f", "traffic_by_as": "r_as", "traffic_by_as_hourly": "r_ash", "traffic_by_as_daily": "r_asd", "traffic_by_link": "r_link", "traffic_by_link_hourly": "r_linkh",
+    "traffic_by_link_daily": "r_linkd", "traffic_by_ip": "r_ip", "traffic_by_ip_as": "r_ipas", "traffic_by_prefix": "r_px", "flows_log": "r_log", "traffic_by_port": "r_port",
+    "traffic_by_dst_1min": "r_dst", "traffic_by_src_1min": "r_src", "alerts": f"({fx.ALERTS})", "audit_log": f"({fx.AUDIT})", "bgp_blocks": f"({fx.BLOCKS})",
+}
+_RETAINED_AT = {t: datetime(1998, 8, 2) if t == "audit_log" else AS_OF for t in _MANAGED}
+
+
+def _kept(table: str, source: str) -> str:
+    column, days = ret.CATALOGUE[table]
+    return f"SELECT '{table}' AS table_name, {days} AS days, count(*) FILTER ({column} >= TIMESTAMP '{_RETAINED_AT[table]:%Y-%m-%d %H:%M:%S}' - INTERVAL '{days}' DAY) AS kept, count(*) AS total FROM {source}"
+
+
+@query("RET-01_catalogue_applied", sql("ev", " UNION ALL ".join(_kept(*x) for x in _MANAGED.items()), *sorted({s for s in _MANAGED.values() if s.startswith("r_")})))
 def _(c):
+    """Every table of the catalogue under its retention."""
+    own = {"flows_raw": c.ev["flows"], "alerts": c.alerts, "audit_log": c.audit, "bgp_blocks": c.blocks}
     out = None
-    for name, rows in (("flows_raw", c.ev["flows"]), ("traffic_by_ip", c.ev["traffic_by_ip"]), ("traffic_by_dst_1min", c.ev["traffic_by_dst_1min"])):
-        column, days = ret.CATALOGUE[name]
-        n = ret.retained(rows, column, days, AS_OF).agg(F.lit(name).alias("table_name"), F.lit(days).alias("days"), F.count("*").alias("kept"))
+    for name in ret.CATALOGUE:
+        rows = own[name] if name in own else c.ev[name]
+        kept = ret.enforce({name: rows}, _RETAINED_AT[name])[name].agg(F.lit(name).alias("table_name"), F.lit(ret.CATALOGUE[name][1]).alias("days"), F.count("*").alias("kept"))
+        n = kept.withColumn("total", rows.agg(F.count("*").alias("n")).scalar())
         out = n if out is None else out.unionByName(n)
     return out
 

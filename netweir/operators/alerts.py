@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.addr import ip_text, label_address
 from ..functions.timeb import instant
 from ..plans.filters import since
+from .detect import SECTION, explain_links
 from .top import top_sources
 
 SEVERITY_RANK = {"info": 0, "warning": 1, "critical": 2}
@@ -193,6 +194,20 @@ def with_top_sources(opened: DataFrame, flows: DataFrame, as_of: datetime, n: in
     return opened.join(listed, ["target", "since"], "left").drop("since").withColumn("top_sources", F.coalesce("top_sources", none))
 
 
+def with_explanations(opened: DataFrame, flows: DataFrame, as_dim: DataFrame, as_of: datetime, n: int = 10) -> DataFrame:
+    """Newly opened anomaly alerts get what their link carried in the last complete hour as ``extra`` (a map for ``details_json``); others get NULL.
+
+    All links are explained in one scan; a link's list has at most three times ``n`` entries.
+    """
+    end = as_of.replace(minute=0, second=0, microsecond=0)
+    anomalous = (F.col("target_kind") == "label") & (F.col("rule_type") == "anomaly")
+    tags = opened.filter(anomalous).select(F.col("target").alias("link_tag"))
+    found = explain_links(flows, as_dim, tags, end - timedelta(hours=1), end, n)
+    entries = F.array_sort(F.collect_list(F.struct(*SECTION, "percent")))
+    listed = found.groupBy(F.col("link_tag").alias("target")).agg(F.create_map(F.lit("explanation"), entries).alias("found"))
+    return opened.join(listed, "target", "left").withColumn("extra", F.when(anomalous, F.col("found"))).drop("found")
+
+
 def list_alerts(alerts: DataFrame, status: str = "", limit: int = 100) -> DataFrame:
     kept = alerts.filter(F.col("status") == status) if status else alerts
     return kept.orderBy(F.desc("triggered_at"), "id").limit(limit if limit > 0 else 100)

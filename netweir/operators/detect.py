@@ -428,12 +428,11 @@ def visible_threats(annotated: DataFrame, sort: str = "bps", ascending: bool = F
 # ---- anomaly explanation ---------------------------------------------------------
 
 
-def anomaly_explain(flows: DataFrame, as_dim: DataFrame, tag: str, start: datetime, end: datetime, n: int = 10):
-    """Top source AS, source addresses and destination ports of a link with their share of its bytes.
+SECTION = ("section", "rank", "key", "name", "bytes", "packets")
 
-    One scan and one shuffle: each flow contributes to three sections.
-    """
-    rows = volumes(in_range(flows, start, end, "timestamp").filter(F.col("link_tag") == tag))
+
+def _contributors(rows: DataFrame, as_dim: DataFrame, n: int) -> DataFrame:
+    """Top source AS, source addresses and destination ports of each link: one shuffle, each flow contributes to three sections."""
 
     def entry(section, key, asn=None, proto=None, port=None):
         none = F.lit(None)
@@ -451,11 +450,11 @@ def anomaly_explain(flows: DataFrame, as_dim: DataFrame, tag: str, start: dateti
             proto=F.col("protocol"), port=F.col("dst_port"),
         ),
     )
-    exploded = rows.select(F.explode(sections).alias("e"), "bytes", "packets").filter("e IS NOT NULL")
-    grouped = exploded.groupBy("e.section", "e.key", "e.asn", "e.proto", "e.port").agg(
+    exploded = rows.select("link_tag", F.explode(sections).alias("e"), "bytes", "packets").filter("e IS NOT NULL")
+    grouped = exploded.groupBy("link_tag", "e.section", "e.key", "e.asn", "e.proto", "e.port").agg(
         F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets")
     )
-    w = Window.partitionBy("section").orderBy(F.desc("bytes"), "key")
+    w = Window.partitionBy("link_tag", "section").orderBy(F.desc("bytes"), "key")
     top = grouped.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
     named = with_as_info(top, as_dim, "asn")
     name = (
@@ -463,8 +462,22 @@ def anomaly_explain(flows: DataFrame, as_dim: DataFrame, tag: str, start: dateti
         .when(F.col("section") == "port", F.concat_ws(" ", protocol_name("proto"), F.nullif(service_name("proto", "port"), F.lit(""))))
         .otherwise(F.lit(""))
     )
+    return named.withColumn("name", name).select("link_tag", *SECTION)
+
+
+def anomaly_explain(flows: DataFrame, as_dim: DataFrame, tag: str, start: datetime, end: datetime, n: int = 10) -> DataFrame:
+    """Top source AS, source addresses and destination ports of a link with their share of its bytes."""
+    rows = volumes(in_range(flows, start, end, "timestamp").filter(F.col("link_tag") == tag))
     whole = rows.agg(F.sum("bytes").alias("whole")).scalar()
-    return named.select("section", "rank", "key", name.alias("name"), "bytes", "packets", percent(F.col("bytes"), whole).alias("percent"))
+    return _contributors(rows, as_dim, n).select(*SECTION, percent(F.col("bytes"), whole).alias("percent"))
+
+
+def explain_links(flows: DataFrame, as_dim: DataFrame, tags: DataFrame, start: datetime, end: datetime, n: int = 10) -> DataFrame:
+    """The same for every link in ``tags`` (link_tag) at once."""
+    rows = volumes(in_range(flows, start, end, "timestamp")).join(tags.select("link_tag").distinct(), "link_tag", "left_semi")
+    whole = rows.groupBy("link_tag").agg(F.sum("bytes").alias("whole"))
+    shares = _contributors(rows, as_dim, n).join(whole, "link_tag")
+    return shares.select("link_tag", *SECTION, percent(F.col("bytes"), F.col("whole")).alias("percent"))
 
 
 # ---- sliding evaluation ------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -60,6 +61,15 @@ def retained(df: DataFrame, column: str, days: int, as_of: datetime) -> DataFram
     return df.filter(F.col(column) >= instant(cutoff))
 
 
+def enforce(tables: Mapping[str, DataFrame], as_of: datetime, days: Mapping[str, int] | None = None) -> dict[str, DataFrame]:
+    """What each managed table keeps, by its own policy where ``days`` has one, else by the catalogue."""
+    kept = {}
+    for name, (column, default) in CATALOGUE.items():
+        if name in tables:
+            kept[name] = retained(tables[name], column, (days or {}).get(name, default), as_of)
+    return kept
+
+
 def storage_stats(tables: dict[str, tuple[DataFrame, str]], policies: DataFrame) -> DataFrame:
     """Bytes, files, rows and time span per table, next to its retention policy.
 

@@ -180,9 +180,9 @@ def top_as_series(tables: Tables, as_dim: DataFrame, p: QueryParams) -> DataFram
     periods = points.groupBy("as_num", "period").agg(F.sum("bytes_in").alias("i"), F.sum("bytes_out").alias("o"))
     p95 = periods.groupBy("as_num").agg(nearest_rank("i").alias("p95_in"), nearest_rank("o").alias("p95_out"))
     named = with_as_info(top, as_dim, "as_num").withColumn("as_name", grouped_as_name("as_num", "as_name"))
-    head = named.select("as_num", "as_name", "total_bytes").join(F.broadcast(p95), "as_num", "left")
+    head = named.select("as_num", "as_name", "total_bytes").join(p95, "as_num", "left")
     zero = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("p95_in", "p95_out")}
-    return F.broadcast(head.withColumns(zero)).join(points, "as_num", "left").select(
+    return head.withColumns(zero).join(points, "as_num", "left").select(
         "as_num", "as_name", "total_bytes", "p95_in", "p95_out", "period", "link_tag", *POINT
     )
 

@@ -288,17 +288,17 @@ def conversations(rows: DataFrame, dimension: str, p: QueryParams, limit: int =
     return top_k(grouped, "total_bytes", list(keys), limit)
 
 
-def top_sources(flows: DataFrame, targets: DataFrame, n: int = 5) -> DataFrame:
+def top_sources(flows: DataFrame, targets: DataFrame, n: int = 5, lanes: int = 64) -> DataFrame:
     """Heaviest sources of each (target, since).
 
-    Dealt out by (target, since, source) behind the join, so a flooded target's flows spread over tasks: where
-    the join is shuffled, that exchange also lets a skewed partition split.
+    A target is joined in ``lanes`` parts, each with its own sources, so a flooded target spreads over tasks. Where the join is shuffled, the sums need no
+    second exchange, as a source lies in one lane; where it is broadcast, they combine before theirs. Raw flows move once at most.
     """
-    joined = volumes(flows).join(
-        targets, (F.col("dst_ip") == F.col("target")) & (F.col("timestamp") >= F.col("since")), "inner"
-    )
-    spread = joined.select("target", "since", "src_ip", "bytes").repartition("target", "since", "src_ip")
-    grouped = spread.groupBy("target", "since", "src_ip").agg(F.sum("bytes").alias("total_bytes"))
+    laned = volumes(flows).select("dst_ip", "src_ip", "timestamp", "bytes", F.pmod(F.xxhash64("src_ip"), F.lit(lanes)).alias("lane"))
+    every = targets.withColumn("target_lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
+    same = (F.col("dst_ip") == F.col("target")) & (F.col("lane") == F.col("target_lane"))
+    joined = laned.join(every, same & (F.col("timestamp") >= F.col("since")), "inner")
+    grouped = joined.groupBy("target", "target_lane", "since", "src_ip").agg(F.sum("bytes").alias("total_bytes")).drop("target_lane")
     w = Window.partitionBy("target", "since").orderBy(F.desc("total_bytes"), "src_ip")
     return grouped.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
