@@ -190,3 +190,62 @@ def test_lifecycle_equals_the_state_machine(spark, seed, cooldown, stale):
     got = [(r.target, r.triggered_at, r.last_seen_at, r.resolved_at, r.status, r.metric_value, r.heartbeats) for r in out.collect()]
     assert sorted(got, key=str) == sorted(want, key=str) and len(want) > 12
     assert "Pandas" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+FLOWS = "timestamp timestamp_ntz, src_ip string, dst_ip string, src_as long, protocol int, dst_port int, link_tag string, bytes long, packets long, sampling_rate long"
+
+
+def _hour_flows(spark):
+    at = T0.replace(minute=0, second=0, microsecond=0)
+    rows = [(at - timedelta(minutes=1 + i % 59), f"10.0.0.{i % 3}", "192.0.2.1", 10 + i % 2, 6, 443, "up" if i % 4 else "down", 100 + i, 1, 2) for i in range(40)]
+    rows += [(at - timedelta(hours=2), "10.9.9.9", "192.0.2.1", 99, 6, 80, "up", 10**9, 1, 1), (at, "10.9.9.9", "192.0.2.1", 99, 6, 80, "up", 10**9, 1, 1)]
+    return rows, spark.createDataFrame(rows, FLOWS)
+
+
+def test_anomaly_alerts_carry_their_links_explanation(spark):
+    import json
+
+    rows, flows = _hour_flows(spark)
+    names = spark.createDataFrame([(10, "ten", "DE")], "as_number long, as_name string, country string")
+    opened = spark.createDataFrame([("label", "up", "anomaly"), ("label", "idle", "anomaly"), ("label", "down", "link_capacity"), ("ip", "up", "volume_in")], "target_kind string, target string, rule_type string")
+    opened = opened.selectExpr("*", "CAST(array() AS array<string>) AS top_sources", "0L AS unique_count", "3600 AS window_seconds")
+    got = {(r.target, r.rule_type): json.loads(r.d) for r in al.with_explanations(opened, flows, names, T0).select("target", "rule_type", al.details_json(extra="extra").alias("d")).collect()}
+    assert {k for k, d in got.items() if "extra" in d} == {("up", "anomaly")} and len(got) == 4
+    entries = got["up", "anomaly"]["extra"]["explanation"]
+    last = [r for r in rows[:40] if r[6] == "up"]
+    whole = sum(2 * r[7] for r in last)
+    for section, at in (("as", 3), ("ip", 1)):
+        want = {}
+        for r in last:
+            want[str(r[at])] = want.get(str(r[at]), 0) + 2 * r[7]
+        mine = [e for e in entries if e["section"] == section]
+        assert [e["key"] for e in mine] == sorted(want, key=lambda k: (-want[k], k)) and [e["bytes"] for e in mine] == sorted(want.values(), reverse=True)
+        assert all(abs(e["percent"] - 100 * e["bytes"] / whole) < 1e-9 for e in mine)
+
+
+def test_top_sources_move_raw_flows_once(spark):
+    """Joined by shuffle, a target's flows are summed where they met; nothing raw moves again."""
+    from netweir.operators.top import top_sources
+
+    rows, flows = _hour_flows(spark)
+    targets = spark.createDataFrame([("192.0.2.1", rows[40][0])], "target string, since timestamp_ntz")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        best = top_sources(flows, targets, 2)
+        plan = best._jdf.queryExecution().executedPlan().toString()
+        got = [(r.src_ip, r.total_bytes) for r in best.orderBy("rank").collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 3  # flows, targets, and the ranking of sums
+    want = {}
+    for r in rows:
+        want[r[1]] = want.get(r[1], 0) + r[7] * r[9]
+    assert got == sorted(want.items(), key=lambda x: (-x[1], x[0]))[:2]
+
+
+def test_retention_of_given_tables(spark):
+    from netweir.operators import retention
+
+    df = spark.createDataFrame([(T0 - timedelta(days=d),) for d in (0, 2, 5, 20)], "ts timestamp_ntz")
+    kept = retention.enforce({"traffic_by_ip": df, "traffic_by_dst_1min": df, "not_managed": df}, T0, {"traffic_by_ip": 3})
+    assert {n: t.count() for n, t in kept.items()} == {"traffic_by_ip": 2, "traffic_by_dst_1min": 3}
