@@ -136,6 +136,31 @@ def _(c):
     return found.withColumns({"baseline": F.round("baseline", 6), "deviation": F.round("deviation", 9)})
 
 
+_LINK_RULES = [
+    de.Rule("c1", "link_capacity", threshold_count=1, window_seconds=MONTH), de.Rule("c2", "link_capacity", threshold_count=1, window_seconds=MONTH // 3),
+    de.Rule("a1", "anomaly", threshold_count=25), de.Rule("a2", "anomaly", threshold_count=1), de.Rule("a3", "anomaly", threshold_count=10, target_filter="transit-2"),
+]
+
+
+def _capacity_hit(rule: str, window: int) -> str:
+    return f"""(SELECT '{rule}' AS rule_id, link_tag AS target, util AS metric_value FROM (SELECT link_tag, quantile_cont(bps, 0.95) / (capacity_mbps * 1e6) * 100 AS util FROM (
+ SELECT link_tag, ts, CAST(sum(bytes_in + bytes_out) AS BIGINT) * 8 / 3600 AS bps FROM r_linkh WHERE ts >= TIMESTAMP '{_CURRENT - timedelta(seconds=window):%Y-%m-%d %H:%M:%S}' GROUP BY 1, 2)
+ JOIN lk ON tag = link_tag WHERE capacity_mbps > 0 GROUP BY link_tag, capacity_mbps) WHERE util > 1 ORDER BY util DESC, link_tag LIMIT 1)"""
+
+
+def _anomaly_hit(rule: str, k: float, where: str = "") -> str:
+    baseline = f"(med + {k} * 1.4826 * mad)"
+    return f"""(SELECT '{rule}' AS rule_id, link_tag AS target, current AS metric_value FROM mm WHERE samples >= 4 AND {baseline} > 0 AND current > {baseline} AND current / {baseline} >= 1.2 {where}
+ ORDER BY current / {baseline} DESC, link_tag LIMIT 1)"""
+
+
+@query("ALR-12_link_rules_together", sql("ev", _ANOMALY + """, mm AS (SELECT link_tag, any_value(samples) AS samples, any_value(med) AS med, median(abs(bps - med)) AS mad,
+ coalesce((SELECT max(bps) FROM s t WHERE cur AND t.link_tag = s.link_tag), 0.0) AS current FROM s JOIN md USING (link_tag) WHERE NOT cur GROUP BY 1) """ + " UNION ALL ".join((
+    _capacity_hit("c1", MONTH), _capacity_hit("c2", MONTH // 3), _anomaly_hit("a1", 2.5), _anomaly_hit("a2", 0.1), _anomaly_hit("a3", 1.0, "AND link_tag = 'transit-2'"))), "r_linkh"))
+def _(c):
+    return de.evaluate_rules(_LINK_RULES, c.ev, c.links, _CURRENT).select("rule_id", "target", "metric_value")
+
+
 _EXPLAIN = f"link_tag = 'transit-1' AND {cut(EV, 'timestamp')}"
 
 

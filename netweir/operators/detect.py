@@ -273,21 +273,24 @@ def _smtp(flows: DataFrame, rules: list[Rule], as_of: datetime) -> DataFrame:
     return _exploded(sums, hits)
 
 
-def link_utilization_by_hour(hourly: DataFrame, links: DataFrame, as_of: datetime, window: int) -> DataFrame:
-    """p95 of hourly rates over the window against capacity, per link with a capacity."""
-    hours = since(hourly, as_of - timedelta(seconds=window)).groupBy("link_tag", "ts").agg(
-        ((F.sum("bytes_in") + F.sum("bytes_out")) * 8 / F.lit(3600)).alias("bps")
-    )
-    p95 = hours.groupBy("link_tag").agg(F.percentile("bps", F.lit(0.95)).alias("p95"))
-    sized = p95.join(links.select(F.col("tag").alias("link_tag"), "capacity_mbps"), "link_tag")
-    return sized.filter(F.col("capacity_mbps") > 0).withColumn("util", utilization("p95", "capacity_mbps"))
+def _worst(sums: DataFrame, hits: list[Column]) -> DataFrame:
+    """The worst link of each rule."""
+    order = Window.partitionBy("rule_id").orderBy(F.desc("rank_value"), "target")
+    return _exploded(sums, hits).withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r")
 
 
-def _link_capacity(hourly: DataFrame, links: DataFrame, r: Rule, as_of: datetime) -> DataFrame:
-    util = link_utilization_by_hour(hourly, links, as_of, r.window_seconds).filter(F.col("util") > r.threshold_count)
-    worst = util.orderBy(F.desc("util"), "link_tag").limit(1)
-    hit = _violation(r, "label", F.col("link_tag"), F.lit(0), F.col("util"), F.lit(0), F.col("util"))
-    return worst.select(hit.alias("v")).select("v.*")
+def _link_capacity(hourly: DataFrame, links: DataFrame, rules: list[Rule], as_of: datetime) -> DataFrame:
+    """All capacity rules in one scan: p95 of a link's hourly rates in each distinct window against its capacity."""
+    rate = ((F.sum("bytes_in") + F.sum("bytes_out")) * 8 / F.lit(3600)).alias("bps")
+    hours = _oldest(hourly, rules, as_of).groupBy("link_tag", "ts").agg(rate)
+    windows = sorted({r.window_seconds for r in rules})
+    p95 = hours.groupBy("link_tag").agg(*[F.percentile(F.when(_since(as_of, w), F.col("bps")), F.lit(0.95)).alias(f"p95_{w}") for w in windows])
+    sized = p95.join(links.select(F.col("tag").alias("link_tag"), "capacity_mbps"), "link_tag").filter(F.col("capacity_mbps") > 0)
+    hits = []
+    for r in rules:
+        util = utilization(f"p95_{r.window_seconds}", "capacity_mbps")
+        hits.append(F.when(util > r.threshold_count, _violation(r, "label", F.col("link_tag"), F.lit(0), util, F.lit(0), util)))
+    return _worst(sized, hits)
 
 
 def median_mad(samples: DataFrame, k: float, value: str = "bps", current: str = "is_current", key: str = "link_tag"):
@@ -303,11 +306,16 @@ def median_mad(samples: DataFrame, k: float, value: str = "bps", current: str =
     return stats.withColumn("baseline", F.col("med") + F.lit(k * MAD_SCALE) * F.col("mad"))
 
 
+def _deviation(samples: Column, current: Column, baseline: Column) -> tuple[Column, Column]:
+    """Ratio to the baseline and whether it counts: enough history, a positive baseline, above it and by the minimum ratio."""
+    ratio = F.when((samples >= MIN_SAMPLES) & (baseline > 0), current / baseline)
+    return ratio, F.coalesce((current > baseline) & (ratio >= MIN_RATIO), F.lit(False))
+
+
 def anomaly_decision(stats: DataFrame) -> DataFrame:
-    """Adds ``deviation`` and ``fires``: enough history, a positive baseline, above it and by the minimum ratio."""
-    ratio = F.when((F.col("samples") >= MIN_SAMPLES) & (F.col("baseline") > 0), F.col("current") / F.col("baseline"))
-    fires = (F.col("current") > F.col("baseline")) & (F.col("deviation") >= MIN_RATIO)
-    return stats.withColumn("deviation", ratio).withColumn("fires", F.coalesce(fires, F.lit(False)))
+    """Adds ``deviation`` and ``fires``."""
+    ratio, fires = _deviation(F.col("samples"), F.col("current"), F.col("baseline"))
+    return stats.withColumns({"deviation": ratio, "fires": fires})
 
 
 def link_samples(hourly: DataFrame, as_of: datetime, link: str = "") -> DataFrame:
@@ -331,10 +339,17 @@ def anomalies(hourly: DataFrame, k: float, as_of: datetime, link: str = "") -> D
     return worst.select("link_tag", "current", "baseline", "deviation", "samples", F.lit(k).alias("sensitivity_k"))
 
 
-def _anomaly(hourly: DataFrame, r: Rule, as_of: datetime) -> DataFrame:
-    found = anomalies(hourly, r.threshold_count / 10.0, as_of, r.target_filter)
-    hit = _violation(r, "label", F.col("link_tag"), F.lit(0), F.col("current"), F.lit(0), F.col("deviation"))
-    return found.select(hit.alias("v")).select("v.*")
+def _anomaly(hourly: DataFrame, rules: list[Rule], as_of: datetime) -> DataFrame:
+    """All anomaly rules in one scan: median and MAD of a link serve every sensitivity."""
+    only = {r.target_filter for r in rules}
+    stats = median_mad(link_samples(hourly, as_of, only.pop() if len(only) == 1 else ""), 0.0)
+    hits = []
+    for r in rules:
+        baseline = F.col("med") + F.lit(r.threshold_count / 10.0 * MAD_SCALE) * F.col("mad")
+        ratio, fires = _deviation(F.col("samples"), F.col("current"), baseline)
+        mine = (F.col("link_tag") == r.target_filter) if r.target_filter else F.lit(True)
+        hits.append(F.when(mine & fires, _violation(r, "label", F.col("link_tag"), F.lit(0), F.col("current"), F.lit(0), ratio)))
+    return _worst(stats, hits)
 
 
 def evaluate_rules(
@@ -342,7 +357,7 @@ def evaluate_rules(
 ) -> DataFrame:
     """Violations of all enabled rules.
 
-    Per-host rules take one scan a side, subnet rules one, mail rules one; link rules one each over hourly rows. ``max_targets`` keeps
+    Per-host rules take one scan a side, subnet rules one, mail rules one, capacity rules one and anomaly rules one. ``max_targets`` keeps
     only that many worst targets of a rule. ``exact=False`` estimates distinct counts from the sketches of stored rollups.
     """
     live = [r for r in rules if r.enabled and r.rule_type in METRIC_TYPES]
@@ -356,8 +371,10 @@ def evaluate_rules(
         parts.append(_subnets(tables["traffic_by_dst_1min"], of("subnet_flood"), as_of))
     if of("smtp_abuse"):
         parts.append(_smtp(tables["flows"], of("smtp_abuse"), as_of))
-    parts += [_link_capacity(tables["traffic_by_link_hourly"], links, r, as_of) for r in of("link_capacity")]
-    parts += [_anomaly(tables["traffic_by_link_hourly"], r, as_of) for r in of("anomaly")]
+    if of("link_capacity"):
+        parts.append(_link_capacity(tables["traffic_by_link_hourly"], links, of("link_capacity"), as_of))
+    if of("anomaly"):
+        parts.append(_anomaly(tables["traffic_by_link_hourly"], of("anomaly"), as_of))
     if not parts:
         return _nothing(tables["flows"]).select(*VIOLATION)
     out = parts[0]
