@@ -21,7 +21,9 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license.license_scan(_table(spark, sf_dir, "documents"))
+    out = license.license_scan(_table(spark, sf_dir, "documents"))
+    places = F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["first"], s["last"]))
+    return out.withColumn("spans", F.array_join(places, ","))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,31 +82,40 @@ _SPACE = r"[\x20\x09-\x0D]+"
 
 
 def _license_sql() -> str:
-    """The same method in SQL: grams against template positions, diagonals, merged spans."""
-    rows = []
-    for exact, texts in ((True, license.PHRASES.items()), (False, [(v, license.LABELS.get(k, k)) for k, v in license.NOTICES.items()])):
-        for text, label in texts:
-            w = text.split()
-            rows += [f"('{text}', '{label}', {exact}, {len(w) - 2}, {i}, '{' '.join(w[i : i + 3])}')" for i in range(len(w) - 2)]
+    """The same method in SQL: grams against template positions, diagonals merged with their neighbours, spans aligned by letters."""
+    rows = ", ".join("('{}', '{}', {}, '{}', {}, '{}')".format(*row) for row in license.template_rows())
     return rf"""
-WITH place(template, label, exact, n_grams, slot, gram) AS (VALUES {", ".join(rows)}),
+WITH place(template, label, exact, code, slot, gram) AS (VALUES {rows}),
 d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{license.UPPER}', '{license.LOWER}'),
       '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM documents),
-g AS (SELECT doc_id, unnest(list_transform(range(greatest(len(words) - 2, 0)),
+g AS (SELECT doc_id, len(words) AS n, unnest(list_transform(range(greatest(len(words) - 2, 0)),
       lambda i: {{'pos': i, 'gram': words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3]}})) AS x FROM d),
-diagonals AS (SELECT doc_id, template, label, exact, n_grams, x.pos - slot AS diagonal, list(DISTINCT slot) AS slots
-  FROM g JOIN place ON x.gram = gram GROUP BY ALL),
-merged AS (SELECT *, CASE WHEN exact OR diagonal - lag(diagonal) OVER w > 3 OR lag(diagonal) OVER w IS NULL THEN 1 ELSE 0 END AS new
-  FROM diagonals WINDOW w AS (PARTITION BY doc_id, template ORDER BY diagonal)),
-numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM merged),
-spans AS (SELECT doc_id, template, label, exact, n_grams, span, min(diagonal) AS diagonal, len(list_distinct(flatten(list(slots)))) AS held
-  FROM numbered GROUP BY ALL),
-judged AS (SELECT *, exact AND held = n_grams AS base, (exact AND held = n_grams) OR (NOT exact AND held::DOUBLE / n_grams >= 0.7) AS good FROM spans)
-SELECT d.doc_id, len(any_value(d.words))::BIGINT AS n_words, count(*) FILTER (base) AS n_base, min(diagonal) FILTER (base) AS first_word,
-  max(diagonal) FILTER (base) AS last_word, coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ','), '') AS base_labels,
-  coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (good)), ','), '') AS labels,
-  coalesce(max(held::DOUBLE / n_grams) FILTER (good), 0.0) AS score
-FROM d LEFT JOIN judged USING (doc_id) GROUP BY d.doc_id"""
+diagonals AS (SELECT doc_id, n, template, label, exact, code, x.pos - slot AS diagonal, list(DISTINCT slot) AS slots,
+    list(DISTINCT x.pos * 1000 + slot) AS hits FROM g JOIN place ON x.gram = gram GROUP BY ALL),
+merged AS (SELECT * EXCLUDE (hits), exact AND len(slots) = length(code) - 2 AS base, flatten(list(hits) OVER w) AS hits FROM diagonals
+  WINDOW w AS (PARTITION BY doc_id, template ORDER BY diagonal RANGE BETWEEN {license.SLACK} PRECEDING AND {license.SLACK} FOLLOWING)),
+candidates AS (SELECT *, CASE WHEN base THEN diagonal ELSE greatest(list_min(hits) // 1000 - list_min(hits) % 1000, 0) END AS first,
+    CASE WHEN base THEN diagonal + length(code) ELSE least(list_max(hits) // 1000 - list_max(hits) % 1000 + length(code), n) END AS stop
+  FROM merged WHERE base OR (NOT exact AND len(list_distinct(list_transform(hits, lambda h: h % 1000))) >= {license.MIN_VOTES} * (length(code) - 2))),
+numbered AS (SELECT *, row_number() OVER () AS c FROM candidates),
+covered AS (SELECT DISTINCT c, h // 1000 + j AS p, substr(code, (h % 1000 + j + 1)::INT, 1) AS letter
+  FROM (SELECT c, code, unnest(hits) AS h FROM numbered), range(3) AS r(j)),
+places AS (SELECT c, unnest(range(first, stop)) AS p FROM numbered),
+texts AS (SELECT places.c, string_agg(coalesce(letter, '{license.OTHER}'), '' ORDER BY places.p) AS seen
+  FROM places LEFT JOIN covered ON places.c = covered.c AND places.p = covered.p GROUP BY places.c),
+judged AS (SELECT doc_id, label, base, first, stop, CASE WHEN base THEN 1.0::DOUBLE
+    ELSE 1 - levenshtein(seen, code)::DOUBLE / greatest(length(code), stop - first) END AS score FROM numbered JOIN texts USING (c)),
+good AS (SELECT * FROM judged WHERE score >= {license.MIN_SCORE}),
+islands AS (SELECT *, sum(CASE WHEN base OR before IS NULL OR first >= before THEN 1 ELSE 0 END)
+    OVER (PARTITION BY doc_id, label, base ORDER BY first, stop, score ROWS UNBOUNDED PRECEDING) AS island
+  FROM (SELECT *, max(stop) OVER (PARTITION BY doc_id, label, base ORDER BY first, stop, score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM good)),
+spans AS (SELECT doc_id, label, base, score, first, stop - 1 AS last FROM islands
+  QUALIFY row_number() OVER (PARTITION BY doc_id, label, base, island ORDER BY score DESC, first, stop DESC) = 1)
+SELECT d.doc_id, len(any_value(d.words))::BIGINT AS n_words, count(*) FILTER (base) AS n_base, (min(first) FILTER (base))::BIGINT AS first_word,
+  (max(first) FILTER (base))::BIGINT AS last_word, coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (label IS NOT NULL)), ','), '') AS labels, coalesce(max(score), 0.0) AS score,
+  coalesce(string_agg(label || ':' || first || ':' || last, ',' ORDER BY first, last, label) FILTER (label IS NOT NULL), '') AS spans
+FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id"""
 
 
 _WARC_SQL = """
