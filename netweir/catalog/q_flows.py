@@ -10,6 +10,7 @@ from ..functions import addr, asn, names
 from ..functions.timeb import instant
 from ..operators import alerts as al, dims, enrich, search, series, top
 from ..operators.detect import resolve_scopes
+from ..operators.scopes import within
 from ..operators.retention import catalogue, storage_stats
 from ..params import FlowFilters, QueryParams, order_column, resolve_window
 from ..plans import filters, rollup as ro
@@ -417,6 +418,20 @@ def _(c):
     return c.ev["flows"].filter(addr.in_cidrs("dst_ip16", _LIST)).select("flow_id", "dst_ip")
 
 
+# Every order names an address or a /24 of the flows' outer range and a /24 that no flow has: a list that grows with the table.
+_CIDR_ROWS = """SELECT concat('203.0.', CAST(o_custkey % 16 AS VARCHAR(20)), '.', CAST(o_orderkey % 24 AS VARCHAR(20))) AS cidr FROM orders
+ UNION ALL SELECT concat('10.', CAST(o_orderkey % 251 AS VARCHAR(20)), '.', CAST(o_custkey % 256 AS VARCHAR(20)), '.9/24') FROM orders
+ UNION ALL SELECT CASE WHEN o_orderkey % 2 = 0 THEN '198.51.100.77/25' ELSE '198.51.100.8' END FROM orders
+ UNION ALL SELECT CASE WHEN o_orderkey % 3 = 0 THEN '2001:db8:1::/48' ELSE concat('bad/', CAST(o_orderkey AS VARCHAR(20))) END FROM orders"""
+_CIDR_HIT = """(dst_ip IN (SELECT cidr FROM cidrs) OR (dst_ip LIKE '198.51.100.%' AND TRY_CAST(split_part(dst_ip, '.', 4) AS INT) < 128) OR dst_ip LIKE '2001:db8:1::%')"""
+
+
+@query("FLT-07_cidr_table", sql("ev", f", cidrs AS ({_CIDR_ROWS}) SELECT flow_id, dst_ip FROM f WHERE {_CIDR_HIT}"))
+def _(c):
+    cidrs = c.sql(_CIDR_ROWS, "orders")
+    return within(c.ev["flows"], "dst_ip16", cidrs).select("flow_id", "dst_ip")
+
+
 @query("FLT-08_scope", sql("ev", f"""SELECT ip, CASE WHEN {local('ip')} THEN 'internal' ELSE 'external' END AS scope, CAST(sum(bytes) AS BIGINT) AS total_bytes
  FROM r_ip GROUP BY 1, 2""", "r_ip"))
 def _(c):

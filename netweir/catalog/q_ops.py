@@ -15,7 +15,7 @@ from ..plans.sizing import scratch_dir
 from ..sources import netflow
 from ..streaming import jobs, state
 from . import encode, fixtures as fx
-from .q_flows import _ALERTS, _BLOCKS, _HG, EV, EV_END, EV_START, cut, raw_v4, stream_of
+from .q_flows import _ALERTS, _BLOCKS, _CIDR_HIT, _CIDR_ROWS, _HG, EV, EV_END, EV_START, cut, raw_v4, stream_of
 from .q_reads import big, iff, q95
 from .registry import query
 from .sql import SUMS, TOTALS, gname, grouped, local, net24, proto, service, sql, tb
@@ -280,6 +280,27 @@ def _(c):
     return de.evaluate_rules(_SET, c.ev, c.links, _EARLY).select("rule_id", "target", "metric_value")
 
 
+_GROUP = f"SELECT DISTINCT 'outer' AS id, cidr FROM ({_CIDR_ROWS}) c"
+_RULE_TABLE = """SELECT concat('t-', CAST(n_nationkey AS VARCHAR(20))) AS rule_id, CASE WHEN n_nationkey % 5 = 4 THEN 'volume_out' ELSE 'volume_in' END AS rule_type,
+ CAST((1 + n_nationkey) * 100000 AS BIGINT) AS threshold_bps, 3600 AS window_seconds, CASE n_nationkey % 4 WHEN 0 THEN 'outer' WHEN 1 THEN 'gone' ELSE '' END AS hostgroup_id,
+ CASE WHEN n_nationkey % 4 = 2 THEN '192.0.2.0/24' ELSE '' END AS target_filter FROM nation"""
+
+
+def _table_rules(side: str, kind: str) -> str:
+    own = f"hostgroup_id = '' AND target_filter <> '' AND {side}_ip LIKE '192.0.2.%'"
+    outer = _CIDR_HIT.replace("dst_ip", f"{side}_ip")
+    return f"""SELECT rule_id, {side}_ip AS target, bps AS metric_value FROM rt JOIN (SELECT {side}_ip, CAST(sum(bytes) AS BIGINT) * 8 / 3600 AS bps FROM r_{side} WHERE ts >= TIMESTAMP '2023-12-31 23:00:00' GROUP BY 1)
+ ON rule_type = '{kind}' AND bps > threshold_bps AND (CASE WHEN hostgroup_id = 'outer' THEN {outer} WHEN target_filter <> '' THEN {own} ELSE {local(side + '_ip')} END)"""
+
+
+@query("ALR-17_rules_from_tables", sql("ev", f""", cidrs AS ({_CIDR_ROWS}), rt AS ({_RULE_TABLE}) {_table_rules('dst', 'volume_in')} UNION ALL {_table_rules('src', 'volume_out')}""", "r_dst", "r_src"))
+def _(c):
+    """Rules and host groups read from tables; one group holds a CIDR list that grows with the orders and stays a table."""
+    group = c.sql(_GROUP, "orders").groupBy("id").agg(F.collect_list("cidr").alias("cidrs"))
+    rules, scopes = de.load_rules(c.sql(_RULE_TABLE, "nation"), group, SCOPE)
+    return de.evaluate_rules(rules, c.ev, c.links, _EARLY, scopes=scopes).select("rule_id", "target", "metric_value")
+
+
 @query("ALR-16_rule_catalogue", sql("ev", "SELECT rule_id, name, CAST(violations AS BIGINT) AS violations FROM (VALUES " + ", ".join(
     f"('{r.rule_id}', '{r.name}', {'(SELECT count(*) FROM ' + _seeded(r) + ')' if _seeded(r) else 0})" for r in de.DEFAULT_RULES) + ") AS t(rule_id, name, violations)", "r_dst", "r_src", "r_linkh"))
 def _(c):

@@ -16,9 +16,10 @@ from ..functions.addr import in_cidrs, ip_text, network_of
 from ..functions.names import protocol_name, service_name
 from ..functions.timeb import instant
 from ..plans.filters import in_range, since
-from ..plans.sizing import config_rows
+from ..plans.sizing import config_rows, materialize
 from .capacity import utilization
 from .dims import with_as_info
+from .scopes import scope_table, with_scopes
 from .series import Tables
 from .top import percent, volumes, when_sum
 
@@ -59,6 +60,8 @@ class Rule:
     subnet_prefix_len: int = 24
     enabled: bool = True
     prefixes: tuple[str, ...] = ()
+    #: Name of a scope kept in a table; it takes the place of ``prefixes``.
+    scope: str = ""
 
     @property
     def metric_type(self) -> str:
@@ -115,16 +118,51 @@ def resolve_scopes(rules: DataFrame, hostgroups: DataFrame, global_prefixes) ->
     return scoped.select("rule_id", F.explode("scope").alias("cidr"))
 
 
-def load_rules(rules: DataFrame, hostgroups: DataFrame, global_prefixes) -> list[Rule]:
-    """Config tables -> rule objects with their resolved scope (bounded: operator-maintained)."""
-    scopes: dict[str, list[str]] = {}
-    for row in config_rows(resolve_scopes(rules, hostgroups, global_prefixes)):
-        scopes.setdefault(row["rule_id"], []).append(row["cidr"])
-    fields = [f for f in Rule.__dataclass_fields__ if f != "prefixes"]
-    return [
-        replace(Rule(**{f: row[f] for f in fields if f in rules.columns}), prefixes=tuple(scopes.get(row["rule_id"], ())))
-        for row in config_rows(rules)
+#: A scope of more CIDRs than this stays in a table and is joined.
+INLINE_CIDRS = 64
+
+
+def load_rules(rules: DataFrame, hostgroups: DataFrame, global_prefixes, inline: int = INLINE_CIDRS) -> tuple[list[Rule], DataFrame | None]:
+    """Config tables -> rule objects and, for the scopes of more than ``inline`` CIDRs, a scope table (else None).
+
+    Rules become column expressions and are collected; their scopes are not, whatever their size. Rules of one list share one scope.
+    """
+    resolved = resolve_scopes(rules, hostgroups, global_prefixes)
+    size = resolved.groupBy("rule_id").agg(F.count("*").alias("n")).filter(F.col("n") <= inline).select("rule_id")
+    short = resolved.join(size, "rule_id", "left_semi").groupBy("rule_id").agg(F.array_sort(F.collect_list("cidr")).alias("cidrs"))
+    short = {r["rule_id"]: tuple(r["cidrs"]) for r in short.collect()}
+    groups = {r["id"] for r in hostgroups.join(rules, hostgroups["id"] == rules["hostgroup_id"], "left_semi").select("id").collect()}
+    known = config_rows(rules)
+    # the list of a known group, else the global list
+    named = {r["rule_id"]: r["hostgroup_id"] if r["hostgroup_id"] in groups else "*" for r in known if r["rule_id"] not in short}
+    fields = [f for f in Rule.__dataclass_fields__ if f not in ("prefixes", "scope")]
+    loaded = [
+        replace(Rule(**{f: row[f] for f in fields if f in rules.columns}), prefixes=short.get(row["rule_id"], ()), scope=named.get(row["rule_id"], ""))
+        for row in known
     ]
+    if not named:
+        return loaded, None
+    leaders = {scope: rule for rule, scope in sorted(named.items(), reverse=True)}
+    cidrs = resolved.filter(F.col("rule_id").isin(list(leaders.values()))).replace({rule: scope for scope, rule in leaders.items()}, subset="rule_id")
+    table = materialize(scope_table(cidrs.withColumnRenamed("rule_id", "scope")), "scopes")
+    # a list without a valid entry matches every address, as a short one does
+    valid = {r["scope"] for r in table.select("scope").distinct().collect()}
+    return [replace(r, scope=r.scope if r.scope in valid else "") for r in loaded], table
+
+
+def _in_scope(ip16: str, rule: Rule) -> Column:
+    """Whether an address is in the rule's scope; for a scope in a table, rows carry their ``scopes`` (:func:`_scoped`)."""
+    return F.coalesce(F.array_contains("scopes", rule.scope), F.lit(False)) if rule.scope else in_cidrs(ip16, rule.prefixes)
+
+
+def _scoped(rows: DataFrame, ip16: str, rules: list[Rule], scopes: DataFrame | None) -> DataFrame:
+    """Rows with the scopes of their address if a rule has its scope in a table."""
+    names = sorted({r.scope for r in rules} - {""})
+    if not names:
+        return rows
+    if scopes is None:
+        raise ValueError(f"no scope table for {names[0]!r}")
+    return with_scopes(rows, ip16, scopes.filter(F.col("scope").isin(names)))
 
 
 def _whole(x: Column) -> Column:
@@ -166,7 +204,7 @@ def _oldest(rows: DataFrame, rules: list[Rule], as_of: datetime, ts: str = "ts")
     return since(rows, as_of - timedelta(seconds=max(r.window_seconds for r in rules)), ts)
 
 
-def _family(rows: DataFrame, side: str, rules: list[Rule], as_of: datetime, exact: bool) -> DataFrame:
+def _family(rows: DataFrame, side: str, rules: list[Rule], as_of: datetime, exact: bool, scopes: DataFrame | None) -> DataFrame:
     """Violations of every per-host rule on one side (dst or src)."""
     ip, ip16 = f"{side}_ip", f"{side}_ip16"
     windows = sorted({r.window_seconds for r in rules})
@@ -187,10 +225,14 @@ def _family(rows: DataFrame, side: str, rules: list[Rule], as_of: datetime, exac
             ]
         if w in uniques:
             aggs.append(_unique(sketch, raw, recent, exact).alias(f"unique_{w}"))
-    scope = F.lit(False)
-    for prefixes in {r.prefixes for r in rules}:
-        scope = scope | in_cidrs(ip16, prefixes)
-    sums = _oldest(rows, rules, as_of).filter(scope).groupBy(ip, ip16).agg(*aggs)
+    rows = _oldest(rows, rules, as_of)
+    if not any(r.scope for r in rules):
+        scope = F.lit(False)
+        for prefixes in {r.prefixes for r in rules}:
+            scope = scope | in_cidrs(ip16, prefixes)
+        rows = rows.filter(scope)
+    # scopes in a table join the sums, one row a host, so a flooded host is no hot key
+    sums = _scoped(rows.groupBy(ip, ip16).agg(*aggs), ip16, rules, scopes)
 
     hits = []
     for r in rules:
@@ -219,7 +261,7 @@ def _family(rows: DataFrame, side: str, rules: list[Rule], as_of: datetime, exac
             continue
         protocol = F.lit(fixed) if fixed else col("proto")
         hit = _violation(r, "ip", F.col(ip), protocol, metric, unique, metric)
-        hits.append(F.when(seen & cond & in_cidrs(ip16, r.prefixes), hit))
+        hits.append(F.when(seen & cond & _in_scope(ip16, r), hit))
     return _exploded(sums, hits)
 
 
@@ -228,20 +270,23 @@ def _nothing(rows: DataFrame) -> DataFrame:
     return rows.filter(F.lit(False)).select(hit.alias("v")).select("v.*")
 
 
-def _subnets(rows: DataFrame, rules: list[Rule], as_of: datetime) -> DataFrame:
+def _subnets(rows: DataFrame, rules: list[Rule], as_of: datetime, scopes: DataFrame | None) -> DataFrame:
     """All subnet rules in one scan and one shuffle: a row is exploded to the distinct prefix lengths, sums are per (scope, window)."""
     if bad := [r.subnet_prefix_len for r in rules if not 8 <= r.subnet_prefix_len <= 32]:
         raise ValueError(f"subnet prefix length must be 8..32, got {bad[0]}")
-    sums, aggs = sorted({(r.prefixes, r.window_seconds) for r in rules}), []
-    for i, (prefixes, window) in enumerate(sums):
-        seen = _since(as_of, window) & in_cidrs("dst_ip16", prefixes)
+    rows = _oldest(rows, rules, as_of)
+    if any(r.scope for r in rules):  # one row a minute and host before the scopes are joined
+        rows = _scoped(rows.groupBy("ts", "dst_ip16").agg(F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets")), "dst_ip16", rules, scopes)
+    sums, aggs = sorted({(r.scope, r.prefixes, r.window_seconds) for r in rules}), []
+    for i, (scope, prefixes, window) in enumerate(sums):
+        seen = _since(as_of, window) & _in_scope("dst_ip16", Rule("", "subnet_flood", prefixes=prefixes, scope=scope))
         aggs += [when_sum(seen, "bytes").alias(f"b_{i}"), when_sum(seen, "packets").alias(f"p_{i}"), F.count_if(seen).alias(f"n_{i}")]
     lengths = F.array(*[F.lit(n) for n in sorted({r.subnet_prefix_len for r in rules})])
-    nets = _oldest(rows, rules, as_of).withColumn("length", F.explode(lengths))
+    nets = rows.withColumn("length", F.explode(lengths))
     nets = nets.groupBy("length", network_of("dst_ip16", F.col("length") + 96).alias("net")).agg(*aggs)
     hits = []
     for r in rules:
-        i = sums.index((r.prefixes, r.window_seconds))
+        i = sums.index((r.scope, r.prefixes, r.window_seconds))
         bps, pps = _whole(F.col(f"b_{i}") * 8 / r.window_seconds), _whole(F.col(f"p_{i}") / r.window_seconds)
         cond = _exceeds([(bps, r.threshold_bps), (pps, r.threshold_pps)], either=True)
         if cond is not None:
@@ -256,20 +301,20 @@ def _exploded(sums: DataFrame, hits: list[Column]) -> DataFrame:
     return sums.select(F.explode(F.array(*hits)).alias("v")).filter("v IS NOT NULL").select("v.*")
 
 
-def _smtp(flows: DataFrame, rules: list[Rule], as_of: datetime) -> DataFrame:
+def _smtp(flows: DataFrame, rules: list[Rule], as_of: datetime, scopes: DataFrame | None) -> DataFrame:
     """All mail-abuse rules in one scan of raw flows and one shuffle."""
     kept = _oldest(flows, rules, as_of, "timestamp").filter((F.col("protocol") == 6) & F.col("dst_port").isin(*SMTP_PORTS))
     aggs = []
     for w in sorted({r.window_seconds for r in rules}):
         recent = F.col("timestamp") >= instant(as_of - timedelta(seconds=w))
         aggs += [when_sum(recent, "packets").alias(f"p_{w}"), when_sum(recent, "flow_count").alias(f"flows_{w}")]
-    sums, hits = volumes(kept).groupBy("src_ip", "src_ip16").agg(*aggs), []
+    sums, hits = _scoped(volumes(kept).groupBy("src_ip", "src_ip16").agg(*aggs), "src_ip16", rules, scopes), []
     for r in rules:
         pps, n = _whole(F.col(f"p_{r.window_seconds}") / r.window_seconds), F.col(f"flows_{r.window_seconds}")
         cond = _exceeds([(pps, r.threshold_pps), (n, r.threshold_count)], either=True)
         if cond is not None:
             hit = _violation(r, "ip", F.col("src_ip"), F.lit(6), pps if r.threshold_pps > 0 else n, n, pps)
-            hits.append(F.when(cond & in_cidrs("src_ip16", r.prefixes), hit))
+            hits.append(F.when(cond & _in_scope("src_ip16", r), hit))
     return _exploded(sums, hits)
 
 
@@ -353,24 +398,26 @@ def _anomaly(hourly: DataFrame, rules: list[Rule], as_of: datetime) -> DataFrame
 
 
 def evaluate_rules(
-    rules: list[Rule], tables: Tables, links: DataFrame, as_of: datetime, max_targets: int | None = None, exact: bool = True
+    rules: list[Rule], tables: Tables, links: DataFrame, as_of: datetime, max_targets: int | None = None, exact: bool = True,
+    scopes: DataFrame | None = None,
 ) -> DataFrame:
     """Violations of all enabled rules.
 
     Per-host rules take one scan a side, subnet rules one, mail rules one, capacity rules one and anomaly rules one. ``max_targets`` keeps
-    only that many worst targets of a rule. ``exact=False`` estimates distinct counts from the sketches of stored rollups.
+    only that many worst targets of a rule. ``exact=False`` estimates distinct counts from the sketches of stored rollups. ``scopes`` is the scope table of
+    rules that name one (:func:`load_rules`).
     """
     live = [r for r in rules if r.enabled and r.rule_type in METRIC_TYPES]
     of = lambda *types: [r for r in live if r.rule_type in types]
     parts = []
     if of(*DST_FAMILY):
-        parts.append(_family(tables["traffic_by_dst_1min"], "dst", of(*DST_FAMILY), as_of, exact))
+        parts.append(_family(tables["traffic_by_dst_1min"], "dst", of(*DST_FAMILY), as_of, exact, scopes))
     if of(*SRC_FAMILY):
-        parts.append(_family(tables["traffic_by_src_1min"], "src", of(*SRC_FAMILY), as_of, exact))
+        parts.append(_family(tables["traffic_by_src_1min"], "src", of(*SRC_FAMILY), as_of, exact, scopes))
     if of("subnet_flood"):
-        parts.append(_subnets(tables["traffic_by_dst_1min"], of("subnet_flood"), as_of))
+        parts.append(_subnets(tables["traffic_by_dst_1min"], of("subnet_flood"), as_of, scopes))
     if of("smtp_abuse"):
-        parts.append(_smtp(tables["flows"], of("smtp_abuse"), as_of))
+        parts.append(_smtp(tables["flows"], of("smtp_abuse"), as_of, scopes))
     if of("link_capacity"):
         parts.append(_link_capacity(tables["traffic_by_link_hourly"], links, of("link_capacity"), as_of))
     if of("anomaly"):
