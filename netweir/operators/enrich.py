@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.addr import in_cidrs, network_of, parse_networks, to_ip16
 from ..functions.asn import is_private
+from .scopes import networks
 
 FUTURE_SKEW = "INTERVAL 5 MINUTES"
 PAST_SKEW = "INTERVAL 24 HOURS"
@@ -96,16 +97,8 @@ def match_prefixes(df: DataFrame, ip16: str, prefixes: DataFrame, out: str = "ma
 
 def prefix_table(df: DataFrame, column: str) -> DataFrame:
     """CIDR texts of a column -> distinct ``(prefix, net, length)``; native parsing, bad texts dropped."""
-    text = F.col(column)
-    base = to_ip16(F.split_part(text, F.lit("/"), F.lit(1)))
-    bits = F.split_part(text, F.lit("/"), F.lit(2)).try_cast("int")
-    length = F.when(text.contains("."), bits + 96).otherwise(bits)
-    parsed = df.filter(text.contains("/")).select(text.alias("prefix"), base.alias("ip"), length.alias("length"))
-    return (
-        parsed.filter(F.col("length").between(0, 128))
-        .distinct()
-        .select("prefix", network_of("ip", F.col("length")).alias("net"), "length")
-    )
+    texts = df.select(F.col(column).alias("prefix")).filter(F.col("prefix").contains("/")).distinct()
+    return networks(texts, "prefix").select("prefix", "net", "length")
 
 
 def classify_query(text) -> Column:
