@@ -32,7 +32,8 @@ def scope_table(cidrs: DataFrame, key: str = "scope", column: str = "cidr") -> D
     What is left of a scope is disjoint, so an address meets it once. Networks nest or are apart, so the outer ones are found by masking a network to
     each shorter length that occurs.
     """
-    nets = networks(cidrs, column).select(F.col(key).alias("key"), "net", "length").distinct()
+    texts = cidrs.select(F.col(key).alias("key"), F.col(column).alias("cidr")).distinct()  # a repeated text is parsed once
+    nets = networks(texts).select("key", "net", "length").distinct()
     outer = nets.select("key", F.col("net").alias("_net"), F.col("length").alias("_length"))
     lengths = sorted(r[0] for r in nets.select("length").distinct().collect())  # 129 at most
     if len(lengths) > 1:
