@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from .. import schema
 from ..plans.lake import Lake, store_rollups
 from ..plans.rollup import ROLLUPS
 from ..plans.sizing import scratch_dir
@@ -29,7 +30,9 @@ class StoredContext(Context):
         root = scratch_dir(self.spark, "lake")
         flows = self.enriched("ev")
         tables.write_flows(flows, f"{root}/flows")
-        store_rollups(flows, root, [ROLLUPS[n] for n in TABLES])
+        # the rollups read the flows just written: they are decoded and enriched once
+        written = self.spark.read.schema(flows.select(*schema.FLOW.names).schema).parquet(f"{root}/flows")
+        store_rollups(written, root, [ROLLUPS[n] for n in TABLES])
         return Lake.open(self.spark, root, TABLES)
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 from .. import schema
 from .rollup import ROLLUPS, Rollup, build, coarsen, partials, write_partials
+from .sizing import materialize
 
 
 class Lake:
@@ -16,20 +19,21 @@ class Lake:
     fewer rows of the same shape; the operators cannot tell the difference.
     """
 
-    def __init__(self, flows: DataFrame, stored: dict[str, DataFrame] | None = None):
-        self._tables = {"flows": flows, **(stored or {})}
+    def __init__(self, flows: DataFrame | None, stored: dict[str, Callable[[], DataFrame]] | None = None):
+        self._tables = {} if flows is None else {"flows": flows}
+        self._stored = stored or {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._tables:
-            self._tables[name] = partials(self._tables["flows"], ROLLUPS[name])
+            self._tables[name] = self._stored[name]() if name in self._stored else partials(self["flows"], ROLLUPS[name])
         return self._tables[name]
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, rollups=tuple(ROLLUPS)) -> "Lake":
-        """Stored layout: ``root/flows`` and ``root/<rollup>``, day partitioned."""
+        """Stored layout: ``root/flows`` and ``root/<rollup>``, day partitioned. A table's days are listed when it is first read."""
         stored = T.StructType([*schema.FLOW.fields, T.StructField("dt", T.DateType())])
-        flows = spark.read.schema(stored).parquet(f"{root}/flows")
-        return cls(flows, {name: spark.read.parquet(f"{root}/{name}") for name in rollups})
+        tables = {name: lambda name=name: spark.read.parquet(f"{root}/{name}") for name in rollups}
+        return cls(None, {"flows": lambda: spark.read.schema(stored).parquet(f"{root}/flows"), **tables})
 
 
 def store_rollups(flows: DataFrame, root: str, rollups: list[Rollup] | None = None) -> None:
@@ -44,8 +48,6 @@ def store_rollups(flows: DataFrame, root: str, rollups: list[Rollup] | None = No
         if name in derived:
             continue
         rows = build(flows, specs[name])
-        # Kept for the coarser tables (spills to disk; a lost executor recomputes its part).
-        rows = rows.persist() if coarser[name] else rows
+        rows = materialize(rows, name) if coarser[name] else rows  # written once for the coarser tables
         for n in (name, *coarser[name]):
             write_partials(rows if n == name else coarsen(rows, specs[n]), specs[n], f"{root}/{n}")
-        rows.unpersist()

@@ -217,6 +217,14 @@ def drop_dimension(partial_rows: DataFrame, spec: Rollup, column: str) -> DataFr
     return partial_rows.groupBy(keys).agg(*aggs)
 
 
+def by_day(rows: DataFrame) -> DataFrame:
+    """Rows dealt by ``dt`` for a day-partitioned write: files grow with the days and the bytes, not with days times tasks.
+
+    Spark splits a day above the advisory partition size over several tasks and files, and packs small days into one task.
+    """
+    return rows.hint("rebalance", F.col("dt"))
+
+
 def write_partials(rows: DataFrame, spec: Rollup, path: str, batch_id: int | None = None) -> None:
     """Append one batch, day-partitioned and sorted so row-group statistics prune.
 
@@ -225,8 +233,7 @@ def write_partials(rows: DataFrame, spec: Rollup, path: str, batch_id: int | Non
     out = rows.withColumn("dt", F.to_date("ts"))
     lead = [c for c in ("dst_ip16", "src_ip16", "ip16", "as_number", "link_tag", "prefix", "port") if c in out.columns]
     if batch_id is None:
-        # Days spread over tasks by (day, bucket hour), so one hot day is not one task.
-        out = out.repartition("dt", F.hour("ts")).sortWithinPartitions("dt", *lead[:1], "ts")
+        out = by_day(out).sortWithinPartitions("dt", *lead[:1], "ts")
         out.write.mode("append").partitionBy("dt").parquet(path)
         return
     out = out.withColumn("batch_id", F.lit(batch_id).cast("long"))
@@ -248,5 +255,5 @@ def compact(spark, spec: Rollup, path: str, out_path: str, days=None) -> None:
     table = table.filter(F.col("dt").isin(list(days))) if days is not None else table
     merged = merge(table, spec).withColumn("dt", F.to_date("ts"))
     lead = [c for c in ("dst_ip16", "src_ip16", "ip16", "as_number", "link_tag", "prefix", "port") if c in merged.columns]
-    out = merged.repartition("dt", F.hour("ts")).sortWithinPartitions("dt", *lead[:1], "ts")
+    out = by_day(merged).sortWithinPartitions("dt", *lead[:1], "ts")
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(out_path)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, ty
 from .. import schema
 from ..operators.search import export_rows
 from ..plans.filters import in_range
+from ..plans.rollup import by_day
 
 
 def read_flows(spark: SparkSession, path: str, start: datetime, end: datetime) -> DataFrame:
@@ -20,11 +21,11 @@ def read_flows(spark: SparkSession, path: str, start: datetime, end: datetime) -
 def write_flows(flows: DataFrame, path: str, mode: str = "append") -> None:
     """Day partitions, sorted so that row-group statistics prune on time, router and AS.
 
-    Rows are spread by (day, hour) so a hot day is many tasks and files, not one.
+    A day is one task and file; a large one is dealt over several (:func:`by_day`).
     """
     out = flows.select(*schema.FLOW.names, F.to_date("timestamp").alias("dt"))
     (
-        out.repartition("dt", F.hour("timestamp"))
+        by_day(out)
         .sortWithinPartitions("dt", "timestamp", "router_ip", "src_as", "dst_as")
         .write.mode(mode)
         .option("parquet.bloom.filter.enabled#src_ip16", "true")
