@@ -62,8 +62,8 @@ def _other_order(items: list) -> list:
     return items[:2] + items[:1:-1]
 
 
-def templated_datagrams(flows: DataFrame, ipfix: bool = False) -> DataFrame:
-    """Per router and slot one datagram with a template for each IP version and an options template, then data datagrams of up to ``RECORDS`` flows.
+def templated_datagrams(flows: DataFrame, ipfix: bool = False, records: int = RECORDS) -> DataFrame:
+    """Per router and slot one datagram with a template for each IP version and an options template, then data datagrams of up to ``records`` flows.
 
     A data datagram holds one set of flows of one IP version and is sent with the latest of them. IPFIX records end with an enterprise element, which readers skip.
     """
@@ -107,13 +107,16 @@ def templated_datagrams(flows: DataFrame, ipfix: bool = False) -> DataFrame:
     )
     six = F.col("ip_version") == 6
     rec = F.when(six & odd, record(6, True)).when(six, record(6, False)).when(odd, record(4, True)).otherwise(record(4, False))
-    group = ["router_ip", "slot", "ip_version"]
-    place = F.row_number().over(Window.partitionBy(*group).orderBy("flow_id"))
-    sent = base.withColumns({"rec": rec, "chunk": F.floor((place - 1) / RECORDS)}).groupBy(*group, "chunk").agg(
-        F.array_sort(F.collect_list(F.struct("flow_id", "rec"))).alias("recs"), F.max("timestamp").alias("sent"), F.max("secs").alias("secs")
-    )
-    records = F.unhex(F.array_join(F.transform("recs", lambda r: r["rec"]), ""))
-    body = F.when(six, framed(V6_TEMPLATE, records)).otherwise(framed(V4_TEMPLATE, records))
+    if records == 1:
+        sent = base.select("router_ip", "slot", "ip_version", F.array(F.struct("flow_id", rec.alias("rec"))).alias("recs"), F.col("timestamp").alias("sent"), "secs")
+    else:
+        group = ["router_ip", "slot", "ip_version"]
+        place = F.row_number().over(Window.partitionBy(*group).orderBy("flow_id"))
+        sent = base.withColumns({"rec": rec, "chunk": F.floor((place - 1) / records)}).groupBy(*group, "chunk").agg(
+            F.array_sort(F.collect_list(F.struct("flow_id", "rec"))).alias("recs"), F.max("timestamp").alias("sent"), F.max("secs").alias("secs")
+        )
+    joined = F.unhex(F.array_join(F.transform("recs", lambda r: r["rec"]), ""))
+    body = F.when(six, framed(V6_TEMPLATE, joined)).otherwise(framed(V4_TEMPLATE, joined))
     data = sent.select(
         "router_ip", F.col("sent").cast("timestamp").alias("received_at"),
         message(body, F.col("secs"), F.element_at("recs", 1)["flow_id"] % 4294967295 + 1).alias("payload"),

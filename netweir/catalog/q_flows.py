@@ -536,9 +536,10 @@ def _(c):
     return matched.groupBy("dst_ip", "matched_prefix").agg(F.count("*").alias("n"))
 
 
-@query("JON-04_as_of_template", sql("ev", f"SELECT router_ip, count(*) AS data_sets, CAST(sum(date_diff('second', slot, date_trunc('second', sent))) AS BIGINT) AS age_seconds FROM {_DATA_SETS} GROUP BY 1"))
+@query("JON-04_as_of_template", sql("ev", f"SELECT router_ip, count(*) AS data_sets, CAST(sum(secs) AS BIGINT) AS age_seconds FROM (SELECT router_ip, date_diff('second', {tb(encode.V9_SLOT)}, date_trunc('second', timestamp)) AS secs FROM flows) GROUP BY 1"))
 def _(c):
-    sets = netflow.export_sets(encode.templated_datagrams(c.raw_flows("ev")))
+    # a data set for every flow, each matched on its own
+    sets = netflow.export_sets(encode.templated_datagrams(c.raw_flows("ev"), records=1))
     matched = netflow.match_templates(sets)
     age = F.unix_timestamp("received_at") - F.unix_timestamp("t_at")
     return matched.groupBy("router_ip").agg(F.count("*").alias("data_sets"), F.sum(age).alias("age_seconds"))

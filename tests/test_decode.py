@@ -163,3 +163,29 @@ def test_long_sflow_datagrams_are_walked_to_their_end():
     sample = be(1, 0, 100, 0, 0, 1, 2, 1) + record
     payload = be(5, 1, 0x0A000001, 0, 0, 0, 1500) + 1500 * (be(1, len(sample)) + sample)
     assert sum(1 for _ in sflow._packets(payload)) == 1500
+
+
+def test_every_flow_is_a_data_set_of_the_as_of_match(spark):
+    """JON-04 matches each flow on its own; packed datagrams would match a data set of up to 24 flows once."""
+    from pyspark.sql import functions as F
+
+    from netweir.catalog import encode, load
+    from netweir.catalog.registry import QUERIES
+    from netweir.functions.timeb import bucket
+
+    from .test_lake import make_flows
+
+    flows = make_flows(spark, 1, 1440).select("flow_id", *[n for n in schema.FLOW.names if n not in ("link_tag", "direction", "src_ip16", "dst_ip16")])
+
+    load()
+
+    class C:
+        def raw_flows(self, kind):
+            return flows
+
+    got = {r.router_ip: (r.data_sets, r.age_seconds) for r in QUERIES["JON-04_as_of_template"](C()).collect()}
+    age = F.unix_timestamp(F.col("timestamp").cast("timestamp")) - F.unix_timestamp(bucket("timestamp", encode.V9_SLOT).cast("timestamp"))
+    want = {r.router_ip: (r.n, r.a) for r in flows.groupBy("router_ip").agg(F.count("*").alias("n"), F.sum(age).alias("a")).collect()}
+    assert got == want and sum(n for n, _ in got.values()) == 1440
+    packed = netflow.match_templates(netflow.export_sets(encode.templated_datagrams(flows)))
+    assert packed.count() < 1440
