@@ -18,11 +18,12 @@ def networks(cidrs: DataFrame, column: str = "cidr") -> DataFrame:
     four = ~address.contains(":")
     given = F.when(text.contains("/"), F.when(bits.rlike("^[0-9]{1,3}$"), bits.cast("int"))).otherwise(F.when(four, 32).otherwise(128))
     # malformed addresses read as '::', which only zero groups may be
+    named = address.contains(":") | address.contains(".")  # other texts are no addresses; told before they are parsed
     zeros = address.rlike("^((0{1,4}:){0,6}0{1,4})?::((0{1,4}:){0,6}0{1,4})?$|^(0{1,4}:){7}0{1,4}$")
     parsed = cidrs.withColumns({"_ip": to_ip16(address), "_bits": given, "_four": four})
     good = F.col("_bits").between(0, F.when(F.col("_four"), 32).otherwise(128)) & ((F.col("_ip") != binary(UNSPECIFIED)) | zeros) & (F.size(F.split(text, "/")) <= 2)
     length = F.when(F.col("_four"), F.col("_bits") + 96).otherwise(F.col("_bits"))
-    kept = parsed.filter(good).withColumn("length", length.cast("int"))
+    kept = parsed.filter(named & good).withColumn("length", length.cast("int"))
     return kept.withColumn("net", network_of("_ip", F.col("length"))).drop("_ip", "_bits", "_four")
 
 
@@ -30,10 +31,11 @@ def scope_table(cidrs: DataFrame, key: str = "scope", column: str = "cidr") -> D
     """(key, net, length): the networks of every scope, without those that lie inside another of the same scope.
 
     What is left of a scope is disjoint, so an address meets it once. Networks nest or are apart, so the outer ones are found by masking a network to
-    each shorter length that occurs.
+    each shorter length that occurs. Texts and networks are written once: the parsing filters would otherwise be pushed below the distinct, to every
+    row of the list, and run again in each branch.
     """
-    texts = cidrs.select(F.col(key).alias("key"), F.col(column).alias("cidr")).distinct()  # a repeated text is parsed once
-    nets = networks(texts).select("key", "net", "length").distinct()
+    texts = materialize(cidrs.select(F.col(key).alias("key"), F.col(column).alias("cidr")).distinct(), "cidr-texts")  # a repeated text is parsed once
+    nets = materialize(networks(texts).select("key", "net", "length").distinct(), "networks")
     outer = nets.select("key", F.col("net").alias("_net"), F.col("length").alias("_length"))
     lengths = sorted(r[0] for r in nets.select("length").distinct().collect())  # 129 at most
     if len(lengths) > 1:
