@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import addr, asn, fmt, timeb
 from ..operators import alerts as al, detect as de, dims, enrich, reports, retention as ret, top
+from ..operators.quantiles import group_quantiles
 from ..params import QueryParams, report_window
 from ..plans import rollup as ro
 from ..plans.sizing import scratch_dir
@@ -681,7 +682,7 @@ def _(c):
 
 @query("FUN-07_quantiles", sql("li", "SELECT protocol, quantile_cont(CAST(bytes AS DOUBLE), 0.5) AS p50, quantile_cont(CAST(bytes AS DOUBLE), 0.95) AS p95 FROM f GROUP BY 1"))
 def _(c):
-    return top.volumes(c.li["flows"]).groupBy("protocol").agg(F.percentile("bytes", F.lit(0.5)).alias("p50"), F.percentile("bytes", F.lit(0.95)).alias("p95"))
+    return group_quantiles(top.volumes(c.li["flows"]), ["protocol"], "bytes", {"p50": 0.5, "p95": 0.95})
 
 
 @query("FUN-08_median_mad", sql("ev", """, d AS (SELECT link_tag, ts, CAST(sum(bytes_in + bytes_out) AS DOUBLE) AS bps FROM r_linkh GROUP BY 1, 2), m AS (SELECT link_tag, median(bps) AS med FROM d GROUP BY 1)
