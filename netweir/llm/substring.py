@@ -86,8 +86,8 @@ def super_kmers(window: int, m: int = MINIMISER):
     return run
 
 
-def whole_keys(batches, key: str, limit: int):
-    """Tables of about ``limit`` bytes of the sorted rows, cut where the key changes if it does.
+def whole_keys(batches, key: str, limit: int, most: int = 0):
+    """Tables of about ``limit`` bytes of the sorted rows, cut where the key changes if it does; one key alone may take ``most`` bytes if that is more.
 
     With each, whether its first and its last key may have more rows elsewhere: at the partition's ends, and where one key alone fills a table.
     """
@@ -107,6 +107,8 @@ def whole_keys(batches, key: str, limit: int):
             yield table.slice(0, cut), open_first, False
             rest = table.slice(cut).combine_chunks()
             held, size, open_first = rest.to_batches(), rest.nbytes, False
+        elif size < most:
+            held = table.to_batches()
         else:
             yield table, True, True
             held, size, open_first = [], 0, True
@@ -114,12 +116,13 @@ def whole_keys(batches, key: str, limit: int):
         yield pa.Table.from_batches(held), open_first, True
 
 
-def mark_repeats(key, own, doc, place, w1, w2, open_keys: list, later_only: bool):
+def mark_repeats(key, own, doc, place, w1, w2, open_keys: list, later_only: bool, known: np.ndarray | None = None):
     """Runs of windows found more than once (all, or those behind the first), and first windows of the open keys, which a boundary may cut, with n = 0.
 
-    ``own`` is each window's row of ``key``; windows come by (key, doc, place), so equal ones stay in that order. Equal places are one occurrence.
+    ``own`` is each window's row of ``key``. Equal places are one occurrence. For ``later_only`` windows come by (key, doc, place), and equal ones stay in that order.
+    Runs of rows that are ``known`` to repeat whole are left out.
     """
-    order = np.argsort(w1, kind="stable")
+    order = np.argsort(w1, kind="stable" if later_only else None)
     x, y = w1[order], w2[order]
     head = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))[: len(order)]
     group = np.cumsum(head) - 1
@@ -127,6 +130,8 @@ def mark_repeats(key, own, doc, place, w1, w2, open_keys: list, later_only: bool
     again = (doc[order] != doc[lead]) | (place[order] != place[lead])
     marked = np.zeros(len(order), bool)
     marked[order] = again if later_only else np.bincount(group, weights=again, minlength=1)[group] > 0
+    if known is not None:
+        marked &= ~known[own]
     hit = np.flatnonzero(marked)
     if len(hit):
         new = np.flatnonzero(np.concatenate(([True], (np.diff(hit) != 1) | (np.diff(own[hit]) != 0))))

@@ -16,44 +16,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import textnp as t
-from .substring import CHUNK, PLACE, crossing, mark_repeats, whole_keys
+from .substring import CHUNK, PLACE, _found, crossing, mark_repeats, whole_keys
 from .work import by_row, stored
 
 CONTEXT = 32
 SUFFIX = "suffix binary, id long, pos long"
+BLOCK = 1 << 18
+SCATTER = t.U64(t.BASES[0])
 
 
 def anchors(buf: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchors of all strings of ``length`` bytes within rows: place, first and last string it stands for, row."""
-    none = np.zeros(0, np.int64)
-    if len(buf) < length:
-        return none, none, none, none
-    grams = buf.astype(t.U64)
-    for width in (1, 2, 4):
-        grams = grams[:-width] | (grams[width:] << t.U64(8 * width))
-    key = (t.mix(grams) & ~PLACE) | np.arange(len(grams), dtype=t.U64)
-    least = t.sliding_min(key, length - CONTEXT + 1)
-    fits = np.zeros(len(buf) + 1, np.int32)
     size = np.diff(off)
-    long_enough = size >= length
-    np.add.at(fits, off[:-1][long_enough], 1)
-    np.add.at(fits, off[1:][long_enough] - length + 1, -1)
-    at = np.flatnonzero(np.cumsum(fits[:-1]) > 0)
-    if not len(at):
+    inside = np.maximum(size - length + 1, 0)
+    if not inside.any():
+        none = np.zeros(0, np.int64)
         return none, none, none, none
-    place = (least[at] & PLACE).astype(np.int64)
-    row = np.searchsorted(off, at, "right") - 1
-    new = np.flatnonzero(np.concatenate(([True], (np.diff(place) != 0) | (np.diff(row) != 0))))
-    return place[new], at[new], at[np.append(new[1:], len(at)) - 1], row[new]
+    key = np.ndarray(len(buf) - 7, t.U64, np.ascontiguousarray(buf), strides=(1,)) * SCATTER
+    key &= ~PLACE
+    key |= np.arange(len(key), dtype=t.U64)
+    place = (t.sliding_min(key, length - CONTEXT + 1) & PLACE)[: len(buf) - length + 1]
+    fits = np.repeat(np.tile([True, False], len(size)), np.stack((inside, size - inside), 1).ravel())[: len(place)]
+    change = place[1:] != place[:-1]
+    first, last = fits.copy(), fits.copy()
+    first[1:] &= change | ~fits[:-1]
+    last[:-1] &= change | ~fits[1:]
+    lo = np.flatnonzero(first)
+    return place[lo].astype(np.int64), lo, np.flatnonzero(last), np.searchsorted(off, lo, "right") - 1
+
+
+def _leading(buf: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The ``CONTEXT`` bytes from each place on, one after another."""
+    return np.lib.stride_tricks.sliding_window_view(buf, CONTEXT)[place].ravel() if len(place) else buf[:0]
 
 
 def _suffixes(length: int):
     def run(batches):
-        for batch in t.blocks(batches, "text"):
+        for batch in t.blocks(batches, "text", BLOCK):
             buf, off = t.utf8(batch.column("text"))
             place, _, _, row = anchors(buf, off, length)
-            data, cut = t.gather(buf, place, np.full(len(place), CONTEXT))
-            yield pa.RecordBatch.from_arrays([t.binary(data, cut), batch.column("id").take(pa.array(row)), pa.array(place - off[row])], names=["suffix", "id", "pos"])
+            suffix = t.binary(_leading(buf, place), np.arange(len(place) + 1) * CONTEXT)
+            yield pa.RecordBatch.from_arrays([suffix, batch.column("id").take(pa.array(row)), pa.array(place - off[row])], names=["suffix", "id", "pos"])
 
     return run
 
@@ -102,10 +105,10 @@ class SuffixIndex:
     def add(self, batch: DataFrame) -> DataFrame:
         """Takes in texts (id, text); returns (id, pos) of the anchors, old and new, whose suffix has a neighbour with equal leading bytes.
 
-        The batch's suffixes are sorted together with the levels they merge into, which is array, scan and merge in one pass; they are scanned
+        The batch's suffixes are written once, as ranging reads them twice. They are sorted together with the levels they merge into, which is array, scan and merge in one pass; they are scanned
         against every other level in a further one.
         """
-        new = batch.filter("id IS NOT NULL AND text IS NOT NULL").mapInArrow(_suffixes(self.length), SUFFIX)
+        new = stored(batch.filter("id IS NOT NULL AND text IS NOT NULL").mapInArrow(_suffixes(self.length), SUFFIX), "suffix-batch")
         size, merging = 1, []
         while self.levels and self.levels[-1][0] == size:
             merging.append(self.levels.pop()[1])
@@ -135,32 +138,45 @@ def _strings(length: int):
     """All strings an asked anchor stands for, packed as one stretch of bytes, keyed by the bytes behind the anchor."""
 
     def run(batches):
-        for batch in t.blocks(batches, "text"):
+        for batch in t.blocks(batches, "text", BLOCK):
             buf, off = t.utf8(batch.column("text"))
             place, lo, hi, row = anchors(buf, off, length)
             asked = batch.column("places")
-            wanted = off[np.repeat(np.arange(batch.num_rows), np.diff(asked.offsets.to_numpy()))] + asked.flatten().to_numpy()
-            keep = np.isin(place, wanted)
-            place, lo, hi, row = place[keep], lo[keep], hi[keep], row[keep]
-            key = t.span_hash(t.prefix(buf), place, place + CONTEXT).view(np.int64)
-            packed = t.binary(*t.gather(buf, lo, hi + length - lo))
+            wanted = np.zeros(len(buf), bool)
+            wanted[off[np.repeat(np.arange(batch.num_rows), np.diff(asked.offsets.to_numpy()))] + asked.flatten().to_numpy()] = True
+            keep = wanted[place]
+            place, lo, stop, row = place[keep], lo[keep], hi[keep] + length, row[keep]
+            first = np.arange(len(place)) * (CONTEXT // 8)
+            key = t.span_hash(t.prefix(_leading(buf, place).view(t.U64)), first, first + CONTEXT // 8).view(np.int64)
+            data = buf.tobytes()
+            packed = pa.array([data[a:b] for a, b in zip(lo.tolist(), stop.tolist())], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("id").take(pa.array(row)), pa.array(lo - off[row]), packed], names=["key", "id", "start", "bytes"])
 
     return run
 
 
 def _count(length: int, limit: int):
+    """Runs of repeated strings of each key. Stretches equal byte for byte repeat whole; one of them meets the other stretches string by string."""
+
     def run(batches):
-        for table, is_first, is_last in whole_keys(batches, "key", limit):
-            buf, off = t.utf8(table.column("bytes").combine_chunks())
+        for table, is_first, is_last in whole_keys(t.blocks(batches, "bytes", max(1, limit // 16)), "key", max(1, limit // 4), limit):
+            key, doc, start = (table.column(c).to_numpy() for c in ("key", "id", "start"))
+            code = table.column("bytes").combine_chunks().dictionary_encode()
+            buf, off = t.utf8(code.dictionary)
+            code = code.indices.to_numpy()
             n = np.diff(off) - length + 1
+            one = np.zeros(len(n), np.int64)
+            one[code[::-1]] = np.arange(len(code))[::-1]
+            other = (doc != doc[one[code]]) | (start != start[one[code]])
+            whole = np.bincount(code, weights=other, minlength=len(n)) > 0
+            copy = whole[code]
+            yield _found(doc[copy], start[copy], n[code[copy]], None, None)
             own = np.repeat(np.arange(len(n)), n)
             at = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + off[own]
             w1, w2 = (t.flat_hash(t.prefix(buf, b), at, at + length, b) for b in t.BASES)
-            place = table.column("start").to_numpy()[own] + at - off[own]
-            key = table.column("key").to_numpy()
+            place = (start[one] - off[:-1])[own] + at
             open_keys = [key[0]] * is_first + [key[-1]] * is_last
-            yield from mark_repeats(key, own, table.column("id").to_numpy()[own], place, w1, w2, open_keys, later_only=False)
+            yield from mark_repeats(key[one], own, doc[one][own], place, w1, w2, open_keys, later_only=False, known=whole)
 
     return run
 
@@ -169,21 +185,27 @@ def _strip(length: int):
     """Removed byte ranges of each text, from runs of repeated strings."""
 
     def run(batches):
-        for batch in batches:
-            out = []
-            for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
-                data, ranges = text.encode(), []
-                for r in sorted((r["start"], r["start"] + r["n"] - 1 + length) for r in runs):
-                    if ranges and r[0] <= ranges[-1][1]:
-                        ranges[-1][1] = max(ranges[-1][1], r[1])
-                    else:
-                        ranges.append(list(r))
-                cuts = [0, *(x for r in ranges for x in r), len(data)]
-                kept = b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
-                out.append((len(data) - len(kept), hashlib.sha256(kept).hexdigest(), [{"start": a, "stop": b} for a, b in ranges]))
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-            columns = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], kind)], names=["id", "cut", "sha", "ranges"])
+        for batch in t.blocks(batches, "text", BLOCK):
+            buf, off = t.utf8(batch.column("text"))
+            runs = batch.column("runs")
+            flat = runs.flatten()
+            begin = np.repeat(off[:-1], np.diff(runs.offsets.to_numpy())) + flat.field("start").to_numpy()
+            cover = np.zeros(len(buf) + 1, np.int32)
+            np.add.at(cover, begin, 1)
+            np.add.at(cover, begin + flat.field("n").to_numpy() - 1 + length, -1)
+            gone = np.cumsum(cover[:-1]) > 0
+            edge = np.zeros(len(buf) + 1, bool)
+            edge[off] = True
+            lo = np.flatnonzero(gone & (edge[:-1] | np.concatenate(([True], ~gone[:-1]))))
+            hi = np.flatnonzero(gone & (edge[1:] | np.concatenate((~gone[1:], [True])))) + 1
+            row = np.searchsorted(off, lo, "right") - 1
+            base = off[row]
+            spans = pa.StructArray.from_arrays([pa.array(lo - base), pa.array(hi - base)], names=["start", "stop"])
+            ranges = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=batch.num_rows)))).astype(np.int32)), spans)
+            removed = np.concatenate(([0], np.cumsum(gone)))[off]
+            kept, cut = buf[~gone].tobytes(), (off - removed).tolist()
+            sha = [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(cut[:-1], cut[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(removed)), pa.array(sha, pa.string()), ranges], names=["id", "cut", "sha", "ranges"])
 
     return run
 
@@ -191,7 +213,7 @@ def _strip(length: int):
 RANGES = "array<struct<start:long,stop:long>>"
 
 
-def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, batches: int = 3, task_bytes: int = CHUNK) -> DataFrame:
+def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, batches: int = 3, task_bytes: int = CHUNK // 2) -> DataFrame:
     """One row per document: bytes, bytes removed, maximal removed runs, digest of the rest, and the removed ranges.
 
     Removed is each byte covered by a string of ``length`` bytes that also starts elsewhere, in any document, judged on the input.
@@ -211,14 +233,14 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for part in batches_of(rows, batches):
         more = index.add(part)
         found = more if found is None else found.unionByName(more)
-    places = found.distinct().join(copies.filter("id <> one").select("id"), "id", "left_anti").groupBy("id").agg(F.collect_list("pos").alias("places"))
+    places = found.join(copies.filter("id <> one").select("id"), "id", "left_anti").groupBy("id").agg(F.collect_list("pos").alias("places"))
     texts = stored(rows.drop("own").join(places, "id"), "suffix-candidates")
     strings = texts.mapInArrow(_strings(length), "key long, id long, start long, bytes binary")
     strings = strings.repartitionByRange("key", "id", "start").sortWithinPartitions("key", "id", "start")
     marked = stored(strings.mapInArrow(_count(length, task_bytes), "id long, start long, n long, w1 long, w2 long"), "suffix-found")
     runs = marked.filter("n > 0").select("id", "start", "n").unionByName(crossing(marked, later_only=False))
     runs = runs.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    cut = texts.select("id", "text").dropDuplicates(["id"]).join(runs, "id").mapInArrow(_strip(length), f"id long, cut long, sha string, ranges {RANGES}")
+    cut = texts.select("id", "text").join(runs, "id").mapInArrow(_strip(length), f"id long, cut long, sha string, ranges {RANGES}")
     gone = copies.select("id", F.lit(True).alias("copy")).join(cut.withColumnRenamed("sha", "left_sha"), "id", "full")
     out = info.join(gone, "id", "left")
     full = F.coalesce("copy", F.lit(False))

@@ -1,8 +1,10 @@
 import hashlib
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from netweir.llm import substring, suffixes
@@ -134,3 +136,47 @@ def test_fingerprints_tell_regular_sequences_apart():
     twice = np.concatenate((where, np.zeros(77, t.U64), where))
     sums = t.prefix(twice)
     assert (t.span_hash(sums, np.array([3, 9]), np.array([4000, 9])) == t.span_hash(sums, np.array([5080, 40]), np.array([9077, 40]))).all()
+
+
+def peak(function, batches):
+    """Largest number of bytes that the function holds at a time, and the rows it gives."""
+    tracemalloc.start()
+    rows = sum(x.num_rows for x in function(iter(batches)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most, rows
+
+
+def test_byte_tasks_hold_little(spark):
+    rng = np.random.default_rng(1)
+    data = [rng.bytes(360) for _ in range(20_000)]
+    key, start = pa.array(np.arange(20_000) // 5), pa.array(np.arange(20_000) % 5 * 400)
+    strings = pa.RecordBatch.from_arrays([key, key, start, pa.array(data, pa.binary())], names=["key", "id", "start", "bytes"])
+    assert peak(suffixes._count(200, suffixes.CHUNK), [strings])[0] < 100 << 20
+    texts = pa.array([rng.integers(97, 123, 5000, np.uint8).tobytes().decode() for _ in range(4000)])
+    runs = pa.array([[{"start": 100 * i, "n": 3} for i in range(40)]] * 4000)
+    most, rows = peak(suffixes._strip(200), [pa.RecordBatch.from_arrays([pa.array(range(4000)), texts, runs], names=["id", "text", "runs"])])
+    assert rows == 4000 and most < 20 << 20
+
+
+def test_equal_stretches_meet_the_others_once():
+    """Of stretches equal byte for byte one is cut into strings; a third that shares some of them is found through it."""
+    rng = np.random.default_rng(2)
+    a = rng.bytes(300)
+    data = [a, a, a[:250] + rng.bytes(50), rng.bytes(300), a]
+    cells = [[7] * 5, [1, 2, 3, 4, 5], [0, 10, 20, 30, 40]]
+    batch = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cells), pa.array(data, pa.binary())], names=["key", "id", "start", "bytes"])
+    got = pa.Table.from_batches(suffixes._count(200, 1 << 20)(iter([batch]))).to_pylist()
+    assert sorted((r["id"], r["start"], r["n"]) for r in got if r["n"]) == [(1, 0, 101), (2, 10, 101), (3, 20, 51), (5, 40, 101)]
+    ends = [(r["id"], r["start"]) for r in got if not r["n"]]
+    assert len(ends) == len(set(ends)) == 101 + 50 + 101
+
+
+def test_a_batch_is_tokenised_once(spark, monkeypatch):
+    plans, write = [], suffixes.stored
+    monkeypatch.setattr(suffixes, "stored", lambda df, name: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow"))) or write(df, name))
+    index, docs = suffixes.SuffixIndex(200), frame(spark, corpus(3), clash=False).selectExpr("doc_id AS id", "text")
+    for k in range(3):
+        index.add(docs.filter(f"id % 3 = {k}"))
+    assert [name for name, _ in plans] == ["suffix-batch", "suffix-level", "suffix-batch", "suffix-level", "suffix-batch", "suffix-level", "suffix-scan"]
+    assert {n for _, n in plans} == {1}
